@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality, urlfilter, warc
+from . import mixing, packing, pii, quality, urlfilter, warc
 
 
 def queries():
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_warc": warc.op3_warc,
+        "op4_mixing": mixing.op4_mixing,
+        "op8_pii": pii.op8_pii,
         "op10_url_filters": urlfilter.op10_url_filters,
     }
 
 
 def oracle_sql():
-    return {"op1_quality_rules": quality.ORACLE, "op3_warc": warc.ORACLE, "op10_url_filters": urlfilter.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op3_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE, "op10_url_filters": urlfilter.ORACLE}
