@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, quality, urlfilter, warc
+from . import mixing, ngram_join, packing, pii, quality, urlfilter, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_warc": warc.op3_warc,
         "op4_mixing": mixing.op4_mixing,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op8_pii": pii.op8_pii,
         "op10_url_filters": urlfilter.op10_url_filters,
     }
