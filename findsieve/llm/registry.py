@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, packing, pii, quality, urlfilter, warc
+from . import ann, lm, mixing, ngram_join, packing, pii, quality, toxicity, urlfilter, warc
 
 
 def queries():
@@ -11,8 +11,11 @@ def queries():
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_warc": warc.op3_warc,
         "op4_mixing": mixing.op4_mixing,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_ngram_join": ngram_join.op6_ngram_join,
+        "op7_block_ann": ann.op7_block_ann,
         "op8_pii": pii.op8_pii,
+        "op9_lm_scoring": lm.op9_lm_scoring,
         "op10_url_filters": urlfilter.op10_url_filters,
     }
 
