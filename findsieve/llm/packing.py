@@ -23,8 +23,8 @@ from .common import cut, table
 CAPACITY = 2048
 SEPARATOR = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Words whose token ids a worker keeps; the memory of a full cache is some 120 MB.
-CACHED_WORDS = 600_000
+#: Words of at most so many characters whose token ids a worker keeps; a full cache takes some 40 MB.
+CACHED_WORDS, CACHED_LENGTH = 150_000, 24
 #: Ranks are counted in this many groups of each length.
 RANK_GROUPS = 64
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,7 +44,7 @@ class _WordIds(dict):
         if len(self) >= CACHED_WORDS:
             self.clear()
         found = self.encode(" " + word)
-        if len(word) <= 64:
+        if len(word) <= CACHED_LENGTH:
             self[word] = found
         return found
 
