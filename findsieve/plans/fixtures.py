@@ -69,6 +69,30 @@ SELECT DISTINCT f.IMAGE AS image, f.COMPONENT AS name,
  CASE WHEN f.COMPONENT IN ('pkg3','pkg8') THEN f.VERSION || '.stale'
       WHEN f.VERSION LIKE '1:%' THEN substr(f.VERSION, 3) ELSE f.VERSION END AS version
 FROM fx_finding f WHERE f.COMPONENT <> 'pkg9'""",
+    "fx_report": """
+SELECT finding_id, img_k, IMAGE, COMPONENT, VERSION, CVE, '4.' || (12 + img_k % 9) AS release, 'stable-' || (img_k % 3) AS channel, 'op' || (img_k % 7) AS operator,
+ CASE SEVERITY WHEN 'CRITICAL_VULNERABILITY_SEVERITY' THEN 'Critical' WHEN 'IMPORTANT_VULNERABILITY_SEVERITY' THEN 'Important' ELSE 'Moderate' END AS SEVERITY,
+ CASE WHEN finding_id % 5 = 0 THEN 'Low' ELSE 'Important' END AS RHACS_SEVERITY,
+ CASE WHEN finding_id % 5 = 0 THEN 'True' ELSE 'False' END AS SEVERITY_MISMATCH,
+ CASE WHEN finding_id % 4 = 0 THEN 'FALSE POSITIVE' ELSE 'POSITIVE' END AS AUDIT_RESULT,
+ 'reason ' || (finding_id % 11) AS JUSTIFICATION
+FROM fx_finding""",
+    "fx_entry": """
+SELECT 'op' || s_nationkey AS package, 'stable-' || (s_suppkey % 3) AS channel, 'op' || s_nationkey || '.v1.' || s_suppkey || '.0' AS name, CAST(s_suppkey AS BIGINT) AS pos,
+ CASE WHEN s_suppkey % 4 = 1 THEN NULL ELSE 'op' || s_nationkey || '.v1.' || (s_suppkey - 3) || '.0' END AS replaces,
+ CASE WHEN s_suppkey % 5 = 0 THEN 'op' || s_nationkey || '.v1.' || (s_suppkey + 75) || '.0' ELSE 'none' END AS skip, img_k, IMAGE
+FROM supplier JOIN fx_img ON img_k = s_suppkey""",
+    "fx_related": """
+SELECT e.name AS bundle, e.IMAGE AS bundle_image, CAST(r.k AS BIGINT) AS pos, 'role' || r.k AS role,
+ CASE r.k WHEN 0 THEN e.IMAGE WHEN 1 THEN 'registry.redhat.io/x/a' || (e.img_k % 5) || '@sha256:' || H('a' || (e.img_k % 5))
+  WHEN 2 THEN 'registry.redhat.io/x/copy@sha256:' || H('a' || (e.img_k % 5)) ELSE 'registry.redhat.io/x/tagged:v' || e.img_k END AS image
+FROM fx_entry e CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS v(k)) r""",
+    "fx_deployed": """
+SELECT 'id' || img_k AS id, IMAGE AS name, img_k FROM fx_img WHERE img_k % 4 <> 0""",
+    "fx_alert": """
+SELECT CAST(o_orderkey AS BIGINT) AS alert_k, 'alert' || o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'RESOLVED' WHEN 'O' THEN 'ACTIVE' END AS state,
+ 'policy' || (o_orderkey % 6) AS policy_id, i.IMAGE AS image
+FROM orders JOIN fx_img i ON i.img_k = o_orderkey % 97 + 1""",
 }
 
 
@@ -86,7 +110,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     made: dict[str, DataFrame] = {}
     for view in _needs(name):
         if view in SQL:
-            text = re.sub(r"\bH\(([^()]*)\)", r"sha2(\1, 256)", SQL[view])
+            text = re.sub(r"\bH\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", SQL[view])
             used = {x: made[x] for x in made if re.search(rf"\b(FROM|JOIN) {x}\b", text)}
             for x in used:
                 text = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 {{{x}}}", text)

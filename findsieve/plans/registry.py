@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findsieve.plans import verdict_queries
+from findsieve.plans import landing_queries, verdict_queries
 
-MODULES = (verdict_queries,)
+MODULES = (verdict_queries, landing_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findsieve.functions import images, products, severity, versions
+from findsieve.operators import relational
 from findsieve.plans import adjudicate as A
 from findsieve.plans.fixtures import fixture
 from findsieve.plans.oracle import duck
@@ -46,3 +48,298 @@ def verdict(spark, sf):
 @query("verdict_counts", "SELECT RULE, AUDIT_RESULT, count(*) AS n FROM res GROUP BY ALL")
 def verdict_counts(spark, sf):
     return verdicts(spark, sf).groupBy("RULE", "AUDIT_RESULT").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Contexts and column expressions ----------------------------------------------------------------------------
+
+
+@query("image_parse", "SELECT IMAGE, split_part(IMAGE, '/', 1) AS host, image_ns, image_name FROM ctx")
+def image_parse(spark, sf):
+    df = images.with_image_parts(fixture(spark, sf, "fx_img"))
+    return df.select("IMAGE", F.split_part("IMAGE", F.lit("/"), F.lit(1)).alias("host"), "image_ns", "image_name")
+
+
+@query("image_classify", "SELECT IMAGE, rhel_ver, ocp_ver, workload_type, display_name FROM ctx")
+def image_classify(spark, sf):
+    return images.with_image_parts(fixture(spark, sf, "fx_img")).select("IMAGE", "rhel_ver", "ocp_ver", "workload_type", "display_name")
+
+
+@query(
+    "image_context",
+    """SELECT IMAGE, CASE WHEN lang <> '' THEN lang ELSE rhel_ver END AS rhel_ver, CASE WHEN workload_type = 'ocp' THEN nullif(ver, '') END AS ocp_ver, workload_type,
+  CASE WHEN ver <> '' THEN trim(split_part(dn, '(', 1)) || ' ' || ver ELSE dn END AS display_name
+FROM (SELECT *, CASE WHEN workload_type = 'ocp' THEN 'OpenShift 4.x' ELSE display_name END AS dn, CASE img_k % 4 WHEN 0 THEN '' ELSE '4.' || (10 + img_k % 12) END AS ver, CASE WHEN img_k % 3 = 0 THEN CAST(8 + img_k % 2 AS VARCHAR) ELSE '' END AS lang FROM ctx)""",
+)
+def image_context(spark, sf):
+    k = F.col("img_k")
+    version = F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("4."), (10 + k % 12).cast("string")))
+    lang = F.when(k % 3 == 0, F.concat(F.lit("el"), (8 + k % 2).cast("string"))).otherwise(F.lit(""))
+    cpe = F.concat(F.lit("cpe:/a:redhat:openshift:"), version, F.lit("::"), lang)
+    labels = F.create_map(F.lit("cpe"), cpe, F.lit("name"), images.image_path(F.col("IMAGE")))
+    df = fixture(spark, sf, "fx_img").withColumn("labels", labels)
+    return images.with_label_context(df).select("IMAGE", "rhel_ver", "ocp_ver", "workload_type", "display_name")
+
+
+@query(
+    "release_context",
+    """SELECT IMAGE, 'ocp' AS workload_type, '4.' || (12 + img_k % 9) AS ocp_ver, CASE WHEN img_k % 3 = 0 THEN CAST(8 + img_k % 3 AS VARCHAR) WHEN img_k % 3 = 1 THEN '10' ELSE rhel_ver END AS rhel_ver,
+  'OpenShift 4.' || (12 + img_k % 9) || '.' || (img_k % 7) AS display_name FROM ctx""",
+)
+def release_context(spark, sf):
+    k = F.col("img_k")
+    df = images.with_image_parts(fixture(spark, sf, "fx_img")).withColumns({
+        "release": F.concat(F.lit("4."), (12 + k % 9).cast("string"), F.lit("."), (k % 7).cast("string")),
+        "os_info": F.when(k % 3 == 0, F.concat(F.lit("rhel:"), (8 + k % 3).cast("string"), F.lit(".2"))),
+        "component": F.when(k % 3 == 1, F.lit("rhel-coreos-10")).otherwise(F.lit("cli")),
+    })
+    return images.with_release_context(df, "release", "component", "os_info").select("IMAGE", "workload_type", "ocp_ver", "rhel_ver", "display_name")
+
+
+@query("digest_extract", "SELECT IMAGE, img_sha AS digest FROM ctx")
+def digest_extract(spark, sf):
+    return fixture(spark, sf, "fx_img").select("IMAGE", images.digest(F.col("IMAGE")).alias("digest"))
+
+
+@query("rhel_stream", "SELECT VERSION, row_rhel AS major, minor, modver AS is_module FROM fi GROUP BY ALL")
+def rhel_stream(spark, sf):
+    v = F.col("VERSION")
+    return fixture(spark, sf, "fx_finding").select("VERSION").distinct().select("VERSION", versions.rhel_major(v).alias("major"), versions.rhel_minor(v).alias("minor"), versions.is_module_version(v).alias("is_module"))
+
+
+@query("pid_parse", "SELECT cve, pid_idx, pid, parent, pkg_name, fix_ver, is_module FROM pd")
+def pid_parse(spark, sf):
+    return parsed_pids(spark, sf).select("cve", "pid_idx", "pid", "parent", "pkg_name", "fix_ver", "is_module")
+
+
+@query("rpm_compare", """SELECT a.v AS installed, b.v AS fix, CASE WHEN ea <> eb THEN ea > eb ELSE ka >= kb END AS at_least
+FROM (SELECT v, CASE WHEN contains(v, ':') THEN CAST(split_part(v, ':', 1) AS BIGINT) ELSE 0 END AS ea, rkey(regexp_replace(v, '^[^:]*:', '')) AS ka FROM (SELECT DISTINCT VERSION AS v, COMPONENT AS c FROM fi) GROUP BY v) a
+JOIN (SELECT fix_ver AS v, 0 AS eb, rkey(fix_ver) AS kb FROM pd WHERE fix_ver IS NOT NULL GROUP BY ALL) b ON regexp_extract(a.v, 'el(\\d+)', 1) = regexp_extract(b.v, 'el(\\d+)', 1) AND regexp_extract(a.v, 'el(\\d+)', 1) <> ''""")
+def rpm_compare(spark, sf):
+    el = lambda c: F.nullif(F.regexp_extract(c, r"el(\d+)", 1), F.lit(""))
+    a = fixture(spark, sf, "fx_finding").select(F.col("VERSION").alias("installed")).distinct().withColumn("el", el("installed"))
+    b = parsed_pids(spark, sf).where("fix_ver IS NOT NULL").select(F.col("fix_ver").alias("fix")).distinct().withColumn("el", el("fix"))
+    return a.join(b, "el").select("installed", "fix", versions.rpm_at_least(F.col("installed"), F.col("fix")).alias("at_least"))
+
+
+@query("severity_norm", "SELECT SEVERITY AS code, scanner AS severity, count(*) AS n FROM vd1 GROUP BY ALL")
+def severity_norm(spark, sf):
+    s = severity.scanner_severity(F.col("SEVERITY"))
+    return fixture(spark, sf, "fx_finding").groupBy(F.col("SEVERITY").alias("code"), s.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("vex_severity", "SELECT cve, coalesce(impact, nullif(aggregate_severity, 'None'), CASE cvss_severity WHEN 'HIGH' THEN 'Important' END, 'Unknown') AS severity FROM fx_doc")
+def vex_severity(spark, sf):
+    none = F.lit(None).cast("string")
+    return fixture(spark, sf, "fx_doc").select("cve", severity.vex_severity(F.col("impact"), F.col("aggregate_severity"), none, F.col("cvss_severity"), F.lit("Unknown")).alias("severity"))
+
+
+@query("severity_mismatch", "SELECT RHACS_SEVERITY, VEX_SEVERITY AS SEVERITY, SEVERITY_MISMATCH, count(*) AS n FROM res GROUP BY ALL")
+def severity_mismatch(spark, sf):
+    return verdicts(spark, sf).groupBy("RHACS_SEVERITY", "SEVERITY", "SEVERITY_MISMATCH").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_rpm_name", "SELECT DISTINCT COMPONENT || '-' || regexp_replace(VERSION, '^[^:]*:', '') || '.src.rpm' AS file, COMPONENT AS source FROM fi WHERE row_rhel IS NOT NULL")
+def src_rpm_name(spark, sf):
+    df = fixture(spark, sf, "fx_finding").where(versions.rhel_major(F.col("VERSION")).isNotNull())
+    df = df.select(F.concat("COMPONENT", F.lit("-"), versions.without_epoch(F.col("VERSION")), F.lit(".src.rpm")).alias("file")).distinct()
+    return df.withColumn("source", versions.source_of_rpm(F.col("file")))
+
+
+@query("advisory_url", "SELECT DISTINCT CVE, 'https://security.access.redhat.com/data/csaf/v2/vex/' || split_part(CVE, '-', 2) || '/' || lower(CVE) || '.json' AS url, 'https://access.redhat.com/security/cve/' || lower(CVE) AS link FROM fi")
+def advisory_url(spark, sf):
+    cve = F.col("CVE")
+    url = F.concat(F.lit("https://security.access.redhat.com/data/csaf/v2/vex/"), F.split_part(cve, F.lit("-"), F.lit(2)), F.lit("/"), F.lower(cve), F.lit(".json"))
+    return fixture(spark, sf, "fx_finding").select("CVE").distinct().select("CVE", url.alias("url"), F.concat(F.lit("https://access.redhat.com/security/cve/"), F.lower(cve)).alias("link"))
+
+
+@query("fix_stream", "SELECT fix_ver, regexp_extract(fix_ver, '(el\\d+_\\d+)', 1) AS stream, count(*) AS n FROM pd WHERE fix_ver IS NOT NULL GROUP BY ALL")
+def fix_stream(spark, sf):
+    df = parsed_pids(spark, sf).where("fix_ver IS NOT NULL")
+    return df.groupBy("fix_ver", versions.fix_stream(F.col("fix_ver")).alias("stream")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Scope and guards -------------------------------------------------------------------------------------------
+
+
+def scoped(spark, sf):
+    ctx = contexts(spark, sf)
+    asked = fixture(spark, sf, "fx_finding").select(F.col("CVE").alias("cve"), "IMAGE").join(ctx.select("IMAGE", "ctx_id"), "IMAGE")
+    return A.scoped_pids(asked, ctx, parsed_pids(spark, sf)).join(ctx.select("ctx_id", "display_name").distinct(), "ctx_id")
+
+
+ASKED = "(SELECT DISTINCT CVE AS cve, display_name AS dn FROM fi)"
+
+
+@query("pid_scope", f"SELECT cve, dn AS display_name, pid_idx, pid, status, in_scope FROM sc JOIN {ASKED} USING (cve, dn)")
+def pid_scope(spark, sf):
+    return scoped(spark, sf).select("cve", "display_name", "pid_idx", "pid", "status", "in_scope")
+
+
+@query("pid_same_rhel", """SELECT rr AS rhel_ver, pid_idx, pid, contains(lower(pid), 'enterprise_linux_' || rr) OR regexp_matches(pid, '\\.el' || rr || '([_.\\-a-z]|$)') OR regexp_matches(pid, '^[a-zA-Z]+-' || rr || '[.\\-]')
+  OR regexp_matches(pid, '^' || rr || '[A-Za-z]') AS same_rhel FROM (SELECT DISTINCT cve, row_rhel AS rr FROM fi WHERE row_rhel IS NOT NULL) JOIN pd USING (cve)""")
+def pid_same_rhel(spark, sf):
+    majors = fixture(spark, sf, "fx_finding").select(F.col("CVE").alias("cve"), versions.rhel_major(F.col("VERSION")).alias("rhel_ver")).where("rhel_ver IS NOT NULL").distinct()
+    return majors.join(parsed_pids(spark, sf), "cve").select("rhel_ver", "pid_idx", "pid", products.is_same_rhel(F.col("pid"), F.col("rhel_ver")).alias("same_rhel"))
+
+
+@query("module_guard", "SELECT finding_id, pid_idx, NOT is_module OR modver AS counts FROM fi JOIN pd ON pd.cve = fi.CVE AND pkg_name = COMPONENT")
+def module_guard(spark, sf):
+    pids = parsed_pids(spark, sf).select(F.col("cve").alias("pid_cve"), "pkg_name", "pid_idx", "is_module")
+    rows = fixture(spark, sf, "fx_finding").join(pids, (F.col("CVE") == F.col("pid_cve")) & (F.col("COMPONENT") == F.col("pkg_name")))
+    return rows.select("finding_id", "pid_idx", products.module_guard(F.col("is_module"), versions.is_module_version(F.col("VERSION"))).alias("counts"))
+
+
+@query("digest_guard", """SELECT a.IMAGE, b.IMAGE AS stated, a.img_sha = b.img_sha AS counts FROM ctx a JOIN ctx b ON a.nat_k = b.nat_k AND a.image_ns = b.image_ns""")
+def digest_guard(spark, sf):
+    ctx = contexts(spark, sf).join(fixture(spark, sf, "fx_img").select("IMAGE", "nat_k"), "IMAGE")
+    a = ctx.select("nat_k", "image_ns", "IMAGE", "img_sha")
+    b = ctx.select("nat_k", "image_ns", F.concat(F.lit("stream:"), F.col("IMAGE")).alias("pid"), F.col("IMAGE").alias("stated"))
+    sha = images.digest(F.col("pid"))
+    return a.join(b, ["nat_k", "image_ns"]).select("IMAGE", "stated", (sha.isNull() | (sha == F.col("img_sha"))).alias("counts"))
+
+
+@query("catchall_pids", "SELECT cve, pid_idx, pid FROM pd WHERE pid = 'red_hat_products'")
+def catchall_pids(spark, sf):
+    cpe = F.concat(F.lit("cpe:/a:redhat"), F.when(F.col("pid") == products.CATCH_ALL, F.lit("")).otherwise(F.concat(F.lit(":"), F.col("parent"))))
+    tokens = F.filter(F.split(F.regexp_replace(cpe, r"^cpe:/[a-z]:", ""), ":"), lambda t: t != "")
+    return parsed_pids(spark, sf).withColumn("vendor_only", F.size(tokens) == 1).where((F.col("pid") == products.CATCH_ALL) | F.col("vendor_only")).select("cve", "pid_idx", "pid")
+
+
+@query("ocp_version_scope", """SELECT IMAGE, product_id, coalesce(ocp_ver IS NULL OR list_slice(string_split(ocp_ver, '.'), 1, len(n)) = n, true) AS covers FROM ctx, (SELECT product_id, string_split(list_last(string_split(name, ' ')), '.') AS n FROM fx_product WHERE contains(name, 'OpenShift')) WHERE workload_type = 'ocp'""")
+def ocp_version_scope(spark, sf):
+    names = fixture(spark, sf, "fx_product").where(F.contains("name", F.lit("OpenShift"))).withColumn("workload_type", F.lit("ocp"))
+    ctx = contexts(spark, sf).where("workload_type = 'ocp'").select("IMAGE", "ocp_ver", "workload_type")
+    return ctx.join(names, "workload_type").select("IMAGE", "product_id", products.ocp_version_covers(F.col("name"), F.col("ocp_ver")).alias("covers"))
+
+
+@query("ns_prefix_join", "SELECT IMAGE, list_sort(list(prefix)) AS prefixes FROM ctx JOIN px USING (img_k) GROUP BY IMAGE")
+def ns_prefix_join(spark, sf):
+    return contexts(spark, sf).where("workload_type = 'operator'").select("IMAGE", F.array_sort("prefixes").alias("prefixes"))
+
+
+# Evidence ---------------------------------------------------------------------------------------------------
+
+
+@query("vex_left_join", "SELECT finding_id, d.cve IS NOT NULL AS has_doc, n_vulns FROM fi LEFT JOIN fx_doc d ON d.cve = fi.CVE")
+def vex_left_join(spark, sf):
+    docs = fixture(spark, sf, "fx_doc").select(F.col("cve").alias("CVE"), "n_vulns", F.lit(True).alias("known"))
+    return fixture(spark, sf, "fx_finding").join(docs, "CVE", "left").select("finding_id", F.coalesce("known", F.lit(False)).alias("has_doc"), "n_vulns")
+
+
+@query("pid_label", "SELECT cve, pid_idx, pid, label FROM pd")
+def pid_label(spark, sf):
+    return parsed_pids(spark, sf).select("cve", "pid_idx", "pid", "label")
+
+
+@query("name_match", "SELECT finding_id, pid_idx, status FROM fi JOIN pd ON pd.cve = fi.CVE AND pkg_name IN (COMPONENT, 'pkg' || (CAST(substr(COMPONENT, 4) AS INT) + 1))")
+def name_match(spark, sf):
+    source = F.concat(F.lit("pkg"), (F.substring("COMPONENT", 4, 9).cast("int") + 1).cast("string"))
+    names = fixture(spark, sf, "fx_finding").select("finding_id", F.col("CVE").alias("cve"), F.explode(F.array("COMPONENT", source)).alias("pkg_name"))
+    return names.join(parsed_pids(spark, sf), ["cve", "pkg_name"]).select("finding_id", "pid_idx", "status")
+
+
+@query("vex_label_sets", "SELECT cve, coalesce(la, []) AS affected, coalesce(lf, []) AS fixed, coalesce(ln, []) AS not_affected, coalesce(li, []) AS investigating FROM lb")
+def vex_label_sets(spark, sf):
+    e = A.document_evidence(parsed_pids(spark, sf))
+    return e.select("cve", *[F.col(f"lbl_{x}").alias(x) for x in ("affected", "fixed", "not_affected")], F.col("lbl_investigating").alias("investigating"))
+
+
+@query("top_labels", "SELECT cve, array_to_string(list_slice(coalesce(la, []), 1, 3), ', ') AS affected, array_to_string(list_slice(coalesce(lf, []), 1, 3), ', ') AS fixed FROM lb")
+def top_labels(spark, sf):
+    e = A.document_evidence(parsed_pids(spark, sf))
+    return e.select("cve", *[F.array_join(F.slice(f"lbl_{x}", 1, 3), ", ").alias(x) for x in ("affected", "fixed")])
+
+
+@query("not_affected_union", "SELECT DISTINCT cve, pid FROM pd WHERE status IN ('known_not_affected', 'flag')")
+def not_affected_union(spark, sf):
+    p = parsed_pids(spark, sf)
+    stated = p.where("status = 'known_not_affected'").select("cve", "pid")
+    return stated.union(p.where((F.col("status") == "flag") & F.col("flag_label").isin(*products.NOT_AFFECTED_FLAGS)).select("cve", "pid")).distinct()
+
+
+@query("catchall_intersect", "SELECT DISTINCT cve, pid FROM pd WHERE pid = 'red_hat_products' AND clears")
+def catchall_intersect(spark, sf):
+    return catchall_pids(spark, sf).select("cve", "pid").intersect(not_affected_union(spark, sf))
+
+
+@query("fix_compare", """SELECT finding_id, pid_idx, coalesce(rkey(regexp_replace(VERSION, '^[^:]*:', '')) >= rkey(fix_ver) OR coalesce(TRY_CAST(split_part(VERSION, ':', 1) AS INT) > 0, false), false) AS met
+FROM fi JOIN pd ON pd.cve = fi.CVE AND pkg_name = COMPONENT WHERE status = 'fixed' AND coalesce(nullif(regexp_extract(fix_ver, '\\.el\\d+_(\\d+)', 1), ''), nullif(regexp_extract(fix_ver, '[.+]el\\d+\\.(\\d+)\\.', 1), '')) = minor""")
+def fix_compare(spark, sf):
+    fixes = parsed_pids(spark, sf).where("status = 'fixed'").select(F.col("cve").alias("CVE"), F.col("pkg_name").alias("COMPONENT"), versions.rhel_minor(F.col("fix_ver")).alias("minor"), "fix_ver", "pid_idx")
+    rows = fixture(spark, sf, "fx_finding").withColumn("minor", versions.rhel_minor(F.col("VERSION")))
+    return rows.join(fixes, ["CVE", "COMPONENT", "minor"]).select("finding_id", "pid_idx", versions.rpm_at_least(F.col("VERSION"), F.col("fix_ver")).alias("met"))
+
+
+@query("vex_product", """SELECT finding_id, CASE WHEN here THEN display_name ELSE '' END AS product FROM fi
+  LEFT JOIN (SELECT cve, dn, bool_or(in_scope AND status <> 'under_investigation') AS here FROM sc GROUP BY cve, dn) s ON s.cve = fi.CVE AND s.dn = fi.display_name""")
+def vex_product(spark, sf):
+    """Products of no relationship: the workload's name where any status but an investigation is in scope."""
+    ctx = contexts(spark, sf).select("IMAGE", "ctx_id", "display_name")
+    here = scoped(spark, sf).groupBy("cve", "ctx_id").agg(F.bool_or(F.col("in_scope") & (F.col("status") != "under_investigation")).alias("any_scope"))
+    rows = fixture(spark, sf, "fx_finding").withColumnRenamed("CVE", "cve").join(ctx, "IMAGE").join(here, ["cve", "ctx_id"], "left")
+    return rows.select("finding_id", F.when(F.col("any_scope"), F.col("display_name")).otherwise(F.lit("")).alias("product"))
+
+
+# Results ----------------------------------------------------------------------------------------------------
+
+
+@query("false_only", "SELECT finding_id, RULE FROM res WHERE AUDIT_RESULT = 'FALSE POSITIVE'")
+def false_only(spark, sf):
+    return verdicts(spark, sf).where(F.col("AUDIT_RESULT") == A.FP).select("finding_id", "RULE")
+
+
+@query("verdict_by_component", "SELECT COMPONENT, AUDIT_RESULT, count(*) AS n, count(DISTINCT IMAGE) AS images, count(DISTINCT CVE) AS cves FROM res GROUP BY ALL")
+def verdict_by_component(spark, sf):
+    return verdicts(spark, sf).groupBy("COMPONENT", "AUDIT_RESULT").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("IMAGE").alias("images"), F.countDistinct("CVE").alias("cves"))
+
+
+@query("missing_advisories", "SELECT DISTINCT CVE FROM fi WHERE CVE NOT IN (SELECT cve FROM fx_doc)")
+def missing_advisories(spark, sf):
+    have = fixture(spark, sf, "fx_doc").select(F.col("cve").alias("CVE"))
+    return fixture(spark, sf, "fx_finding").select("CVE").distinct().join(have, "CVE", "left_anti")
+
+
+@query("image_totals", "SELECT IMAGE, count(*) AS findings, count(DISTINCT COMPONENT) AS components FROM fi GROUP BY IMAGE")
+def image_totals(spark, sf):
+    return fixture(spark, sf, "fx_finding").groupBy("IMAGE").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("COMPONENT").alias("components"))
+
+
+@query("component_severity", "SELECT COMPONENT, count(*) AS cves, arg_min(scanner, CASE scanner WHEN 'Critical' THEN 0 WHEN 'Important' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END) AS top_severity FROM vd1 GROUP BY COMPONENT")
+def component_severity(spark, sf):
+    s = severity.scanner_severity(F.col("SEVERITY"))
+    return fixture(spark, sf, "fx_finding").withColumn("s", s).groupBy("COMPONENT").agg(F.count(F.lit(1)).alias("cves"), F.min_by("s", severity.severity_rank(F.col("s"))).alias("top_severity"))
+
+
+@query("mismatch_count", "SELECT count(*) FILTER (SEVERITY_MISMATCH) AS mismatches, count(*) AS n FROM res")
+def mismatch_count(spark, sf):
+    return verdicts(spark, sf).agg(F.count_if("SEVERITY_MISMATCH").alias("mismatches"), F.count(F.lit(1)).alias("n"))
+
+
+@query("operator_summary", "SELECT image_ns, count(DISTINCT IMAGE) AS images, count(*) FILTER (AUDIT_RESULT = 'POSITIVE') AS positives, count(*) FILTER (AUDIT_RESULT <> 'POSITIVE') AS false_positives FROM res WHERE workload_type = 'operator' GROUP BY image_ns")
+def operator_summary(spark, sf):
+    ops = contexts(spark, sf).where("workload_type = 'operator'").select("IMAGE", "image_ns")
+    rows = verdicts(spark, sf).join(ops, "IMAGE")
+    return rows.groupBy("image_ns").agg(F.countDistinct("IMAGE").alias("images"), F.count_if(F.col("AUDIT_RESULT") == A.POSITIVE).alias("positives"), F.count_if(F.col("AUDIT_RESULT") == A.FP).alias("false_positives"))
+
+
+@query("result_sort", """SELECT finding_id, (CASE WHEN AUDIT_RESULT = 'FALSE POSITIVE' THEN 0 WHEN under_investigation THEN 4 WHEN RULE = 'R0' THEN 3 ELSE 2 END) * 10000
+  + CASE VEX_SEVERITY WHEN 'Critical' THEN 0 WHEN 'Important' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END * 100 AS score FROM res""")
+def result_sort(spark, sf):
+    rows = verdicts(spark, sf).withColumn("score", A.sort_score())
+    return rows.orderBy("score", "CVE", "COMPONENT", "VERSION", "IMAGE", "finding_id").select("finding_id", "score")
+
+
+@query("severity_matrix", "SELECT VEX_SEVERITY AS SEVERITY, " + ", ".join(f"count(*) FILTER (RHACS_SEVERITY = '{s}') AS {s}" for s in severity.RANK) + " FROM res GROUP BY VEX_SEVERITY")
+def severity_matrix(spark, sf):
+    pivot = verdicts(spark, sf).groupBy("SEVERITY").pivot("RHACS_SEVERITY", list(severity.RANK)).agg(F.count(F.lit(1)))
+    return pivot.na.fill(0)
+
+
+@query("min_severity", "SELECT finding_id FROM res WHERE VEX_SEVERITY IN ('Critical', 'Important')")
+def min_severity(spark, sf):
+    return verdicts(spark, sf).where(severity.severity_rank(F.col("SEVERITY")) <= severity.RANK["Important"]).select("finding_id")
+
+
+@query("dedupe_finding", "SELECT CVE, COMPONENT, VERSION, min(finding_id) AS finding_id FROM fi GROUP BY ALL")
+def dedupe_finding(spark, sf):
+    return relational.keep_first(fixture(spark, sf, "fx_finding"), ["CVE", "COMPONENT", "VERSION"], "finding_id").select("CVE", "COMPONENT", "VERSION", "finding_id")
