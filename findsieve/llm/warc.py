@@ -160,6 +160,8 @@ def _records(with_payload: bool):
                         hashlib.sha1(payload).hexdigest() if kind == "response" else stated, stated,
                         _page_of(fields.get("warc-refers-to")), payload if with_payload and kind == "response" else None,
                     ))
+                if not rows:
+                    continue
                 yield pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(NAMES, zip(*rows, strict=True), strict=True)}, schema=ARROW)
 
     return run
@@ -184,8 +186,9 @@ def deduplicate_archives(spark: SparkSession, source: str, target: str, min_byte
     """Read archives, give revisits their original's payload, and write them anew without repeated payloads."""
     records = read_archives(spark, source)
     have = records.where(F.col("record_type") == "response")
-    bodies = have.select(F.col("page_id").alias("original"), F.col("payload").alias("original_payload"))
-    missing = records.where(F.col("record_type") == "revisit").join(bodies, F.col("refers_to") == F.col("original"), "left")
+    # Rows of one id may have been written twice; one of the equal payloads is enough.
+    bodies = have.select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload").alias("original_payload")).dropDuplicates(["refers_to", "payload_digest"])
+    missing = records.where(F.col("record_type") == "revisit").join(bodies, ["refers_to", "payload_digest"], "left")
     whole = have.select("page_id", "uri", "payload").unionByName(missing.select("page_id", "uri", F.col("original_payload").alias("payload")))
     return write_archives(whole.select("page_id", F.col("uri").alias("url"), F.col("payload").cast("string").alias("html")), target, min_bytes)
 
