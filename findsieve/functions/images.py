@@ -67,6 +67,12 @@ def with_release_context(df: DataFrame, release: str, component: str, os_info: s
     return df.withColumn("display_name", F.concat(F.lit("OpenShift "), F.col(release)))
 
 
+def with_distro(df: DataFrame, cpe: Column, distro: str = "distro") -> DataFrame:
+    """RHEL major version from a matcher's distro block, where no cpe label says otherwise."""
+    ours = F.lower(F.coalesce(F.col(distro)["name"], F.lit(""))).rlike("red hat|rhel|ubi|enterprise linux") & (F.coalesce(cpe, F.lit("")) == "")
+    return df.withColumn("rhel_ver", F.coalesce(F.when(ours, _found(F.col(distro)["version"], r"^(\d+)")), "rhel_ver"))
+
+
 def with_prefixes(images: DataFrame, prefix_map: DataFrame, ref: str = "IMAGE") -> DataFrame:
     """Adds ``prefixes``, by which products of an operator image are known.
 

@@ -544,6 +544,24 @@ def suppression_totals(spark, sf):
     return suppression.suppression_totals(plan(spark, sf), suppression.deployed(image_list(spark, sf)))
 
 
+@query("policy_exclusions", "SELECT DISTINCT 'policy' || (o_orderkey % 6) AS policy_id, o_orderkey % 6 = 0 AS criteria_locked, CASE WHEN o_orderkey % 6 > 1 THEN 'ex' || (o_orderkey % 24) END AS exclusion FROM orders")
+def policy_exclusions(spark, sf):
+    """Landed policies with one row per exclusion, and one for a policy without any."""
+    k = F.col("alert_k")
+    name = F.when(k % 6 > 1, F.struct(F.concat(F.lit("ex"), (k % 24).cast("string")).alias("name")))
+    docs = fixture(spark, sf, "orders").select(F.col("o_orderkey").alias("alert_k"), F.concat(F.lit("policy"), (F.col("o_orderkey") % 6).cast("string")).alias("policy_id")).groupBy(F.col("policy_id").alias("id"), (k % 6 == 0).alias("criteriaLocked")).agg(F.collect_set(name).alias("exclusions"))
+    read = read_lines(spark, landed(docs, "policies"), landing.POLICY)
+    return read.select(F.col("id").alias("policy_id"), F.col("criteriaLocked").alias("criteria_locked"), F.explode_outer("exclusions").alias("x")).select("policy_id", "criteria_locked", F.col("x.name").alias("exclusion"))
+
+
+@query("distro_context", "SELECT IMAGE, CASE WHEN img_k % 2 = 0 THEN CAST(7 + img_k % 3 AS VARCHAR) ELSE rhel_ver END AS rhel_ver FROM ctx")
+def distro_context(spark, sf):
+    k = F.col("img_k")
+    distro = F.struct(F.when(k % 2 == 0, F.lit("Red Hat Enterprise Linux")).otherwise(F.lit("Other")).alias("name"), F.concat((7 + k % 3).cast("string"), F.lit(".4")).alias("version"))
+    df = I.with_image_parts(fixture(spark, sf, "fx_img").withColumn("distro", distro))
+    return I.with_distro(df, F.lit(None).cast("string")).select("IMAGE", "rhel_ver")
+
+
 @query("image_resolve", """SELECT ref, arg_min(id, struct_pack(rank := rank, pos := pos)) AS id, min(rank) AS rank FROM (SELECT w.ref, d.id, d.img_k AS pos, CASE WHEN w.sha <> '' AND contains(d.name, w.sha) THEN 0 WHEN d.name = w.ref THEN 1 ELSE 4 END AS rank
   FROM (SELECT DISTINCT CASE WHEN img_k % 2 = 0 THEN IMAGE ELSE split_part(IMAGE, '@', 1) END AS ref, CASE WHEN img_k % 2 = 0 THEN regexp_extract(IMAGE, '@(sha256:[a-f0-9]+)', 1) ELSE '' END AS sha FROM fx_img WHERE NOT contains(IMAGE, ':v')) w
   JOIN fx_deployed d ON regexp_replace(regexp_replace(d.name, '^[^/]+/', ''), '[@:][^/]*$', '') = regexp_replace(regexp_replace(w.ref, '^[^/]+/', ''), '[@:][^/]*$', '')) GROUP BY ref""")
@@ -555,7 +573,7 @@ def image_resolve(spark, sf):
 # Missed findings --------------------------------------------------------------------------------------------
 
 GAPS = """
-gp AS (SELECT DISTINCT s.image, p.cve, s.name, s.version, p.status FROM fx_sbom s JOIN pd p ON p.pkg_name = s.name WHERE p.status IN ('known_affected', 'fixed')
+gp AS (SELECT DISTINCT s.image, p.cve, s.name, s.version, CASE WHEN p.fix_ver IS NOT NULL THEN 'needs_fix' ELSE p.status END AS status FROM fx_sbom s JOIN pd p ON p.pkg_name = s.name WHERE p.status IN ('known_affected', 'fixed')
   AND (p.fix_ver IS NULL OR (regexp_extract(s.version, '(el\\d+_\\d+)', 1) = regexp_extract(p.fix_ver, '(el\\d+_\\d+)', 1) AND rkey(regexp_replace(s.version, '^[^:]*:', '')) < rkey(p.fix_ver)))
   AND NOT EXISTS (SELECT 1 FROM fi WHERE fi.IMAGE = s.image AND fi.CVE = p.cve AND fi.COMPONENT = s.name))"""
 

@@ -34,6 +34,7 @@ VEX = (
     + ">, flags: ARRAY<STRUCT<label: STRING, product_ids: ARRAY<STRING>>>, remediations: ARRAY<STRUCT<category: STRING, product_ids: ARRAY<STRING>>>, "
     "threats: ARRAY<STRUCT<category: STRING, details: STRING>>, scores: ARRAY<STRUCT<cvss_v3: STRUCT<baseSeverity: STRING>, cvss_v2: STRUCT<baseSeverity: STRING>>>>>"
 )
+POLICY = "id STRING, name STRING, criteriaLocked BOOLEAN, exclusions ARRAY<STRUCT<name: STRING, image: STRUCT<name: STRING>>>"
 SECURITY_PAGE = "https://access.redhat.com/security/cve/"
 
 
