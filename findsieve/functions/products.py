@@ -35,22 +35,15 @@ def pid_columns(pid: Column) -> dict[str, Column]:
     }
 
 
-def _names_rhel(pid: Column, major: Column) -> Column:
-    return (
-        F.contains(F.lower(pid), F.concat(F.lit("enterprise_linux_"), major))
-        | F.rlike(pid, F.concat(F.lit(r"\.el"), major, F.lit(r"([_.\-a-z]|$)")))
-        | F.rlike(pid, F.concat(F.lit("^[a-zA-Z]+-"), major, F.lit(r"[.\-]")))
-    )
+def rhel_majors(pid: Column) -> Column:
+    """The major versions of the operating system that a product id names, read once for each id."""
+    at = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.array_distinct(F.concat(at(F.lower(pid), r"enterprise_linux_(\d+)"), at(pid, r"\.el(\d+)(?:[_.\-a-z]|$)"), at(pid, r"^[a-zA-Z]+-(\d+)[.\-]")))
 
 
-def is_rhel_base(pid: Column, base: Column, major: Column) -> Column:
-    """A repository of the operating system itself, of this major version."""
-    return base & _names_rhel(pid, major)
-
-
-def is_same_rhel(pid: Column, major: Column) -> Column:
-    """Any product on this major version, middleware included."""
-    return _names_rhel(pid, major) | F.rlike(pid, F.concat(F.lit("^"), major, F.lit("[A-Za-z]")))
+def middleware_majors(pid: Column) -> Column:
+    """The versions of ``rhel_majors`` and that of middleware ids, which begin with it."""
+    return F.array_distinct(F.concat(rhel_majors(pid), F.regexp_extract_all(pid, F.lit(r"^(\d+)[A-Za-z]"), F.lit(1))))
 
 
 def ocp_version_covers(product_name: Column, ocp_ver: Column) -> Column:
@@ -59,12 +52,15 @@ def ocp_version_covers(product_name: Column, ocp_ver: Column) -> Column:
     return F.when(ocp_ver.isNull(), F.lit(True)).otherwise(F.slice(F.split(ocp_ver, r"\."), F.lit(1), F.size(named)) == named)
 
 
-def in_scope(pid: Column, base: Column, product_name: Column, ctx: dict[str, Column]) -> Column:
-    """Whether a product id concerns the workload; ``ctx`` has rhel_ver, workload_type, ocp_ver and prefixes."""
+def in_scope(pid: Column, base_majors: Column, product_name: Column, ctx: dict[str, Column]) -> Column:
+    """Whether a product id concerns the workload; ``ctx`` has rhel_ver, workload_type, ocp_ver and prefixes.
+
+    ``base_majors``: the versions of a repository of the operating system itself; empty for other products.
+    """
     platform = F.contains(F.lower(F.coalesce(product_name, F.lit(""))), F.lit("openshift container platform"))
     known = F.exists(ctx["prefixes"], lambda p: F.contains(F.lower(pid), F.lower(p)))
     other = F.when(ctx["workload_type"] == "ocp", platform & ocp_version_covers(product_name, ctx["ocp_ver"])).when(ctx["workload_type"] == "operator", known)
-    return F.coalesce(is_rhel_base(pid, base, ctx["rhel_ver"]) | F.coalesce(other, F.lit(False)), F.lit(False))
+    return F.coalesce(F.array_contains(base_majors, ctx["rhel_ver"]) | F.coalesce(other, F.lit(False)), F.lit(False))
 
 
 def module_guard(is_module: Column, module_version: Column) -> Column:

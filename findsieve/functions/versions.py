@@ -32,10 +32,14 @@ def rpm_key(version: Column) -> Column:
     return F.concat(F.transform(F.regexp_extract_all(version, F.lit(TOKEN), 1), token), F.array(F.lit("1")))
 
 
+def rpm_order(version: Column) -> Column:
+    """Epoch and key as a struct, to compute once for a version and compare often; null if the epoch is no number."""
+    return F.when(rpm_epoch(version).isNotNull(), F.struct(rpm_epoch(version).alias("epoch"), rpm_key(without_epoch(version)).alias("key")))
+
+
 def rpm_at_least(installed: Column, fix: Column) -> Column:
     """Whether ``installed`` is not older than ``fix``; null if an epoch is no number."""
-    a, b = rpm_epoch(installed), rpm_epoch(fix)
-    return F.when(a != b, a > b).when(a == b, rpm_key(without_epoch(installed)) >= rpm_key(without_epoch(fix)))
+    return rpm_order(installed) >= rpm_order(fix)
 
 
 def rhel_major(version: Column) -> Column:

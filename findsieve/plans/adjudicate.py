@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findsieve.functions import images, products, severity, versions
+from findsieve.sources.scratch import materialise
 
 STATUS_ORDER = {"known_not_affected": 0, "known_affected": 1, "fixed": 2, "under_investigation": 3}
 FP, POSITIVE = "FALSE POSITIVE", "POSITIVE"
@@ -44,7 +45,11 @@ def parse_pids(pids: DataFrame, product_names: DataFrame, relationships: DataFra
     base = F.coalesce(F.contains(F.col("product_name"), F.lit("Red Hat Enterprise Linux")), F.lit(False))
     label = F.coalesce("rel_name", "product_name", "parent")
     clears = (F.col("status") == "known_not_affected") | ((F.col("status") == "flag") & F.col("flag_label").isin(*products.NOT_AFFECTED_FLAGS))
-    return df.withColumns({"rhel_base": base, "label": label, "clears": F.coalesce(clears, F.lit(False))})
+    none = F.array().cast("array<string>")
+    return df.withColumns({
+        "rhel_base": base, "label": label, "clears": F.coalesce(clears, F.lit(False)), "base_majors": F.when(base, products.rhel_majors(F.col("pid"))).otherwise(none),
+        "any_majors": products.middleware_majors(F.col("pid")), "fix_order": versions.rpm_order(F.col("fix_ver")), "fix_minor": versions.rhel_minor(F.col("fix_ver")),
+    })
 
 
 def scoped_pids(asked: DataFrame, ctx: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def scoped_pids(asked: DataFrame, ctx: DataFrame, parsed: DataFrame) -> DataFram
     kinds = ctx.select("ctx_id", "rhel_ver", "workload_type", "ocp_ver", "prefixes").dropDuplicates(["ctx_id"])
     pairs = asked.select("cve", "ctx_id").distinct().join(kinds, "ctx_id")
     of = {c: F.col(c) for c in ("rhel_ver", "workload_type", "ocp_ver", "prefixes")}
-    return pairs.join(parsed, "cve").withColumn("in_scope", products.in_scope(F.col("pid"), F.col("rhel_base"), F.col("product_name"), of)).drop("prefixes", "ocp_ver")
+    return pairs.join(parsed, "cve").withColumn("in_scope", products.in_scope(F.col("pid"), F.col("base_majors"), F.col("product_name"), of)).drop("prefixes", "ocp_ver")
 
 
 def _any(cond: Column) -> Column:
@@ -100,25 +105,25 @@ def context_evidence(scoped: DataFrame) -> DataFrame:
 def outside_fixes(scoped: DataFrame, majors: DataFrame) -> DataFrame:
     """Per (cve, ctx_id, row_rhel): labels of fixes on the same RHEL outside the scope."""
     rows = scoped.where("status = 'fixed' AND vuln_idx = 0 AND NOT in_scope").join(majors, ["cve", "ctx_id"])
-    return rows.where(products.is_same_rhel(F.col("pid"), F.col("row_rhel"))).groupBy("cve", "ctx_id", "row_rhel").agg(F.array_sort(F.collect_set("label")).alias("outside_fixes"))
+    return rows.where(F.array_contains("any_majors", F.col("row_rhel"))).groupBy("cve", "ctx_id", "row_rhel").agg(F.array_sort(F.collect_set("label")).alias("outside_fixes"))
 
 
 def package_evidence(questions: DataFrame, scoped: DataFrame, nofix: DataFrame, keep_fix_epoch: bool = False, match_major: bool = False) -> DataFrame:
-    """Per question (qid: cve, ctx_id, component, source, version): evidence from product ids of its package names."""
-    names = questions.withColumn("pkg_name", F.explode(F.array_distinct(F.array_compact(F.array("COMPONENT", "source")))))
+    """Per question (cve, ctx_id, COMPONENT, source, VERSION): evidence from product ids of its package names."""
+    names = questions.withColumn("pkg_name", F.explode(F.array_distinct(F.array("COMPONENT", "source"))))
     barred = nofix.select("cve", "vuln_idx", "pid").distinct().withColumn("no_fix", F.lit(True))
     first = scoped.where("vuln_idx = 0").join(barred, ["cve", "vuln_idx", "pid"], "left")
     rows = names.join(first, ["cve", "ctx_id", "pkg_name"]).where(products.module_guard(F.col("is_module"), F.col("module_version")))
     status, inside, at = F.col("status"), F.col("in_scope"), F.col("pid_idx")
-    fix = F.concat(F.regexp_extract("pid", r"-(\d+):", 1), F.lit(":"), F.col("fix_ver")) if keep_fix_epoch else F.col("fix_ver")
+    fix = versions.rpm_order(F.concat(F.regexp_extract("pid", r"-(\d+):", 1), F.lit(":"), F.col("fix_ver"))) if keep_fix_epoch else F.col("fix_order")
     fixed = inside & (status == "fixed") & F.col("fix_ver").isNotNull()
-    stream = F.coalesce(versions.rhel_minor(F.col("fix_ver")) == F.col("minor"), F.lit(False))
+    stream = F.coalesce(F.col("fix_minor") == F.col("minor"), F.lit(False))
     if match_major:
         stream = stream & (versions.rhel_major(F.col("fix_ver")) == F.col("row_rhel"))
     same = fixed & stream
-    enough = F.coalesce(versions.rpm_at_least(F.col("VERSION"), fix), F.lit(False))
-    near = ~inside & products.is_same_rhel(F.col("pid"), F.col("row_rhel"))
-    return rows.groupBy("qid").agg(
+    enough = F.coalesce(F.col("version_order") >= fix, F.lit(False))
+    near = ~inside & F.array_contains("any_majors", F.col("row_rhel"))
+    return rows.groupBy("cve", "ctx_id", "COMPONENT", "source", "VERSION").agg(
         _any(inside & F.col("clears")).alias("cleared"),
         _first(F.col("fix_ver"), at, fixed).alias("fix_first"),
         _first(F.col("fix_ver"), at, same).alias("fix_same"),
@@ -212,10 +217,12 @@ def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: Dat
     version = F.col("VERSION")
     rows = rows.withColumns({"row_rhel": versions.rhel_major(version), "minor": versions.rhel_minor(version), "module_version": versions.is_module_version(version)})
 
+    rows = rows.withColumn("source", F.coalesce("source", "COMPONENT"))
     key = ["cve", "ctx_id", "COMPONENT", "source", "VERSION"]
-    rows = rows.withColumn("qid", F.sha2(F.to_json(F.struct(*key)), 256))
-    questions = rows.where("row_rhel IS NOT NULL").select("qid", *key, "row_rhel", "minor", "module_version").dropDuplicates(["qid"])
-    scoped = scoped_pids(rows, ctx, parsed)
+    questions = rows.where("row_rhel IS NOT NULL").select(*key, "row_rhel", "minor", "module_version").dropDuplicates(key)
+    questions = questions.withColumn("version_order", versions.rpm_order(version))
+    # Four branches read it; it has a row for each product of a distinct (advisory, context).
+    scoped = materialise(scoped_pids(rows, ctx, parsed), "scoped")
     by_package = package_evidence(questions, scoped, nofix, **options)
     outside = outside_fixes(scoped, questions.select("cve", "ctx_id", "row_rhel").distinct())
     by_workload = workload_evidence(scoped.where("workload_type <> 'ubi'"))
@@ -228,7 +235,7 @@ def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: Dat
     out = out.join(document_evidence(parsed), "cve", "left")
     out = out.join(context_evidence(scoped), ["cve", "ctx_id"], "left").join(plain, ["cve", "ctx_id"], "left").join(exact, ["cve", "ctx_id", "img_sha"], "left")
     out = out.withColumns({"flag_first": F.least("flag_first", "flag_own"), "stated_first": F.least("stated_first", "stated_own")})
-    out = out.join(outside, ["cve", "ctx_id", "row_rhel"], "left").join(by_package, "qid", "left")
+    out = out.join(outside, ["cve", "ctx_id", "row_rhel"], "left").join(by_package, key, "left")
 
     out = out.withColumn("RULE", ladder())
     cleared = F.col("RULE").isin(*FP_RULES) | ((F.col("RULE") == "R4") & F.col("stated_first.status").isin("known_not_affected", "fixed"))

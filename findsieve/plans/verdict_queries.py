@@ -116,9 +116,10 @@ FROM (SELECT v, CASE WHEN contains(v, ':') THEN CAST(split_part(v, ':', 1) AS BI
 JOIN (SELECT fix_ver AS v, 0 AS eb, rkey(fix_ver) AS kb FROM pd WHERE fix_ver IS NOT NULL GROUP BY ALL) b ON regexp_extract(a.v, 'el(\\d+)', 1) = regexp_extract(b.v, 'el(\\d+)', 1) AND regexp_extract(a.v, 'el(\\d+)', 1) <> ''""")
 def rpm_compare(spark, sf):
     el = lambda c: F.nullif(F.regexp_extract(c, r"el(\d+)", 1), F.lit(""))
-    a = fixture(spark, sf, "fx_finding").select(F.col("VERSION").alias("installed")).distinct().withColumn("el", el("installed"))
-    b = parsed_pids(spark, sf).where("fix_ver IS NOT NULL").select(F.col("fix_ver").alias("fix")).distinct().withColumn("el", el("fix"))
-    return a.join(b, "el").select("installed", "fix", versions.rpm_at_least(F.col("installed"), F.col("fix")).alias("at_least"))
+    order = lambda c: versions.rpm_order(F.col(c)).alias(f"{c}_order")
+    a = fixture(spark, sf, "fx_finding").select(F.col("VERSION").alias("installed")).distinct().select("installed", el("installed").alias("el"), order("installed"))
+    b = parsed_pids(spark, sf).where("fix_ver IS NOT NULL").select(F.col("fix_ver").alias("fix")).distinct().select("fix", el("fix").alias("el"), order("fix"))
+    return a.join(b, "el").select("installed", "fix", (F.col("installed_order") >= F.col("fix_order")).alias("at_least"))
 
 
 @query("severity_norm", "SELECT SEVERITY AS code, scanner AS severity, count(*) AS n FROM vd1 GROUP BY ALL")
@@ -179,7 +180,7 @@ def pid_scope(spark, sf):
   OR regexp_matches(pid, '^' || rr || '[A-Za-z]') AS same_rhel FROM (SELECT DISTINCT cve, row_rhel AS rr FROM fi WHERE row_rhel IS NOT NULL) JOIN pd USING (cve)""")
 def pid_same_rhel(spark, sf):
     majors = fixture(spark, sf, "fx_finding").select(F.col("CVE").alias("cve"), versions.rhel_major(F.col("VERSION")).alias("rhel_ver")).where("rhel_ver IS NOT NULL").distinct()
-    return majors.join(parsed_pids(spark, sf), "cve").select("rhel_ver", "pid_idx", "pid", products.is_same_rhel(F.col("pid"), F.col("rhel_ver")).alias("same_rhel"))
+    return majors.join(parsed_pids(spark, sf), "cve").select("rhel_ver", "pid_idx", "pid", F.array_contains("any_majors", F.col("rhel_ver")).alias("same_rhel"))
 
 
 @query("module_guard", "SELECT finding_id, pid_idx, NOT is_module OR modver AS counts FROM fi JOIN pd ON pd.cve = fi.CVE AND pkg_name = COMPONENT")
@@ -265,9 +266,9 @@ def catchall_intersect(spark, sf):
 @query("fix_compare", """SELECT finding_id, pid_idx, coalesce(rkey(regexp_replace(VERSION, '^[^:]*:', '')) >= rkey(fix_ver) OR coalesce(TRY_CAST(split_part(VERSION, ':', 1) AS INT) > 0, false), false) AS met
 FROM fi JOIN pd ON pd.cve = fi.CVE AND pkg_name = COMPONENT WHERE status = 'fixed' AND coalesce(nullif(regexp_extract(fix_ver, '\\.el\\d+_(\\d+)', 1), ''), nullif(regexp_extract(fix_ver, '[.+]el\\d+\\.(\\d+)\\.', 1), '')) = minor""")
 def fix_compare(spark, sf):
-    fixes = parsed_pids(spark, sf).where("status = 'fixed'").select(F.col("cve").alias("CVE"), F.col("pkg_name").alias("COMPONENT"), versions.rhel_minor(F.col("fix_ver")).alias("minor"), "fix_ver", "pid_idx")
-    rows = fixture(spark, sf, "fx_finding").withColumn("minor", versions.rhel_minor(F.col("VERSION")))
-    return rows.join(fixes, ["CVE", "COMPONENT", "minor"]).select("finding_id", "pid_idx", versions.rpm_at_least(F.col("VERSION"), F.col("fix_ver")).alias("met"))
+    fixes = parsed_pids(spark, sf).where("status = 'fixed'").select(F.col("cve").alias("CVE"), F.col("pkg_name").alias("COMPONENT"), F.col("fix_minor").alias("minor"), "fix_order", "pid_idx")
+    rows = fixture(spark, sf, "fx_finding").withColumns({"minor": versions.rhel_minor(F.col("VERSION")), "version_order": versions.rpm_order(F.col("VERSION"))})
+    return rows.join(fixes, ["CVE", "COMPONENT", "minor"]).select("finding_id", "pid_idx", (F.col("version_order") >= F.col("fix_order")).alias("met"))
 
 
 @query("vex_product", """SELECT finding_id, CASE WHEN here THEN display_name ELSE '' END AS product FROM fi
