@@ -143,26 +143,35 @@ def _page_of(record_id: str | None) -> int | None:
     return None if inner == "null" else int(inner)
 
 
+def _record_row(fields: dict[str, str], block: bytes, with_payload: bool) -> tuple:
+    head, _, payload = block.partition(b"\r\n\r\n")
+    kind, size = fields["warc-type"], len(payload)
+    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    if kind == "revisit":
+        size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    whole = kind == "response"
+    return (
+        _page_of(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, size, hashlib.sha1(payload).hexdigest() if whole else stated, stated,
+        _page_of(fields.get("warc-refers-to")), payload if with_payload and whole else None,
+    )
+
+
 def _records(with_payload: bool):
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(NAMES, zip(*rows, strict=True), strict=True)}, schema=ARROW)
+
     def run(batches):
         for batch in batches:
             for cell in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for fields, block in parse_archive(cell.as_buffer().to_pybytes()):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    kind = fields["warc-type"]
-                    stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    size = len(payload)
-                    if kind == "revisit":
-                        size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                    rows.append((
-                        _page_of(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, size,
-                        hashlib.sha1(payload).hexdigest() if kind == "response" else stated, stated,
-                        _page_of(fields.get("warc-refers-to")), payload if with_payload and kind == "response" else None,
-                    ))
-                if not rows:
-                    continue
-                yield pa.RecordBatch.from_pydict({n: list(v) for n, v in zip(NAMES, zip(*rows, strict=True), strict=True)}, schema=ARROW)
+                    rows.append(_record_row(fields, block, with_payload))
+                    held += len(block) if with_payload else 0
+                    if held > 1 << 25:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     return run
 
