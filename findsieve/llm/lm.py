@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table
 
 HELD_OUT = 1
 #: Weight of the unigram prior in a bigram probability, as a number of observations.
@@ -30,7 +32,8 @@ PART_BYTES = 12 << 20
 #: Parts whose n-grams are as many as those that one hash range adds up.
 PARTS_PER_RANGE = 2
 CODES = 256
-END_WORD, START_WORD = b"\x00end", b"\x00start"
+#: Words never hold a space, so these are none.
+END_WORD, START_WORD = b" end", b" start"
 #: Case folding of A-Z only, for bytes.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 PAIR_BYTES = 6
@@ -165,25 +168,8 @@ class Trie:
 # Parts ----------------------------------------------------------------------------------------------------
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _WordHash()
-
-
-def tokens_of(text: bytes | None) -> np.ndarray:
-    """Hashes of the lower-cased words (A-Z only) and of the end."""
-    words = (text or b"").translate(LOWER).split()
-    return np.fromiter(map(_words.__getitem__, [*words, END_WORD]), np.uint64, len(words) + 1)
-
-
 def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """48-bit hash of a word pair."""
+    """48-bit hash of a pair of word hashes."""
     with np.errstate(over="ignore"):
         x = context * np.uint64(0x9E3779B97F4A7C15) ^ word
         x ^= x >> np.uint64(31)
@@ -193,26 +179,50 @@ def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x >> np.uint64(16)
 
 
+def distinct(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values below ``bound`` and the place of each value among them; by one plain sort where 63 bits suffice."""
+    bits = max(1, (len(values) - 1).bit_length())
+    if not len(values) or (bound - 1).bit_length() + bits > 63:
+        return np.unique(values, return_inverse=True)
+    packed = np.sort(values << bits | np.arange(len(values)))
+    ordered = packed >> bits
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    at = np.empty(len(values), np.int64)
+    at[packed & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return ordered[new], at
+
+
 class Part:
-    """The tokens of a part's documents and its distinct words and pairs."""
+    """The tokens of a part's documents and its distinct words and pairs.
+
+    Words are numbered as they come, pairs by context and word.  ``word_order`` and ``pair_order`` sort them by hash, which
+    does not depend on the order of the rows.
+    """
 
     def __init__(self, part: pa.Table):
         self.doc_id = part.column("doc_id")
-        train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        tokens = [tokens_of(t.as_py()) for t in part.column("text")]
-        self.sizes = np.array([len(t) for t in tokens], np.int64)
-        self.train = train
-        flat = np.concatenate(tokens) if tokens else np.empty(0, np.uint64)
-        self.learn = np.repeat(train, self.sizes)
-        starts = np.cumsum(self.sizes) - self.sizes
-        start = np.uint64(xxhash.xxh3_64_intdigest(START_WORD))
-        self.words, self.word_at = np.unique(np.append(flat, start), return_inverse=True)
-        self.start_at = int(self.word_at[-1])
-        self.word_at = self.word_at[:-1]
-        self.context_at = np.empty_like(self.word_at)
-        self.context_at[1:] = self.word_at[:-1]
-        self.context_at[starts] = self.start_at
-        self.pairs, self.pair_at = np.unique(pair_hash(self.words[self.context_at], self.words[self.word_at]), return_inverse=True)
+        self.train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        self.start_at, end = number[START_WORD], number[END_WORD]
+        docs = []
+        for cell in part.column("text"):
+            words = (cell.as_py() or b"").translate(LOWER).split()
+            codes = np.empty(len(words) + 1, np.int64)
+            codes[:-1] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            codes[-1] = end
+            docs.append(codes)
+        self.sizes = np.array([len(x) for x in docs], np.int64)
+        self.word_at = np.concatenate(docs) if docs else np.empty(0, np.int64)
+        self.learn = np.repeat(self.train, self.sizes)
+        self.words = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
+        context = np.empty_like(self.word_at)
+        context[1:] = self.word_at[:-1]
+        context[np.cumsum(self.sizes) - self.sizes] = self.start_at
+        n = len(self.words)
+        pairs, self.pair_at = distinct(context * n + self.word_at, n * n)
+        self.context, self.word = pairs // n, pairs % n
+        self.pairs = pair_hash(self.words[self.context], self.words[self.word])
+        self.word_order, self.pair_order = np.argsort(self.words), np.argsort(self.pairs)
 
     def own_counts(self) -> tuple[np.ndarray, np.ndarray]:
         words = np.bincount(self.word_at[self.learn], minlength=len(self.words))
@@ -258,13 +268,15 @@ def _ask(n_ranges: int):
     def run(part: pa.Table) -> pa.Table:
         p = Part(part)
         words, pairs = p.own_counts()
-        w = [0, *_ranges(p.words, 64, n_ranges).tolist(), len(p.words)]
-        b = [0, *_ranges(p.pairs, 48, n_ranges).tolist(), len(p.pairs)]
+        word_keys, words = p.words[p.word_order], words[p.word_order]
+        pair_keys, pairs = p.pairs[p.pair_order], pairs[p.pair_order]
+        w = [0, *_ranges(word_keys, 64, n_ranges).tolist(), len(word_keys)]
+        b = [0, *_ranges(pair_keys, 48, n_ranges).tolist(), len(pair_keys)]
         key = part.column("part")[0].as_py()
         rows = [
             {
-                "part": key, "range": r, "words": p.words[w[r] : w[r + 1]].tobytes(), "word_counts": _small(words[w[r] : w[r + 1]]),
-                "pairs": _pack_pairs(p.pairs[b[r] : b[r + 1]]), "pair_counts": _small(pairs[b[r] : b[r + 1]]),
+                "part": key, "range": r, "words": word_keys[w[r] : w[r + 1]].tobytes(), "word_counts": _small(words[w[r] : w[r + 1]]),
+                "pairs": _pack_pairs(pair_keys[b[r] : b[r + 1]]), "pair_counts": _small(pairs[b[r] : b[r + 1]]),
             }
             for r in range(n_ranges)
         ]
@@ -279,15 +291,15 @@ def _tell(asked: pa.Table) -> pa.Table:
 
     def sums(keys: list[np.ndarray], counts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         flat = np.concatenate(keys)
-        distinct, at = np.unique(flat, return_inverse=True)
-        total = np.bincount(at, np.concatenate([_unsmall(c, len(k)) for k, c in zip(keys, counts, strict=True)]), len(distinct)).astype(np.int64)
+        known, at = np.unique(flat, return_inverse=True)
+        total = np.bincount(at, np.concatenate([_unsmall(c, len(k)) for k, c in zip(keys, counts, strict=True)]), len(known)).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
-        return [_small(total[at[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)], distinct, total
+        return [_small(total[at[e - len(k) : e]]) for k, e in zip(keys, ends, strict=True)], known, total
 
     words = [np.frombuffer(x, np.uint64) for x in asked.column("words").to_pylist()]
-    word_sums, distinct, total = sums(words, asked.column("word_counts").to_pylist())
+    word_sums, known, total = sums(words, asked.column("word_counts").to_pylist())
     pair_sums, _, _ = sums([_unpack_pairs(x) for x in asked.column("pairs").to_pylist()], asked.column("pair_counts").to_pylist())
-    real = (distinct != start) & (total > 0)
+    real = (known != start) & (total > 0)
     return pa.table({
         "part": asked.column("part"), "range": asked.column("range"), "word_sums": pa.array(word_sums, pa.binary()), "pair_sums": pa.array(pair_sums, pa.binary()),
         "n_words": np.full(len(words), total[real].sum(), np.int64), "n_distinct": np.full(len(words), real.sum(), np.int64),
@@ -303,47 +315,43 @@ def _score(n_ranges: int, prior: float):
             return pa.table({n.split()[0]: pa.array([], pa.int64() if "long" in n else pa.float64()) for n in SCORE_DDL.split(", ")})
         p = Part(part)
         told = told.sort_by("range")
-        w = np.diff([0, *_ranges(p.words, 64, n_ranges).tolist(), len(p.words)])
-        b = np.diff([0, *_ranges(p.pairs, 48, n_ranges).tolist(), len(p.pairs)])
-        words = np.concatenate([_unsmall(x, n) for x, n in zip(told.column("word_sums").to_pylist(), w, strict=True)])
-        pairs = np.concatenate([_unsmall(x, n) for x, n in zip(told.column("pair_sums").to_pylist(), b, strict=True)])
-        total, distinct = sum(told.column("n_words").to_pylist()), sum(told.column("n_distinct").to_pylist())
-        return pa.table(score_part(p, words, pairs, total, distinct, prior))
+        w = np.diff([0, *_ranges(p.words[p.word_order], 64, n_ranges).tolist(), len(p.words)])
+        b = np.diff([0, *_ranges(p.pairs[p.pair_order], 48, n_ranges).tolist(), len(p.pairs)])
+        words, pairs = np.empty(len(p.words), np.int64), np.empty(len(p.pairs), np.int64)
+        words[p.word_order] = np.concatenate([_unsmall(x, n) for x, n in zip(told.column("word_sums").to_pylist(), w, strict=True)])
+        pairs[p.pair_order] = np.concatenate([_unsmall(x, n) for x, n in zip(told.column("pair_sums").to_pylist(), b, strict=True)])
+        total, n_distinct = sum(told.column("n_words").to_pylist()), sum(told.column("n_distinct").to_pylist())
+        return pa.table(score_part(p, words, pairs, total, n_distinct, prior))
 
     return run
 
 
-def score_part(p: Part, words: np.ndarray, pairs: np.ndarray, total: int, distinct: int, prior: float, folder: str | None = None) -> dict[str, np.ndarray]:
+def score_part(p: Part, words: np.ndarray, pairs: np.ndarray, total: int, n_distinct: int, prior: float, folder: str | None = None) -> dict[str, np.ndarray]:
     """Score a part's documents, given the corpus counts of its words and pairs."""
     counts = words.copy()
     counts[p.start_at] = 0
-    uni = (counts + 0.5) / (total + 0.5 * (distinct + 1))
+    uni = (counts + 0.5) / (total + 0.5 * (n_distinct + 1))
     log_uni = np.log10(uni)
-    # The pairs of the part that were seen in training, by context and word.
-    first = np.zeros(len(p.pairs), np.int64)
-    first[p.pair_at[::-1]] = np.arange(len(p.pair_at))[::-1]
     seen = np.flatnonzero(pairs > 0)
-    context, word = p.context_at[first[seen]].astype(np.int64), p.word_at[first[seen]].astype(np.int64)
-    order = np.lexsort((word, context))
-    context, word, seen = context[order], word[order], seen[order]
-    logs = np.log10((pairs[seen] + prior * uni[word]) / (words[context] + prior))
-    trie = Trie(context, word, logs, len(p.words), folder or tempfile.gettempdir())
+    logs = np.log10((pairs[seen] + prior * uni[p.word[seen]]) / (words[p.context[seen]] + prior))
+    trie = Trie(p.context[seen], p.word[seen], logs, len(p.words), folder or tempfile.gettempdir())
     code, value = quantise(log_uni)
     backoff = np.log10(prior / (words + prior))
-    out = np.empty(len(p.word_at))
+    # Each distinct pair is looked up once, by context, so that neighbours in the trie follow each other.
+    of_pair = np.empty(len(p.pairs))
     step = 1 << 18
-    for a in range(0, len(out), step):
-        c, x = p.context_at[a : a + step].astype(np.int64), p.word_at[a : a + step].astype(np.int64)
+    for a in range(0, len(of_pair), step):
+        c, x = p.context[a : a + step], p.word[a : a + step]
         has, found = trie.lookup(c, x)
         part = backoff[c] + value[code[x]]
         part[has] = found
-        out[a : a + step] = part
+        of_pair[a : a + step] = part
     trie.close()
     doc = np.repeat(np.arange(len(p.sizes)), p.sizes)
     add = lambda x: np.bincount(doc, x, len(p.sizes))
     return {
         "doc_id": p.doc_id, "n_tokens": p.sizes, "n_known": add(counts[p.word_at] > 0).astype(np.int64),
-        "train_tokens": np.full(len(p.sizes), total, np.int64), "base_score": add(log_uni[p.word_at]), "score": add(out),
+        "train_tokens": np.full(len(p.sizes), total, np.int64), "base_score": add(log_uni[p.word_at]), "score": add(of_pair[p.pair_at]),
     }
 
 
@@ -364,7 +372,7 @@ def lm_scores(docs: DataFrame, held_out_remainder: int | None = HELD_OUT, prior:
     part = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")
     rows = docs.select(part.alias("part"), F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), text.alias("text"))
     asked = rows.groupBy("part").applyInArrow(_ask(ranges), ASK_DDL)
-    told = cut(asked.groupBy("range").applyInArrow(_tell, TOLD_DDL), "lm-counts")
+    told = asked.groupBy("range").applyInArrow(_tell, TOLD_DDL)
     return rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_score(ranges, prior), SCORE_DDL)
 
 
