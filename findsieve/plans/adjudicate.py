@@ -16,6 +16,8 @@ from findsieve.sources.scratch import materialise
 STATUS_ORDER = {"known_not_affected": 0, "known_affected": 1, "fixed": 2, "under_investigation": 3}
 FP, POSITIVE = "FALSE POSITIVE", "POSITIVE"
 CTX = ["rhel_ver", "workload_type", "ocp_ver", "image_ns", "image_name", "display_name"]
+#: What decides a finding's evidence, but for its exact version and image digest.
+QUESTION = ["cve", "ctx_id", "COMPONENT", "source", "row_rhel", "module_version"]
 FP_RULES = ("R1", "R2", "R3", "R6", "R9", "R10b", "R13", "R15")
 
 
@@ -108,27 +110,23 @@ def outside_fixes(scoped: DataFrame, majors: DataFrame) -> DataFrame:
     return rows.where(F.array_contains("any_majors", F.col("row_rhel"))).groupBy("cve", "ctx_id", "row_rhel").agg(F.array_sort(F.collect_set("label")).alias("outside_fixes"))
 
 
-def package_evidence(questions: DataFrame, scoped: DataFrame, nofix: DataFrame, keep_fix_epoch: bool = False, match_major: bool = False) -> DataFrame:
-    """Per question (cve, ctx_id, COMPONENT, source, VERSION): evidence from product ids of its package names."""
-    names = questions.withColumn("pkg_name", F.explode(F.array_distinct(F.array("COMPONENT", "source"))))
+def package_evidence(questions: DataFrame, scoped: DataFrame, nofix: DataFrame, keep_fix_epoch: bool = False) -> DataFrame:
+    """Per question (QUESTION columns): evidence from product ids of its package names.
+
+    ``fixes`` are the fixed versions in scope, in document order; everything else about a version is settled by its
+    RHEL version and whether it belongs to a module, so findings of many versions share a question.
+    """
+    names = questions.where("row_rhel <> ''").withColumn("pkg_name", F.explode(F.array_distinct(F.array("COMPONENT", "source"))))
     barred = nofix.select("cve", "vuln_idx", "pid").distinct().withColumn("no_fix", F.lit(True))
-    first = scoped.where("vuln_idx = 0").join(barred, ["cve", "vuln_idx", "pid"], "left")
+    first = scoped.where("vuln_idx = 0 AND pkg_name IS NOT NULL").join(barred, ["cve", "vuln_idx", "pid"], "left")
     rows = names.join(first, ["cve", "ctx_id", "pkg_name"]).where(products.module_guard(F.col("is_module"), F.col("module_version")))
     status, inside, at = F.col("status"), F.col("in_scope"), F.col("pid_idx")
-    fix = versions.rpm_order(F.concat(F.regexp_extract("pid", r"-(\d+):", 1), F.lit(":"), F.col("fix_ver"))) if keep_fix_epoch else F.col("fix_order")
-    fixed = inside & (status == "fixed") & F.col("fix_ver").isNotNull()
-    stream = F.coalesce(F.col("fix_minor") == F.col("minor"), F.lit(False))
-    if match_major:
-        stream = stream & (versions.rhel_major(F.col("fix_ver")) == F.col("row_rhel"))
-    same = fixed & stream
-    enough = F.coalesce(F.col("version_order") >= fix, F.lit(False))
+    order = versions.rpm_order(F.concat(F.regexp_extract("pid", r"-(\d+):", 1), F.lit(":"), F.col("fix_ver"))) if keep_fix_epoch else F.col("fix_order")
+    fix = F.struct("pid_idx", "fix_ver", F.col("fix_minor").alias("minor"), versions.rhel_major(F.col("fix_ver")).alias("major"), order.alias("order"))
     near = ~inside & F.array_contains("any_majors", F.col("row_rhel"))
-    return rows.groupBy("cve", "ctx_id", "COMPONENT", "source", "VERSION").agg(
+    return rows.groupBy(*QUESTION).agg(
         _any(inside & F.col("clears")).alias("cleared"),
-        _first(F.col("fix_ver"), at, fixed).alias("fix_first"),
-        _first(F.col("fix_ver"), at, same).alias("fix_same"),
-        _first(F.col("fix_ver"), at, fixed & enough).alias("fix_met"),
-        _first(F.col("fix_ver"), at, same & enough).alias("fix_same_met"),
+        F.array_sort(F.collect_set(F.when(inside & (status == "fixed") & F.col("fix_ver").isNotNull(), fix))).alias("fixes"),
         _first(F.coalesce("no_fix", F.lit(False)), at, inside & (status == "known_affected")).alias("affected_no_fix"),
         _labels(near & status.isin("known_affected", "fixed")).alias("near_affected"),
         _labels(near & (status == "known_not_affected")).alias("near_safe"),
@@ -136,9 +134,21 @@ def package_evidence(questions: DataFrame, scoped: DataFrame, nofix: DataFrame,
     )
 
 
+def with_fixes(rows: DataFrame, match_major: bool = False) -> DataFrame:
+    """fix_first, fix_same, fix_met and fix_same_met of a finding: the first fix, also of its stream, also not newer than what is installed."""
+    rows = rows.withColumn("version_order", F.when(F.size("fixes") > 0, versions.rpm_order(F.col("VERSION"))))
+    same = lambda f: F.coalesce(f["minor"] == F.col("minor"), F.lit(False)) & ((f["major"] == F.col("row_rhel")) if match_major else F.lit(True))
+    met = lambda f: F.coalesce(F.col("version_order") >= f["order"], F.lit(False))
+    first = lambda c: F.get(c, 0)["fix_ver"]
+    rows = rows.withColumns({"same_fixes": F.filter("fixes", same), "met_fixes": F.filter("fixes", met)})
+    return rows.withColumns({
+        "fix_first": first(F.col("fixes")), "fix_same": first(F.col("same_fixes")), "fix_met": first(F.col("met_fixes")), "fix_same_met": first(F.filter("met_fixes", same)),
+    })
+
+
 def ladder() -> Column:
     """The first rule that fits, in order."""
-    rpm, has = F.col("row_rhel").isNotNull(), lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    rpm, has = F.col("row_rhel") != "", lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
     affected, fixed, clear, open_ = (has(F.col(f"lbl_{x}")) for x in ("affected", "fixed", "not_affected", "investigating"))
     compared = F.when(F.col("minor").isNotNull(), F.col("fix_same_met")).otherwise(F.col("fix_met"))
     steps = [
@@ -201,11 +211,12 @@ def sentence() -> Column:
     return out.otherwise(F.concat(comp, F.lit(" is not tracked in this advisory")))
 
 
-def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame, nofix: DataFrame, src_map: DataFrame | None = None, **options) -> DataFrame:
+def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame, nofix: DataFrame, src_map: DataFrame | None = None, keep_fix_epoch: bool = False, match_major: bool = False) -> DataFrame:
     """``findings`` (finding_id, IMAGE, COMPONENT, VERSION, CVE, SEVERITY, ...) with verdict, rule, fix, reason and severities.
 
     ``docs``: cve, n_vulns and the severity parts; ``parsed``: ``parse_pids``; ``nofix``: cve, vuln_idx, pid; ``src_map``:
-    image, binary, source.  Every finding gets one row.
+    image, binary, source.  Every finding gets one row.  ``keep_fix_epoch`` compares fixes with their epoch; ``match_major`` asks
+    that a fix's stream be of the same RHEL major version too.
     """
     rows = findings.withColumn("CVE", F.upper(F.trim("CVE"))).withColumnRenamed("CVE", "cve")
     rows = rows.join(ctx.select("IMAGE", "ctx_id", "img_sha", "workload_type", "rhel_ver", "display_name"), "IMAGE")
@@ -217,25 +228,25 @@ def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: Dat
     version = F.col("VERSION")
     rows = rows.withColumns({"row_rhel": versions.rhel_major(version), "minor": versions.rhel_minor(version), "module_version": versions.is_module_version(version)})
 
-    rows = rows.withColumn("source", F.coalesce("source", "COMPONENT"))
-    key = ["cve", "ctx_id", "COMPONENT", "source", "VERSION"]
-    questions = rows.where("row_rhel IS NOT NULL").select(*key, "row_rhel", "minor", "module_version").dropDuplicates(key)
-    questions = questions.withColumn("version_order", versions.rpm_order(version))
-    # Four branches read it; it has a row for each product of a distinct (advisory, context).
-    scoped = materialise(scoped_pids(rows, ctx, parsed), "scoped")
-    by_package = package_evidence(questions, scoped, nofix, **options)
-    outside = outside_fixes(scoped, questions.select("cve", "ctx_id", "row_rhel").distinct())
+    rows = rows.withColumns({"source": F.coalesce("source", "COMPONENT"), "row_rhel": F.coalesce("row_rhel", F.lit(""))})
+    questions = materialise(rows.select(*QUESTION).distinct(), "questions")
+    # Several branches read the scope; it has a row for each product of a distinct (advisory, context).
+    scoped = materialise(scoped_pids(questions, ctx, parsed), "scoped")
     by_workload = workload_evidence(scoped.where("workload_type <> 'ubi'"))
     plain = by_workload.where("pid_sha IS NULL").drop("pid_sha")
+    outside = outside_fixes(scoped, questions.where("row_rhel <> ''").select("cve", "ctx_id", "row_rhel").distinct())
+    known = docs.select("cve", "n_vulns", "impact", "aggregate_severity", "cvss_severity").withColumn("has_doc", F.lit(True))
+
+    # All evidence meets at the questions, which are few; the findings are joined once.
+    evidence = questions.join(known, "cve", "left").join(document_evidence(parsed), "cve", "left")
+    evidence = evidence.join(context_evidence(scoped), ["cve", "ctx_id"], "left").join(plain, ["cve", "ctx_id"], "left")
+    evidence = evidence.join(outside, ["cve", "ctx_id", "row_rhel"], "left").join(package_evidence(questions, scoped, nofix, keep_fix_epoch), QUESTION, "left")
+    out = rows.join(evidence, QUESTION)
     # Product ids that name an image count for that image alone.
     exact = by_workload.where("pid_sha IS NOT NULL").select("cve", "ctx_id", F.col("pid_sha").alias("img_sha"), F.col("flag_first").alias("flag_own"), F.col("stated_first").alias("stated_own"))
-
-    known = docs.select("cve", "n_vulns", "impact", "aggregate_severity", "cvss_severity").withColumn("has_doc", F.lit(True))
-    out = rows.join(known, "cve", "left").withColumn("has_doc", F.coalesce("has_doc", F.lit(False)))
-    out = out.join(document_evidence(parsed), "cve", "left")
-    out = out.join(context_evidence(scoped), ["cve", "ctx_id"], "left").join(plain, ["cve", "ctx_id"], "left").join(exact, ["cve", "ctx_id", "img_sha"], "left")
-    out = out.withColumns({"flag_first": F.least("flag_first", "flag_own"), "stated_first": F.least("stated_first", "stated_own")})
-    out = out.join(outside, ["cve", "ctx_id", "row_rhel"], "left").join(by_package, key, "left")
+    out = out.join(exact, ["cve", "ctx_id", "img_sha"], "left")
+    out = out.withColumns({"flag_first": F.least("flag_first", "flag_own"), "stated_first": F.least("stated_first", "stated_own"), "has_doc": F.coalesce("has_doc", F.lit(False))})
+    out = with_fixes(out.withColumn("fixes", F.coalesce("fixes", F.array().cast(out.schema["fixes"].dataType))), match_major)
 
     out = out.withColumn("RULE", ladder())
     cleared = F.col("RULE").isin(*FP_RULES) | ((F.col("RULE") == "R4") & F.col("stated_first.status").isin("known_not_affected", "fixed"))
