@@ -136,11 +136,12 @@ def package_evidence(questions: DataFrame, scoped: DataFrame, nofix: DataFrame,
 
 def with_fixes(rows: DataFrame, match_major: bool = False) -> DataFrame:
     """fix_first, fix_same, fix_met and fix_same_met of a finding: the first fix, also of its stream, also not newer than what is installed."""
-    rows = rows.withColumn("version_order", F.when(F.size("fixes") > 0, versions.rpm_order(F.col("VERSION"))))
     same = lambda f: F.coalesce(f["minor"] == F.col("minor"), F.lit(False)) & ((f["major"] == F.col("row_rhel")) if match_major else F.lit(True))
-    met = lambda f: F.coalesce(F.col("version_order") >= f["order"], F.lit(False))
+    # The order of the installed version is a lambda variable, so that it is computed once and not for each fix.
+    met = lambda order: F.filter("fixes", lambda f: F.coalesce(order >= f["order"], F.lit(False)))
+    met_fixes = F.when(F.size("fixes") > 0, F.element_at(F.transform(F.array(versions.rpm_order(F.col("VERSION"))), met), 1)).otherwise(F.col("fixes"))
     first = lambda c: F.get(c, 0)["fix_ver"]
-    rows = rows.withColumns({"same_fixes": F.filter("fixes", same), "met_fixes": F.filter("fixes", met)})
+    rows = rows.withColumns({"same_fixes": F.filter("fixes", same), "met_fixes": met_fixes})
     return rows.withColumns({
         "fix_first": first(F.col("fixes")), "fix_same": first(F.col("same_fixes")), "fix_met": first(F.col("met_fixes")), "fix_same_met": first(F.filter("met_fixes", same)),
     })
@@ -231,17 +232,18 @@ def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: Dat
     rows = rows.withColumns({"source": F.coalesce("source", "COMPONENT"), "row_rhel": F.coalesce("row_rhel", F.lit(""))})
     questions = materialise(rows.select(*QUESTION).distinct(), "questions")
     # Several branches read the scope; it has a row for each product of a distinct (advisory, context).
+    parsed = materialise(parsed, "products")
     scoped = materialise(scoped_pids(questions, ctx, parsed), "scoped")
     by_workload = workload_evidence(scoped.where("workload_type <> 'ubi'"))
     plain = by_workload.where("pid_sha IS NULL").drop("pid_sha")
     outside = outside_fixes(scoped, questions.where("row_rhel <> ''").select("cve", "ctx_id", "row_rhel").distinct())
     known = docs.select("cve", "n_vulns", "impact", "aggregate_severity", "cvss_severity").withColumn("has_doc", F.lit(True))
 
-    # All evidence meets at the questions, which are few; the findings are joined once.
+    # All evidence meets at the questions, which are few, in a job of its own; the findings are joined once.
     evidence = questions.join(known, "cve", "left").join(document_evidence(parsed), "cve", "left")
     evidence = evidence.join(context_evidence(scoped), ["cve", "ctx_id"], "left").join(plain, ["cve", "ctx_id"], "left")
     evidence = evidence.join(outside, ["cve", "ctx_id", "row_rhel"], "left").join(package_evidence(questions, scoped, nofix, keep_fix_epoch), QUESTION, "left")
-    out = rows.join(evidence, QUESTION)
+    out = rows.join(materialise(evidence, "evidence"), QUESTION)
     # Product ids that name an image count for that image alone.
     exact = by_workload.where("pid_sha IS NOT NULL").select("cve", "ctx_id", F.col("pid_sha").alias("img_sha"), F.col("flag_first").alias("flag_own"), F.col("stated_first").alias("stated_own"))
     out = out.join(exact, ["cve", "ctx_id", "img_sha"], "left")

@@ -105,6 +105,17 @@ def _needs(name: str) -> list[str]:
     return [*out, name]
 
 
+_read: dict[tuple[str, str], DataFrame] = {}
+
+
+def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A star table; its schema is read once in a session."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _read:
+        _read[key] = spark.read.parquet(key[1])
+    return _read[key]
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table as a DataFrame over the tables in ``sf_dir``."""
     made: dict[str, DataFrame] = {}
@@ -116,7 +127,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                 text = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 {{{x}}}", text)
             made[view] = spark.sql(text, **used)
         else:
-            made[view] = spark.read.parquet(f"{sf_dir}/{view}.parquet")
+            made[view] = star_table(spark, sf_dir, view)
     return made[name]
 
 
