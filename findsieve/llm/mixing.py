@@ -24,7 +24,7 @@ BUDGET_SHARE = 1.0
 MAX_EPOCHS = 4
 SEED = 17
 #: A leaf's last epoch is dealt into groups of about so many documents by hash; only sums of groups are added up by leaf.
-GROUP_DOCS = 4096
+GROUP_DOCS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
