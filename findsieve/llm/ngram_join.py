@@ -49,7 +49,7 @@ def node_of(text: Column) -> Column:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
