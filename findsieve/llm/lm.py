@@ -4,7 +4,7 @@ Documents are dealt into parts by a hash of their id.  A part lists its distinct
 range and sent, packed, to the ranges, which add up the counts of all parts and send back the sums in the order
 asked.  Every part then builds the trie of its own n-grams with the counts of the whole corpus: words on
 the first level, for each the words that follow it on the second.  Pointers and successors are monotone Elias-Fano sequences,
-probabilities are codes of 8 bits, and all lie in one memory-mapped file.  A pair is looked up by the
+probabilities are codes of 8 bits, whose values are one codebook of the corpus, and all lie in one memory-mapped file.  A pair is looked up by the
 successor search in the range of its context, whose word numbers are relative to the context's base.
 """
 
@@ -107,29 +107,32 @@ class EliasFano:
         return np.where(inside, at, self.n)
 
 
-def quantise(logs: np.ndarray, codes: int = CODES) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of at most 8 bits and their values: bins of equally many numbers, each valued at its mean."""
-    if not len(logs):
-        return np.empty(0, np.uint8), np.zeros(1)
-    edges = np.unique(np.quantile(logs, np.linspace(0, 1, codes + 1)[1:-1]))
-    code = np.searchsorted(edges, logs, "right").astype(np.uint8)
-    total = np.bincount(code, logs, len(edges) + 1)
-    count = np.bincount(code, minlength=len(edges) + 1)
-    return code, np.divide(total, count, out=np.zeros(len(total)), where=count > 0)
+def codebook(total: int, n_distinct: int, prior: float) -> np.ndarray:
+    """The values of the 8-bit codes: evenly spaced from the least log10 probability that the corpus allows up to 0.
+
+    They depend on sums over the corpus alone, so every part has the same, and no value is off by more than half a step.
+    """
+    least = min(math.log10(0.5 / (total + 0.5 * (n_distinct + 1))), -math.log10(total + prior + 1))
+    return np.linspace(least, 0.0, CODES)
+
+
+def quantise(logs: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The codes of the nearest ``values``."""
+    return np.clip(np.rint((logs - values[0]) / (values[1] - values[0])), 0, CODES - 1).astype(np.uint8)
 
 
 class Trie:
     """Words 0..n-1 and, for each, the words that may follow it, in one memory-mapped file."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, logs: np.ndarray, n_words: int, folder: str):
-        """``context``, ``word``: the pairs, sorted; ``logs``: their log10 probabilities."""
+    def __init__(self, context: np.ndarray, word: np.ndarray, logs: np.ndarray, values: np.ndarray, n_words: int, folder: str):
+        """``context``, ``word``: the pairs, sorted; ``logs``: their log10 probabilities; ``values``: those of the codes."""
         n = len(context)
         pointers = np.searchsorted(context, np.arange(n_words + 1))
         last = np.zeros(n_words, np.int64)
         filled = np.flatnonzero(pointers[1:] > pointers[:-1])
         last[filled] = word[pointers[filled + 1] - 1] + 1
         base = np.concatenate([[0], np.cumsum(last)])
-        code, values = quantise(logs)
+        code = quantise(logs, values)
         pieces = {
             "ptr": EliasFano.encode(pointers, n + 1),
             "base": EliasFano.encode(base, int(base[-1]) + 1),
@@ -334,8 +337,9 @@ def score_part(p: Part, words: np.ndarray, pairs: np.ndarray, total: int, n_dist
     log_uni = np.log10(uni)
     seen = np.flatnonzero(pairs > 0)
     logs = np.log10((pairs[seen] + prior * uni[p.word[seen]]) / (words[p.context[seen]] + prior))
-    trie = Trie(p.context[seen], p.word[seen], logs, len(p.words), folder or tempfile.gettempdir())
-    code, value = quantise(log_uni)
+    value = codebook(total, n_distinct, prior)
+    trie = Trie(p.context[seen], p.word[seen], logs, value, len(p.words), folder or tempfile.gettempdir())
+    code = quantise(log_uni, value)
     backoff = np.log10(prior / (words + prior))
     # Each distinct pair is looked up once, by context, so that neighbours in the trie follow each other.
     of_pair = np.empty(len(p.pairs))

@@ -456,6 +456,22 @@ def test_lm_scores(spark, size):
         assert min(abs(r["score"] / r["n_tokens"] - x) for x in exact[r["doc_id"]]) < 0.15
 
 
+def test_lm_scores_do_not_depend_on_parts(spark):
+    rng = np.random.default_rng(12)
+    copies = "the same words of a copy and the same again"
+    rows = [(i, copies if i % 3 == 0 else " ".join(rng.choice(WORDS[:60], 30))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r["doc_id"]: (r["n_tokens"], r["base_score"], r["score"]) for r in lm.lm_scores(df, part_bytes=size).collect()} for size in (1 << 30, 1500))
+    assert one == many and len(one) == 120
+    assert len({many[i] for i in range(0, 120, 3)}) == 1
+
+
+def test_codes_are_near():
+    values = lm.codebook(10**9, 10**7, lm.PRIOR)
+    logs = np.r_[np.log10(1 / (10**9 + lm.PRIOR)), np.linspace(-9, 0, 1000)]
+    assert len(values) == 256 and np.abs(values[lm.quantise(logs, values)] - logs).max() < 0.02
+
+
 def test_lm_empty(empty):
     assert lm.lm_scores(empty).count() == 0
 
