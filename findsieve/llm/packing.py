@@ -31,11 +31,13 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class _WordIds(dict):
-    """Token ids, as little-endian bytes, of a space and the word that follows it."""
+    """Token ids, as little-endian bytes, of a space and the word that follows it; ``added``: those of added tokens."""
 
-    def __init__(self, encode_ids):
+    def __init__(self, encode_ids, added: dict[str, int]):
         super().__init__()
         self.encode_ids = encode_ids
+        self.added = {k: np.array([i], "<u4").tobytes() for k, i in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def encode(self, text: str) -> bytes:
         return np.array(self.encode_ids(text), "<u4").tobytes()
@@ -64,7 +66,7 @@ def word_ids(vocabulary: str) -> _WordIds:
 
     The file is read by ``tokenizers``.  Its tokens are in the order of their merges, so ``tiktoken`` gives the same ids
     from the same vocabulary and is several times faster for single words; the tests hold the two against each other.
-    Strings of special tokens in a text are ordinary text.
+    Strings of added tokens are left to ``encode_document``.  Added tokens must be plain: taken as they stand, wherever.
     """
     if vocabulary not in _caches:
         import os
@@ -76,9 +78,12 @@ def word_ids(vocabulary: str) -> _WordIds:
         tokenizer = Tokenizer.from_file(vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary))
         values = byte_values()
         ranks = {bytes(values[c] for c in token): i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in values for c in token)}
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        ranks = {k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in special}
-        _caches[vocabulary] = _WordIds(tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+        added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"added tokens of {vocabulary} take in or need what stands around them")
+        ranks = {k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in added}
+        encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _caches[vocabulary] = _WordIds(encoding.encode_ordinary, added)
     return _caches[vocabulary]
 
 
@@ -87,7 +92,7 @@ _WIDE_SPACE = re.compile(r" \s")
 
 
 def encode_text(text: str, ids: _WordIds) -> bytes:
-    """Token ids of ``text`` as little-endian 32-bit integers.
+    """Token ids of ``text``, a stretch without added tokens, as little-endian 32-bit integers.
 
     The tokenizer never joins characters across a space that a non-space follows, so texts are cut there and each part
     is looked up with its space.  A part that starts with other white space stays with the one before it.
@@ -107,6 +112,13 @@ def encode_text(text: str, ids: _WordIds) -> bytes:
     return (ids.encode(first) if first else b"") + b"".join(map(ids.__getitem__, parts[1:]))
 
 
+def encode_document(text: str, ids: _WordIds) -> bytes:
+    """Token ids of ``text`` as the tokenizer gives them: added tokens in it are single ids, the stretches between are encoded alone."""
+    if not ids.split or not ids.split.search(text):
+        return encode_text(text, ids)
+    return b"".join(ids.added[x] if x in ids.added else encode_text(x, ids) for x in ids.split.split(text) if x)
+
+
 def piece_lengths(n: int, capacity: int) -> list[int]:
     """Lengths of the pieces of ``n`` tokens: all are full but the first."""
     rest = n % capacity or capacity
@@ -121,7 +133,7 @@ def _cut_pieces(vocabulary: str, capacity: int, separator: int, with_ids: bool):
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = encode_text(text.as_py() or "", ids) + end
+                data = encode_document(text.as_py() or "", ids) + end
                 at = 0
                 for piece, length in enumerate(piece_lengths(len(data) // 4, capacity)):
                     part = data[4 * at : 4 * (at + length)]

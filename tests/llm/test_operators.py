@@ -124,6 +124,23 @@ def test_word_encoder_is_the_tokenizer():
         assert packing.encode_text(text, ids) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_added_tokens_in_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    want = lambda t: tok.encode(t, add_special_tokens=False).ids
+    assert want("a<|endoftext|>b") == [64, 50256, 65]
+    ids = packing.word_ids(packing.VOCABULARY)
+    rng = np.random.default_rng(1)
+    pieces = [" ", "  ", "\n", "\t", "a", "Bc", "'s", "1", ".", "\u00a0", "é", "漢", "<|endoftext|>", "<|endoftext|>", "<|", "|>", "<|endoftext"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces, rng.integers(0, 12)))
+        assert packing.encode_document(text, ids) == np.array(want(text), "<u4").tobytes(), repr(text)
+    got = packing.pack(spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string"), with_ids=True).collect()
+    assert [r["ids"] for r in got] == [[64, 50256, 65, 0]]
+
+
 def fullest(counts, capacity):
     """The best fill of one bin with the longest piece, by trying all sums."""
     lengths = sorted(counts, reverse=True)
