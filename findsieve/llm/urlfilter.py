@@ -2,7 +2,9 @@
 
 Rules decide the urls they fit.  The rest is decided by host: trust flows along links from hosts whose pages
 the allow rules took, distrust flows against links from hosts whose pages the block rules took (a page that
-links to a blocked host is suspect), both as personalised PageRank over distinct host edges.
+links to a blocked host is suspect), both as personalised PageRank over distinct host edges, iterated until it stands.
+A host's margin is that of its own pages (share blocked less share allowed) plus that of what links brought it
+(distrust less trust over both), which does not depend on how many hosts share what they get.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
+#: Rounds of the oracle.
 ROUNDS = 8
-#: A host is blocked if its distrust exceeds its trust by more than this; a seed's own share is at most 1.
+#: Iteration ends when no host's trust or distrust changes by more than this share of itself; looked at every so many rounds.
+TOLERANCE, LOOK_EVERY = 1e-6, 4
+#: A host is blocked if its margin is more than this; either part of the margin is from -1 to 1.
 THRESHOLD = 0.5
 #: An absolute or protocol-relative link; relative links stay on their host and so make no host edge.
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s<>]+)"""
@@ -64,8 +69,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", url_host(target).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust after ``rounds`` of personalised PageRank.
+def _settled(before: DataFrame, after: DataFrame) -> bool:
+    """Whether no score changed by more than TOLERANCE of itself; scores never fall, and none goes."""
+    old = before.withColumnRenamed("score", "old")
+    change = (F.col("score") - F.coalesce(F.col("old"), F.lit(0.0))) / F.col("score")
+    most = after.where("score > 0").join(old, ["host", "kind"], "left").agg(F.max(change)).first()[0]
+    return most is None or most <= TOLERANCE
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
+    """host, trust, distrust of personalised PageRank, after ``rounds`` or, if None, when it has converged.
 
     ``seeds``: host, trust, distrust (teleport weights).  Trust leaves a host in equal parts along its links; distrust
     leaves it in equal parts against the links that reach it.  Hosts without seeds or edges do not appear.
@@ -83,17 +96,22 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     )
     state = start.withColumnRenamed("seed", "score")
     steps = steps.withColumnRenamed("a", "host")
-    for i in range(rounds):
+    done = 0
+    while done != rounds:
+        last = state
         moved = state.join(steps, ["host", "kind"]).select(F.col("b").alias("host"), "kind", (F.col("score") * F.col("w") * damping).alias("part"))
         state = moved.unionByName(start.withColumnRenamed("seed", "part")).groupBy("host", "kind").agg(F.sum("part").alias("score"))
-        if i % 4 == 3:
+        done += 1
+        if done % LOOK_EVERY == 0 or (rounds is None and done == 1):
             state = cut(state, "rank")
+            if rounds is None and _settled(last, state):
+                break
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
     return state.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: page_id, host, path, rule, verdict and the host's trust and distrust.
+    """One row per input row: page_id, host, path, rule, verdict.
 
     A null url, or one without ``://``, has empty host and path, fits no rule and is allowed.  Null html has no links.
     A host's seed weights are the shares of its pages that rules allow and block.  Repeated rows each get a row.
@@ -102,8 +120,14 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("m", rule_match(F.col("host"), F.col("path"), rules))
     share = lambda v: F.avg(F.when(F.col("m.verdict") == v, 1.0).otherwise(0.0))
     seeds = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(seeds, cut(host_edges(pages), "links")).withColumnRenamed("host", "scored_host")
-    by_host = F.when(F.col("distrust") - F.col("trust") > threshold, F.lit("block")).otherwise(F.lit("allow"))
+    seeds = cut(seeds, "hosts")
+    ranked = propagate(seeds, cut(host_edges(pages), "links"))
+    own = seeds.select(F.col("host").alias("scored_host"), F.col("trust").alias("own_trust"), F.col("distrust").alias("own_distrust"))
+    scores = own.join(ranked.withColumnRenamed("host", "scored_host"), "scored_host")
+    trust, distrust = (F.greatest(F.col(k) - F.col(f"own_{k}"), F.lit(0.0)) for k in ("trust", "distrust"))
+    by_links = F.when(trust + distrust > 0, (distrust - trust) / (trust + distrust)).otherwise(0.0)
+    scores = scores.select("scored_host", (F.col("own_distrust") - F.col("own_trust") + by_links).alias("margin"))
+    by_host = F.when(F.col("margin") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return judged.join(scores, F.col("host") == F.col("scored_host"), "left").select(
         "page_id", "host", "path", F.col("m.rule").alias("rule"),
         F.coalesce(F.col("m.verdict"), by_host).alias("verdict"),

@@ -513,6 +513,22 @@ def test_rules_and_links(spark):
             assert (r["rule"], r["verdict"]) == want[r["page_id"]], r
 
 
+def test_blocked_hub_marks_all_who_link_to_it(spark):
+    page = lambda i, host, *to: (i, f"http://{host}/de/{i}", "".join(f'<a href="http://{x}/">x</a>' for x in to))
+    rows = [(0, "http://hub.net/es/1", "")] + [page(1 + i, f"fan{i}.org", "hub.net") for i in range(40)]
+    rows += [page(100, "end.org", "far0.org")] + [page(101 + i, f"far{i}.org", f"far{i + 1}.org" if i < 11 else "hub.net") for i in range(12)]
+    rows += [page(200 + i, f"fine{i}.org", f"fine{(i + 1) % 3}.org") for i in range(3)]
+    rows += [(300 + i, f"http://good{i}.com/", '<a href="http://mixed.org/">x</a>') for i in range(60)] + [page(400, "mixed.org", "hub.net")]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {*range(41), *range(100, 113)} and len(got) == len(rows)
+
+
+def test_propagation_goes_on_until_it_stands(spark):
+    edges = [(f"c{i}", f"c{(i + 1) % 3}") for i in range(3)]
+    got = urlfilter.propagate(spark.createDataFrame([("c0", 0.0, 1.0)], "host string, trust double, distrust double"), spark.createDataFrame(edges, "src string, dst string")).collect()
+    assert {r["host"]: round(r["distrust"], 4) for r in got} == {f"c{-i % 3}": round(0.85**i / (1 - 0.85**3), 4) for i in range(3)}
+
+
 def brute_rank(seeds, edges, rounds, damping):
     nodes = {x for e in edges for x in e} | set(seeds)
     out = {}
