@@ -1,6 +1,6 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
-Words that look disguised (digits or signs among letters, letters repeated or spaced out) span a lattice of what each
+Words that look disguised (digits or signs among letters or alone, letters doubled or spaced out) span a lattice of what each
 character may stand for.  Viterbi decoding under a character trigram model finds the likeliest plain word.  Words and their
 beginnings whose share of toxic documents is far above that of the others are evidence; a logistic model turns
 a document's evidence into a score.
@@ -39,8 +39,15 @@ COST_LEET, COST_FILLER, COST_REPEAT = -0.3, -0.2, -0.2
 UNSEEN = -4.0
 EDGE = "\x02"
 
-_SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]){2,}(?!\S)")
-_SUSPECT = re.compile(r"[^\W\d_].*[\d@$!|+(€.\-_*'’·]|[\d@$!|+(€.\-_*'’·].*[^\W\d_]|([^\W\d_])\1\1")
+_OPEN, _CLOSE, _FILL = r"[(\[{\"'«„“]{0,3}", r"[.,;:!?)\]}\"'»“”…*]{0,3}", r"[.\-_*'’·]"
+#: A character that may be a letter; what may lie between those of one spaced word; three or more of them.
+_SYMBOL = r"(?:[^\W_]|[@$!|+(€])"
+_BETWEEN = rf"(?:{_FILL}{{1,2}}|{_CLOSE}\s+(?:{_FILL}{{1,3}}\s+)?{_OPEN})"
+_SPACED = re.compile(rf"(?<!\S){_OPEN}{_SYMBOL}(?:{_BETWEEN}{_SYMBOL}){{2,}}{_CLOSE}(?!\S)")
+_PARTS = re.compile(rf"{_BETWEEN}|^{_OPEN}")
+#: Doubled letters, signs among letters, words of signs.  Plain numbers and fillers alone are none.
+_SUSPECT = re.compile(r"[^\W\d_].*[\d@$!|+(€.\-_*'’·]|[\d@$!|+(€.\-_*'’·].*[^\W\d_]|([^\W\d_])\1|[@$!|+(€].*[\d@$!|+(€]|\d.*[@!|]")
+_NUMBER = re.compile(r"[$€+\-(]?\d[\d.,:/\-]*[%€$+)]?")
 _STRIP = ".,;:!?\"()[]{}«»„“”…|"
 
 
@@ -111,19 +118,54 @@ def word_score(word: str, model: CharModel) -> float:
 def restore_word(word: str, model: CharModel) -> str:
     """A lower-case word without the signs around it, decoded if it looks disguised."""
     bare = word.strip(_STRIP)
-    if not _SUSPECT.search(word):
+    if not _SUSPECT.search(word) or _NUMBER.fullmatch(word):
         return bare
     inner = word.strip(".,;:?\"()[]{}«»„“”…").rstrip("!")  # an exclamation mark ends a word, but may begin or fill one
     return viterbi(inner, model) if inner else bare
 
 
+def join_run(symbols: list[str], model: CharModel) -> str:
+    """The likeliest words of a run of single characters; words may end after any of them.
+
+    States are the last two characters, as in ``viterbi``; what was read is kept as chains of (before, character, whether a word ends).
+    """
+    states: dict[str, tuple[float, tuple | None]] = {EDGE * 2: (0.0, None)}
+    for n, symbol in enumerate(symbols):
+        new: dict[str, tuple[float, tuple | None]] = {}
+        here = choices(symbol)[0] + ([("", COST_REPEAT)] if n and symbols[n - 1] == symbol and symbol.isalpha() else [])
+        for context, (score, chain) in states.items():
+            for char, cost in here:
+                if not char and context == EDGE * 2:
+                    continue
+                s = score + cost + (model.step(context, char) if char else 0.0)
+                to = (context + char)[-2:]
+                for to, s, end in ((to, s, False), (EDGE * 2, s + model.step(to, EDGE), True)):
+                    if to not in new or s > new[to][0]:
+                        new[to] = (s, (chain, char, end))
+        states = new
+    chain = states[EDGE * 2][1]
+    read = []
+    while chain:
+        chain, char, end = chain
+        read.append((char, end))
+    words, start, text = [], 0, ""
+    for i, (char, end) in enumerate(reversed(read)):
+        text += char
+        if end:
+            # A character by itself, or figures, stay as written.
+            apart = i == start or not any(c.isalpha() or c in "@$!|+(€" for c in symbols[start : i + 1])
+            words += symbols[start : i + 1] if apart else [text]
+            start, text = i + 1, ""
+    return " ".join(words)
+
+
 def join_spaced(text: str, model: CharModel) -> str:
-    """Runs of single letters become one word where the model finds the word likelier than the letters."""
+    """Runs of single characters become the words that the model finds likeliest; runs without a letter stay."""
 
     def choose(m: re.Match) -> str:
-        letters = [c for c in m.group() if c.isalpha()]
-        joined = "".join(letters)
-        return joined if word_score(joined, model) > sum(word_score(c, model) for c in letters) else m.group()
+        run = re.sub(rf"{_CLOSE}$", "", _PARTS.sub(" ", m.group()))
+        symbols = run.split()
+        return join_run(symbols, model) if any(c.isalpha() for c in run) else m.group()
 
     return _SPACED.sub(choose, text)
 
@@ -155,10 +197,11 @@ def _count_trigrams(batches):
 def _count_features(trigrams: dict[str, int]):
     def run(batches):
         model = CharModel(trigrams)
+        forms = _Forms(model)
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = {restore_word(w, model) for w in join_spaced((text.as_py() or "").lower(), model).split()}
+                words = {x for w in set(join_spaced((text.as_py() or "").lower(), model).split()) for x in forms[w]}
                 counts[label].update({f for w in words for f in features_of(w)})
             names = list(counts[0] | counts[1])
             yield pa.RecordBatch.from_pydict(
@@ -169,6 +212,28 @@ def _count_features(trigrams: dict[str, int]):
     return run
 
 
+def forms_of(word: str, model: CharModel) -> tuple[str, ...]:
+    """What gives evidence of a word as written: restored and, as dropping a doubled letter may make another word of it, plain."""
+    restored, bare = restore_word(word, model), word.strip(_STRIP)
+    return (restored, bare) if bare != restored and bare.isalpha() else (restored,)
+
+
+class _Forms(dict):
+    """``forms_of`` words, kept."""
+
+    def __init__(self, model: CharModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        found = forms_of(word, self.model)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
 class _Weights(dict):
     """The evidence of a word as written: the largest weight among the features of the restored word."""
 
@@ -179,7 +244,7 @@ class _Weights(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        found = max((self.weights.get(f, 0.0) for f in features_of(restore_word(word, self.model))), default=0.0)
+        found = max((self.weights.get(f, 0.0) for x in forms_of(word, self.model) for f in features_of(x)), default=0.0)
         if len(word) <= 64:
             self[word] = found
         return found

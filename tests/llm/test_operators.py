@@ -261,6 +261,23 @@ def test_obfuscated_words_are_restored():
     assert toxicity.restore_text("You s t u p i d thing", model) == "you stupid thing"
 
 
+def test_more_disguises_are_restored():
+    counts = Counter()
+    for w in "the stupid idiot is a moron and a loser an ass with trash talk about the house a man".split():
+        p = toxicity.EDGE * 2 + w + toxicity.EDGE
+        for i in range(len(p) - 2):
+            counts[p[i : i + 3]] += 50
+    model = toxicity.CharModel(dict(counts))
+    for raw in ("iddiot", "iidiioot", "i d i o t,", "(i d i o t)", "i d 1 o t", "i   d   i   o   t", "i. d. i. o. t.", "i - d - i - o - t", "i.d i.o t"):
+        assert toxicity.restore_text(raw, model) == "idiot", raw
+    assert "ass" in {toxicity.restore_word("@$$", model), *toxicity.forms_of("ass", model)}
+    assert toxicity.restore_word("@$$", model) == toxicity.restore_word("ass", model)
+    assert toxicity.restore_text("i d i o t a man", model) == "idiot a man"
+    for plain in ("$100", "1.5", "10-20", "1 2 3 4", "house 7 (4)"):
+        assert toxicity.restore_text(plain, model) == plain.replace("(4)", "4"), plain
+    assert toxicity.restore_text(" ".join("ab" * 20000), model)
+
+
 def test_toxicity_held_out_accuracy(spark):
     rng = np.random.default_rng(8)
     rows, labels = [], []
