@@ -22,8 +22,8 @@ from .common import cut, held_out_remainder, table
 #: The classifier is fitted on at most so many labelled rows, those with the least hash of their id; part of them calibrate it.
 SAMPLE_ROWS = 20_000
 CALIBRATE_EVERY = 4
-#: The model that every task gets: at most so many trigrams and features.
-MAX_TRIGRAMS, MAX_FEATURES = 50_000, 20_000
+#: The model that every task gets has at most so many features.
+MAX_FEATURES = 20_000
 PREFIXES = (4, 5, 6)
 LEAST_TOXIC_DOCS, LEAST_WEIGHT, LEAST_G2 = 3, 2.0, 15.0
 CACHED_WORDS = 150_000
@@ -51,16 +51,25 @@ _NUMBER = re.compile(r"[$€+\-(]?\d[\d.,:/\-]*[%€$+)]?")
 _STRIP = ".,;:!?\"()[]{}«»„“”…|"
 
 
+def in_alphabet(char: str) -> bool:
+    """Whether a character is of a script of few letters: below the ideographs, or Japanese kana."""
+    return char < "\u2e80" or "\u3040" <= char <= "\u30ff"
+
+
 class CharModel:
-    """Character trigrams with backing off to bigrams; log10 probabilities."""
+    """Character trigrams with backing off to single characters; log10 probabilities.
+
+    Keys of one character add to the counts of that character alone.
+    """
 
     def __init__(self, counts: dict[str, int]):
         self.tri = counts
         self.ctx: Counter = Counter()
         self.one: Counter = Counter()
         for t, n in counts.items():
-            self.ctx[t[:2]] += n
-            self.one[t[2]] += n
+            if len(t) == 3:
+                self.ctx[t[:2]] += n
+            self.one[t[-1]] += n
         self.total = sum(self.one.values()) or 1
         self.memo: dict[tuple[str, str], float] = {}
 
@@ -181,16 +190,25 @@ def features_of(word: str) -> list[str]:
 
 
 def _count_trigrams(batches):
+    """Trigrams of letters of alphabets; for other trigrams, whose number has no such bound, their last character."""
     for batch in batches:
         seen: Counter = Counter()
         for text in batch.column(0):
-            seen.update(w.strip(_STRIP) for w in (text.as_py() or "").lower().split())
-        counts: Counter = Counter()
+            seen.update((text.as_py() or "").lower().split())
+        bare: Counter = Counter()
         for word, n in seen.items():
+            bare[word.strip(_STRIP)] += n
+        counts: Counter = Counter()
+        for word, n in bare.items():
             if word.isalpha():
                 padded = EDGE * 2 + word + EDGE
-                for i in range(len(padded) - 2):
-                    counts[padded[i : i + 3]] += n
+                if all(map(in_alphabet, word)):
+                    for i in range(len(padded) - 2):
+                        counts[padded[i : i + 3]] += n
+                else:
+                    for i in range(len(padded) - 2):
+                        t = padded[i : i + 3]
+                        counts[t if all(map(in_alphabet, t)) else t[2]] += n
         yield pa.RecordBatch.from_pydict({"t": list(counts), "n": pa.array(counts.values(), pa.int64())}, schema=pa.schema([("t", pa.string()), ("n", pa.int64())]))
 
 
@@ -297,6 +315,12 @@ class Model:
         self.trigrams, self.weights, self.logistic = trigrams, weights, logistic
 
 
+def count_trigrams(docs: DataFrame) -> dict[str, int]:
+    """What ``CharModel`` takes, of the texts of all documents; the letters of alphabets bound it, not the documents."""
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_trigrams, "t string, n long")
+    return {r["t"]: r["n"] for r in counted.groupBy("t").agg(F.sum("n").alias("n")).collect()}
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on labelled rows outside the held-out fold.
 
@@ -309,8 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # ``chosen`` has at most ``sample_rows`` rows of two numbers.
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
     rows = cut(rows.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(CALIBRATE_EVERY))), "toxicity-rows")
-    top = rows.select("text").mapInArrow(_count_trigrams, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(MAX_TRIGRAMS)
-    trigrams = {r["t"]: r["n"] for r in top.collect()}
+    trigrams = count_trigrams(docs)
     size = {r["label"]: r["n"] for r in rows.where("fold > 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     counted = rows.where("fold > 0").select("label", "text").mapInArrow(_count_features(trigrams), "f string, n0 long, n1 long")

@@ -278,6 +278,24 @@ def test_more_disguises_are_restored():
     assert toxicity.restore_text(" ".join("ab" * 20000), model)
 
 
+def test_trigrams_are_of_all_documents(spark):
+    rng = np.random.default_rng(11)
+    letters = [chr(c) for c in range(0x3B1, 0x3C9) if chr(c).islower()] + list("abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, " ".join("".join(rng.choice(letters, 6)) for _ in range(300))) for i in range(80)] + [(1000 + i, "идиот") for i in range(3)] + [(2000, "漢字漢字"), (2001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, sample_rows=10)
+    want = Counter()
+    for _, text in rows[:-2]:
+        for w in text.split():
+            p = toxicity.EDGE * 2 + w.strip() + toxicity.EDGE
+            want.update(p[i : i + 3] for i in range(len(p) - 2))
+    assert len(want) > 50_000
+    assert {t: n for t, n in model.trigrams.items() if len(t) == 3} == want
+    assert {t: n for t, n in model.trigrams.items() if len(t) == 1} == {"漢": 2, "字": 2, toxicity.EDGE: 1}
+    assert toxicity.restore_word("иидиоот", toxicity.CharModel({k: n for k, n in model.trigrams.items()})) == "идиот"
+
+
 def test_toxicity_held_out_accuracy(spark):
     rng = np.random.default_rng(8)
     rows, labels = [], []
