@@ -485,10 +485,41 @@ def test_elias_fano():
         assert (e.successor(x) == np.searchsorted(v, x)).all()
 
 
-@pytest.mark.parametrize("size", [1 << 30, 200])
-def test_lm_scores(spark, size):
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 1), (5, 256), (3000, 2**20), (100, 2**63)):
+        v = rng.integers(0, top, n).astype(np.uint64)
+        assert (lm.unpack(lm.pack(v)) == v).all()
+    for n in (1, 2, 5000):
+        c, w = rng.integers(0, 40, n), rng.integers(0, 2**33, n)
+        order = np.lexsort((w, c))
+        got = lm.unpack_pairs(lm.pack_pairs(c[order], w[order]))
+        assert (got[0] == c[order]).all() and (got[1] == w[order]).all()
+
+
+def test_trie_has_its_pairs_and_no_others():
+    rng = np.random.default_rng(2)
+    for n, contexts, most in ((0, 1, 1), (1, 1, 1), (4000, 300, 2000), (4000, 3, 10**6)):
+        key = np.unique(rng.integers(0, contexts, n) * most + rng.integers(0, most, n))
+        c, w, code = key // most * 7, key % most, (key % 255 + 1).astype(np.uint8)
+        trie = lm.Trie(lm.Trie.levels(c, w, code))
+        assert (trie.lookup(c, w) == code).all()
+        asked_c, asked_w = rng.integers(0, 7 * contexts + 9, 3000), rng.integers(0, most + 5, 3000)
+        have = dict(zip(zip(c.tolist(), w.tolist(), strict=True), code.tolist(), strict=True))
+        assert trie.lookup(asked_c, asked_w).tolist() == [have.get(x, 0) for x in zip(asked_c.tolist(), asked_w.tolist(), strict=True)]
+
+
+def test_frequent_contexts_are_spread():
+    words = np.arange(1000)
+    few, many = (lm.range_of_pair(np.full(1000, 5), words, np.full(1000, n), 64) for n in (1000, 50 << 20))
+    assert len(set(few.tolist())) == 1 and len(set(many.tolist())) > 20 and many.max() < 64
+
+
+@pytest.mark.parametrize(("size", "range_size"), [(1 << 30, 1 << 30), (200, 1 << 30), (3000, 400)])
+def test_lm_scores(spark, size, range_size):
     rows = [(r[0], r[1]) for r in odd_rows()] + [(100 + i, f"The {w} And {w} again") for i, w in enumerate(WORDS[:40])]
-    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit(1)), part_bytes=size).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"part": F.lit(1), "words": F.lit("x"), "n_words": F.lit(2)})
+    got = lm.lm_scores(df, part_bytes=size, range_bytes=range_size).collect()
     fold = lambda s: re.sub("[A-Z]", lambda m: m.group().lower(), s or "")
     tokens = [[*words(fold(t)), None] for _, t in rows]
     learn = [d is None or zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows]
@@ -503,9 +534,11 @@ def test_lm_scores(spark, size):
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     exact = defaultdict(list)
     for (d, _), t in zip(rows, tokens, strict=True):
-        exact[d].append(sum(math.log10((pairs[p] + lm.PRIOR * uni(p[1])) / (context[p[0]] + lm.PRIOR)) for p in zip(["<s>", *t[:-1]], t, strict=True)) / len(t))
-    for r in got:
-        assert min(abs(r["score"] / r["n_tokens"] - x) for x in exact[r["doc_id"]]) < 0.15
+        exact[d].append(sum(math.log10((pairs[p] + lm.PRIOR * uni(p[1])) / (context[p[0]] + lm.PRIOR)) for p in zip(["<s>", *t[:-1]], t, strict=True)))
+    values = lm.codebook(n)
+    half_step = (values[2] - values[1]) / 2
+    for r in got:  # a token is off by no more than the quantiser
+        assert min(abs(r["score"] - x) for x in exact[r["doc_id"]]) <= half_step * r["n_tokens"] + 1e-9
 
 
 def test_lm_scores_do_not_depend_on_parts(spark):
@@ -513,13 +546,21 @@ def test_lm_scores_do_not_depend_on_parts(spark):
     copies = "the same words of a copy and the same again"
     rows = [(i, copies if i % 3 == 0 else " ".join(rng.choice(WORDS[:60], 30))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    one, many = ({r["doc_id"]: (r["n_tokens"], r["base_score"], r["score"]) for r in lm.lm_scores(df, part_bytes=size).collect()} for size in (1 << 30, 1500))
-    assert one == many and len(one) == 120
-    assert len({many[i] for i in range(0, 120, 3)}) == 1
+    sizes = ((1 << 30, 1 << 30), (1500, 1 << 30), (1, 700))
+    one, *others = ({r["doc_id"]: (r["n_tokens"], r["base_score"], r["score"]) for r in lm.lm_scores(df, part_bytes=a, range_bytes=b).collect()} for a, b in sizes)
+    assert all(x == one for x in others) and len(one) == 120
+    assert len({one[i] for i in range(0, 120, 3)}) == 1
+
+
+def test_lm_of_one_long_word_and_rows_without_ids(spark):
+    rows = [(None, "x" * 100_000)] * 30 + [(1, ("y" * 100_000 + " ") * 3)]
+    got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=250_000).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 2)] * 30 + [(1, 4)]
+    assert len({(r["score"], r["train_tokens"]) for r in got if r["doc_id"] is None}) == 1
 
 
 def test_codes_are_near():
-    values = lm.codebook(10**9, 10**7, lm.PRIOR)
+    values = lm.codebook(10**9)
     logs = np.r_[np.log10(1 / (10**9 + lm.PRIOR)), np.linspace(-9, 0, 1000)]
     assert len(values) == 256 and np.abs(values[lm.quantise(logs, values)] - logs).max() < 0.02
 
