@@ -1,4 +1,7 @@
-"""Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score."""
+"""Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score.
+
+Every pattern takes time in proportion to the text, also on long runs of digits.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +11,9 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import named, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn")
@@ -18,12 +22,13 @@ KINDS = BASE_KINDS + ADDED_KINDS
 # Patterns, starting scores and context words.
 EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+SCORE = {"email": 0.7, "ip": 0.6, "card": 0.4, "phone": 0.5, "iban": 0.4, "ssn": 0.4}
+CHECKED = ("card", "iban")
 CONTEXT = {
     "email": ("mail", "contact"),
     "ip": ("ip", "server", "host", "login"),
@@ -32,9 +37,13 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social security", "taxpayer"),
 }
-CONTEXT_CHARS, CONTEXT_BONUS = 40, 0.3
+#: Words that speak for a number of another kind.
+AGAINST = ("serial", "part no", "part number", "order", "invoice", "sku", "version", "ticket")
+CONTEXT_CHARS, CONTEXT_BONUS, CHECK_BONUS = 40, 0.2, 0.3
+_CONTEXT = {kind: re.compile(rf"\b(?:{'|'.join(words)})") for kind, words in CONTEXT.items()}
+_AGAINST = re.compile(rf"\b(?:{'|'.join(AGAINST)})\b")
 #: Added spans below this score are dropped; base spans always stay.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.55
 
 
 def luhn(digits: str) -> bool:
@@ -95,13 +104,14 @@ def _ssns(text: str):
 
 
 _FIND = dict(zip(KINDS, (_emails, _ips, _cards, _phones, _ibans, _ssns), strict=True))
-_DIGIT_PAIR = re.compile(r"[0-9][ .0-9-]*[0-9]")
+_DIGIT = re.compile(r"[0-9]")
 
 
 def score_span(text: str, kind: str, start: int, end: int) -> float:
-    """The kind's starting score, more if one of its context words is near."""
+    """The kind's starting score, more for a checksum that fits and for its own words nearby, less for words against it."""
     near = (text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]).lower()
-    return min(1.0, SCORE[kind] + CONTEXT_BONUS * any(re.search(rf"\b{w}", near) for w in CONTEXT[kind]))
+    score = SCORE[kind] + CHECK_BONUS * (kind in CHECKED) + CONTEXT_BONUS * (_CONTEXT[kind].search(near) is not None)
+    return round(min(1.0, score - CONTEXT_BONUS * (_AGAINST.search(near) is not None)), 2)
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -109,7 +119,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     if not text:
         return []
     found = []
-    digits = _DIGIT_PAIR.search(text) is not None
+    digits = _DIGIT.search(text) is not None  # all kinds but emails have some
     for kind in KINDS:
         if "@" not in text if kind == "email" else not digits:
             continue
@@ -157,37 +167,46 @@ SPANS_DDL = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id and ``spans`` (kind, start, end, score) of every row.  Null and empty texts have none."""
+    """doc_id and ``spans`` (kind, start, end, score) of every row.
+
+    Null and empty texts have none; repeated rows each get a row; an empty table gives none.  Other columns are ignored.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_find(1, False), f"doc_id long, spans {SPANS_DDL}")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, personal data in ``text`` replaced by its kind and ``n_chars``, if there, counted anew."""
+    """All columns of ``docs``, personal data in ``text`` replaced by its kind and ``n_chars``, if there, counted anew.
+
+    Every row stays, null texts too.  Columns may have any names.
+    """
     others = [c for c in docs.columns if c != "text"]
-    fields = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    plain = docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in others], F.col("text").cast("string").alias("text"))
-    out = plain.mapInArrow(_find(len(others), True), f"{fields}{', ' if fields else ''}spans {SPANS_DDL}, text string")
+    given = {c: f"c{i}" for i, c in enumerate(others)} | {"text": "text"}  # Spark's Arrow functions don't take every name
+    plain = docs.select(*[named(c).alias(k) for c, k in given.items() if c != "text"], F.col("text").cast("string").alias("text"))
+    found = T.StructField("spans", T._parse_datatype_string(SPANS_DDL))
+    out = plain.mapInArrow(_find(len(others), True), T.StructType([*plain.schema.fields[:-1], found, plain.schema["text"]]))
     if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+        n = given["n_chars"]
+        out = out.withColumn(n, F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(*[F.col(given[c]).alias(c) for c in docs.columns])
 
 
 def _digest(batches):
     for batch in batches:
         rows = []
         for found in batch.column(1).to_pylist():
-            named = [(s["kind"], f"{s['kind']}:{s['start']}:{s['end']}") for s in found]
-            base = ",".join(x for k, x in named if k in BASE_KINDS)
-            rows.append((*(sum(k == b for k, _ in named) for b in BASE_KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(x for _, x in named)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        types = [pa.int64()] * 4 + [pa.string()] * 2
+            spans = [(s["kind"], f"{s['kind']}:{s['start']}:{s['end']}") for s in found]
+            base = ",".join(x for k, x in spans if k in BASE_KINDS)
+            scores = ",".join(f"{s['score']:.2f}" for s in found)
+            rows.append((*(sum(k == b for k, _ in spans) for b in BASE_KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(x for _, x in spans), scores))
+        cols = list(zip(*rows, strict=True)) or [[]] * 7
+        types = [pa.int64()] * 4 + [pa.string()] * 3
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))],
-            ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"],
+            ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "scores"],
         )
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(table(spark, sf_dir, "documents"))
-    return found.mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string")
