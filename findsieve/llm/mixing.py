@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, with_base
 
 LEVELS = ("domain", "lang", "source")
 #: Target weights; whatever is not named weighs 1.
@@ -78,7 +78,8 @@ def mix(rows: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE, ma
     """``rows`` (doc_id, domain, lang, source, tokens, others) once for each epoch that takes them, with ``epoch`` and ``taken``.
 
     ``taken`` is the tokens that count; it is less than ``tokens`` for the one document of a leaf at which the budget ends.
-    Rows without tokens are never taken.  Repeated rows are taken each for itself.
+    Rows without tokens are never taken.  Repeated rows are taken each for itself; rows of one id and size in any order.
+    An empty table gives no rows.  A row's other columns may have any names but those used here.
     """
     rows = rows.where("tokens > 0")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
@@ -96,8 +97,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE, ma
     place = F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / float(2**32)
     last = last.withColumn("grp", F.floor(place * F.col("groups")).cast("long"))
     sums = last.groupBy(*LEVELS, "grp").agg(F.sum("tokens").alias("n"))
-    before = Window.partitionBy(*LEVELS).orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*LEVELS, "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = with_base(sums, list(LEVELS))
     inside = Window.partitionBy(*LEVELS, "grp").orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
     part = last.join(bases, [*LEVELS, "grp"]).where("base < rest").withColumn("start", start).where("start < rest")

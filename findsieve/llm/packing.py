@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, with_base
 
 CAPACITY = 2048
 SEPARATOR = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Words of at most so many characters whose token ids a worker keeps; a full cache takes some 40 MB.
 CACHED_WORDS, CACHED_LENGTH = 150_000, 24
-#: Ranks are counted in this many groups of each length.
-RANK_GROUPS = 64
+#: Ranks are counted in groups of about so many pieces of one length.
+RANK_GROUP = 4096
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -262,36 +262,40 @@ def _place(ranges: dict[int, list[tuple[int, int, int, int]]], names: list[str])
     return run
 
 
-def rank_in_length(pieces: DataFrame) -> DataFrame:
+def rank_in_length(pieces: DataFrame, histogram: DataFrame) -> DataFrame:
     """``pieces`` with ``rank``, from 0 without gaps among the pieces of a length.
 
-    Pieces of one length are numbered in RANK_GROUPS groups (by hash of document and piece), and a group starts where the
-    one before it ends, so a length that most pieces share is spread over the groups.
+    ``histogram``: length and n, at most as many rows as there are lengths.  The pieces of one length are numbered in groups (by
+    hash of document and piece), and a group starts where the one before it ends; the more pieces, the more groups.
     """
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_GROUPS)).cast("int"))
-    sizes = grouped.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    groups = F.broadcast(histogram.select("length", F.ceil(F.col("n") / RANK_GROUP).alias("groups")))
+    grouped = pieces.join(groups, "length").withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("groups")))
+    starts = with_base(grouped.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n")), ["length"])
     inside = Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "ids_crc32")
     numbered = grouped.withColumn("r", F.row_number().over(inside) - 1)
-    return numbered.join(starts, ["length", "grp"]).withColumn("rank", F.col("base") + F.col("r")).drop("grp", "base", "r")
+    return numbered.join(starts, ["length", "grp"]).withColumn("rank", F.col("base") + F.col("r")).drop("grp", "groups", "base", "r")
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
     """One row per piece with its ``sequence_id`` and ``offset``; see ``cut_pieces``.
 
-    A null or empty text is the separator alone.  Repeated rows are packed each for itself.  Other columns are ignored.
-    ``with_ids`` adds the token ids of each piece.
+    A null or empty text is the separator alone.  Repeated rows are packed each for itself.  Other columns are ignored;
+    an empty table gives no rows.  ``with_ids`` adds the token ids of each piece.
     """
     pieces = cut(cut_pieces(docs, vocabulary, capacity, separator, with_ids), "pieces")
     # At most ``capacity`` rows reach the driver.
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranges = place_ranges(pack_histogram(histogram, capacity))
-    ranked = rank_in_length(pieces)
+    sizes = cut(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in sizes.where(F.col("length") < capacity).collect()}
+    bins = pack_histogram(histogram, capacity)
+    ranked = rank_in_length(pieces.where(F.col("length") < capacity), sizes)
     extra = [x for x in ("ids",) if with_ids]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *extra, "rank"]
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.select(*names[:-1], F.col("rank").cast("long").alias("rank")).mapInArrow(_place(ranges, names), schema)
+    placed = ranked.select(*names[:-1], F.col("rank").cast("long").alias("rank")).mapInArrow(_place(place_ranges(bins), names), schema)
+    # Full pieces are sequences by themselves, with numbers after those of the bins.
+    number = F.monotonically_increasing_id() + sum(times for times, _ in bins)
+    full = pieces.where(F.col("length") == capacity).select(*names[:-1], number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
