@@ -17,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out_remainder, table
+from .common import cut, held_out_remainder, named, table
 
 #: The classifier is fitted on at most so many labelled rows, those with the least hash of their id; part of them calibrate it.
 SAMPLE_ROWS = 20_000
 CALIBRATE_EVERY = 4
-#: The model that every task gets has at most so many features.
-MAX_FEATURES = 20_000
 PREFIXES = (4, 5, 6)
 LEAST_TOXIC_DOCS, LEAST_WEIGHT, LEAST_G2 = 3, 2.0, 15.0
 CACHED_WORDS = 150_000
@@ -45,12 +43,21 @@ _SYMBOL = r"(?:[^\W_]|[@$!|+(€])"
 _BETWEEN = rf"(?:{_FILL}{{1,2}}|{_CLOSE}\s+(?:{_FILL}{{1,3}}\s+)?{_OPEN})"
 _SPACED = re.compile(rf"(?<!\S){_OPEN}{_SYMBOL}(?:{_BETWEEN}{_SYMBOL}){{2,}}{_CLOSE}(?!\S)")
 _PARTS = re.compile(rf"{_BETWEEN}|^{_OPEN}")
-#: Doubled letters, signs among letters, words of signs.  Plain numbers and fillers alone are none.
-_SUSPECT = re.compile(r"[^\W\d_].*[\d@$!|+(€.\-_*'’·]|[\d@$!|+(€.\-_*'’·].*[^\W\d_]|([^\W\d_])\1|[@$!|+(€].*[\d@$!|+(€]|\d.*[@!|]")
+_LETTER, _DOUBLED = re.compile(r"[^\W\d_]"), re.compile(r"([^\W\d_])\1")
+_SIGN, _HARD, _HARD_OR_DIGIT, _BAR = re.compile(r"[\d@$!|+(€.\-_*'’·]"), re.compile(r"[@$!|+(€]"), re.compile(r"[\d@$!|+(€]"), re.compile(r"[@!|]")
+_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"[$€+\-(]?\d[\d.,:/\-]*[%€$+)]?")
 _STRIP = ".,;:!?\"()[]{}«»„“”…|"
 
 
+def suspect(word: str) -> bool:
+    """Doubled letters, signs among letters, words of signs.  Plain numbers and fillers alone are none.  One pass for each pattern."""
+    if _DOUBLED.search(word) or (_SIGN.search(word) and _LETTER.search(word)):
+        return True
+    hard, digit = _HARD.search(word), _DIGIT.search(word)
+    return bool(hard and _HARD_OR_DIGIT.search(word, hard.end())) or bool(digit and _BAR.search(word, digit.end()))
+
+
 def in_alphabet(char: str) -> bool:
     """Whether a character is of a script of few letters: below the ideographs, or Japanese kana."""
     return char < "\u2e80" or "\u3040" <= char <= "\u30ff"
@@ -102,18 +109,23 @@ def choices(word: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(word: str, model: CharModel) -> str:
-    """The likeliest plain word; states are the last two characters."""
-    states = {EDGE * 2: (0.0, "")}
+    """The likeliest plain word; states are the last two characters, what was read is kept as chains."""
+    states: dict[str, tuple[float, tuple | None]] = {EDGE * 2: (0.0, None)}
     for here in choices(word):
-        new: dict[str, tuple[float, str]] = {}
-        for context, (score, text) in states.items():
+        new: dict[str, tuple[float, tuple | None]] = {}
+        for context, (score, chain) in states.items():
             for char, cost in here:
                 s = score + cost + (model.step(context, char) if char else 0.0)
                 to = (context + char)[-2:]
                 if to not in new or s > new[to][0]:
-                    new[to] = (s, text + char)
+                    new[to] = (s, (chain, char) if char else chain)
         states = new
-    return max(states.items(), key=lambda kv: kv[1][0] + model.step(kv[0], EDGE))[1][1]
+    chain = max(states.items(), key=lambda kv: kv[1][0] + model.step(kv[0], EDGE))[1][1]
+    read = []
+    while chain:
+        chain, char = chain
+        read.append(char)
+    return "".join(reversed(read))
 
 
 def word_score(word: str, model: CharModel) -> float:
@@ -127,7 +139,7 @@ def word_score(word: str, model: CharModel) -> float:
 def restore_word(word: str, model: CharModel) -> str:
     """A lower-case word without the signs around it, decoded if it looks disguised."""
     bare = word.strip(_STRIP)
-    if not _SUSPECT.search(word) or _NUMBER.fullmatch(word):
+    if not suspect(word) or _NUMBER.fullmatch(word):
         return bare
     inner = word.strip(".,;:?\"()[]{}«»„“”…").rstrip("!")  # an exclamation mark ends a word, but may begin or fill one
     return viterbi(inner, model) if inner else bare
@@ -212,9 +224,11 @@ def _count_trigrams(batches):
         yield pa.RecordBatch.from_pydict({"t": list(counts), "n": pa.array(counts.values(), pa.int64())}, schema=pa.schema([("t", pa.string()), ("n", pa.int64())]))
 
 
-def _count_features(trigrams: dict[str, int]):
+def _count_features(sent):
+    """``sent``: a broadcast of trigram counts and feature weights, as below."""
+
     def run(batches):
-        model = CharModel(trigrams)
+        model = CharModel(sent.value[0])
         forms = _Forms(model)
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -284,8 +298,9 @@ def evidence(text: str, weights: _Weights) -> tuple[float, float, float, float]:
     return max(hits, default=0.0), math.log1p(total), math.log1p(100 * total / max(1, len(words))), math.log1p(len(words))
 
 
-def _gather_evidence(trigrams: dict[str, int], weights: dict[str, float]):
+def _gather_evidence(sent):
     def run(batches):
+        trigrams, weights = sent.value
         cache = _Weights(weights, CharModel(trigrams))
         for batch in batches:
             rows = [evidence(t.as_py() or "", cache) for t in batch.column(1)]
@@ -314,6 +329,13 @@ class Model:
     def __init__(self, trigrams: dict[str, int], weights: dict[str, float], logistic: list[float]):
         self.trigrams, self.weights, self.logistic = trigrams, weights, logistic
 
+    def broadcast(self, spark: SparkSession):
+        """Trigram counts and weights, sent to every executor once.
+
+        Letters of alphabets bound the counts; the weights are of words of the sample of at most ``SAMPLE_ROWS`` rows.
+        """
+        return spark.sparkContext.broadcast((self.trigrams, self.weights))
+
 
 def count_trigrams(docs: DataFrame) -> dict[str, int]:
     """What ``CharModel`` takes, of the texts of all documents; the letters of alphabets bound it, not the documents."""
@@ -334,16 +356,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
     rows = cut(rows.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(CALIBRATE_EVERY))), "toxicity-rows")
     trigrams = count_trigrams(docs)
+    sent = Model(trigrams, {}, []).broadcast(docs.sparkSession)
     size = {r["label"]: r["n"] for r in rows.where("fold > 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
-    counted = rows.where("fold > 0").select("label", "text").mapInArrow(_count_features(trigrams), "f string, n0 long, n1 long")
+    counted = rows.where("fold > 0").select("label", "text").mapInArrow(_count_features(sent), "f string, n0 long, n1 long")
     sums = counted.groupBy("f").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).where(F.col("b") >= LEAST_TOXIC_DOCS)
     weight = F.log((F.col("b") + 0.5) / (n1 + 1)) - F.log((F.col("a") + 0.5) / (n0 + 1))
     share = (F.col("a") + F.col("b")) / float(max(1, n0 + n1))
     g2 = 2 * (F.col("b") * F.log(F.col("b") / (share * max(1, n1))) + F.when(F.col("a") > 0, F.col("a") * F.log(F.col("a") / (share * max(1, n0)))).otherwise(0.0))
     best = sums.select("f", weight.alias("w"), g2.alias("g2")).where((F.col("w") >= LEAST_WEIGHT) & (F.col("g2") >= LEAST_G2))
-    weights = {r["f"]: r["w"] for r in best.orderBy(F.desc("g2"), "f").limit(MAX_FEATURES).collect()}
-    seen = rows.where("fold = 0").select(F.col("label").cast("long").alias("label"), "text").mapInArrow(_gather_evidence(trigrams, weights), EVIDENCE_SCHEMA)
+    weights = {r["f"]: r["w"] for r in best.collect()}  # words of the sample
+    sent = Model(trigrams, weights, []).broadcast(docs.sparkSession)
+    seen = rows.where("fold = 0").select(F.col("label").cast("long").alias("label"), "text").mapInArrow(_gather_evidence(sent), EVIDENCE_SCHEMA)
     got = np.array([tuple(r) for r in seen.collect()], np.float64).reshape(-1, 1 + len(EVIDENCE))  # at most ``sample_rows`` rows
     y = got[:, 0]
     if len(set(y.tolist())) < 2:
@@ -355,18 +379,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with ``score`` for the rest: doc_id, text are read; returns doc_id and score, one row per input row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    x = rows.mapInArrow(_gather_evidence(model.trigrams, model.weights), EVIDENCE_SCHEMA)
+    x = rows.mapInArrow(_gather_evidence(model.broadcast(docs.sparkSession)), EVIDENCE_SCHEMA)
     *w, b = model.logistic
     z = sum((F.col(x) * float(v) for x, v in zip(EVIDENCE, w, strict=True)), F.lit(float(b)))
     return x.select(F.col("key").alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
 
 
-def _reject(model: Model, keep: int):
-    *w, b = model.logistic
+def _reject(sent, logistic: list[float], keep: int):
+    *w, b = logistic
     w = np.array(w)
 
     def run(batches):
-        cache = _Weights(model.weights, CharModel(model.trigrams))
+        trigrams, weights = sent.value
+        cache = _Weights(weights, CharModel(trigrams))
         for batch in batches:
             x = np.array([evidence(t.as_py() or "", cache) for t in batch.column(keep)], np.float64).reshape(batch.num_rows, len(EVIDENCE))
             yield batch.filter(pa.array(1 / (1 + np.exp(-(x @ w + b))) < 0.5))
@@ -375,16 +400,19 @@ def _reject(model: Model, keep: int):
 
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose score is below one half, with all their columns."""
+    """The rows of ``docs`` whose score is below one half, with all their columns, whatever their names."""
     names = docs.columns
-    plain = docs.select(*[F.col(f"`{c}`") for c in names if c != "text"], F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_reject(model, len(names) - 1), plain.schema).select(*[F.col(f"`{c}`") for c in names])
+    given = {c: f"c{i}" for i, c in enumerate(names) if c != "text"}  # Spark's Arrow functions don't take every name
+    plain = docs.select(*[named(c).alias(k) for c, k in given.items()], F.col("text").cast("string").alias("text"))
+    out = plain.mapInArrow(_reject(model.broadcast(docs.sparkSession), model.logistic, len(names) - 1), plain.schema)
+    return out.select(*[F.col(given.get(c, "text")).alias(c) for c in names])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Null and empty texts have no evidence and get the score of such.  A null doc_id is not held out.
+    Null and empty texts have no evidence and get the score of such.  A null doc_id is not held out.  Repeated rows each get
+    a row; an empty table gives none.  Other columns are ignored.
     """
     scored = score(docs, train(docs, labels))
     held = F.coalesce(held_out_remainder(F.col("doc_id")) == 0, F.lit(False))
