@@ -1,9 +1,11 @@
 """N-gram Jaccard self join by a MinHash LSH forest with exact verification.
 
-1. Texts of the same words are one node.  A node's signature is ``TREES`` keys, each a sorted-trie prefix of ``depth`` minima.
-   The prefix starts long and is shortened until a pair right at the threshold is found with the target recall.
-2. Nodes under one prefix form a bucket.  Inside a bucket short sketches of the signatures are compared, and of the
-   pairs that can reach the threshold a spanning forest is kept; its components hold every pair that any tree found.
+1. Equal texts are one node.  A node has a signature of ``TREES`` tries: in each, a prefix of minima that is sorted and matched,
+   long (``LONGEST``) or shortened to ``prefix_length``.
+2. Nodes that agree on a shortened prefix form a bucket, a branch of the trie.  Each node shortens its prefixes from the least
+   crowded branch on until a pair at the threshold is found with the target recall; in its most crowded branches the
+   prefix stays long.  Two nodes of a branch meet if one of them has shortened its prefix there or the long ones agree.
+   Of the pairs that meet and whose sketches can reach the threshold a spanning forest is kept; its components hold every such pair.
 3. Within a component all pairs are verified on their full shingle sets.  Only counts and forest edges leave the task.
 
 Large buckets and components are dealt by hash into blocks, and a task takes two blocks; so no task holds a whole group
@@ -15,36 +17,43 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, table
+from .common import cut, named, table
 from .components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 50
 TARGET_RECALL = 0.9995
-LONGEST_PREFIX = 16
+#: Minima of a prefix before it is shortened; those beyond the shortened one are minima of other trees.
+LONGEST = 16
 SKETCH = 128
 #: Sketches of 128 minima stray by 0.035 from a similarity of 0.8; this is over five times that below it.
 SKETCH_SLACK = 0.2
 SKETCH_BLOCK, TEXT_BLOCK = 1024, 256
 HASH_SEED = 7
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def prefix_length(trees: int = TREES, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
     """Shorten the prefix until ``trees`` tries find a pair at the threshold with the target recall."""
-    for depth in range(LONGEST_PREFIX, 0, -1):
+    for depth in range(LONGEST, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= target:
             return depth
     return 1
 
 
-def node_of(text: Column) -> Column:
-    """The node of a text: a 64-bit hash of its words in order; null for a text without words."""
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
-    return F.when(plain != "", F.xxhash64(plain))
+def trees_to_shorten(depth: int, trees: int = TREES, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
+    """In how many tries a node must shorten its prefix to ``depth`` for the target recall, whatever the others find."""
+    return next((k for k in range(1, trees) if 1 - (1 - threshold**depth) ** k >= target), trees)
+
+
+def node_of(text: Column) -> list[Column]:
+    """What names the node of a text, 128 bits of its hash, as ``h1`` and ``h2``; null for a text without words."""
+    plain = F.when(text.rlike(WORD), text)
+    return [F.when(plain.isNotNull(), F.xxhash64(plain)).alias("h1"), F.when(plain.isNotNull(), F.xxhash64(F.lit(HASH_SEED), plain)).alias("h2")]
 
 
 class _WordHash(dict):
@@ -80,24 +89,33 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 class Signer:
-    """MinHash signatures of shingle sets: ``trees`` groups of ``depth`` minima of linear 32-bit hashes."""
+    """MinHash signatures of shingle sets: ``trees`` groups of ``depth`` minima of one permutation.
+
+    The range of hashes is cut into as many bins as minima are wanted, and a bin's minimum is that of the shingles in it.
+    An empty bin takes the minimum of a linear hash of its own over the whole set.  Either way two sets agree in a bin with the
+    probability of their similarity.
+    """
 
     def __init__(self, trees: int, depth: int):
         self.trees, self.depth, k = trees, depth, trees * depth
         rng = np.random.default_rng(HASH_SEED + 1)
+        self.bounds = np.array([(i << 64) // k for i in range(k)], np.uint64)
         self.a = (rng.integers(0, 2**32, k, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
         self.b = rng.integers(0, 2**32, k, dtype=np.uint64).astype(np.uint32)
-        self.buffer = np.empty((64, k), np.uint32)
 
     def minima(self, shingle_set: np.ndarray) -> np.ndarray:
-        x = (shingle_set & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        out = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
-        for i in range(0, len(x), 64):
-            part = x[i : i + 64, None]
-            held = self.buffer[: len(part)]
-            np.multiply(part, self.a, out=held)
-            np.add(held, self.b, out=held)
-            np.minimum(out, np.minimum.reduce(held, axis=0), out=out)
+        at = np.searchsorted(shingle_set, self.bounds)
+        full = np.diff(np.r_[at, len(shingle_set)]) > 0
+        low = shingle_set.astype(np.uint32)
+        out = np.empty(len(self.a), np.uint32)
+        out[full] = low[at[full]]
+        empty = np.flatnonzero(~full)
+        step = max(1, 32768 // len(low))
+        for i in range(0, len(empty), step):
+            e = empty[i : i + step]
+            held = low[None] * self.a[e, None]
+            held += self.b[e, None]
+            out[e] = np.minimum.reduce(held, axis=1)
         return out
 
     def prefixes(self, minima: np.ndarray) -> list[int]:
@@ -106,21 +124,28 @@ class Signer:
         return [xxhash.xxh3_64_intdigest(data[t * step : t * step + step], seed=t) - 2**63 for t in range(self.trees)]
 
 
+def tail_at(tree: int, depth: int) -> int:
+    """Where in the sketch the minima begin that lengthen a tree's prefix: not among its own."""
+    return (tree + 1) * depth % (SKETCH - SKETCH % depth)
+
+
 def _sign(trees: int, depth: int, size: int):
+    """Columns h1, h2, text: signatures; rows whose node the task has signed are left out."""
+
     def run(batches):
-        signer = Signer(trees, depth)
-        last: dict[int, tuple] = {}  # copies often follow each other
+        signer, done = Signer(trees, depth), set()
         for batch in batches:
-            keys, sketches = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if node not in last:
-                    if len(last) > 2000:
-                        last.clear()
-                    minima = signer.minima(shingles(text.as_py(), size))
-                    last[node] = (signer.prefixes(minima), (minima[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes())
-                keys.append(last[node][0])
-                sketches.append(last[node][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "keys", "sketch"])
+            first, keys, sketches = [], [], []
+            names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for i, name in enumerate(names):
+                if name not in done:
+                    done.add(name)
+                    minima = signer.minima(shingles(batch.column(2)[i].as_py(), size))
+                    first.append(i)
+                    keys.append(signer.prefixes(minima))
+                    sketches.append(minima[:SKETCH].astype(np.uint8).tobytes())
+            h1, h2 = (batch.column(k).take(pa.array(first, pa.int32())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([h1, h2, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["h1", "h2", "keys", "sketch"])
 
     return run
 
@@ -180,8 +205,30 @@ def _paired(mine: np.ndarray, i: int, j: int) -> np.ndarray | None:
     return None if i == j else mine[:, None] != mine[None, :]
 
 
-def _candidates(least: float):
-    """Columns bucket, i, j, mine, node, sketch: the forest of pairs in a bucket whose sketches agree enough."""
+def meeting(sketch: np.ndarray, tail: np.ndarray, long: np.ndarray, least: float) -> np.ndarray:
+    """Boolean matrix of the pairs that meet in a branch of a trie and whose sketches agree enough.
+
+    ``long``: who keeps the long prefix, of which ``tail`` is the rest.
+    """
+    n = len(sketch)
+    hit = np.zeros((n, n), bool)
+    agree = lambda rows, cols: (sketch[rows][:, None] == sketch[cols][None]).sum(axis=2) >= least * SKETCH
+    short, every = np.flatnonzero(~long), np.arange(n)
+    for r in range(0, len(short), 64):
+        hit[short[r : r + 64]] = agree(short[r : r + 64], every)
+    kept = np.flatnonzero(long)
+    if len(kept):
+        order = kept[np.argsort(tail[kept], kind="stable")]
+        ends = np.flatnonzero(tail[order][1:] != tail[order][:-1]) + 1
+        for group in np.split(order, ends):
+            for r in range(0, len(group) if len(group) > 1 else 0, 64):
+                hit[np.ix_(group[r : r + 64], group)] = agree(group[r : r + 64], group)
+    hit |= hit.T
+    return hit
+
+
+def _candidates(least: float, depth: int):
+    """Columns bucket, i, j, mine, node, tree, long, sketch: the forest of pairs in a bucket that meet."""
 
     def run(batches):
         a, b = [], []
@@ -191,9 +238,9 @@ def _candidates(least: float):
                 continue
             node = group.column("node").to_numpy()
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
-            hit = np.empty((n, n), bool)
-            for r in range(0, n, 64):
-                hit[r : r + 64] = (sketch[r : r + 64, None] == sketch[None]).sum(axis=2) >= least * SKETCH
+            at = tail_at(group.column("tree")[0].as_py(), depth)
+            tail = np.ascontiguousarray(sketch[:, at : at + LONGEST - depth]).view(f"S{LONGEST - depth}").ravel() if depth < LONGEST else np.zeros(n, "S1")
+            hit = meeting(sketch, tail, group.column("long").to_numpy(zero_copy_only=False).astype(bool), least)
             pairs = _paired(group.column("mine").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py())
             if pairs is not None:
                 hit &= pairs
@@ -239,8 +286,19 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return hit
 
 
-def _verify(threshold: float, size: int):
-    """Columns comp, i, j, mine, node, copies, text: each node's links in this task and the root of its forest."""
+def _pack_shingles(size: int):
+    """Columns node, comp, n, copies, text: the text becomes its packed shingle set."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(x.as_py(), size).tobytes() for x in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["node", "comp", "n", "copies", "shingles"])
+
+    return run
+
+
+def _verify(threshold: float):
+    """Columns comp, i, j, mine, node, copies, shingles: each node's links in this task and the root of its forest."""
 
     def run(batches):
         for group in _groups(batches, 3):
@@ -248,7 +306,7 @@ def _verify(threshold: float, size: int):
             if n < 2:
                 continue
             node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
-            hit = similar([shingles(x.as_py(), size) for x in group.column("text")], threshold)
+            hit = similar([np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], threshold)
             pairs = _paired(group.column("mine").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py())
             if pairs is not None:
                 hit &= pairs
@@ -262,41 +320,45 @@ def _verify(threshold: float, size: int):
 
 
 def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """One row per node: node, class_node, copies, links, first_id and class_id.
+    """One row per node: h1, h2, node, class_node, copies, links, first_id and class_id.
 
     ``class_node`` is the least node of the nodes joined by links of at least ``threshold``, ``copies`` the rows of the node,
     ``links`` the other rows it is similar to, ``class_id`` the least doc_id of the class (null if all are null).
     """
     depth = prefix_length(trees, threshold, target_recall)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), F.col("text").cast("binary").alias("text")).where("node is not null")
-    nodes = cut(rows.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")), "nodes")
-    signed = cut(rows.select("node", "text").mapInArrow(_sign(trees, depth, size), "node long, keys array<long>, sketch binary"), "signatures")
-
-    # Copies in different places were signed alike; each task drops its own before the shuffle.
-    entries = signed.select("node", F.explode("keys").alias("bucket")).distinct()
-    entries = cut(entries, "entries")
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    # Most trees find the same few members; one bucket of each set is enough.
-    distinct = buckets.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = cut(entries.join(distinct, "bucket"), "members")
-    wanted = members.select("node").distinct()
-    sketches = signed.select("node", "sketch").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
-    tasks = dealt(members.join(sketches, "node"), "bucket", "n", "node", SKETCH_BLOCK).select("bucket", "i", "j", "mine", "node", "sketch")
-    found = connected_components(tasks.mapInArrow(_candidates(threshold - SKETCH_SLACK), "a long, b long"))
+    most_long = trees - trees_to_shorten(depth, trees, threshold, target_recall)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *node_of(text), text.cast("binary").alias("text")).where("h1 is not null")
+    counts = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
+    signed = rows.select("h1", "h2", "text").mapInArrow(_sign(trees, depth, size), "h1 long, h2 long, keys array<long>, sketch binary")
+    signed = signed.groupBy("h1", "h2").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))  # copies have equal signatures
+    # The numbers of nodes are settled by writing them.
+    nodes = cut(counts.join(signed, ["h1", "h2"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    entries = nodes.select("node", F.posexplode("keys").alias("tree", "bucket"))
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.first("tree").alias("tree")).where("n > 1")
+    # Most trees find the same few members; one bucket of each set is enough, standing for ``same`` trees.
+    once = buckets.groupBy("n", "members").agg(F.min_by(F.struct("bucket", "tree"), "bucket").alias("b"), F.count(F.lit(1)).alias("same"))
+    members = entries.select("node", "bucket").join(once.select("b.bucket", "b.tree", "n", "same"), "bucket")
+    # A node has at most as many rows as there are trees.
+    crowded = Window.partitionBy("node").orderBy(F.desc("n"), "bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    members = cut(members.withColumn("long", F.sum("same").over(crowded) <= most_long).drop("same"), "members")
+    # Where nobody shortened the prefix only the long ones can meet; all rows are needed for that.
+    sketches = nodes.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi")
+    tasks = dealt(members.join(sketches, "node"), "bucket", "n", "node", SKETCH_BLOCK).select("bucket", "i", "j", "mine", "node", "tree", "long", "sketch")
+    found = connected_components(tasks.mapInArrow(_candidates(threshold - SKETCH_SLACK, depth), "a long, b long"))
 
     sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    texts = rows.join(found.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    whole = found.join(sizes, "comp").join(nodes.select("node", "copies"), "node").join(texts, "node")
-    verify = dealt(whole, "comp", "n", "node", TEXT_BLOCK).select("comp", "i", "j", "mine", "node", "copies", "text")
-    links = cut(verify.mapInArrow(_verify(threshold, size), "node long, links long, root long"), "links")
+    wanted = cut(found.join(sizes, "comp").join(nodes.select("node", "h1", "h2", "copies"), "node"), "wanted")
+    texts = rows.select("h1", "h2", "text").join(wanted.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    whole = wanted.join(texts, ["h1", "h2"]).select("node", "comp", "n", "copies", "text").mapInArrow(_pack_shingles(size), "node long, comp long, n long, copies long, shingles binary")
+    verify = dealt(whole, "comp", "n", "node", TEXT_BLOCK).select("comp", "i", "j", "mine", "node", "copies", "shingles")
+    links = cut(verify.mapInArrow(_verify(threshold), "node long, links long, root long"), "links")
     classes = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = nodes.join(counted, "node", "left").join(classes.withColumnRenamed("comp", "class_node"), "node", "left")
-    joined = cut(
-        joined.select("node", "copies", "first_id", F.coalesce("class_node", "node").alias("class_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")),
-        "classes",
-    )
+    joined = nodes.select("h1", "h2", "node", "copies", "first_id").join(counted, "node", "left").join(classes.withColumnRenamed("comp", "class_node"), "node", "left")
+    joined = cut(joined.withColumns({"class_node": F.coalesce("class_node", "node"), "links": F.coalesce("links", F.lit(0)) + F.col("copies") - 1}), "classes")
     first = joined.groupBy("class_node").agg(F.min("first_id").alias("class_id"))
     return joined.join(first, "class_node")
 
@@ -306,13 +368,13 @@ def ngram_join(docs: DataFrame, **options) -> DataFrame:
 
     Rows are similar if their sets of five-word shingles are (a text of one to four words is one shingle).  Texts
     without words, null ones too, are similar to nothing: their class is their own doc_id.  Repeated rows are copies
-    of each other and each get a row.  Other columns are ignored.
+    of each other and each get a row.  Other columns are ignored; an empty table gives no rows.
     """
-    classes = similar_classes(docs, **options).select("node", "class_id", "links")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"))
-    return rows.join(classes, "node", "left").select(
+    classes = similar_classes(docs, **options).select("h1", "h2", "class_id", "links")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *node_of(F.col("text").cast("string")))
+    return rows.join(classes, ["h1", "h2"], "left").select(
         "doc_id",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
     )
 
@@ -320,18 +382,16 @@ def ngram_join(docs: DataFrame, **options) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of every class the one with the least doc_id (nulls last); texts without words all stay.
 
-    Of rows with that doc_id and the same words one stays.
+    Of rows with that doc_id and the same text one stays.  Columns may have any names.
     """
     classes = similar_classes(docs, **options)
-    best = classes.groupBy("class_node").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("best"))
-    stay = best.select(F.col("best.node").alias("keep_node"), F.col("best.first_id").alias("keep_id"))
+    best = classes.groupBy("class_node").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "h1", "h2")).alias("best"))
+    stay = best.select(F.col("best.h1").alias("keep_h1"), F.col("best.h2").alias("keep_h2"), F.col("best.first_id").alias("keep_id"))
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), node_of(F.col("text")).alias("node"))
-    from pyspark.sql import Window
-
-    kept = rows.join(stay, (F.col("node") == F.col("keep_node")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
-    one = kept.withColumn("nth", F.row_number().over(Window.partitionBy("node", "id").orderBy("id"))).where("nth = 1")
-    out = one.select("row").unionByName(rows.where("node is null").select("row"))
+    rows = docs.select(F.struct(*[named(c) for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), *node_of(F.col("text").cast("string")))
+    kept = rows.join(stay, (F.col("h1") == F.col("keep_h1")) & (F.col("h2") == F.col("keep_h2")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    one = kept.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2", "id").orderBy("id"))).where("nth = 1")
+    out = one.select("row").unionByName(rows.where("h1 is null").select("row"))
     return out.select(*[F.col("row")[c].alias(c) for c in names])
 
 
