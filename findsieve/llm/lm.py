@@ -519,14 +519,17 @@ def lm_scores(docs: DataFrame, held_out_remainder_is: int | None = HELD_OUT, pri
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_words, n_pairs = max(1, -(-size // (range_bytes * WORD_RANGE_BYTES // RANGE_BYTES))), max(1, -(-size // range_bytes))
+    n_parts = 2 * max(1, -(-size // part_bytes))
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), text.alias("text")).mapInArrow(_read(part_bytes), READ_DDL)
-    told = parts.groupBy("part").applyInArrow(_ask_words(n_words), ASK_WORDS_DDL).groupBy("range").applyInArrow(_tell_words(n_words), TOLD_WORDS_DDL)
-    # Grouped as below, so that both read one exchange.
+    # Tasks grow in number with the text, so that each has a few parts or ranges.
+    parts = parts.repartition(n_parts, "part")
+    told = parts.groupBy("part").applyInArrow(_ask_words(n_words), ASK_WORDS_DDL).repartition(n_words, "range").groupBy("range").applyInArrow(_tell_words(n_words), TOLD_WORDS_DDL)
+    told = told.repartition(n_parts, "part")
     totals = told.groupBy("part").applyInArrow(_totals, "n_words long, n_distinct long").agg(F.sum("n_words").alias("n_words"), F.sum("n_distinct").alias("n_distinct"))
     asked = parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_ask_pairs(n_words, n_pairs), ASK_PAIRS_DDL)
     asked = asked.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one").drop("one")  # one row
-    answers = asked.groupBy("range").applyInArrow(_tell_pairs(prior), TOLD_PAIRS_DDL)
-    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score(n_pairs, prior), SCORE_DDL)
+    answers = asked.repartition(n_pairs, "range").groupBy("range").applyInArrow(_tell_pairs(prior), TOLD_PAIRS_DDL)
+    return parts.groupBy("part").cogroup(answers.repartition(n_parts, "part").groupBy("part")).applyInArrow(_score(n_pairs, prior), SCORE_DDL)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

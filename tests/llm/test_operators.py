@@ -1,8 +1,10 @@
 """Each operator against a brute-force version on small documents with nulls, empties, ties and repeated rows."""
 
 import hashlib
+import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from findsieve.llm import ann, lm, mixing, ngram_join, packing, pii, quality, toxicity, urlfilter, warc
+from findsieve.llm.common import with_base
 from findsieve.llm.components import connected_components
 from tests.conftest import SF, canonical
 
@@ -84,7 +87,6 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    tok.encode_special_tokens = True
     rows = packing.pack(docs, with_ids=True).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
     bins = defaultdict(list)
@@ -163,6 +165,29 @@ def test_bins_are_as_full_as_can_be():
         assert sum((Counter({k: v * n for k, v in u.items()}) for n, u in bins), Counter()) == counts
 
 
+def test_one_length_for_all(spark, monkeypatch):
+    """A third of all rows and more may be of one length, full pieces among them."""
+    monkeypatch.setattr(packing, "RANK_GROUP", 8)
+    long = " ".join(WORDS * 20)
+    df = spark.createDataFrame([(i % 90, None if i % 2 else long) for i in range(300)], "doc_id long, text string")
+    rows = packing.pack(df).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        assert [o for o, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts))])[:-1].tolist() and sum(n for _, n in parts) <= packing.CAPACITY
+    # The first pieces of the long texts fill most of a sequence each, which has room for the short ones.
+    assert len(bins) == len({(r["doc_id"], r["piece"]) for r in rows if r["length"] > 1}) // len({r["doc_id"] for r in rows if r["length"] > 1}) * 150
+    assert packing.pack(df.where("false")).count() == 0
+
+
+def test_bases(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, g, int(n)) for k in "ab" for g, n in zip(rng.permutation(200)[:90].tolist(), rng.integers(1, 9, 90), strict=True)]
+    got = {(r["k"], r["grp"]): r["base"] for r in with_base(spark.createDataFrame(rows, "k string, grp long, n long"), ["k"], width=7).collect()}
+    assert got == {(k, g): sum(n for a, b, n in rows if a == k and b < g) for k, g, _ in rows}
+
+
 # 3 WARC
 
 
@@ -278,6 +303,51 @@ def test_more_disguises_are_restored():
     assert toxicity.restore_text(" ".join("ab" * 20000), model)
 
 
+def test_viterbi_finds_the_best_path():
+    """Against all paths through the lattice."""
+    rng = np.random.default_rng(9)
+    model = toxicity.CharModel({a + b + c: int(rng.integers(1, 9)) for a in "\x02aeils" for b in "\x02aeilst" for c in "aeilst\x02"})
+
+    def total(path):
+        context, score, text = toxicity.EDGE * 2, 0.0, ""
+        for char, cost in path:
+            score += cost + (model.step(context, char) if char else 0.0)
+            context, text = (context + char)[-2:], text + char
+        return score + model.step(context, toxicity.EDGE), text
+
+    for _ in range(300):
+        word = "".join(rng.choice(list("aeilst1@$!.|3"), rng.integers(1, 8)))
+        best = max(total(p)[0] for p in itertools.product(*toxicity.choices(word)))
+        texts = {t for s, t in map(total, itertools.product(*toxicity.choices(word))) if s > best - 1e-9}
+        assert toxicity.viterbi(word, model) in texts
+
+
+def test_suspects_are_those_of_the_plain_pattern():
+    plain = re.compile(r"[^\W\d_].*[\d@$!|+(€.\-_*'’·]|[\d@$!|+(€.\-_*'’·].*[^\W\d_]|([^\W\d_])\1|[@$!|+(€].*[\d@$!|+(€]|\d.*[@!|]")
+    rng = np.random.default_rng(10)
+    for _ in range(4000):
+        word = "".join(rng.choice(list("ab1@.|-é("), rng.integers(1, 5)))
+        assert toxicity.suspect(word) == bool(plain.search(word)), word
+
+
+def test_one_long_word_takes_linear_time():
+    model = toxicity.CharModel({"abc": 3, "bcd": 2})
+    for word in ("a" * 100_000, "ab" * 50_000, "1" * 100_000, "a.b." * 25_000, "a b " * 25_000, "漢" * 100_000):
+        start = time.process_time()
+        toxicity.restore_text(word, model)
+        assert time.process_time() - start < 15
+
+
+def test_toxicity_of_nothing(spark, empty):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity(empty, labels).count() == 0
+    docs = spark.createDataFrame([(None, None, 1), (5, "", 2), (5, "", 2)], "doc_id long, text string, `sc``ore` int")
+    got = toxicity.toxicity(docs, labels.where("false")).collect()
+    assert len(got) == 3 and {r["score"] for r in got} == {0.5}
+    kept = toxicity.reject_toxic(docs, toxicity.Model({}, {}, [0.0] * 4 + [-1.0]))
+    assert kept.columns == docs.columns and kept.count() == 3
+
+
 def test_trigrams_are_of_all_documents(spark):
     rng = np.random.default_rng(11)
     letters = [chr(c) for c in range(0x3B1, 0x3C9) if chr(c).islower()] + list("abcdefghijklmnopqrstuvwxyz")
@@ -377,6 +447,63 @@ def test_prefix_reaches_the_target():
     assert recall(d) >= ngram_join.TARGET_RECALL > recall(d + 1)
 
 
+def test_enough_prefixes_are_shortened():
+    d = ngram_join.prefix_length()
+    k = ngram_join.trees_to_shorten(d)
+    recall = lambda n: 1 - (1 - ngram_join.THRESHOLD**d) ** n
+    assert recall(k) >= ngram_join.TARGET_RECALL > recall(k - 1) and k < ngram_join.TREES
+
+
+def test_signatures_agree_as_sets_do():
+    rng = np.random.default_rng(11)
+    signer = ngram_join.Signer(50, 8)
+    for n in (1, 4, 30, 300, 1500):
+        agree, similar = [], []
+        for _ in range(40):
+            pool = rng.integers(0, 2**64, n + n // 4 + 1, dtype=np.uint64)
+            a, b = (np.sort(x) for x in (pool[:n], np.r_[pool[: n - n // 8], pool[n : n + n // 8]]))
+            agree.append((signer.minima(a) == signer.minima(b)).mean())
+            similar.append(len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+        assert abs(np.mean(agree) - np.mean(similar)) < 0.015
+
+
+def test_who_meets_in_a_branch():
+    rng = np.random.default_rng(12)
+    sketch = rng.integers(0, 3, (70, ngram_join.SKETCH)).astype(np.uint8)
+    sketch[10:40] = sketch[0]
+    sketch[rng.random(sketch.shape) < 0.1] = 7
+    tail, long = np.array([b"a", b"b"])[rng.integers(0, 2, 70)], rng.random(70) < 0.6
+    hit = ngram_join.meeting(sketch, tail, long, 0.6)
+    for i in range(70):
+        for j in range(70):
+            if i != j:
+                want = (sketch[i] == sketch[j]).mean() >= 0.6 and (not (long[i] and long[j]) or tail[i] == tail[j])
+                assert hit[i, j] == want
+
+
+def test_measured_recall(spark):
+    """Links of all rows whose id is divisible by 50 to all others, against exact sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = words(r["text"])
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(docs).collect()}
+    found = wanted = 0
+    for d in (x for x in sets if x % 50 == 0):
+        near = [e for e in sets if e != d and sets[d] and sets[e] and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e]) - 1e-9]
+        wanted += len(near)
+        found += got[d][1]
+        assert all(got[e][0] == got[d][0] for e in near)
+    assert wanted > 0 and found / wanted >= 0.99 and found <= wanted
+
+
+def test_join_keeps_any_names(spark):
+    df = spark.createDataFrame([(1, "a b c", 1), (2, "a b c", 2), (3, None, 3)], "doc_id long, text string, `x``y` int").withColumns({"h1": F.lit(1), "node": F.lit("n")})
+    out = ngram_join.keep_one_of_each(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
 def test_join_and_components_of_nothing(spark, empty):
     assert ngram_join.ngram_join(empty).count() == 0
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -437,8 +564,9 @@ def brute_spans(text):
 def test_spans_match_the_plain_patterns():
     rng = np.random.default_rng(7)
     bits = ["a@b.c", "@", "x.y@z-1.de@q.r", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+", " ", "\n", "é", "12", "-", ".", "zz", "5500000000000004", "1.1.1.1.1"]
-    for _ in range(4000):
-        text = "".join(rng.choice(bits, rng.integers(0, 9)))
+    bits += ["+1(2)3(4)5(6)7(8)9", "(", ")", "1", "+4", "(0)"]
+    for _ in range(8000):
+        text = "".join(rng.choice(bits, rng.integers(0, 12)))
         assert [s[:3] for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS] == brute_spans(text), repr(text)
 
 
@@ -447,9 +575,23 @@ def test_checksums_and_context():
     kinds = lambda t: [s[0] for s in pii.find_spans(t)]
     assert "iban" in kinds("IBAN DE89 3704 0044 0532 0130 00.") and "iban" not in kinds("DE89 3704 0044 0532 0130 01")
     assert kinds("ssn 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    assert kinds("serial DE89370400440532013000") == [] and kinds("serial, bank account DE89370400440532013000") == ["iban"]
     assert pii.score_span("call +1 555 0100 99", "phone", 5, 19) > pii.score_span("x +1 555 0100 99", "phone", 2, 16)
 
 
+def test_patterns_take_linear_time():
+    for text in ("1" * 200_000, "1." * 100_000, "+1" + " (" * 100_000, "a" * 200_000 + "@", "@" + "a-" * 100_000, "+" * 200_000, "A" * 200_000, "1 " * 100_000):
+        start = time.process_time()
+        pii.find_spans(text)
+        assert time.process_time() - start < 2
+
+
+def test_redaction_with_any_names(spark):
+    df = spark.createDataFrame([(1, "a@b.cc", 5, "x")], "doc_id long, text string, spans int, `a``b c.d` string").withColumn("_spans", F.lit(1))
+    out = pii.redact_documents(df)
+    assert out.columns == df.columns and out.first()["text"] == "[EMAIL]"
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     out = pii.redact_documents(docs)
     assert out.columns == docs.columns
@@ -463,13 +605,13 @@ def test_redaction_keeps_rows_and_columns(docs):
 
 
 def test_pii_digest(spark, docs):
-    out = pii.detect(docs).mapInArrow(pii._digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").collect()
+    out = pii.detect(docs).mapInArrow(pii._digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string").collect()
     assert len(out) == len(odd_rows())
     for r in out:
         if r["doc_id"] == 13:
             text = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(odd_rows()[13][1]))
             assert r["spans"].startswith(text) and r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-            assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1)
+            assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1) and r["scores"] == "0.90,0.60,0.90,0.50"
 
 
 # 9 language model
