@@ -1,7 +1,7 @@
 """A training corpus from documents: five stages, each one of the operators of ``findsieve.llm``.
 
 Every stage gets what the one before it kept, written as Parquet in between.  All but the last return the columns
-of documents.
+of documents, whatever further columns there are and whatever they are called; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -10,28 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findsieve.llm import mixing, ngram_join, packing, pii, toxicity
-from findsieve.llm.common import cut, table
+from findsieve.llm.common import cut, named, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labels of those still there, doesn't reject."""
+    """Documents that the toxicity model, trained on the labels of those still there, doesn't reject.
+
+    Null and empty texts stay unless most labelled rows are toxic; equal texts fare alike.
+    """
     return toxicity.reject_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies."""
+    """One document of every group of near copies, that with the least id; null texts and those without words all stay."""
     return ngram_join.keep_one_of_each(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind."""
+    """All documents, personal data in their texts replaced by its kind; null texts stay null."""
     return pii.redact_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the budgets of their leaves take them, in whole."""
+    """Documents as often as the budgets of their leaves take them, in whole; those without words are never taken.
+
+    Null languages and sources count as empty ones.  Where a budget ends among rows of one id and size, any of them are taken.
+    """
     names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    row = F.struct(*[named(c) for c in names])
     tokens = mixing.token_count(F.col("text"))
     rows = docs.select(
         row.alias("row"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), tokens.alias("tokens")
@@ -40,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens; repeated rows are packed each for itself."""
     return packing.pack(docs)
 
 
