@@ -1,13 +1,15 @@
 """Nearest neighbours by a block matrix join with int8 tiles and exact recomputation.
 
-Queries and candidates are dealt into blocks; a task takes one block of each.  It multiplies int8 codes (as float32,
-in which such sums are exact), bounds the error of every product by the norms of what rounding left over, and
-recomputes in double precision only the pairs whose upper bound reaches the k-th best lower bound.  Each task keeps the
-k best of a query; the heaps of all tasks are merged by a window that Spark limits before the shuffle.
+Vectors are quantised once.  Queries and candidates are dealt into blocks of int8 codes; a task takes one block of each, multiplies the
+codes exactly, and bounds the error of every product by the norms of what rounding left over.  Pairs whose upper bound
+reaches the k-th best lower bound survive, first in their block, then over all blocks.  Survivors fetch the vectors, are recomputed in
+double precision, and the best of each query are merged by bounded heaps.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +21,8 @@ K = 20
 EVERY = 20
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 32768
 TILE_QUERIES, TILE_CANDIDATES = 256, 8192
-RESULT = "query_id long, vec_id long, score double"
+#: Components whose products of codes a float32 adds up without rounding: 127 * 127 * 1024 is below 2**24.
+EXACT = 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -38,68 +41,105 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales, norms of what the codes stand for, norms of what they leave over (rounded up)."""
-    scale = np.abs(x).max(axis=1) / 127
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
-    stands = codes * scale[:, None]
-    up = 1 + 1e-9
-    return codes, scale, np.linalg.norm(stands, axis=1) * up, np.linalg.norm(x - stands, axis=1) * up
-
-
-def nearest_in_block(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int):
-    """(query, candidate, score) of the k nearest candidates of each query, ties to smaller ids; exact."""
-    # Of equal vectors only the k + 1 smallest ids can be among the k nearest of anything.
-    _, group = np.unique(c, axis=0, return_inverse=True)
-    order = np.lexsort((c_id, group.ravel()))
-    g = group.ravel()[order]
-    first = np.r_[True, g[1:] != g[:-1]]
-    rank = np.arange(len(g)) - np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
-    keep = np.sort(order[rank <= k])
-    c_id, c = c_id[keep], c[keep]
-    q8, qs, qn, qr = quantise(q)
-    c8, cs, cn, cr = quantise(c)
-    cf, whole = c8.astype(np.float32), cn + cr
+    scale = np.maximum(np.abs(x).max(axis=1) / 127, np.finfo(np.float64).tiny)
+    inner = x / scale[:, None]  # in units of the scale, as squares of the vector may be too small for a float
+    codes = np.rint(inner).astype(np.int8)
+    up, rounded = 1 + 1e-9, 2e-14 * np.sqrt(x.shape[1])
+    return codes, scale, scale * np.linalg.norm(codes.astype(np.float64), axis=1) * up, scale * (np.linalg.norm(inner - codes, axis=1) * up + rounded)
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All inner products of the rows of two matrices of int8 codes, exact at any width."""
+    out = np.zeros((len(a), len(b)))
+    for d in range(0, a.shape[1], EXACT):
+        out += a[:, d : d + EXACT].astype(np.float32) @ b[:, d : d + EXACT].astype(np.float32).T
+    return out
+
+
+def survivors(q_id: np.ndarray, q: tuple, c_id: np.ndarray, c: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the candidate, lower bound, upper bound) of the pairs that may be among a query's k nearest.
+
+    ``q`` and ``c`` are what ``quantise`` gives.  A query's own id is no candidate.
+    """
+    (q8, qs, qn, qr), (c8, cs, cn, cr) = q, c
+    rounding = 1e-12 + q8.shape[1] * 2.0**-51  # of the bounds and of the exact scores they are held against
     out = []
-    for a in range(0, len(q), TILE_QUERIES):
-        ids = q_id[a : a + TILE_QUERIES]
-        m = len(ids)
-        qf = q8[a : a + m].astype(np.float32)
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * m
-        floor = np.full(m, -np.inf)  # the k-th best score so far
-        for b in range(0, len(c), TILE_CANDIDATES):
+    for a in range(0, len(q8), TILE_QUERIES):
+        m = slice(a, a + TILE_QUERIES)
+        ids = q_id[m]
+        floor = np.full(len(ids), -np.inf)  # the k-th best lower bound so far
+        best = np.full((len(ids), k), -np.inf)
+        kept = []
+        for b in range(0, len(c8), TILE_CANDIDATES):
             t = slice(b, b + TILE_CANDIDATES)
-            about = (qf @ cf[t].T).astype(np.float64) * qs[a : a + m, None] * cs[None, t]
-            slack = qn[a : a + m, None] * cr[None, t] + qr[a : a + m, None] * whole[None, t] + 1e-12
+            about = products(q8[m], c8[t]) * qs[m, None] * cs[None, t]
+            whole = qn[m, None] + qr[m, None]
+            slack = qn[m, None] * cr[None, t] + qr[m, None] * (cn + cr)[None, t] + rounding * whole * (cn + cr)[None, t]
             own = ids[:, None] == c_id[None, t]
             low = np.where(own, -np.inf, about - slack)
-            if low.shape[1] > k:
-                floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
-            alive = (about + slack >= floor[:, None]) & ~own
-            for r in np.flatnonzero(alive.any(axis=1)):
-                hit = np.flatnonzero(alive[r]) + b
-                score = np.add.reduce(q[a + r] * c[hit], axis=1)
-                s, i = np.r_[best[r][0], score], np.r_[best[r][1], c_id[hit]]
-                top = np.lexsort((i, -s))[:k]
-                best[r] = (s[top], i[top])
-                if len(top) == k:
-                    floor[r] = max(floor[r], s[top][-1])
-        for r in range(m):
-            out.append((np.full(len(best[r][1]), ids[r]), best[r][1], best[r][0]))
+            best = np.partition(np.concatenate([best, low], axis=1), -k, axis=1)[:, -k:]
+            floor = best[:, 0]
+            r, i = np.nonzero((about + slack >= floor[:, None]) & ~own)
+            kept.append((r, i + b, low[r, i], (about + slack)[r, i]))
+        r, i, low, high = (np.concatenate(x) for x in zip(*kept, strict=True))
+        last = high >= floor[r]
+        out.append((r[last] + a, i[last], low[last], high[last]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _matrix(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = part.column("vec_id").to_numpy()
-    flat = part.column("embedding").combine_chunks()
-    values = flat.flatten().to_numpy(zero_copy_only=False)
-    return ids, values.reshape(len(ids), -1)
+CODES_DDL = "vec_id long, row long, code binary, scale double, norm double, rest double"
+
+
+def _encode(batches):
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            codes, *rest = quantise(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, rest)], [x.split()[0] for x in CODES_DDL.split(", ")])
+
+
+def _block(part: pa.Table) -> tuple:
+    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.int8).reshape(part.num_rows, -1)
+    return codes, *(part.column(x).to_numpy() for x in ("scale", "norm", "rest"))
+
+
+FOUND_DDL = "query_id long, row long, low double, high double"
 
 
 def _search(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         if not queries.num_rows or not candidates.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        a, b, s = nearest_in_block(*_matrix(queries), *_matrix(candidates), k)
-        return pa.table({"query_id": a, "vec_id": b, "score": s})
+            return pa.table({x.split()[0]: pa.array([], pa.int64() if "long" in x else pa.float64()) for x in FOUND_DDL.split(", ")})
+        q_id = queries.column("vec_id").to_numpy()
+        a, b, low, high = survivors(q_id, _block(queries), candidates.column("vec_id").to_numpy(), _block(candidates), k)
+        return pa.table({"query_id": q_id[a], "row": candidates.column("row").to_numpy()[b], "low": low, "high": high})
+
+    return run
+
+
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
+def _merge(k: int):
+    """Exact scores of a query's survivors, a batch of them at a time; a heap keeps the k best."""
+
+    def run(query: pa.Table, found: pa.Table) -> pa.Table:
+        best: list[tuple[float, int]] = []
+        if query.num_rows:
+            q = np.array(query.column("embedding")[0].as_py(), np.float64)
+            for batch in found.to_batches(max_chunksize=8192):
+                x = batch.column(batch.schema.names.index("embedding")).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                scores = np.add.reduce(q * x, axis=1).tolist()
+                ids = batch.column(batch.schema.names.index("vec_id")).to_pylist()
+                for item in zip(scores, (-i for i in ids), strict=True):
+                    if len(best) < k:
+                        heapq.heappush(best, item)
+                    elif item > best[0]:
+                        heapq.heapreplace(best, item)
+        best.sort(reverse=True)
+        n = len(best)
+        name = query.column("vec_id")[0].as_py() if query.num_rows else 0
+        return pa.table({"query_id": np.full(n, name, np.int64), "rank": np.arange(1, n + 1, dtype=np.int32), "vec_id": np.array([-i for _, i in best], np.int64), "score": np.array([s for s, _ in best], np.float64)})
 
     return run
 
@@ -108,18 +148,32 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows by inner product of every row whose id ``every`` divides.
 
     A query's own id is no candidate.  Ties go to the smaller id; repeated candidate rows each count, of rows that repeat
-    a query's id the one with the least vector asks.  With fewer candidates than ``k`` all are returned.
+    a query's id the one with the least vector asks.  With fewer candidates than ``k`` all are returned.  Null, zero and broken
+    vectors take no part; an empty table gives no rows.  Other columns are ignored.
     """
-    rows = cut(usable(vectors), "vectors")
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n_q = -(-rows.where(F.col("vec_id") % every == 0).count() // QUERY_BLOCK) or 1
-    n_c = -(-rows.count() // CANDIDATE_BLOCK) or 1
-    part = lambda n: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    asked = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"), "vec_id", "embedding")
-    held = rows.select(part(n_c).alias("c"), "vec_id", "embedding").select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), "c", "vec_id", "embedding")
-    found = asked.groupBy("q", "c").cogroup(held.groupBy("q", "c")).applyInArrow(_search(k), RESULT)
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # The rows are numbered by writing them.
+    rows = cut(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by("row", F.struct("embedding", "row")).alias("row"))
+    coded = rows.select("vec_id", "row", "embedding").mapInArrow(_encode, CODES_DDL)
+    # Of equal vectors only k + 1 ids, and k rows of an id, can be among the k nearest of anything, so copies are no burden.
+    same = [F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")]
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*same, "vec_id").orderBy("row"))).where(F.col("nth") <= k)
+    first = first.withColumn("nth", F.dense_rank().over(Window.partitionBy(*same).orderBy("vec_id"))).where(F.col("nth") <= k + 1).select("row")
+    coded = cut(coded.join(first.withColumn("candidate", F.lit(True)), "row", "left").join(queries.select("row", F.lit(True).alias("query")), "row", "left").where("candidate OR query"), "codes")
+    n_q = -(-coded.where("query").count() // QUERY_BLOCK) or 1
+    n_c = -(-coded.where("candidate").count() // CANDIDATE_BLOCK) or 1
+    part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    columns = ("vec_id", "row", "code", "scale", "norm", "rest")
+    asked = coded.where("query").select(part(n_q).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"), *columns)
+    held = coded.where("candidate").select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), part(n_c).alias("c"), *columns)
+    found = cut(asked.groupBy("q", "c").cogroup(held.groupBy("q", "c")).applyInArrow(_search(k), FOUND_DDL), "survivors")
+    # The k-th best lower bound over all blocks.
+    by = Window.partitionBy("query_id").orderBy(F.desc("low"), "row")
+    floor = found.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= k).groupBy("query_id").agg(F.min("low").alias("floor"), F.count(F.lit(1)).alias("n"))
+    last = found.join(floor, "query_id").where(F.when(F.col("n") < k, F.lit(True)).otherwise(F.col("high") >= F.col("floor")))
+    pairs = last.select("query_id", "row").join(rows.select("row", "vec_id", "embedding"), "row").drop("row")
+    whole = queries.select(F.col("vec_id").alias("query_id"), "row").join(rows.select("row", F.col("embedding")), "row").select(F.col("query_id").alias("vec_id"), "embedding")
+    return whole.groupBy("vec_id").cogroup(pairs.groupBy("query_id")).applyInArrow(_merge(k), RESULT)
 
 
 def op7_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -540,6 +540,28 @@ def test_nearest(spark, monkeypatch):
     assert canonical(got, list("abcd")) == canonical(want, list("abcd"))
 
 
+def test_products_and_bounds_of_wide_vectors():
+    """At widths beyond what one float32 sum holds exactly; bounds hold the scores."""
+    rng = np.random.default_rng(13)
+    for d in (3, 1040, 4096):
+        x = np.r_[rng.normal(size=(30, d)), np.full((2, d), 1.0), np.full((1, d), 1e-300)]
+        a = ann.quantise(x)
+        assert (ann.products(a[0], a[0]) == a[0].astype(np.int64) @ a[0].astype(np.int64).T).all()
+        ids = np.arange(33)
+        q, c, low, high = ann.survivors(ids, a, ids, a, 5)
+        score = (x[q] * x[c]).sum(axis=1)
+        assert (low <= score).all() and (score <= high).all()
+        for i in ids:
+            order = sorted((-float(np.add.reduce(x[i] * x[j])), j) for j in ids if j != i)[:5]
+            assert {j for _, j in order} <= set(c[q == i].tolist())
+
+
+def test_nearest_of_repeated_rows(spark):
+    rows = [(20, [1.0, 0.0])] * 40 + [(7, [1.0, 0.0])] * 2 + [(9, [0.5, 0.5])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect()
+    assert [tuple(r) for r in got] == [(20, 1, 7, 1.0), (20, 2, 7, 1.0), (20, 3, 9, 0.5)]
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(df).collect()] == [(0, 1, 1, 0.5)]
