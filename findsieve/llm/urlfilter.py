@@ -9,10 +9,12 @@ A host's margin is that of its own pages (share blocked less share allowed) plus
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, new_path, table
 
 #: (verdict, host, path prefix): fits the host and all its subdomains.
 RULES = (
@@ -23,8 +25,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-#: Rounds of the oracle.
-ROUNDS = 8
+#: Rounds of the oracle, by which a tolerance of a millionth is reached.
+ROUNDS = 100
 #: Iteration ends when no host's trust or distrust changes by more than this share of itself; looked at every so many rounds.
 TOLERANCE, LOOK_EVERY = 1e-6, 4
 #: A host is blocked if its margin is more than this; either part of the margin is from -1 to 1.
@@ -87,7 +89,12 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, dam
     into = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("deg"))
     forward = edges.join(out, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("t").alias("kind"), (1.0 / F.col("deg")).alias("w"))
     backward = edges.join(into, "dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit("d").alias("kind"), (1.0 / F.col("deg")).alias("w"))
-    steps = cut(forward.unionByName(backward), "edges")
+    # Written once in buckets by host, so that rounds shuffle the scores alone.
+    spark = edges.sparkSession
+    n, name, keys = int(spark.conf.get("spark.sql.shuffle.partitions")), f"link_steps_{uuid.uuid4().hex}", ("host", "kind")
+    both = forward.unionByName(backward).withColumnRenamed("a", "host").repartition(n, *keys)
+    both.write.bucketBy(n, *keys).sortBy(*keys).option("path", new_path(spark, "steps")).saveAsTable(name)
+    steps = spark.table(name)
     start = cut(
         seeds.select("host", F.lit("t").alias("kind"), F.col("trust").alias("seed"))
         .unionByName(seeds.select("host", F.lit("d").alias("kind"), F.col("distrust").alias("seed")))
@@ -95,7 +102,6 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, dam
         "seeds",
     )
     state = start.withColumnRenamed("seed", "score")
-    steps = steps.withColumnRenamed("a", "host")
     done = 0
     while done != rounds:
         last = state
@@ -106,6 +112,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, dam
             state = cut(state, "rank")
             if rounds is None and _settled(last, state):
                 break
+    state = cut(state, "ranks")
+    spark.sql(f"DROP TABLE {name}")
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
     return state.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
@@ -114,7 +122,8 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
     """One row per input row: page_id, host, path, rule, verdict.
 
     A null url, or one without ``://``, has empty host and path, fits no rule and is allowed.  Null html has no links.
-    A host's seed weights are the shares of its pages that rules allow and block.  Repeated rows each get a row.
+    A host's seed weights are the shares of its pages that rules allow and block.  Repeated rows each get a row; an empty
+    table gives none.  Other columns are ignored.
     """
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("m", rule_match(F.col("host"), F.col("path"), rules))
@@ -164,7 +173,9 @@ s AS (SELECT host, avg(CASE WHEN m LIKE 'allow%' THEN 1.0 ELSE 0.0 END) AS t, av
 start AS (SELECT host, 't' AS kind, t::DOUBLE AS seed FROM s WHERE t > 0 UNION ALL SELECT host, 'd', d FROM s WHERE d > 0),
 r0 AS (SELECT host, kind, seed AS score FROM start),
 {", ".join(rounds)},
-h AS (SELECT host, coalesce(sum(score) FILTER (kind = 'd'), 0) - coalesce(sum(score) FILTER (kind = 't'), 0) > {THRESHOLD} AS bad FROM r{ROUNDS} GROUP BY host)
+z AS (SELECT host, greatest(coalesce(sum(score) FILTER (kind = 't'), 0) - any_value(t), 0) AS lt, greatest(coalesce(sum(score) FILTER (kind = 'd'), 0) - any_value(d), 0) AS ld,
+  any_value(d) - any_value(t) AS own FROM s JOIN r{ROUNDS} USING (host) GROUP BY host),
+h AS (SELECT host, own + CASE WHEN lt + ld > 0 THEN (ld - lt) / (lt + ld) ELSE 0 END > {THRESHOLD} AS bad FROM z)
 SELECT page_id, j.host, path, split_part(m, ' ', 2) AS rule,
   CASE WHEN m IS NOT NULL THEN split_part(m, ' ', 1) WHEN h.bad THEN 'block' ELSE 'allow' END AS verdict
 FROM j LEFT JOIN h ON j.host = h.host
