@@ -11,6 +11,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,8 @@ from .common import new_path, table
 
 #: Payloads below this many bytes are always written whole.
 MIN_REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 2000
-DATE = "1970-01-01T00:00:00Z"
+#: Archives are read whole, so they hold at most so many records and, as far as a record is not larger, bytes of payload.
+RECORDS_PER_FILE, BYTES_PER_FILE = 2000, 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX, ID_SUFFIX = "<tag:archive.example,2024:page/", ">"
 CRLF = "\r\n"
@@ -30,28 +31,29 @@ READ_SCHEMA = "page_id long, uri string, record_type string, payload_bytes long,
 
 
 def payload_headers(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """page_id, payload_bytes and payload_digest of every row; the payload itself stays behind."""
+    """page_id, uri, payload_bytes and payload_digest of every row; the payload itself stays behind."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     return pages.select(
         F.col(page_id).cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("uri") if "url" in pages.columns else F.lit(None).cast("string").alias("uri"),
         F.octet_length(body).cast("long").alias("payload_bytes"),
         F.sha1(body).alias("payload_digest"),
     )
 
 
 def originals(headers: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """payload_digest and ``original``, the largest page_id, of every payload that occurs more than once."""
+    """payload_digest, ``original``, the largest page_id, and its uri, of every payload that occurs more than once."""
     return (
         headers.where(F.col("payload_bytes") >= min_bytes)
         .groupBy("payload_digest")
-        .agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("original"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("page_id", "uri")).alias("top"))
         .where(F.col("copies") > 1)
-        .select("payload_digest", "original")
+        .select("payload_digest", F.col("top.page_id").alias("original"), F.col("top.uri").alias("original_uri"))
     )
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """The revisit records among ``headers``: page_id, payload_digest and refers_to.
+    """The revisit records among ``headers``: page_id, payload_digest, refers_to and refers_uri.
 
     Headers meet their originals by payload digest.  A group of copies of any size costs one row for each
     task before the shuffle, and Spark splits a large one in the join.
@@ -61,7 +63,7 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) ->
     return (
         long.join(found, "payload_digest")
         .where(~F.col("page_id").eqNullSafe(F.col("original")))
-        .select("page_id", "payload_digest", F.col("original").alias("refers_to"))
+        .select("page_id", "payload_digest", F.col("original").alias("refers_to"), F.col("original_uri").alias("refers_uri"))
     )
 
 
@@ -73,15 +75,18 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit(ID_PREFIX), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(ID_SUFFIX))
 
 
-def record_text(page_id: Column, uri: Column, html: Column, digest: Column, refers_to: Column, date: str = DATE) -> Column:
+def _safe(uri: Column) -> Column:
+    """Control characters and spaces percent-encoded, so no header line can be broken."""
+    return F.regexp_replace(F.regexp_replace(uri, r"[\x00-\x1F\x7F]", "%0A"), " ", "%20")
+
+
+def record_text(page_id: Column, uri: Column, html: Column, digest: Column, refers_to: Column, refers_uri: Column, date: str) -> Column:
     """One WARC/1.1 record as a string, without the two line ends that follow it.
 
-    The block is an HTTP response header and, but for revisits, the payload.  Control characters and spaces in the
-    uri are percent-encoded, so no header line can be broken; a null uri leaves its line out.
+    The block is an HTTP response header and, but for revisits, the payload.  A null uri leaves its line out.
     """
     body = F.coalesce(html, F.lit(""))
     size = F.octet_length(body)
-    safe_uri = F.regexp_replace(F.regexp_replace(uri, r"[\x00-\x1F\x7F]", "%0A"), " ", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size.cast("string"), F.lit(END))
     revisit = refers_to.isNotNull()
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(size)
@@ -90,9 +95,12 @@ def record_text(page_id: Column, uri: Column, html: Column, digest: Column, refe
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         _line("WARC-Record-ID", _record_id(page_id)),
         _line("WARC-Date", F.lit(date)),
-        F.coalesce(_line("WARC-Target-URI", safe_uri), F.lit("")),
+        F.coalesce(_line("WARC-Target-URI", _safe(uri)), F.lit("")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
-        F.when(revisit, F.concat(_line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", _record_id(refers_to)))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(
+            _line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", _record_id(refers_to)),
+            F.coalesce(_line("WARC-Refers-To-Target-URI", _safe(refers_uri)), F.lit("")), _line("WARC-Refers-To-Date", F.lit(date)),
+        )).otherwise(F.lit("")),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", length.cast("string")),
         F.lit(CRLF),
@@ -101,22 +109,28 @@ def record_text(page_id: Column, uri: Column, html: Column, digest: Column, refe
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -> str:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str | None = None) -> str:
     """Write one record for each row of ``pages`` (page_id, url, html) as gzip archives below ``path``.
 
     Null html is an empty payload.  Rows with the largest page_id of a repeated payload are responses, also if
-    several rows have that id; a null page_id is smaller than any.  Other columns are ignored.
+    several rows have that id; a null page_id is smaller than any.  Rows of one id have one record id.  ``date`` is that of all
+    headers, by default the time of writing.  The larger the largest payload, the fewer records a file gets.  Other columns
+    are ignored; an empty table gives archives without records.
     """
-    revisits = resolve_revisits(payload_headers(pages), min_bytes).distinct().toDF("rid", "rdigest", "refers_to")
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    headers = payload_headers(pages)
+    largest = headers.agg(F.max("payload_bytes").alias("n")).first()["n"] or 1
+    per_file = max(1, min(RECORDS_PER_FILE, BYTES_PER_FILE // max(1, largest)))
+    revisits = resolve_revisits(headers, min_bytes).distinct().toDF("rid", "rdigest", "refers_to", "refers_uri")
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("uri"), F.col("html").alias("html"),
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("uri"), F.col("html").cast("string").alias("html"),
         F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest"),
     )
     # page_id is all but unique, so this join has no hot key.
     joined = rows.join(revisits, rows["page_id"].eqNullSafe(revisits["rid"]) & (rows["digest"] == revisits["rdigest"]), "left")
     (
-        joined.select(record_text(F.col("page_id"), F.col("uri"), F.col("html"), F.col("digest"), F.col("refers_to"), date).alias("value"))
-        .write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        joined.select(record_text(F.col("page_id"), F.col("uri"), F.col("html"), F.col("digest"), F.col("refers_to"), F.col("refers_uri"), date).alias("value"))
+        .write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
     )
     return path
 

@@ -220,6 +220,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert canonical([tuple(r[c] for c in cols) for r in second], cols) == canonical(want, cols)
 
 
+def test_warc_of_large_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 5 << 20)
+    big = "z" * (2 << 20)
+    rows = [(i, f"http://h/{i}", big if i % 3 == 0 else big + str(i)) for i in range(12)]
+    path = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/big", date="2024-05-06T07:08:09Z")
+    got = warc.read_archives(spark, path).collect()
+    assert len(got) == 12 and {r["page_id"] for r in got if r["record_type"] == "revisit"} == {0, 3, 6}
+    files = list((tmp_path / "big").glob("*.gz"))
+    records = [[f for f, _ in warc.parse_archive(x.read_bytes())] for x in files]
+    assert max(map(len, records)) == 2
+    revisit = next(f for x in records for f in x if f["warc-type"] == "revisit")
+    assert revisit["warc-refers-to-target-uri"] == "http://h/9" and revisit["warc-refers-to-date"] == revisit["warc-date"] == "2024-05-06T07:08:09Z"
+
+
 def test_warc_empty(spark, tmp_path):
     path = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_archives(spark, path).count() == 0
@@ -769,6 +783,23 @@ def test_propagation_goes_on_until_it_stands(spark):
     assert {r["host"]: round(r["distrust"], 4) for r in got} == {f"c{-i % 3}": round(0.85**i / (1 - 0.85**3), 4) for i in range(3)}
 
 
+def test_oracle_of_linked_pages(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(14)
+    hosts = ["a.net", "b.net", "c.org", "d.org", "e.com", "f.com", "g.org", "h.org"]
+    link = lambda h: f'<a href="//{h}/x">x</a>'
+    rows = [(i, f"http://{h}/{rng.choice(['es', 'de', 'en'])}/{i}", "".join(link(x) for x in rng.choice(hosts, 2))) for i, h in enumerate(rng.choice(hosts, 40))]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    want = con.execute(urlfilter.ORACLE)
+    columns = [c[0] for c in want.description]
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert canonical(got.collect(), got.columns) == canonical(want.fetchall(), columns)
+    assert urlfilter.judge_urls(got.where("false").selectExpr("page_id", "host AS url", "path AS html")).count() == 0
+
+
 def brute_rank(seeds, edges, rounds, damping):
     nodes = {x for e in edges for x in e} | set(seeds)
     out = {}
