@@ -20,6 +20,9 @@ def image_path(ref: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(ref, r"^[^/]+/", ""), r"[@:][^/]*$", ""))
 
 
+# Fixed values below: namespaces and words by which the vendor's images are told apart.
+
+
 def with_image_parts(df: DataFrame, ref: str = "IMAGE") -> DataFrame:
     """Adds image_ns, image_name, rhel_ver, ocp_ver, workload_type and display_name."""
     path = image_path(F.col(ref))
@@ -73,18 +76,26 @@ def with_distro(df: DataFrame, cpe: Column, distro: str = "distro") -> DataFrame
     return df.withColumn("rhel_ver", F.coalesce(F.when(ours, _found(F.col(distro)["version"], r"^(\d+)")), "rhel_ver"))
 
 
+def _pieces(text: Column) -> Column:
+    """All distinct substrings, the empty one too; names of images are short."""
+    n = F.length(text)
+    all_of = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k))))
+    return F.array_distinct(F.when(n > 0, F.concat(F.array(F.lit("")), all_of)).otherwise(F.array(F.lit(""))))
+
+
 def with_prefixes(images: DataFrame, prefix_map: DataFrame, ref: str = "IMAGE") -> DataFrame:
-    """Adds ``prefixes``, by which products of an operator image are known.
+    """Adds ``prefixes``, by which products of an operator image are known: its own first, then those of the map in its order of keys.
 
-    ``prefix_map``: (ns_key, prefixes); a key counts if the namespace or the image name contains it.  The map has some
-    hundred rows of a shipped file, so the substring join broadcasts it; it runs over distinct namespaces and names.
+    ``prefix_map``: (ns_key, prefixes); a key counts if the namespace or the image name contains it.  Distinct namespaces and
+    names are cut into their substrings, which meet the keys by equality, so the map may be of any size.
     """
     ids = images.where("workload_type = 'operator'").select("image_ns", "image_name").distinct()
-    near = F.contains(F.col("image_ns"), F.col("ns_key")) | F.contains(F.col("image_name"), F.col("ns_key"))
-    hits = ids.join(F.broadcast(prefix_map), near)
-    listed = hits.groupBy("image_ns", "image_name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("prefixes")))).alias("mapped"))
+    keys = F.explode(F.array_union(_pieces(F.col("image_ns")), _pieces(F.col("image_name"))))
+    hits = ids.withColumn("ns_key", keys).join(prefix_map, "ns_key")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("ns_key", "prefixes"))), lambda x: x["prefixes"])
+    listed = hits.groupBy("image_ns", "image_name").agg(F.array_distinct(F.flatten(in_order)).alias("mapped"))
     host = F.split_part(F.col(ref), F.lit("/"), F.lit(1))
     own = F.array(F.concat(host, F.lit("/"), F.col("image_ns"), F.lit("/")), F.concat(F.col("image_ns"), F.lit("/")))
     none = F.array().cast("array<string>")
-    all_of = F.concat(own, F.coalesce("mapped", none))
+    all_of = F.array_distinct(F.concat(own, F.coalesce("mapped", none)))
     return images.join(listed, ["image_ns", "image_name"], "left").withColumn("prefixes", F.when(F.col("workload_type") == "operator", all_of).otherwise(none)).drop("mapped")

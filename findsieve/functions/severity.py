@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The scanners' codes and the vendor's words.
+# The scanners' codes, the vendor's words and their order.
 SCANNER = {
     "CRITICAL_VULNERABILITY_SEVERITY": "Critical",
     "HIGH_VULNERABILITY_SEVERITY": "Important",

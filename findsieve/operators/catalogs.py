@@ -32,6 +32,15 @@ def operator_index(heads: DataFrame, bundles: DataFrame, packages: DataFrame) ->
     return out.select("package", "channel", "is_default", F.col("head").alias("bundle"), "image")
 
 
+def choose_operators(index: DataFrame, operators: str = "", versions: str = "") -> DataFrame:
+    """The rows of ``index`` (package, and ocp_version if versions are given) that comma-separated lists name; an empty list takes all."""
+    for column, listed in (("package", operators), ("ocp_version", versions)):
+        names = [x.strip() for x in listed.split(",") if x.strip()]
+        if names:
+            index = index.where(F.col(column).isin(names))
+    return index
+
+
 def bundle_version(bundle: Column, package: Column) -> Column:
     """From the first ``.vN``, else without the package's name, else the whole."""
     at = F.regexp_extract(bundle, r"^.*?\.(v\d.*)$", 1)

@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 SEARCHED = ("CVE", "COMPONENT", "OCP_COMPONENT", "IMAGE")
 
 
+#: Columns of a result, in order.
+RESULT = ("COMPONENT", "VEX_PRODUCT", "VERSION", "CVE", "SEVERITY", "AUDIT_RESULT", "VEX_FIX_VER", "JUSTIFICATION", "RHACS_SEVERITY", "SEVERITY_MISMATCH")
+FALSE_POSITIVE = "FALSE POSITIVE"
+
+
+def result_columns(rows: DataFrame, false_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` and the columns of a result; those that ``rows`` lacks are null text.  ``false_only`` keeps false positives alone."""
+    out = rows.select(*keep, *[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in RESULT])
+    return out.where(F.contains("AUDIT_RESULT", F.lit(FALSE_POSITIVE))) if false_only else out
+
+
 def facets(path: Column, image: Column) -> dict[str, Column]:
     """release and channel from a report's path, image_base without its digest."""
     return {

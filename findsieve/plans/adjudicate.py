@@ -15,50 +15,62 @@ from findsieve.sources.scratch import materialise
 
 STATUS_ORDER = {"known_not_affected": 0, "known_affected": 1, "fixed": 2, "under_investigation": 3}
 FP, POSITIVE = "FALSE POSITIVE", "POSITIVE"
-CTX = ["rhel_ver", "workload_type", "ocp_ver", "image_ns", "image_name", "display_name"]
+#: What decides which products concern an image, with its prefixes.
+SCOPE = ["rhel_ver", "workload_type", "ocp_ver"]
 #: What decides a finding's evidence, but for its exact version and image digest.
 QUESTION = ["cve", "ctx_id", "COMPONENT", "source", "row_rhel", "module_version"]
 FP_RULES = ("R1", "R2", "R3", "R6", "R9", "R10b", "R13", "R15")
 
 
 def contexts(image_refs: DataFrame, prefix_map: DataFrame) -> DataFrame:
-    """One row per image: its parts, digest, prefixes and ``ctx_id``, equal for images that are judged alike."""
-    seen = images.with_prefixes(images.with_image_parts(image_refs.select("IMAGE").distinct()), prefix_map)
-    key = F.sha2(F.to_json(F.struct(*CTX, "prefixes")), 256)
+    """One row per image: its parts, digest, prefixes and ``ctx_id``, equal for images that the same products concern.
+
+    There is a row for the empty reference, which stands for findings without an image and counts as a base image.
+    """
+    nothing = image_refs.sparkSession.range(1).select(F.lit("").alias("IMAGE"))
+    refs = image_refs.select(F.coalesce("IMAGE", F.lit("")).alias("IMAGE")).unionByName(nothing).distinct()
+    seen = images.with_prefixes(images.with_image_parts(refs), prefix_map)
+    key = F.sha2(F.to_json(F.struct(*SCOPE, "prefixes")), 256)
     return seen.withColumn("img_sha", images.digest(F.col("IMAGE"))).withColumn("ctx_id", key)
 
 
-def parse_pids(pids: DataFrame, product_names: DataFrame, relationships: DataFrame | None = None) -> DataFrame:
+def parse_pids(pids: DataFrame, product_names: DataFrame, relationships: DataFrame | None = None, vendor_wide: DataFrame | None = None) -> DataFrame:
     """``pids`` (cve, vuln_idx, status, flag_label, flag_idx, pid_idx, pid) with their parts, label and base-repository mark.
 
-    A label is the related parent product's name, else the product's name, else the raw parent.
+    ``product_names``: cve, product_id, name, one row each; ``relationships``: cve, pid, parent_pid, pos, of which the last of a
+    pid counts; ``vendor_wide``: cve, product_id of entries for all of the vendor's products.  Everything is of the
+    advisory itself.  A label is the related parent product's name or id, else the product's name, else the raw parent.
     """
     df = pids
     for name, col in products.pid_columns(F.col("pid")).items():
         df = df.withColumn(name, col)
-    names = product_names.groupBy("product_id").agg(F.max("name").alias("product_name"))
-    df = df.join(names.withColumnRenamed("product_id", "parent"), "parent", "left")
+    names = product_names.select("cve", "product_id", "name")
+    df = df.join(names.toDF("cve", "parent", "product_name"), ["cve", "parent"], "left")
     if relationships is not None:
-        related = relationships.groupBy("pid").agg(F.max("parent_pid").alias("rel_parent"))
-        df = df.join(related, "pid", "left")
-        df = df.join(names.select(F.col("product_id").alias("rel_parent"), F.col("product_name").alias("rel_name")), "rel_parent", "left")
+        related = relationships.groupBy("cve", "pid").agg(F.max_by("parent_pid", "pos").alias("rel_parent"))
+        related = related.join(names.toDF("cve", "rel_parent", "rel_name"), ["cve", "rel_parent"], "left")
+        df = df.join(related.select("cve", "pid", F.coalesce("rel_name", "rel_parent").alias("rel_name")), ["cve", "pid"], "left")
     else:
-        df = df.withColumns({"rel_parent": F.lit(None).cast("string"), "rel_name": F.lit(None).cast("string")})
-    base = F.coalesce(F.contains(F.col("product_name"), F.lit("Red Hat Enterprise Linux")), F.lit(False))
+        df = df.withColumn("rel_name", F.lit(None).cast("string"))
+    wide = F.col("pid") == products.CATCH_ALL
+    if vendor_wide is not None:
+        df = df.join(vendor_wide.select("cve", F.col("product_id").alias("pid"), F.lit(True).alias("wide")).distinct(), ["cve", "pid"], "left")
+        wide = wide | F.coalesce("wide", F.lit(False))
+    base = F.coalesce(F.startswith(F.col("product_name"), F.lit("Red Hat Enterprise Linux")), F.lit(False))
     label = F.coalesce("rel_name", "product_name", "parent")
     clears = (F.col("status") == "known_not_affected") | ((F.col("status") == "flag") & F.col("flag_label").isin(*products.NOT_AFFECTED_FLAGS))
     none = F.array().cast("array<string>")
     return df.withColumns({
-        "rhel_base": base, "label": label, "clears": F.coalesce(clears, F.lit(False)), "base_majors": F.when(base, products.rhel_majors(F.col("pid"))).otherwise(none),
+        "vendor_wide": wide, "rhel_base": base, "label": label, "clears": F.coalesce(clears, F.lit(False)), "base_majors": F.when(base, products.rhel_majors(F.col("pid"))).otherwise(none),
         "any_majors": products.middleware_majors(F.col("pid")), "fix_order": versions.rpm_order(F.col("fix_ver")), "fix_minor": versions.rhel_minor(F.col("fix_ver")),
-    })
+    }).drop("wide")
 
 
 def scoped_pids(asked: DataFrame, ctx: DataFrame, parsed: DataFrame) -> DataFrame:
     """Product ids of every distinct (cve, ctx_id) of ``asked``, with ``in_scope``."""
-    kinds = ctx.select("ctx_id", "rhel_ver", "workload_type", "ocp_ver", "prefixes").dropDuplicates(["ctx_id"])
+    kinds = ctx.select("ctx_id", *SCOPE, "prefixes").dropDuplicates(["ctx_id"])
     pairs = asked.select("cve", "ctx_id").distinct().join(kinds, "ctx_id")
-    of = {c: F.col(c) for c in ("rhel_ver", "workload_type", "ocp_ver", "prefixes")}
+    of = {c: F.col(c) for c in (*SCOPE, "prefixes")}
     return pairs.join(parsed, "cve").withColumn("in_scope", products.in_scope(F.col("pid"), F.col("base_majors"), F.col("product_name"), of)).drop("prefixes", "ocp_ver")
 
 
@@ -78,7 +90,7 @@ def document_evidence(parsed: DataFrame) -> DataFrame:
     """Per advisory: the four label sets and whether a vendor-wide entry clears everything."""
     status = F.col("status")
     return parsed.groupBy("cve").agg(
-        _any((F.col("pid") == products.CATCH_ALL) & F.col("clears")).alias("catchall_clear"),
+        _any(F.col("vendor_wide") & F.col("clears")).alias("catchall_clear"),
         _labels(status == "known_affected").alias("lbl_affected"),
         _labels(status == "fixed").alias("lbl_fixed"),
         _labels(F.col("clears")).alias("lbl_not_affected"),
@@ -99,9 +111,19 @@ def workload_evidence(scoped: DataFrame) -> DataFrame:
 
 
 def context_evidence(scoped: DataFrame) -> DataFrame:
-    """Per (cve, ctx_id) of the first entry: investigations in scope, with and without module streams."""
+    """Per (cve, ctx_id): whether any entry states something in scope; of the first entry, investigations in scope, with and without module streams."""
+    stated = F.col("status").isin("known_affected", "fixed", "known_not_affected") | F.col("clears")
     here = F.col("in_scope") & (F.col("status") == "under_investigation") & (F.col("vuln_idx") == 0)
-    return scoped.groupBy("cve", "ctx_id").agg(_any(here & ~F.col("is_module")).alias("inv_plain"), _any(here & F.col("is_module")).alias("inv_module"))
+    return scoped.groupBy("cve", "ctx_id").agg(_any(F.col("in_scope") & stated).alias("any_scope"), _any(here & ~F.col("is_module")).alias("inv_plain"), _any(here & F.col("is_module")).alias("inv_module"))
+
+
+def product_evidence(questions: DataFrame, scoped: DataFrame) -> DataFrame:
+    """Per (cve, ctx_id, COMPONENT, source): names of related products of all entries that state something of the package in scope."""
+    key = ["cve", "ctx_id", "COMPONENT", "source"]
+    names = questions.select(*key).distinct().withColumn("pkg_name", F.explode(F.array_distinct(F.array("COMPONENT", "source"))))
+    stated = F.col("status").isin("known_affected", "fixed", "known_not_affected") | F.col("clears")
+    rows = scoped.where(F.col("in_scope") & stated & F.col("rel_name").isNotNull()).select("cve", "ctx_id", "pkg_name", "rel_name")
+    return names.join(rows, ["cve", "ctx_id", "pkg_name"]).groupBy(*key).agg(F.array_sort(F.collect_set("rel_name")).alias("product_labels"))
 
 
 def outside_fixes(scoped: DataFrame, majors: DataFrame) -> DataFrame:
@@ -130,7 +152,6 @@ def package_evidence(questions: DataFrame, scoped: DataFrame, nofix: DataFrame,
         _first(F.coalesce("no_fix", F.lit(False)), at, inside & (status == "known_affected")).alias("affected_no_fix"),
         _labels(near & status.isin("known_affected", "fixed")).alias("near_affected"),
         _labels(near & (status == "known_not_affected")).alias("near_safe"),
-        F.array_sort(F.collect_set(F.when(inside & status.isin("known_affected", "fixed", "known_not_affected", "flag"), F.col("rel_name")))).alias("product_labels"),
     )
 
 
@@ -215,15 +236,21 @@ def sentence() -> Column:
 def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame, nofix: DataFrame, src_map: DataFrame | None = None, keep_fix_epoch: bool = False, match_major: bool = False) -> DataFrame:
     """``findings`` (finding_id, IMAGE, COMPONENT, VERSION, CVE, SEVERITY, ...) with verdict, rule, fix, reason and severities.
 
-    ``docs``: cve, n_vulns and the severity parts; ``parsed``: ``parse_pids``; ``nofix``: cve, vuln_idx, pid; ``src_map``:
-    image, binary, source.  Every finding gets one row.  ``keep_fix_epoch`` compares fixes with their epoch; ``match_major`` asks
-    that a fix's stream be of the same RHEL major version too.
+    ``docs``: cve, n_vulns and the severity parts (impact of the first entry, later_impact, aggregate_severity, cvss_severity);
+    ``parsed``: ``parse_pids``; ``nofix``: cve, vuln_idx, pid; ``src_map``: image, binary, source, one row for a binary.
+
+    Every finding gets one row.  One without CVE or advisory is R0, one without version is no RPM, one without component
+    names no package, one whose image is null or not in ``ctx`` counts as in a base image (an image not in ``ctx`` meets no product).
+    ``keep_fix_epoch`` compares fixes with their epoch; ``match_major`` asks that a fix's stream be of the same RHEL major version too.
     """
-    rows = findings.withColumn("CVE", F.upper(F.trim("CVE"))).withColumnRenamed("CVE", "cve")
-    rows = rows.join(ctx.select("IMAGE", "ctx_id", "img_sha", "workload_type", "rhel_ver", "display_name"), "IMAGE")
+    given = F.struct("IMAGE", "COMPONENT", "VERSION", F.upper(F.trim("CVE")).alias("CVE"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = findings.select("finding_id", "SEVERITY", given.alias("given")).select("*", text(F.col("given.CVE")).alias("cve"), *[text(F.col(f"given.{c}")).alias(c) for c in ("IMAGE", "COMPONENT", "VERSION")])
+    rows = rows.join(ctx.select("IMAGE", "ctx_id", "img_sha", "workload_type", "rhel_ver", "display_name"), "IMAGE", "left")
+    rows = rows.withColumns({"ctx_id": text(F.col("ctx_id")), "workload_type": F.coalesce("workload_type", F.lit("ubi")), "rhel_ver": F.coalesce("rhel_ver", F.lit("8")), "display_name": text(F.col("display_name"))})
     if src_map is not None:
-        sources = src_map.groupBy("image", "binary").agg(F.min("source").alias("source"))
-        rows = rows.join(sources.withColumnsRenamed({"image": "IMAGE", "binary": "COMPONENT"}), ["IMAGE", "COMPONENT"], "left")
+        sources = src_map.select(F.col("image").alias("IMAGE"), F.col("binary").alias("COMPONENT"), "source").dropDuplicates(["IMAGE", "COMPONENT"])
+        rows = rows.join(sources, ["IMAGE", "COMPONENT"], "left")
     else:
         rows = rows.withColumn("source", F.lit(None).cast("string"))
     version = F.col("VERSION")
@@ -237,11 +264,12 @@ def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: Dat
     by_workload = workload_evidence(scoped.where("workload_type <> 'ubi'"))
     plain = by_workload.where("pid_sha IS NULL").drop("pid_sha")
     outside = outside_fixes(scoped, questions.where("row_rhel <> ''").select("cve", "ctx_id", "row_rhel").distinct())
-    known = docs.select("cve", "n_vulns", "impact", "aggregate_severity", "cvss_severity").withColumn("has_doc", F.lit(True))
+    known = docs.select("cve", "n_vulns", "impact", "later_impact", "aggregate_severity", "cvss_severity").withColumn("has_doc", F.lit(True))
 
     # All evidence meets at the questions, which are few, in a job of its own; the findings are joined once.
     evidence = questions.join(known, "cve", "left").join(document_evidence(parsed), "cve", "left")
     evidence = evidence.join(context_evidence(scoped), ["cve", "ctx_id"], "left").join(plain, ["cve", "ctx_id"], "left")
+    evidence = evidence.join(product_evidence(questions, scoped), ["cve", "ctx_id", "COMPONENT", "source"], "left")
     evidence = evidence.join(outside, ["cve", "ctx_id", "row_rhel"], "left").join(package_evidence(questions, scoped, nofix, keep_fix_epoch), QUESTION, "left")
     out = rows.join(materialise(evidence, "evidence"), QUESTION)
     # Product ids that name an image count for that image alone.
@@ -259,7 +287,7 @@ def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: Dat
         .otherwise(F.lit("N/A"))
     )
     scanner = severity.scanner_severity(F.col("SEVERITY"))
-    stated = severity.vex_severity(F.col("impact"), F.col("aggregate_severity"), F.lit(None).cast("string"), F.col("cvss_severity"), scanner)
+    stated = severity.vex_severity(F.col("impact"), F.col("aggregate_severity"), F.col("later_impact"), F.col("cvss_severity"), scanner)
     out = out.withColumns({
         "AUDIT_RESULT": F.when(cleared, F.lit(FP)).otherwise(F.lit(POSITIVE)),
         "VEX_FIX_VER": fix,
@@ -269,10 +297,9 @@ def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: Dat
         "under_investigation": F.col("RULE").isin("R5", "R12") | F.coalesce((F.col("RULE") == "R4") & (F.col("stated_first.status") == "under_investigation"), F.lit(False)),
     })
     mismatch = (F.col("VEX_SEVERITY") != F.col("RHACS_SEVERITY")) & (F.col("RHACS_SEVERITY") != "Unknown")
-    any_scope = F.coalesce(F.col("inv_plain") | F.col("inv_module") | F.col("stated_first").isNotNull() | F.col("flag_first").isNotNull(), F.lit(False))
-    product = F.when(F.size(F.coalesce("product_labels", F.array().cast("array<string>"))) > 0, F.array_join("product_labels", ", ")).when(any_scope | F.col("cleared") | F.col("fix_first").isNotNull(), F.col("display_name")).otherwise(F.lit(""))
+    product = F.when(F.size(F.coalesce("product_labels", F.array().cast("array<string>"))) > 0, F.array_join("product_labels", ", ")).when(F.col("any_scope"), F.col("display_name")).otherwise(F.lit(""))
     return out.withColumns({"SEVERITY_MISMATCH": mismatch, "VEX_PRODUCT": product}).select(
-        "finding_id", "IMAGE", "COMPONENT", "VEX_PRODUCT", "VERSION", F.col("cve").alias("CVE"), F.col("VEX_SEVERITY").alias("SEVERITY"),
+        "finding_id", "given.IMAGE", "given.COMPONENT", "VEX_PRODUCT", "given.VERSION", "given.CVE", F.col("VEX_SEVERITY").alias("SEVERITY"),
         "RULE", "AUDIT_RESULT", "VEX_FIX_VER", "JUSTIFICATION", "RHACS_SEVERITY", "SEVERITY_MISMATCH", "under_investigation",
     )
 

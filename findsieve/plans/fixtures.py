@@ -1,6 +1,7 @@
 """Domain tables derived from the star tables by SQL that Spark and DuckDB both read.
 
-``SQL`` holds the views in order of need; ``H`` stands for the engine's SHA-256.
+``SQL`` holds the views in order of need; ``H`` stands for the engine's SHA-256, ``//`` for its whole division.  Advisories and
+manifests are of bounded size, so that larger tables give more of them.
 """
 
 from __future__ import annotations
@@ -29,20 +30,24 @@ SELECT l_orderkey * 8 + l_linenumber AS finding_id, i.img_k, i.IMAGE, 'pkg' || (
   WHEN 3 THEN '1.' || (CAST(l_quantity AS INT) % 5) || '.0-' || l_linenumber || '.el9_2'
   WHEN 4 THEN '2.4.' || (CAST(l_quantity AS INT) % 5) || '-' || l_linenumber || '.module+el9.4.0+123+ab12'
   ELSE '1:3.0.' || (CAST(l_quantity AS INT) % 5) || '-' || l_linenumber || '.el9' END AS VERSION,
- 'CVE-2024-' || (1000 + l_orderkey % 60) AS CVE,
+ 'CVE-2024-' || (1000 + l_orderkey % 60 + 60 * (l_partkey // 2000)) AS CVE,
  CASE l_linenumber % 5 WHEN 0 THEN 'CRITICAL_VULNERABILITY_SEVERITY' WHEN 1 THEN 'IMPORTANT_VULNERABILITY_SEVERITY'
   WHEN 2 THEN 'MODERATE_VULNERABILITY_SEVERITY' WHEN 3 THEN 'LOW_VULNERABILITY_SEVERITY' ELSE '' END AS SEVERITY,
  CAST(CAST(l_quantity AS INT) % 10 AS DOUBLE) AS CVSS
 FROM lineitem JOIN fx_img i ON l_suppkey = i.img_k""",
+    "fx_given": """
+SELECT finding_id, CASE WHEN finding_id % 83 <> 0 THEN IMAGE END AS IMAGE, CASE WHEN finding_id % 79 <> 0 THEN COMPONENT END AS COMPONENT,
+ CASE WHEN finding_id % 89 <> 0 THEN VERSION END AS VERSION, CASE WHEN finding_id % 97 <> 0 THEN CVE END AS CVE, CASE WHEN finding_id % 101 <> 0 THEN SEVERITY END AS SEVERITY
+FROM fx_finding""",
     "fx_pid": """
-SELECT 'CVE-2024-' || (1000 + p_partkey % 55) AS cve, 0 AS vuln_idx,
- CASE WHEN p_partkey % 55 = 50 THEN 'known_not_affected'
+SELECT 'CVE-2024-' || (1000 + p_partkey % 55 + 60 * (p_partkey // 2000)) AS cve, CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE 0 END AS vuln_idx,
+ CASE WHEN p_partkey % 55 IN (48, 50) THEN 'known_not_affected'
       WHEN p_partkey % 55 = 49 THEN 'flag'
       WHEN p_partkey % 55 % 11 = 3 THEN 'under_investigation'
       WHEN p_size % 4 = 0 THEN 'known_not_affected' WHEN p_size % 4 = 1 THEN 'known_affected'
       WHEN p_size % 4 = 2 THEN 'fixed' ELSE 'flag' END AS status,
  CAST(p_partkey AS BIGINT) AS pid_idx,
- CASE WHEN p_partkey % 55 = 50 THEN 'red_hat_products' ELSE
+ CASE p_partkey % 55 WHEN 50 THEN 'red_hat_products' WHEN 48 THEN 'vendor_all' ELSE
  CASE p_partkey % 7 WHEN 0 THEN 'AppStream-9.4.0.Z.MAIN' WHEN 1 THEN 'red_hat_enterprise_linux_9'
   WHEN 2 THEN 'red_hat_enterprise_linux_8' WHEN 3 THEN '9Base-RHOSE-4.20'
   WHEN 4 THEN 'advanced_cluster_management_2' WHEN 5 THEN 'compliance_operator_1' ELSE 'JBCS-9.4' END
@@ -52,16 +57,21 @@ SELECT 'CVE-2024-' || (1000 + p_partkey % 55) AS cve, 0 AS vuln_idx,
  || CASE WHEN p_partkey % 10 = 0 THEN '::mod:1' ELSE '' END END AS pid
 FROM part""",
     "fx_product": """
-SELECT * FROM (VALUES ('AppStream-9.4.0.Z.MAIN','Red Hat Enterprise Linux AppStream (v. 9)'),
+SELECT cve, product_id, CASE WHEN product_id = 'JBCS-9.4' AND right(cve, 1) IN ('1', '3', '5', '7', '9') THEN 'Core Services for Red Hat Enterprise Linux 9' ELSE name END AS name
+FROM (SELECT DISTINCT cve FROM fx_pid) c CROSS JOIN (SELECT * FROM (VALUES ('AppStream-9.4.0.Z.MAIN','Red Hat Enterprise Linux AppStream (v. 9)'),
  ('red_hat_enterprise_linux_9','Red Hat Enterprise Linux 9'),('red_hat_enterprise_linux_8','Red Hat Enterprise Linux 8'),
  ('9Base-RHOSE-4.20','Red Hat OpenShift Container Platform 4.20'),
  ('advanced_cluster_management_2','Red Hat Advanced Cluster Management 2'),
- ('compliance_operator_1','Compliance Operator 1'),('JBCS-9.4','JBoss Core Services 9')) AS t(product_id, name)""",
+ ('compliance_operator_1','Compliance Operator 1'),('JBCS-9.4','JBoss Core Services 9'),('deep_suite','Suite of Platforms 3')) AS t(product_id, name)) n""",
+    "fx_vendor": """
+SELECT DISTINCT cve, pid AS product_id FROM fx_pid WHERE pid = 'vendor_all'""",
+    "fx_rel": """
+SELECT cve, pid, CASE pid_idx % 3 WHEN 0 THEN 'deep_suite' ELSE 'unnamed_suite' END AS parent_pid, pid_idx AS pos FROM fx_pid WHERE pid_idx % 4 < 2""",
     "fx_doc": """
-SELECT cve, num, CASE WHEN num < 1055 THEN 1 ELSE 0 END AS n_vulns,
+SELECT cve, num, CASE WHEN entries THEN 2 ELSE 0 END AS n_vulns,
  CASE num % 5 WHEN 0 THEN 'Critical' WHEN 1 THEN 'Important' WHEN 2 THEN 'Moderate' WHEN 3 THEN 'None' END AS aggregate_severity,
- CASE num % 3 WHEN 0 THEN 'Low' END AS impact, CASE num % 2 WHEN 0 THEN 'HIGH' END AS cvss_severity
-FROM (SELECT DISTINCT 'CVE-2024-' || (1000 + l_orderkey % 58) AS cve, 1000 + l_orderkey % 58 AS num FROM lineitem) d""",
+ CASE WHEN entries AND num % 3 = 0 THEN 'Low' END AS impact, CASE WHEN entries AND num % 4 = 0 THEN 'Moderate' END AS later_impact, CASE WHEN entries AND num % 2 = 0 THEN 'HIGH' END AS cvss_severity
+FROM (SELECT cve, num, (num - 1000) % 60 < 55 AS entries FROM (SELECT DISTINCT 'CVE-2024-' || (1000 + l_orderkey % 58 + 60 * (l_partkey // 2000)) AS cve, 1000 + l_orderkey % 58 + 60 * (l_partkey // 2000) AS num FROM lineitem) d) e""",
     "fx_prefix": """
 SELECT * FROM (VALUES ('rhacm2', 'advanced_cluster_management'), ('compliance', 'compliance_operator'), ('odf4', 'odf_operator')) AS t(ns_key, prefix)""",
     "fx_sbom": """
@@ -121,7 +131,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     made: dict[str, DataFrame] = {}
     for view in _needs(name):
         if view in SQL:
-            text = re.sub(r"\bH\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", SQL[view])
+            text = re.sub(r"\bH\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", SQL[view]).replace("//", "div")
             used = {x: made[x] for x in made if re.search(rf"\b(FROM|JOIN) {x}\b", text)}
             for x in used:
                 text = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 {{{x}}}", text)

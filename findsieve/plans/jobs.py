@@ -11,13 +11,13 @@ from findsieve.sources import landing
 
 
 def advisory_tables(docs: DataFrame) -> dict[str, DataFrame]:
-    """docs, pids, products, relationships and nofix of ``landing.read_advisories``."""
+    """docs, pids, products, relationships, nofix and vendor_wide of ``landing.read_advisories``, all by cve."""
     v, first = F.col("vulnerabilities"), F.get("vulnerabilities", 0)
     impact = lambda entry: F.get(F.filter(entry["threats"], lambda t: (t["category"] == "impact") & (F.coalesce(t["details"], F.lit("")) != "")), 0)["details"]
-    base = F.flatten(F.transform(v, lambda x: F.transform(x["scores"], lambda s: F.coalesce(s["cvss_v3"]["baseSeverity"], s["cvss_v2"]["baseSeverity"]))))
+    base = F.flatten(F.transform(v, lambda x: F.coalesce(F.transform(x["scores"], lambda s: F.coalesce(s["cvss_v3"]["baseSeverity"], s["cvss_v2"]["baseSeverity"])), F.array().cast("array<string>"))))
     facts = docs.select(
         "cve", F.size(F.coalesce("vulnerabilities", F.array().cast(docs.schema["vulnerabilities"].dataType))).alias("n_vulns"),
-        impact(first).alias("impact"), F.col("document.aggregate_severity.text").alias("aggregate_severity"),
+        impact(first).alias("impact"), F.get(F.filter(F.transform(v, impact), lambda x, i: (i > 0) & x.isNotNull()), 0).alias("later_impact"), F.col("document.aggregate_severity.text").alias("aggregate_severity"),
         F.get(F.filter(base, lambda b: F.coalesce(b, F.lit("")) != ""), 0).alias("cvss_severity"),
     )
     stated = landing.status_rows(docs).withColumns({"flag_label": F.lit(None).cast("string"), "flag_idx": F.lit(0)})
@@ -25,16 +25,17 @@ def advisory_tables(docs: DataFrame) -> dict[str, DataFrame]:
     return {
         "docs": facts,
         "pids": stated.unionByName(flags),
-        "products": landing.product_rows(docs).select("product_id", "name").distinct(),
+        "products": landing.product_rows(docs),
         "relationships": landing.relationship_rows(docs),
         "nofix": landing.no_fix_rows(docs),
+        "vendor_wide": landing.vendor_wide_rows(docs),
     }
 
 
 def adjudicate_findings(findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, src_map: DataFrame | None = None, **options) -> DataFrame:
     """Verdicts on ``findings`` (finding_id, IMAGE, ...) from advisory documents."""
     t = advisory_tables(advisories)
-    parsed = A.parse_pids(t["pids"], t["products"], t["relationships"])
+    parsed = A.parse_pids(t["pids"], t["products"], t["relationships"], t["vendor_wide"])
     return A.adjudicate(findings, A.contexts(findings, prefix_map), t["docs"], parsed, t["nofix"], src_map, **options)
 
 
@@ -45,28 +46,67 @@ def adjudicate_release(manifest: DataFrame, findings: DataFrame, advisories: Dat
     return verdicts.join(manifest.select(F.col("image").alias("IMAGE"), F.col("component").alias("OCP_COMPONENT"), "pos"), "IMAGE").orderBy("pos", A.sort_score(), "CVE", "COMPONENT", "VERSION")
 
 
-def adjudicate_operators(catalog_objects: DataFrame, related: DataFrame, findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, **options) -> DataFrame:
-    """Verdicts on the workload images of every channel's head bundle, with package, channel and role.
+def adjudicate_namespace(listed: DataFrame, findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, false_only: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Verdicts on a namespace's images in the order of their listing, and how many there are of each kind in how many images.
 
-    ``related``: bundle, bundle_image, pos, role, image of the catalogs' bundles; ``catalog_objects``: ``landing.read_catalog``.
+    ``listed``: id, name and pos of ``landing.listed_images``; the first of a name counts.
     """
+    images = relational.keep_first(listed.where("name <> ''"), ["name"], "pos").select(F.col("name").alias("IMAGE"), "pos")
+    verdicts = adjudicate_findings(findings.join(images.select("IMAGE"), "IMAGE", "left_semi"), advisories, prefix_map, **options)
+    rows = verdicts.join(images, "IMAGE").orderBy("pos", A.sort_score(), "CVE", "COMPONENT", "VERSION")
+    rows = rows.where(F.col("AUDIT_RESULT") == A.FP) if false_only else rows
+    return rows, rows.groupBy("AUDIT_RESULT").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("IMAGE").alias("images"))
+
+
+def catalog_index(objects: DataFrame, operators: str = "") -> DataFrame:
+    """ocp_version, package, channel, is_default, bundle, image: every channel's head bundle of ``landing.read_catalog``'s objects."""
     get = lambda path, kind="string": F.try_variant_get("object", path, kind)
-    packages = catalog_objects.where("schema = 'olm.package'").select(get("$.name").alias("name"), get("$.defaultChannel").alias("default_channel"))
-    channels = catalog_objects.where("schema = 'olm.channel'").select(
-        get("$.package").alias("package"), get("$.name").alias("channel"), F.posexplode(get("$.entries", "array<struct<name:string,replaces:string,skips:array<string>>>")).alias("pos", "e")
+    objects = objects.withColumn("ocp_version", landing.catalog_version(F.col("source_file")))
+    packages = objects.where("schema = 'olm.package'").select("ocp_version", get("$.name").alias("name"), get("$.defaultChannel").alias("default_channel"))
+    channels = objects.where("schema = 'olm.channel'").select(
+        "ocp_version", get("$.package").alias("package"), get("$.name").alias("channel"), F.posexplode(get("$.entries", "array<struct<name:string,replaces:string,skips:array<string>>>")).alias("pos", "e")
     )
-    edges = channels.select("package", "channel", F.explode(F.concat(F.array("e.replaces"), F.coalesce("e.skips", F.array().cast("array<string>")))).alias("name"))
-    heads = catalogs.channel_heads(channels.select("package", "channel", F.col("e.name").alias("name"), "pos"), edges)
-    bundles = catalog_objects.where("schema = 'olm.bundle'").select(get("$.name").alias("name"), get("$.image").alias("image"))
-    index = catalogs.operator_index(heads, bundles, packages)
-    images = catalogs.workload_images(related).join(index.select("bundle", "package", "channel", "is_default"), "bundle").withColumnRenamed("image", "IMAGE")
+    bundles = objects.where("schema = 'olm.bundle'").select("ocp_version", get("$.name").alias("name"), get("$.image").alias("image"))
+    # Releases don't mix: package names are made those of one release.
+    of = lambda df, c: df.withColumn(c, F.concat("ocp_version", F.lit("/"), c))
+    edges = channels.select("ocp_version", "package", "channel", F.explode(F.concat(F.array("e.replaces"), F.coalesce("e.skips", F.array().cast("array<string>")))).alias("name"))
+    entries = of(of(channels.select("ocp_version", "package", "channel", F.col("e.name").alias("name"), "pos"), "package"), "name")
+    heads = catalogs.channel_heads(entries, of(of(edges, "package"), "name"))
+    out = catalogs.operator_index(heads, of(bundles, "name"), of(packages, "name"))
+    rest = lambda c: F.regexp_replace(c, "^[^/]*/", "")
+    out = out.withColumns({"ocp_version": F.split_part("package", F.lit("/"), F.lit(1)), "package": rest("package"), "bundle": rest("bundle")})
+    return catalogs.choose_operators(out, operators).select("ocp_version", "package", "channel", "is_default", "bundle", "image")
+
+
+def adjudicate_operators(objects: DataFrame, findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, operators: str = "", **options) -> DataFrame:
+    """Verdicts on the workload images of every channel's head bundle, with release, package, channel, bundle version and role.
+
+    ``objects``: ``landing.read_catalog``; ``operators``: names by commas, all if empty.
+    """
+    related = catalogs.workload_images(landing.related_images(objects).distinct())
+    index = catalog_index(objects, operators).withColumn("bundle_version", catalogs.bundle_version(F.col("bundle"), F.col("package")))
+    lineage = ["ocp_version", "package", "channel", "is_default", "bundle_version", "role"]
+    images = related.join(index.drop("image"), "bundle").select(F.col("image").alias("IMAGE"), *lineage).distinct()
     wanted = findings.join(images.select("IMAGE").distinct(), "IMAGE", "left_semi")
-    return adjudicate_findings(wanted, advisories, prefix_map, **options).join(images.select("IMAGE", "package", "channel", "is_default", "role"), "IMAGE")
+    return adjudicate_findings(wanted, advisories, prefix_map, **options).join(images, "IMAGE")
 
 
 def write_operator_reports(verdicts: DataFrame, path: str) -> None:
-    """One table of reports, a directory for each release, operator and channel."""
-    verdicts.write.partitionBy("ocp_version", "package", "channel").option("compression", "zstd").parquet(path)
+    """Reports of release, operator, channel and bundle version as ``ocp-{release}/{operator}-{channel}-{version}.csv``, each a folder of parts.
+
+    Spark writes its own folder names; they are renamed afterwards, as many names as there are reports.
+    """
+    spark = verdicts.sparkSession
+    key = catalogs.report_key(F.col("ocp_version"), F.col("package"), F.col("channel"), F.col("bundle_version"))
+    verdicts.withColumns({"_dir": F.split_part(key, F.lit("/"), F.lit(1)), "_file": F.split_part(key, F.lit("/"), F.lit(2))}).write.partitionBy("_dir", "_file").option("header", True).csv(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    name = lambda p, prefix: jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(p.getName().removeprefix(prefix))
+    for release in [x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("_dir=")]:
+        for report in [x.getPath() for x in fs.listStatus(release)]:
+            fs.rename(report, jvm.org.apache.hadoop.fs.Path(release, f"{name(report, '_file=')}.csv"))
+        fs.rename(release, jvm.org.apache.hadoop.fs.Path(folder, name(release, "_dir=")))
 
 
 def write_results(results: DataFrame, path: str, form: str = "csv") -> None:
@@ -83,9 +123,16 @@ def search_reports(corpus: DataFrame, text: str, chosen: dict[str, list[str]] |
     return reports.facet_filter(reports.search(corpus, text), chosen or {}, mismatches_only)
 
 
-def build_prefix_map(named_bundles: DataFrame, path: str) -> None:
-    """The prefix map as JSON lines, keys and prefixes sorted."""
-    catalogs.prefix_table(named_bundles).orderBy("ns_key").write.json(path)
+def build_prefix_map(objects: DataFrame, path: str) -> DataFrame:
+    """The prefix map of all catalogs' bundles as one JSON object, keys and prefixes sorted; returned as rows (ns_key, prefixes).
+
+    The file is one object by its format; it has an entry for each namespace of images.
+    """
+    table = catalogs.prefix_table(landing.named_bundles(objects))
+    whole = F.map_from_entries(F.array_sort(F.collect_list(F.struct("ns_key", "prefixes"))))
+    table.agg(F.to_json(whole).alias("value")).write.text(path)
+    parsed = F.from_json("value", "map<string,array<string>>")
+    return objects.sparkSession.read.text(path).select(F.explode(parsed).alias("ns_key", "prefixes"))
 
 
 def plan_suppressions(report_rows: DataFrame, images: DataFrame, alerts: DataFrame, policies: DataFrame, path: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findsieve.functions import images as I
 from findsieve.functions import versions
 from findsieve.operators import catalogs, inventory, relational, reports, suppression
+from findsieve.plans import jobs
 from findsieve.plans.fixtures import fixture
 from findsieve.plans.oracle import duck
 from findsieve.sources import landing
@@ -47,23 +48,24 @@ def scan_csv(spark, sf):
 
 
 def scan_documents(spark, sf) -> DataFrame:
-    """One document per image and component."""
-    f = fixture(spark, sf, "fx_finding").where("CVSS <> 9")
+    """One document per image and component; every version has an entry without identifier, too."""
+    f = fixture(spark, sf, "fx_finding")
     vuln = F.struct(F.concat(F.lit(" "), F.lower("CVE")).alias("cve"), F.col("SEVERITY").alias("severity"), F.col("CVSS").alias("cvss"), F.lit("").alias("link"), F.when(F.col("CVSS") > 5, F.lit("9.9")).alias("fixedBy"))
-    per_version = f.groupBy("IMAGE", "COMPONENT", "VERSION").agg(F.collect_list(vuln).alias("vulns"))
+    unnamed = F.struct(F.lit(" ").alias("cve"), F.lit("LOW").alias("severity"), F.lit(1.0).alias("cvss"), F.lit("").alias("link"), F.lit("1").alias("fixedBy"))
+    per_version = f.groupBy("IMAGE", "COMPONENT", "VERSION").agg(F.concat(F.collect_list(vuln), F.array(unnamed)).alias("vulns"))
     comp = F.struct(F.col("COMPONENT").alias("name"), F.col("VERSION").alias("version"), F.lit("OS").alias("source"), F.lit("8.8").alias("fixedBy"), "vulns")
     docs = per_version.groupBy("IMAGE", "COMPONENT").agg(F.collect_list(comp).alias("components"))
     labels = F.struct(F.struct(F.create_map(F.lit("name"), F.col("IMAGE")).alias("labels")).alias("v1"))
     return docs.select(F.col("IMAGE").alias("id"), labels.alias("metadata"), F.struct(F.lit("rhel:9.4").alias("operatingSystem"), F.lit("").alias("scanTime"), "components").alias("scan"))
 
 
-@query("scan_flatten", "SELECT IMAGE AS id, COMPONENT, VERSION, CVE, SEVERITY, CVSS, CASE WHEN CVSS > 5 THEN '9.9' ELSE '8.8' END AS FIXED_VERSION FROM fi WHERE CVSS <> 9")
+@query("scan_flatten", "SELECT IMAGE AS id, COMPONENT, VERSION, CVE, SEVERITY, CVSS, CASE WHEN CVSS > 5 THEN '9.9' ELSE '8.8' END AS FIXED_VERSION FROM fi")
 def scan_flatten(spark, sf):
     docs = read_lines(spark, landed(scan_documents(spark, sf), "scans"), landing.SCAN)
     return landing.flatten_scans(docs, "id").select("id", "COMPONENT", "VERSION", "CVE", "SEVERITY", "CVSS", "FIXED_VERSION")
 
 
-@query("scan_labels", "SELECT DISTINCT IMAGE AS id, IMAGE AS name, 'rhel:9.4' AS os FROM fi WHERE CVSS <> 9")
+@query("scan_labels", "SELECT DISTINCT IMAGE AS id, IMAGE AS name, 'rhel:9.4' AS os FROM fi")
 def scan_labels(spark, sf):
     docs = read_lines(spark, landed(scan_documents(spark, sf), "scans"), landing.SCAN)
     return docs.select("id", F.col("metadata.v1.labels")["name"].alias("name"), F.col("scan.operatingSystem").alias("os")).distinct()
@@ -139,6 +141,18 @@ def syft_packages(spark, sf):
     return landing.syft_packages(read_lines(spark, landed(docs, "syft"), "image STRING, " + landing.SYFT), "image")
 
 
+@query("other_purls", """SELECT image, name AS NAME, TYPE, 'pkg:' || TYPE || '/' || name AS PURL FROM (SELECT image, name, CASE CAST(substr(name, 4) AS INT) % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'go-module' WHEN 2 THEN 'rpm' ELSE 'deb' END AS TYPE FROM fx_sbom)
+WHERE TYPE IN ('npm', 'go-module') AND name <> 'pkg8'""")
+def other_purls(spark, sf):
+    k = F.substring("name", 4, 9).cast("int") % 4
+    kind = F.when(k == 0, F.lit("npm")).when(k == 1, F.lit("go-module")).when(k == 2, F.lit("rpm")).otherwise(F.lit("deb"))
+    purl = F.when(F.col("name") != "pkg8", F.concat(F.lit("pkg:"), kind, F.lit("/"), "name")).otherwise(F.lit(""))
+    a = F.struct("name", "version", kind.alias("type"), purl.alias("purl"))
+    docs = fixture(spark, sf, "fx_sbom").groupBy("image", "name").agg(F.collect_list(a).alias("artifacts")).drop("name")
+    packages = landing.syft_packages(read_lines(spark, landed(docs, "syft"), "image STRING, " + landing.SYFT), "image")
+    return landing.other_purls(packages).select("image", "NAME", "TYPE", "PURL")
+
+
 SBOM_CHECK = """
 pr AS (SELECT DISTINCT IMAGE AS image, COMPONENT AS name, VERSION AS version FROM fi),
 hv AS (SELECT image, name, list_sort(list(DISTINCT version)) AS vs FROM fx_sbom GROUP BY ALL),
@@ -164,57 +178,96 @@ def sbom_summary(spark, sf):
 # Advisories -------------------------------------------------------------------------------------------------
 
 
+def deep(leaf: Column, levels: int) -> Column:
+    """A branch below ``levels`` others."""
+    for _ in range(levels):
+        leaf = F.struct(F.lit("level").alias("name"), F.array(leaf).alias("branches"))
+    return leaf
+
+
 def advisories(spark, sf) -> DataFrame:
-    """CSAF documents of the fixture's products, written one directory a CVE and read back."""
+    """CSAF documents of the fixtures, of two entries each or none, written one directory a CVE and read back."""
     p = fixture(spark, sf, "fx_pid")
-    # An advisory is one document, so its products are gathered as the vendor does.
-    ids = lambda s: F.sort_array(F.collect_list(F.when(F.col("status") == s, F.struct("pid_idx", "pid"))))
-    plain = lambda c: F.transform(c, lambda x: x["pid"])
-    grouped = p.groupBy("cve").agg(*[plain(ids(s)).alias(s) for s in landing.STATUSES], plain(ids("flag")).alias("flag"), F.collect_list(F.when((F.col("status") == "known_affected") & (F.col("pid_idx") % 3 == 0), F.col("pid"))).alias("nofix"), F.collect_list(F.struct("pid", F.split_part("pid", F.lit(":"), F.lit(1)).alias("parent"))).alias("rel"))
-    products = fixture(spark, sf, "fx_product").agg(F.collect_list(F.struct(F.struct("product_id", "name").alias("product"))).alias("leaves"))
-    nested = F.array(F.struct(F.lit("vendor").alias("name"), F.array(F.struct(F.lit("family").alias("name"), F.col("leaves").alias("branches"))).alias("branches")))
-    vuln = F.struct(
-        F.struct(*landing.STATUSES).alias("product_status"),
-        F.array(F.struct(F.lit("vulnerable_code_not_present").alias("label"), F.col("flag").alias("product_ids"))).alias("flags"),
-        F.array(F.struct(F.lit("no_fix_planned").alias("category"), F.col("nofix").alias("product_ids"))).alias("remediations"),
-    )
-    rel = F.transform("rel", lambda r: F.struct(F.struct(r["pid"].alias("product_id")).alias("full_product_name"), r["parent"].alias("relates_to_product_reference")))
-    docs = grouped.join(F.broadcast(products)).select("cve", F.struct(F.struct(F.lit("Low").alias("text")).alias("aggregate_severity")).alias("document"), F.struct(nested.alias("branches"), rel.alias("relationships")).alias("product_tree"), F.array(vuln).alias("vulnerabilities"))
+    # An advisory is one document, so its products are gathered as the vendor does; the fixtures bound their number.
+    ids = lambda v, cond: F.transform(F.sort_array(F.collect_list(F.when((F.col("vuln_idx") == v) & cond, F.struct("pid_idx", "pid")))), lambda x: x["pid"])
+    status, no_fix = F.col("status"), (F.col("status") == "known_affected") & (F.col("pid_idx") % 3 == 0)
+    entry = lambda v: F.struct(*[ids(v, status == x).alias(x) for x in landing.STATUSES], ids(v, status == "flag").alias("flag"), ids(v, no_fix).alias("nofix"))
+    grouped = p.groupBy("cve").agg(entry(0).alias("e0"), entry(1).alias("e1"))
+    rel = fixture(spark, sf, "fx_rel").groupBy("cve").agg(F.sort_array(F.collect_list(F.struct("pos", "pid", "parent_pid"))).alias("rel"))
+    product = F.struct(F.struct("product_id", "name").alias("product"))
+    products = fixture(spark, sf, "fx_product").groupBy("cve").agg(F.collect_list(F.when(F.col("product_id") != "deep_suite", product)).alias("leaves"), F.first(F.when(F.col("product_id") == "deep_suite", product), ignorenulls=True).alias("deep"))
+    impact = lambda c: F.array(F.struct(F.lit("impact").alias("category"), F.col(c).alias("details")))
+
+    def vuln(e: str, threat: str) -> Column:
+        return F.struct(
+            F.struct(*[F.col(f"{e}.{x}").alias(x) for x in landing.STATUSES]).alias("product_status"),
+            F.array(F.struct(F.lit("vulnerable_code_not_present").alias("label"), F.col(f"{e}.flag").alias("product_ids"))).alias("flags"),
+            F.array(F.struct(F.lit("no_fix_planned").alias("category"), F.col(f"{e}.nofix").alias("product_ids"))).alias("remediations"),
+            impact(threat).alias("threats"), F.array(F.struct(F.struct(F.col("cvss_severity").alias("baseSeverity")).alias("cvss_v3"))).alias("scores"),
+        )
+
+    helper = F.struct(F.lit("cpe:/a:redhat").alias("cpe")).alias("product_identification_helper")
+    everything = F.struct(F.lit("vendor_all").alias("product_id"), F.lit("All products").alias("name"), helper).alias("product")
+    shelf = F.struct(F.lit("vendor").alias("name"), F.col("leaves").alias("branches"))
+    first = [F.to_json(x) for x in (shelf, F.struct(F.lit("x").alias("name"), everything), deep(F.col("deep"), 14))]
+    branches = F.parse_json(F.concat(F.lit("["), F.concat_ws(",", *first), F.lit("]")))
+    related = F.transform("rel", lambda r: F.struct(F.struct(r["pid"].alias("product_id")).alias("full_product_name"), r["parent_pid"].alias("relates_to_product_reference")))
+    docs = fixture(spark, sf, "fx_doc").join(grouped, "cve", "left").join(rel, "cve", "left").join(products, "cve", "left").select(
+        "cve", F.struct(F.struct(F.col("aggregate_severity").alias("text")).alias("aggregate_severity")).alias("document"),
+        F.struct(F.when(F.col("leaves").isNotNull(), branches).alias("branches"), related.alias("relationships")).alias("product_tree"),
+        F.when(F.col("n_vulns") > 0, F.array(vuln("e0", "impact"), vuln("e1", "later_impact"))).otherwise(F.array()).alias("vulnerabilities"),
+    )
     path = shared_path(spark, "vex")
-    docs.withColumn("file", F.lower("cve")).drop("cve").write.partitionBy("file").json(path)
+    docs.select(F.lower("cve").alias("file"), F.to_json(F.struct("document", "product_tree", "vulnerabilities")).alias("value")).write.partitionBy("file").text(path)
     return landing.read_advisories(spark, path)
 
 
-@query("vex_load")
+KNOWN = "cve IN (SELECT cve FROM fx_doc)"
+
+
+@query("vex_load", "SELECT cve, n_vulns, aggregate_severity AS severity FROM fx_doc")
 def vex_load(spark, sf):
     return advisories(spark, sf).select("cve", F.size("vulnerabilities").alias("n_vulns"), F.col("document.aggregate_severity.text").alias("severity"))
 
 
-@query("vex_products")
+@query("vex_products", f"SELECT cve, product_id, name FROM fx_product WHERE {KNOWN} UNION ALL SELECT DISTINCT cve, 'vendor_all', 'All products' FROM fx_pid WHERE {KNOWN}")
 def vex_products(spark, sf):
-    return landing.product_rows(advisories(spark, sf), depth=5)
+    return landing.product_rows(advisories(spark, sf))
+
+
+@query("vex_vendor_wide", f"SELECT DISTINCT cve, 'vendor_all' AS product_id FROM fx_pid WHERE {KNOWN}")
+def vex_vendor_wide(spark, sf):
+    return landing.vendor_wide_rows(advisories(spark, sf))
 
 
-@query("vex_relationships")
+@query("vex_relationships", f"SELECT cve, pid, parent_pid, CAST(row_number() OVER (PARTITION BY cve ORDER BY pos) - 1 AS INT) AS pos FROM fx_rel WHERE {KNOWN}")
 def vex_relationships(spark, sf):
-    return landing.relationship_rows(advisories(spark, sf)).groupBy("cve", "parent_pid").agg(F.count(F.lit(1)).alias("n"))
+    return landing.relationship_rows(advisories(spark, sf))
 
 
-@query("vex_status_rows", "SELECT cve, 0 AS vuln_idx, status, CAST(row_number() OVER (PARTITION BY cve, status ORDER BY pid_idx) - 1 AS INT) AS pid_idx, pid FROM fx_pid WHERE status <> 'flag'")
+@query("vex_status_rows", f"SELECT cve, vuln_idx, status, CAST(row_number() OVER (PARTITION BY cve, vuln_idx, status ORDER BY pid_idx) - 1 AS INT) AS pid_idx, pid FROM fx_pid WHERE status <> 'flag' AND {KNOWN}")
 def vex_status_rows(spark, sf):
     return landing.status_rows(advisories(spark, sf))
 
 
-@query("vex_flag_rows", "SELECT cve, 0 AS vuln_idx, 0 AS flag_idx, 'vulnerable_code_not_present' AS flag_label, CAST(row_number() OVER (PARTITION BY cve ORDER BY pid_idx) - 1 AS INT) AS pid_idx, pid FROM fx_pid WHERE status = 'flag'")
+@query("vex_flag_rows", f"SELECT cve, vuln_idx, 0 AS flag_idx, 'vulnerable_code_not_present' AS flag_label, CAST(row_number() OVER (PARTITION BY cve, vuln_idx ORDER BY pid_idx) - 1 AS INT) AS pid_idx, pid FROM fx_pid WHERE status = 'flag' AND {KNOWN}")
 def vex_flag_rows(spark, sf):
     return landing.flag_rows(advisories(spark, sf))
 
 
-@query("vex_nofix", "SELECT cve, 0 AS vuln_idx, pid FROM fx_pid WHERE status = 'known_affected' AND pid_idx % 3 = 0")
+@query("vex_nofix", f"SELECT cve, vuln_idx, pid FROM fx_pid WHERE status = 'known_affected' AND pid_idx % 3 = 0 AND {KNOWN}")
 def vex_nofix(spark, sf):
     return landing.no_fix_rows(advisories(spark, sf))
 
 
+@query("verdict_landed", "SELECT finding_id, VEX_PRODUCT, JUSTIFICATION, VEX_SEVERITY AS SEVERITY, RULE, AUDIT_RESULT, VEX_FIX_VER FROM res")
+def verdict_landed(spark, sf):
+    """The verdict from advisory documents, through every reader."""
+    prefixes = fixture(spark, sf, "fx_prefix").groupBy("ns_key").agg(F.collect_list("prefix").alias("prefixes"))
+    rows = jobs.adjudicate_findings(fixture(spark, sf, "fx_given"), advisories(spark, sf), prefixes)
+    return rows.select("finding_id", "VEX_PRODUCT", "JUSTIFICATION", "SEVERITY", "RULE", "AUDIT_RESULT", "VEX_FIX_VER")
+
+
 # Catalogs ---------------------------------------------------------------------------------------------------
 
 
@@ -227,18 +280,52 @@ def catalog_text(spark, sf) -> str:
     entry = F.struct("pos", "name", "replaces", F.array("skip").alias("skips"))
     channel = e.groupBy("package", "channel").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     channel = channel.select(F.to_json(F.struct(F.lit("olm.channel").alias("schema"), "package", F.col("channel").alias("name"), "entries"), pretty).alias("value"))
-    bundle = e.select(F.to_json(F.struct(F.lit("olm.bundle").alias("schema"), "name", "package", F.col("IMAGE").alias("image")), pretty).alias("value"))
+    related = fixture(spark, sf, "fx_related").groupBy(F.col("bundle").alias("name")).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("role").alias("name"), "image"))).alias("r"))
+    images = F.transform("r", lambda x: F.struct(x["name"].alias("name"), x["image"].alias("image")))
+    plain = F.to_json(F.struct(F.lit("olm.package").alias("type"), F.struct("package").alias("value")))
+    named = F.to_json(F.struct(F.lit("olm.csv.metadata").alias("type"), F.struct(shown_name(e).alias("displayName")).alias("value")))
+    properties = F.parse_json(F.concat(F.lit("["), plain, F.lit(","), named, F.lit("]"))).alias("properties")
+    bundle = e.join(related, "name").select(F.to_json(F.struct(F.lit("olm.bundle").alias("schema"), "name", "package", F.col("IMAGE").alias("image"), images.alias("relatedImages"), properties), pretty).alias("value"))
     path = shared_path(spark, "catalog")
     package.unionByName(channel).unionByName(bundle).write.text(f"{path}/catalog-4.20")
     return path
 
 
-@query("catalog_objects")
+def shown_name(e: DataFrame) -> Column:
+    n = F.col("img_k") % 5
+    vendor = F.when(n == 0, F.lit("Red Hat OpenShift ")).when(n == 1, F.lit("Red Hat build of ")).when(n == 2, F.lit("Red Hat Integration - ")).when(n == 3, F.lit("Red Hat ")).otherwise(F.lit(""))
+    return F.concat(vendor, F.lit("Thing "), F.regexp_extract("package", r"(\d+)", 1), F.lit(" Suite 2 (Technical Preview)"))
+
+
+@query("catalog_objects", """SELECT '4.20' AS version, 'olm.package' AS schema, count(DISTINCT package) AS n FROM fx_entry UNION ALL SELECT '4.20', 'olm.channel', count(DISTINCT package || '/' || channel) FROM fx_entry
+UNION ALL SELECT '4.20', 'olm.bundle', count(*) FROM fx_entry""")
 def catalog_objects(spark, sf):
     objects = landing.read_catalog(spark, catalog_text(spark, sf) + "/*")
     return objects.groupBy(landing.catalog_version(F.col("source_file")).alias("version"), "schema").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("related_images", "SELECT bundle, bundle_image, pos, role, image FROM fx_related")
+def related_images(spark, sf):
+    return landing.related_images(landing.read_catalog(spark, catalog_text(spark, sf) + "/*"))
+
+
+@query("bundle_names", """SELECT split_part(c.path, '/', 1) AS ns_key, package, CASE e.img_k % 5 WHEN 0 THEN 'Red Hat OpenShift ' WHEN 1 THEN 'Red Hat build of ' WHEN 2 THEN 'Red Hat Integration - ' WHEN 3 THEN 'Red Hat ' ELSE '' END
+  || 'Thing ' || regexp_extract(package, '(\\d+)', 1) || ' Suite 2 (Technical Preview)' AS display_name FROM fx_entry e JOIN ctx c ON c.img_k = e.img_k""")
+def bundle_names(spark, sf):
+    return landing.named_bundles(landing.read_catalog(spark, catalog_text(spark, sf) + "/*"))
+
+
+@query("catalog_versions", "SELECT DISTINCT '4.' || (s_nationkey % 3 * 9 + 2) AS version FROM supplier")
+def catalog_versions(spark, sf):
+    """The versions of catalog files, among other files."""
+    path = shared_path(spark, "catalogs")
+    e = fixture(spark, sf, "fx_entry").select(F.regexp_extract("package", r"(\d+)", 1).cast("int") % 3, F.to_json(F.struct("name")).alias("value")).toDF("k", "value")
+    for k in range(3):
+        e.where(F.col("k") == k).select("value").write.text(f"{path}/catalog-4.{k * 9 + 2}.json")
+    e.select("value").write.text(f"{path}/notes-4.1.json")
+    return landing.catalog_versions(spark, path)
+
+
 def edges(e: DataFrame) -> DataFrame:
     return e.select("package", "channel", F.explode(F.array("replaces", "skip")).alias("name"))
 
@@ -271,6 +358,11 @@ def operator_index(spark, sf):
     return index(spark, sf)
 
 
+@query("operator_filter", "SELECT package, channel, bundle FROM oi WHERE package IN ('op1', 'op7', 'op12')", HEADS)
+def operator_filter(spark, sf):
+    return catalogs.choose_operators(index(spark, sf), " op1,op7 , op12,").select("package", "channel", "bundle")
+
+
 @query("channel_order", "SELECT package, channel, row_number() OVER (PARTITION BY package ORDER BY NOT is_default, channel) AS nth FROM oi", HEADS)
 def channel_order(spark, sf):
     from pyspark.sql import Window
@@ -292,10 +384,7 @@ def workload_images(spark, sf):
 
 def named_bundles(spark, sf) -> DataFrame:
     e = fixture(spark, sf, "fx_entry")
-    n = F.col("img_k") % 5
-    vendor = F.when(n == 0, F.lit("Red Hat OpenShift ")).when(n == 1, F.lit("Red Hat build of ")).when(n == 2, F.lit("Red Hat Integration - ")).when(n == 3, F.lit("Red Hat ")).otherwise(F.lit(""))
-    shown = F.concat(vendor, F.lit("Thing "), F.regexp_extract("package", r"(\d+)", 1), F.lit(" Suite 2 (Technical Preview)"))
-    return e.select(I.image_path(F.col("IMAGE")).alias("path"), "package", shown.alias("display_name")).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("ns_key"), "package", "display_name")
+    return e.select(I.image_path(F.col("IMAGE")).alias("path"), "package", shown_name(e).alias("display_name")).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("ns_key"), "package", "display_name")
 
 
 NAMES = """
@@ -328,19 +417,19 @@ def prefix_map(spark, sf):
 
 
 def manifest(spark, sf) -> DataFrame:
-    """A release manifest per nation, read back from text."""
+    """Release manifests of bounded size, some for each nation, read back from text."""
     e = fixture(spark, sf, "fx_entry")
     line = F.concat(F.lit("  comp"), F.lpad(F.col("pos").cast("string"), 9, "0"), F.lit("  registry.redhat.io/x@sha256:"), F.sha2(F.concat(F.lit("a"), (F.col("img_k") % 60).cast("string")), 256))
-    body = e.groupBy("package").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("lines"))
-    version = F.concat(F.lit("4.20."), F.regexp_extract("package", r"(\d+)", 1))
-    text = body.select("package", F.concat(F.lit("Name:      "), version, F.lit("\nPull From: quay.io/x@sha256:00\n"), "lines").alias("value"))
+    body = e.groupBy("package", F.expr("pos div 2000").alias("block")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("lines"))
+    version = F.concat(F.lit("4."), (20 + F.col("block")).cast("string"), F.lit("."), F.regexp_extract("package", r"(\d+)", 1))
+    text = body.select(F.concat("package", F.lit("-"), "block").alias("package"), F.concat(F.lit("Name:      "), version, F.lit("\nPull From: quay.io/x@sha256:00\n"), "lines").alias("value"))
     path = shared_path(spark, "manifest")
     text.write.partitionBy("package").option("lineSep", "\n\n").text(path)
     return landing.read_manifest(spark, path)
 
 
 MANIFEST = """
-mf AS (SELECT '4.20.' || regexp_extract(package, '(\\d+)', 1) AS release, arg_min('comp' || lpad(CAST(pos AS VARCHAR), 9, '0'), pos) AS component, sha256('a' || (img_k % 60)) AS digest FROM fx_entry GROUP BY package, img_k % 60)"""
+mf AS (SELECT '4.' || (20 + pos // 2000) || '.' || regexp_extract(package, '(\\d+)', 1) AS release, arg_min('comp' || lpad(CAST(pos AS VARCHAR), 9, '0'), pos) AS component, sha256('a' || (img_k % 60)) AS digest FROM fx_entry GROUP BY package, pos // 2000, img_k % 60)"""
 
 
 @query("manifest_parse", "SELECT * FROM mf", MANIFEST)
@@ -581,7 +670,7 @@ gp AS (SELECT DISTINCT s.image, p.cve, s.name, s.version, CASE WHEN p.fix_ver IS
 def gaps(spark, sf) -> DataFrame:
     from findsieve.plans.verdict_queries import parsed_pids
 
-    affected = parsed_pids(spark, sf).where("status IN ('known_affected', 'fixed')").select("cve", F.col("pkg_name").alias("name"), "status", "fix_ver").distinct()
+    affected = parsed_pids(spark, sf).where("status IN ('known_affected', 'fixed')").select("cve", F.col("pkg_name").alias("name"), "status", "fix_ver").where("name IS NOT NULL").distinct()
     reported = fixture(spark, sf, "fx_finding").select(F.col("IMAGE").alias("image"), F.col("CVE").alias("cve"), F.col("COMPONENT").alias("name")).distinct()
     return inventory.detect_gaps(fixture(spark, sf, "fx_sbom"), affected, reported)
 

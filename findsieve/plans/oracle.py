@@ -19,10 +19,12 @@ px AS (SELECT img_k, prefix FROM ctx JOIN fx_prefix ON contains(image_ns, ns_key
   UNION SELECT img_k, image_ns || '/' FROM ctx WHERE workload_type = 'operator'),
 pd0 AS (SELECT *, split_part(pid, '::', 1) AS bare, split_part(pid, ':', 1) AS parent, contains(pid, '::') AS is_module FROM fx_pid),
 pd1 AS (SELECT *, CASE WHEN contains(bare, ':') THEN regexp_replace(bare, '^[^:]*:', '') END AS comp FROM pd0),
-pd AS (SELECT pd1.*, coalesce(name, parent) AS label, name AS product_name, coalesce(contains(name, 'Red Hat Enterprise Linux'), false) AS rhel_base,
+rl AS (SELECT r.cve, pid, coalesce(name, parent_pid) AS rel_name FROM (SELECT cve, pid, arg_max(parent_pid, pos) AS parent_pid FROM fx_rel GROUP BY cve, pid) r
+  LEFT JOIN fx_product n ON n.cve = r.cve AND n.product_id = parent_pid),
+pd AS (SELECT pd1.*, coalesce(rel_name, name, parent) AS label, name AS product_name, coalesce(starts_with(name, 'Red Hat Enterprise Linux'), false) AS rhel_base,
   CASE WHEN regexp_matches(comp, '-\d+:') THEN regexp_extract(comp, '^(.*?)-\d+:', 1) ELSE regexp_replace(comp, '\.(aarch64|x86_64|ppc64le|s390x|i686|noarch|src)$', '') END AS pkg_name,
   CASE WHEN regexp_matches(comp, '-\d+:') THEN regexp_replace(regexp_replace(comp, '^.*?-\d+:', ''), '\.(aarch64|x86_64|ppc64le|s390x|i686|noarch|src)$', '') END AS fix_ver,
-  status IN ('known_not_affected', 'flag') AS clears FROM pd1 LEFT JOIN fx_product ON product_id = parent),
+  status IN ('known_not_affected', 'flag') AS clears, rel_name FROM pd1 LEFT JOIN fx_product n ON n.product_id = parent AND n.cve = pd1.cve LEFT JOIN rl ON rl.cve = pd1.cve AND rl.pid = pd1.pid),
 kinds AS (SELECT DISTINCT rhel_ver AS rv, workload_type AS wt, ocp_ver AS ov, display_name AS dn, image_ns AS ns FROM ctx),
 kp AS (SELECT DISTINCT image_ns AS ns, prefix FROM ctx JOIN px USING (img_k)),
 sc AS (SELECT k.*, pd.*, (rhel_base AND (contains(lower(pid), 'enterprise_linux_' || rv) OR regexp_matches(pid, '\.el' || rv || '([_.\-a-z]|$)') OR regexp_matches(pid, '^[a-zA-Z]+-' || rv || '[.\-]')))
@@ -33,7 +35,11 @@ sc AS (SELECT k.*, pd.*, (rhel_base AND (contains(lower(pid), 'enterprise_linux_
 fi AS (SELECT f.*, c.rhel_ver, c.workload_type, c.display_name, c.image_ns, nullif(regexp_extract(VERSION, '[.+]el(\d+)', 1), '') AS row_rhel,
   coalesce(nullif(regexp_extract(VERSION, '\.el\d+_(\d+)', 1), ''), nullif(regexp_extract(VERSION, '[.+]el\d+\.(\d+)\.', 1), '')) AS minor,
   contains(VERSION, '.module+') OR contains(VERSION, '+module+') AS modver FROM fx_finding f JOIN ctx c USING (img_k)),
-qs AS (SELECT DISTINCT CVE, COMPONENT, VERSION, display_name, rhel_ver, workload_type, row_rhel, minor, modver FROM fi),
+gi AS (SELECT g.finding_id, img_k, g.IMAGE, g.COMPONENT, g.VERSION, g.CVE, g.SEVERITY, coalesce(c.rhel_ver, '8') AS rhel_ver, coalesce(c.workload_type, 'ubi') AS workload_type,
+  coalesce(c.display_name, 'UBI8') AS display_name, c.image_ns, nullif(regexp_extract(VERSION, '[.+]el(\d+)', 1), '') AS row_rhel,
+  coalesce(nullif(regexp_extract(VERSION, '\.el\d+_(\d+)', 1), ''), nullif(regexp_extract(VERSION, '[.+]el\d+\.(\d+)\.', 1), '')) AS minor,
+  coalesce(contains(VERSION, '.module+') OR contains(VERSION, '+module+'), false) AS modver FROM fx_given g LEFT JOIN ctx c USING (IMAGE)),
+qs AS (SELECT DISTINCT CVE, COMPONENT, VERSION, display_name, rhel_ver, workload_type, row_rhel, minor, modver FROM gi),
 ev AS (SELECT q.CVE, q.COMPONENT, q.VERSION, q.display_name,
   bool_or(in_scope AND clears) AS cleared,
   arg_min(fix_ver, pid_idx) FILTER (in_scope AND status = 'fixed' AND fix_ver IS NOT NULL) AS fix_first,
@@ -49,24 +55,29 @@ ev AS (SELECT q.CVE, q.COMPONENT, q.VERSION, q.display_name,
         ELSE rkey(VERSION) >= rkey(fix_ver) END, false) AS met,
       contains(lower(pid), 'enterprise_linux_' || row_rhel) OR regexp_matches(pid, '\.el' || row_rhel || '([_.\-a-z]|$)') OR regexp_matches(pid, '^[a-zA-Z]+-' || row_rhel || '[.\-]')
         OR regexp_matches(pid, '^' || row_rhel || '[A-Za-z]') AS near
-    FROM qs q JOIN sc s ON s.cve = q.CVE AND s.dn = q.display_name AND s.pkg_name = q.COMPONENT WHERE row_rhel IS NOT NULL AND (NOT is_module OR modver)) q
+    FROM qs q JOIN sc s ON s.cve = q.CVE AND s.dn = q.display_name AND s.pkg_name = q.COMPONENT WHERE row_rhel IS NOT NULL AND vuln_idx = 0 AND (NOT is_module OR modver)) q
   GROUP BY ALL),
 lb AS (SELECT cve, list_sort(list(DISTINCT label) FILTER (status = 'known_affected')) AS la, list_sort(list(DISTINCT label) FILTER (status = 'fixed')) AS lf,
   list_sort(list(DISTINCT label) FILTER (clears)) AS ln, list_sort(list(DISTINCT label) FILTER (status = 'under_investigation')) AS li,
-  bool_or(pid = 'red_hat_products' AND clears) AS catchall FROM pd GROUP BY cve),
-wk AS (SELECT cve, dn, min(pid_idx) FILTER (in_scope AND status = 'flag') AS flag_at,
-  arg_min(status, struct_pack(r := CASE status WHEN 'known_not_affected' THEN 0 WHEN 'known_affected' THEN 1 WHEN 'fixed' THEN 2 ELSE 3 END, p := pid_idx)) FILTER (in_scope AND status <> 'flag') AS stated,
-  bool_or(in_scope AND status = 'under_investigation' AND NOT is_module) AS inv_plain, bool_or(in_scope AND status = 'under_investigation' AND is_module) AS inv_module
+  bool_or(pid IN ('red_hat_products', 'vendor_all') AND clears) AS catchall FROM pd GROUP BY cve),
+wk AS (SELECT cve, dn, arg_min(label, struct_pack(v := vuln_idx, p := pid_idx)) FILTER (in_scope AND status = 'flag') AS flag_at,
+  arg_min(struct_pack(status := status, label := label), struct_pack(v := vuln_idx, r := CASE status WHEN 'known_not_affected' THEN 0 WHEN 'known_affected' THEN 1 WHEN 'fixed' THEN 2 ELSE 3 END, p := pid_idx))
+    FILTER (in_scope AND status <> 'flag') AS stated_at, bool_or(in_scope AND status <> 'under_investigation') AS any_scope,
+  bool_or(in_scope AND vuln_idx = 0 AND status = 'under_investigation' AND NOT is_module) AS inv_plain, bool_or(in_scope AND vuln_idx = 0 AND status = 'under_investigation' AND is_module) AS inv_module
   FROM sc GROUP BY cve, dn),
+pl AS (SELECT q.CVE, q.COMPONENT, q.display_name, list_sort(list(DISTINCT s.rel_name)) AS related FROM (SELECT DISTINCT CVE, COMPONENT, display_name FROM qs) q
+  JOIN sc s ON s.cve = q.CVE AND s.dn = q.display_name AND s.pkg_name = q.COMPONENT WHERE in_scope AND status <> 'under_investigation' AND rel_name IS NOT NULL GROUP BY ALL),
 ofx AS (SELECT cve, dn, rr, list_sort(list(DISTINCT label)) AS outside FROM sc, (SELECT DISTINCT row_rhel AS rr FROM qs WHERE row_rhel IS NOT NULL)
-  WHERE status = 'fixed' AND NOT in_scope AND (contains(lower(pid), 'enterprise_linux_' || rr) OR regexp_matches(pid, '\.el' || rr || '([_.\-a-z]|$)')
+  WHERE status = 'fixed' AND vuln_idx = 0 AND NOT in_scope AND (contains(lower(pid), 'enterprise_linux_' || rr) OR regexp_matches(pid, '\.el' || rr || '([_.\-a-z]|$)')
     OR regexp_matches(pid, '^[a-zA-Z]+-' || rr || '[.\-]') OR regexp_matches(pid, '^' || rr || '[A-Za-z]')) GROUP BY ALL),
-vd0 AS (SELECT fi.*, d.cve IS NOT NULL AS has_doc, d.n_vulns, d.aggregate_severity, d.impact, d.cvss_severity, lb.*, wk.flag_at, wk.stated, wk.inv_plain, wk.inv_module, outside,
+vd0 AS (SELECT fi.*, d.cve IS NOT NULL AS has_doc, d.n_vulns, d.aggregate_severity, d.impact, d.later_impact, d.cvss_severity, lb.*, wk.flag_at, wk.stated_at.status AS stated, wk.stated_at.label AS stated_label,
+   wk.any_scope, related, wk.inv_plain, wk.inv_module, outside,
    cleared, fix_first, fix_same, fix_met, fix_same_met, no_fix, near_affected, near_safe,
    CASE WHEN minor IS NOT NULL THEN fix_same_met ELSE fix_met END AS met_fix
-  FROM fi LEFT JOIN fx_doc d ON d.cve = fi.CVE LEFT JOIN lb ON lb.cve = fi.CVE LEFT JOIN wk ON wk.cve = fi.CVE AND wk.dn = fi.display_name
+  FROM gi fi LEFT JOIN fx_doc d ON d.cve = fi.CVE LEFT JOIN lb ON lb.cve = fi.CVE LEFT JOIN wk ON wk.cve = fi.CVE AND wk.dn = fi.display_name
   LEFT JOIN ofx ON ofx.cve = fi.CVE AND ofx.dn = fi.display_name AND rr = row_rhel
-  LEFT JOIN ev ON ev.CVE = fi.CVE AND ev.COMPONENT = fi.COMPONENT AND ev.VERSION = fi.VERSION AND ev.display_name = fi.display_name),
+  LEFT JOIN ev ON ev.CVE = fi.CVE AND ev.COMPONENT = fi.COMPONENT AND ev.VERSION = fi.VERSION AND ev.display_name = fi.display_name
+  LEFT JOIN pl ON pl.CVE = fi.CVE AND pl.COMPONENT = fi.COMPONENT AND pl.display_name = fi.display_name),
 vd1 AS (SELECT *, CASE WHEN NOT has_doc THEN 'R0' WHEN catchall THEN 'R1'
   WHEN row_rhel IS NULL AND la IS NULL AND lf IS NULL AND ln IS NULL AND li IS NULL THEN 'R2'
   WHEN row_rhel IS NULL AND workload_type <> 'ubi' AND flag_at IS NOT NULL THEN 'R3'
@@ -78,8 +89,20 @@ vd1 AS (SELECT *, CASE WHEN NOT has_doc THEN 'R0' WHEN catchall THEN 'R1'
   WHEN inv_plain OR (inv_module AND modver) THEN 'R12' WHEN near_safe IS NOT NULL AND near_affected IS NULL THEN 'R13' WHEN near_affected IS NOT NULL THEN 'R14' ELSE 'R15' END AS RULE,
   CASE SEVERITY WHEN 'CRITICAL_VULNERABILITY_SEVERITY' THEN 'Critical' WHEN 'IMPORTANT_VULNERABILITY_SEVERITY' THEN 'Important' WHEN 'MODERATE_VULNERABILITY_SEVERITY' THEN 'Moderate'
     WHEN 'LOW_VULNERABILITY_SEVERITY' THEN 'Low' ELSE 'Unknown' END AS scanner,
-  coalesce(impact, nullif(aggregate_severity, 'None'), CASE cvss_severity WHEN 'HIGH' THEN 'Important' END) AS stated_severity FROM vd0),
-vd AS (SELECT finding_id, img_k, IMAGE, COMPONENT, VERSION, CVE, RULE, scanner AS RHACS_SEVERITY, display_name, workload_type, image_ns,
+  coalesce(impact, nullif(aggregate_severity, 'None'), later_impact, CASE cvss_severity WHEN 'HIGH' THEN 'Important' END) AS stated_severity FROM vd0),
+vd AS (SELECT finding_id, CASE WHEN len(related) > 0 THEN array_to_string(related, ', ') WHEN any_scope THEN display_name ELSE '' END AS VEX_PRODUCT,
+  CASE RULE WHEN 'R0' THEN 'no advisory for this CVE' WHEN 'R1' THEN 'the vendor clears all its products' WHEN 'R2' THEN 'the advisory names no product'
+   WHEN 'R3' THEN display_name || ': cleared by flag vulnerable code not present for ' || flag_at WHEN 'R4' THEN display_name || ': ' || replace(stated, '_', ' ') || ' for ' || stated_label
+   WHEN 'R5' THEN 'investigated for ' || array_to_string(li[1:3], ', ') WHEN 'R6' THEN 'not affected: ' || array_to_string(ln[1:3], ', ')
+   WHEN 'R7' THEN 'affected: ' || coalesce(array_to_string(la[1:3], ', '), '') || '; fixed: ' || coalesce(array_to_string(lf[1:3], ', '), '') || '; not affected: ' || coalesce(array_to_string(ln[1:3], ', '), '')
+   WHEN 'R8' THEN 'the advisory has no entry' WHEN 'R9' THEN coalesce(COMPONENT, '') || ' is not affected in ' || display_name
+   WHEN 'R10a' THEN display_name || ': stream el' || rhel_ver || '_' || minor || ' has no fix yet; installed ' || VERSION || ', fixed elsewhere in ' || fix_first
+   WHEN 'R10b' THEN display_name || ': installed ' || VERSION || ' has the fix of ' || met_fix
+   WHEN 'R10c' THEN display_name || ': installed ' || VERSION || ' is older than the fix ' || CASE WHEN minor IS NOT NULL THEN fix_same ELSE fix_first END
+   WHEN 'R11a' THEN display_name || ': affected, no fix planned' WHEN 'R11b' THEN display_name || ': affected, fixed only in ' || array_to_string(outside, ', ')
+   WHEN 'R11c' THEN display_name || ': affected, no fix yet' WHEN 'R12' THEN display_name || ': under investigation'
+   WHEN 'R13' THEN coalesce(COMPONENT, '') || ' is not affected in ' || array_to_string(near_safe, ', ') WHEN 'R14' THEN coalesce(COMPONENT, '') || ' is affected in ' || array_to_string(near_affected, ', ')
+   ELSE coalesce(COMPONENT, '') || ' is not tracked in this advisory' END AS JUSTIFICATION, img_k, IMAGE, COMPONENT, VERSION, CVE, RULE, scanner AS RHACS_SEVERITY, display_name, workload_type, image_ns,
   CASE WHEN has_doc THEN coalesce(stated_severity, scanner) ELSE 'UNKNOWN' END AS VEX_SEVERITY,
   CASE WHEN RULE IN ('R1', 'R2', 'R3', 'R6', 'R9', 'R10b', 'R13', 'R15') OR (RULE = 'R4' AND stated IN ('known_not_affected', 'fixed')) THEN 'FALSE POSITIVE' ELSE 'POSITIVE' END AS AUDIT_RESULT,
   CASE RULE WHEN 'R10a' THEN fix_first WHEN 'R10b' THEN met_fix WHEN 'R10c' THEN CASE WHEN minor IS NOT NULL THEN fix_same ELSE fix_first END ELSE 'N/A' END AS VEX_FIX_VER,

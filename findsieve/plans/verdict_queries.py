@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findsieve.functions import images, products, severity, versions
-from findsieve.operators import relational
+from findsieve.operators import relational, reports
 from findsieve.plans import adjudicate as A
 from findsieve.plans.fixtures import fixture
 from findsieve.plans.oracle import duck
+from findsieve.sources import landing
 
 QUERIES: dict = {}
 
@@ -29,7 +30,7 @@ def contexts(spark: SparkSession, sf: str) -> DataFrame:
 
 def parsed_pids(spark: SparkSession, sf: str) -> DataFrame:
     pids = fixture(spark, sf, "fx_pid").withColumns({"flag_label": F.when(F.col("status") == "flag", F.lit("vulnerable_code_not_present")), "flag_idx": F.lit(0)})
-    return A.parse_pids(pids, fixture(spark, sf, "fx_product"))
+    return A.parse_pids(pids, fixture(spark, sf, "fx_product"), fixture(spark, sf, "fx_rel"), fixture(spark, sf, "fx_vendor"))
 
 
 def nofix(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,12 +38,12 @@ def nofix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return A.adjudicate(fixture(spark, sf, "fx_finding"), contexts(spark, sf), fixture(spark, sf, "fx_doc"), parsed_pids(spark, sf), nofix(spark, sf))
+    return A.adjudicate(fixture(spark, sf, "fx_given"), contexts(spark, sf), fixture(spark, sf, "fx_doc"), parsed_pids(spark, sf), nofix(spark, sf))
 
 
-@query("verdict", "SELECT finding_id, IMAGE, COMPONENT, VERSION, CVE, VEX_SEVERITY AS SEVERITY, RULE, AUDIT_RESULT, VEX_FIX_VER, RHACS_SEVERITY, SEVERITY_MISMATCH, under_investigation FROM res")
+@query("verdict", "SELECT finding_id, IMAGE, COMPONENT, VEX_PRODUCT, JUSTIFICATION, VERSION, CVE, VEX_SEVERITY AS SEVERITY, RULE, AUDIT_RESULT, VEX_FIX_VER, RHACS_SEVERITY, SEVERITY_MISMATCH, under_investigation FROM res")
 def verdict(spark, sf):
-    return verdicts(spark, sf).drop("JUSTIFICATION", "VEX_PRODUCT")
+    return verdicts(spark, sf)
 
 
 @query("verdict_counts", "SELECT RULE, AUDIT_RESULT, count(*) AS n FROM res GROUP BY ALL")
@@ -122,16 +123,15 @@ def rpm_compare(spark, sf):
     return a.join(b, "el").select("installed", "fix", (F.col("installed_order") >= F.col("fix_order")).alias("at_least"))
 
 
-@query("severity_norm", "SELECT SEVERITY AS code, scanner AS severity, count(*) AS n FROM vd1 GROUP BY ALL")
+@query("severity_norm", "SELECT SEVERITY AS code, CASE WHEN SEVERITY = '' THEN 'Unknown' WHEN SEVERITY LIKE 'CRIT%' THEN 'Critical' WHEN SEVERITY LIKE 'IMP%' THEN 'Important' WHEN SEVERITY LIKE 'MOD%' THEN 'Moderate' ELSE 'Low' END AS severity, count(*) AS n FROM fi GROUP BY ALL")
 def severity_norm(spark, sf):
     s = severity.scanner_severity(F.col("SEVERITY"))
     return fixture(spark, sf, "fx_finding").groupBy(F.col("SEVERITY").alias("code"), s.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("vex_severity", "SELECT cve, coalesce(impact, nullif(aggregate_severity, 'None'), CASE cvss_severity WHEN 'HIGH' THEN 'Important' END, 'Unknown') AS severity FROM fx_doc")
+@query("vex_severity", "SELECT cve, coalesce(impact, nullif(aggregate_severity, 'None'), later_impact, CASE cvss_severity WHEN 'HIGH' THEN 'Important' END, 'Unknown') AS severity FROM fx_doc")
 def vex_severity(spark, sf):
-    none = F.lit(None).cast("string")
-    return fixture(spark, sf, "fx_doc").select("cve", severity.vex_severity(F.col("impact"), F.col("aggregate_severity"), none, F.col("cvss_severity"), F.lit("Unknown")).alias("severity"))
+    return fixture(spark, sf, "fx_doc").select("cve", severity.vex_severity(F.col("impact"), F.col("aggregate_severity"), F.col("later_impact"), F.col("cvss_severity"), F.lit("Unknown")).alias("severity"))
 
 
 @query("severity_mismatch", "SELECT RHACS_SEVERITY, VEX_SEVERITY AS SEVERITY, SEVERITY_MISMATCH, count(*) AS n FROM res GROUP BY ALL")
@@ -164,8 +164,8 @@ def fix_stream(spark, sf):
 
 def scoped(spark, sf):
     ctx = contexts(spark, sf)
-    asked = fixture(spark, sf, "fx_finding").select(F.col("CVE").alias("cve"), "IMAGE").join(ctx.select("IMAGE", "ctx_id"), "IMAGE")
-    return A.scoped_pids(asked, ctx, parsed_pids(spark, sf)).join(ctx.select("ctx_id", "display_name").distinct(), "ctx_id")
+    asked = fixture(spark, sf, "fx_finding").select(F.col("CVE").alias("cve"), "IMAGE").join(ctx.select("IMAGE", "ctx_id", "display_name"), "IMAGE")
+    return A.scoped_pids(asked, ctx, parsed_pids(spark, sf)).join(asked.select("cve", "ctx_id", "display_name").distinct(), ["cve", "ctx_id"])
 
 
 ASKED = "(SELECT DISTINCT CVE AS cve, display_name AS dn FROM fi)"
@@ -199,16 +199,22 @@ def digest_guard(spark, sf):
     return a.join(b, ["nat_k", "image_ns"]).select("IMAGE", "stated", (sha.isNull() | (sha == F.col("img_sha"))).alias("counts"))
 
 
-@query("catchall_pids", "SELECT cve, pid_idx, pid FROM pd WHERE pid = 'red_hat_products'")
+@query("catchall_pids", "SELECT cve, pid_idx, pid FROM pd WHERE pid IN ('red_hat_products', 'vendor_all')")
 def catchall_pids(spark, sf):
-    cpe = F.concat(F.lit("cpe:/a:redhat"), F.when(F.col("pid") == products.CATCH_ALL, F.lit("")).otherwise(F.concat(F.lit(":"), F.col("parent"))))
-    tokens = F.filter(F.split(F.regexp_replace(cpe, r"^cpe:/[a-z]:", ""), ":"), lambda t: t != "")
-    return parsed_pids(spark, sf).withColumn("vendor_only", F.size(tokens) == 1).where((F.col("pid") == products.CATCH_ALL) | F.col("vendor_only")).select("cve", "pid_idx", "pid")
+    return parsed_pids(spark, sf).where("vendor_wide").select("cve", "pid_idx", "pid")
 
 
-@query("ocp_version_scope", """SELECT IMAGE, product_id, coalesce(ocp_ver IS NULL OR list_slice(string_split(ocp_ver, '.'), 1, len(n)) = n, true) AS covers FROM ctx, (SELECT product_id, string_split(list_last(string_split(name, ' ')), '.') AS n FROM fx_product WHERE contains(name, 'OpenShift')) WHERE workload_type = 'ocp'""")
+@query("cpe_vendor_only", """SELECT cve, pid_idx, len(list_filter(string_split(cpe, ':'), lambda t: t NOT IN ('', 'cpe', '/a'))) = 1 AND NOT contains(cpe, 'other') AS vendor_only
+FROM (SELECT *, CASE pid_idx % 3 WHEN 0 THEN 'cpe:/a:redhat' WHEN 1 THEN 'cpe:/a:other' ELSE 'cpe:/a:redhat:' || parent || '::el9' END AS cpe FROM pd)""")
+def cpe_vendor_only(spark, sf):
+    k = F.col("pid_idx") % 3
+    cpe = F.when(k == 0, F.lit("cpe:/a:redhat")).when(k == 1, F.lit("cpe:/a:other")).otherwise(F.concat(F.lit("cpe:/a:redhat:"), "parent", F.lit("::el9")))
+    return parsed_pids(spark, sf).select("cve", "pid_idx", landing.vendor_only(cpe).alias("vendor_only"))
+
+
+@query("ocp_version_scope", """SELECT IMAGE, product_id, coalesce(ocp_ver IS NULL OR list_slice(string_split(ocp_ver, '.'), 1, len(n)) = n, true) AS covers FROM ctx, (SELECT DISTINCT product_id, string_split(list_last(string_split(name, ' ')), '.') AS n FROM fx_product WHERE contains(name, 'OpenShift')) WHERE workload_type = 'ocp'""")
 def ocp_version_scope(spark, sf):
-    names = fixture(spark, sf, "fx_product").where(F.contains("name", F.lit("OpenShift"))).withColumn("workload_type", F.lit("ocp"))
+    names = fixture(spark, sf, "fx_product").where(F.contains("name", F.lit("OpenShift"))).select("product_id", "name").distinct().withColumn("workload_type", F.lit("ocp"))
     ctx = contexts(spark, sf).where("workload_type = 'ocp'").select("IMAGE", "ocp_ver", "workload_type")
     return ctx.join(names, "workload_type").select("IMAGE", "product_id", products.ocp_version_covers(F.col("name"), F.col("ocp_ver")).alias("covers"))
 
@@ -258,7 +264,7 @@ def not_affected_union(spark, sf):
     return stated.union(p.where((F.col("status") == "flag") & F.col("flag_label").isin(*products.NOT_AFFECTED_FLAGS)).select("cve", "pid")).distinct()
 
 
-@query("catchall_intersect", "SELECT DISTINCT cve, pid FROM pd WHERE pid = 'red_hat_products' AND clears")
+@query("catchall_intersect", "SELECT DISTINCT cve, pid FROM pd WHERE pid IN ('red_hat_products', 'vendor_all') AND clears")
 def catchall_intersect(spark, sf):
     return catchall_pids(spark, sf).select("cve", "pid").intersect(not_affected_union(spark, sf))
 
@@ -271,14 +277,15 @@ def fix_compare(spark, sf):
     return rows.join(fixes, ["CVE", "COMPONENT", "minor"]).select("finding_id", "pid_idx", (F.col("version_order") >= F.col("fix_order")).alias("met"))
 
 
-@query("vex_product", """SELECT finding_id, CASE WHEN here THEN display_name ELSE '' END AS product FROM fi
-  LEFT JOIN (SELECT cve, dn, bool_or(in_scope AND status <> 'under_investigation') AS here FROM sc GROUP BY cve, dn) s ON s.cve = fi.CVE AND s.dn = fi.display_name""")
+@query("vex_product", "SELECT finding_id, VEX_PRODUCT AS product FROM res")
 def vex_product(spark, sf):
-    """Products of no relationship: the workload's name where any status but an investigation is in scope."""
-    ctx = contexts(spark, sf).select("IMAGE", "ctx_id", "display_name")
-    here = scoped(spark, sf).groupBy("cve", "ctx_id").agg(F.bool_or(F.col("in_scope") & (F.col("status") != "under_investigation")).alias("any_scope"))
-    rows = fixture(spark, sf, "fx_finding").withColumnRenamed("CVE", "cve").join(ctx, "IMAGE").join(here, ["cve", "ctx_id"], "left")
-    return rows.select("finding_id", F.when(F.col("any_scope"), F.col("display_name")).otherwise(F.lit("")).alias("product"))
+    return verdicts(spark, sf).select("finding_id", F.col("VEX_PRODUCT").alias("product"))
+
+
+@query("result_projection", "SELECT finding_id, NULL AS VEX_FIX_VER, COMPONENT, CVE, VERSION, NULL AS VEX_PRODUCT, NULL AS JUSTIFICATION, SEVERITY, RHACS_SEVERITY, SEVERITY_MISMATCH, AUDIT_RESULT FROM fx_report WHERE AUDIT_RESULT = 'FALSE POSITIVE'")
+def result_projection(spark, sf):
+    rows = fixture(spark, sf, "fx_report").drop("JUSTIFICATION")
+    return reports.result_columns(rows, false_only=True, keep=("finding_id",))
 
 
 # Results ----------------------------------------------------------------------------------------------------
@@ -308,7 +315,7 @@ def image_totals(spark, sf):
 @query("component_severity", "SELECT COMPONENT, count(*) AS cves, arg_min(scanner, CASE scanner WHEN 'Critical' THEN 0 WHEN 'Important' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END) AS top_severity FROM vd1 GROUP BY COMPONENT")
 def component_severity(spark, sf):
     s = severity.scanner_severity(F.col("SEVERITY"))
-    return fixture(spark, sf, "fx_finding").withColumn("s", s).groupBy("COMPONENT").agg(F.count(F.lit(1)).alias("cves"), F.min_by("s", severity.severity_rank(F.col("s"))).alias("top_severity"))
+    return fixture(spark, sf, "fx_given").withColumn("s", s).groupBy("COMPONENT").agg(F.count(F.lit(1)).alias("cves"), F.min_by("s", severity.severity_rank(F.col("s"))).alias("top_severity"))
 
 
 @query("mismatch_count", "SELECT count(*) FILTER (SEVERITY_MISMATCH) AS mismatches, count(*) AS n FROM res")

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findsieve.functions import severity, versions
+from findsieve.functions import images, severity, versions
 from findsieve.operators.relational import keep_first
+from findsieve.sources.scratch import materialise
 
 FINDING = "COMPONENT STRING, VERSION STRING, CVE STRING, SEVERITY STRING, CVSS DOUBLE, LINK STRING, FIXED_VERSION STRING, ADVISORY STRING, ADVISORY_LINK STRING"
 SCAN = (
@@ -35,6 +36,9 @@ VEX = (
     "threats: ARRAY<STRUCT<category: STRING, details: STRING>>, scores: ARRAY<STRUCT<cvss_v3: STRUCT<baseSeverity: STRING>, cvss_v2: STRUCT<baseSeverity: STRING>>>>>"
 )
 POLICY = "id STRING, name STRING, criteriaLocked BOOLEAN, exclusions ARRAY<STRUCT<name: STRING, image: STRUCT<name: STRING>>>"
+# Package types that the matcher is asked for by package URL, the property that names an operator.
+OTHER_TYPES = ("python", "go-module", "npm", "gem", "java-archive")
+OPERATOR_METADATA = "olm.csv.metadata"
 SECURITY_PAGE = "https://access.redhat.com/security/cve/"
 
 
@@ -97,12 +101,13 @@ def spdx_packages(sboms: DataFrame, *keep: str) -> DataFrame:
 
 
 def spdx_sources(sboms: DataFrame, key: str) -> DataFrame:
-    """binary and source package names of GENERATED_FROM relationships with different, named ends."""
+    """binary and source package names of GENERATED_FROM relationships with different, named ends; of a binary's relationships the last counts."""
     packages = sboms.select(key, F.explode("packages").alias("p")).select(key, F.col("p.SPDXID").alias("id"), F.col("p.name").alias("name"))
-    rel = sboms.select(key, F.explode("relationships").alias("r")).where("r.relationshipType = 'GENERATED_FROM'")
-    rel = rel.select(key, F.col("r.spdxElementId").alias("a"), F.col("r.relatedSpdxElement").alias("b"))
+    rel = sboms.select(key, F.posexplode("relationships").alias("pos", "r")).where("r.relationshipType = 'GENERATED_FROM'")
+    rel = rel.select(key, "pos", F.col("r.spdxElementId").alias("a"), F.col("r.relatedSpdxElement").alias("b"))
     out = rel.join(packages.withColumnsRenamed({"id": "a", "name": "binary"}), [key, "a"]).join(packages.withColumnsRenamed({"id": "b", "name": "source"}), [key, "b"])
-    return out.where("binary <> '' AND source <> '' AND binary <> source").select(key, "binary", "source").distinct()
+    named = out.where("binary <> '' AND source <> '' AND binary <> source")
+    return named.groupBy(key, "binary").agg(F.max_by("source", F.struct("pos", "source")).alias("source"))
 
 
 def syft_packages(sboms: DataFrame, *keep: str) -> DataFrame:
@@ -110,6 +115,11 @@ def syft_packages(sboms: DataFrame, *keep: str) -> DataFrame:
     return sboms.select(*keep, F.explode("artifacts").alias("a")).select(*keep, a["name"].alias("NAME"), _text(a["version"]).alias("VERSION"), a["type"].alias("TYPE"), a["purl"].alias("PURL"))
 
 
+def other_purls(packages: DataFrame) -> DataFrame:
+    """The rows of ``syft_packages`` that a matcher is asked for by package URL: not of RPMs, of known types, with a URL."""
+    return packages.where(F.col("TYPE").isin(*OTHER_TYPES) & (_text(F.col("PURL")) != ""))
+
+
 # Advisories -------------------------------------------------------------------------------------------------
 
 
@@ -139,26 +149,49 @@ def no_fix_rows(docs: DataFrame, key: str = "cve") -> DataFrame:
 
 
 def relationship_rows(docs: DataFrame, key: str = "cve") -> DataFrame:
-    r = docs.select(key, F.explode("product_tree.relationships").alias("r"))
-    return r.select(key, F.col("r.full_product_name.product_id").alias("pid"), F.col("r.relates_to_product_reference").alias("parent_pid"))
+    """cve, pid, parent_pid and pos of relationships that have both; of a pid's relationships the last counts."""
+    r = docs.select(key, F.posexplode("product_tree.relationships").alias("pos", "r"))
+    rows = r.select(key, F.col("r.full_product_name.product_id").alias("pid"), F.col("r.relates_to_product_reference").alias("parent_pid"), "pos")
+    return rows.where((_text(F.col("pid")) != "") & (_text(F.col("parent_pid")) != ""))
+
+
+def _product(field: str) -> Column:
+    return F.try_variant_get("b", f"$.product.{field}", "string")
+
 
+def _branches(of: Column) -> Column:
+    return F.posexplode(F.try_variant_get(of, "$", "array<variant>"))
 
-def product_rows(docs: DataFrame, key: str = "cve", depth: int = 12) -> DataFrame:
-    """cve, product_id, name of the product tree, whose branches nest at most ``depth`` deep; of repeated ids the last counts.
 
-    Branches are exploded level by level; a level without branches costs a scan of nothing.
+def product_rows(docs: DataFrame, key: str = "cve") -> DataFrame:
+    """cve, product_id, name of the product tree, however deep; of repeated ids the last in the document counts.
+
+    One pass for each level of the deepest tree, whose branches are written for the next; it ends where no branch is left.
     """
-    spark = docs.sparkSession
-    level = docs.select(key, F.lit("").alias("at"), F.col("product_tree.branches").alias("b")).where("b IS NOT NULL")
+    level = docs.select(key, F.lit("").alias("path"), F.col("product_tree.branches").alias("of")).where("of IS NOT NULL")
     found = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("findsieve_branches")
-        rows = spark.sql(f"SELECT `{key}`, concat(at, lpad(e.pos, 6, '0'), '/') AS at, e.value AS b FROM findsieve_branches, LATERAL variant_explode(b) AS e")
-        here = rows.select(key, "at", F.try_variant_get("b", "$.product.product_id", "string").alias("product_id"), F.try_variant_get("b", "$.product.name", "string").alias("name"))
+    while found is None or not level.isEmpty():
+        rows = level.select(key, "path", _branches(F.col("of")).alias("pos", "b")).withColumn("path", F.concat("path", F.lpad(F.col("pos").cast("string"), 9, "0"), F.lit("/")))
+        rows = rows.select(key, "path", _product("product_id").alias("product_id"), F.coalesce(_product("name"), F.lit("")).alias("name"), F.try_variant_get("b", "$.branches", "variant").alias("of"))
+        rows = materialise(rows, "branches")
+        here = rows.where("product_id <> ''").select(key, "path", "product_id", "name")
         found = here if found is None else found.unionByName(here)
-        level = rows.select(key, "at", F.try_variant_get("b", "$.branches", "variant").alias("b")).where("b IS NOT NULL")
-    named = found.where("product_id IS NOT NULL")
-    return named.groupBy(key, "product_id").agg(F.max_by("name", "at").alias("name"))
+        level = rows.where("of IS NOT NULL").select(key, "path", "of")
+    return found.groupBy(key, "product_id").agg(F.max_by("name", "path").alias("name"))
+
+
+def vendor_wide_rows(docs: DataFrame, key: str = "cve") -> DataFrame:
+    """cve, product_id of first-level branches whose CPE names the vendor and no product."""
+    rows = docs.select(key, _branches(F.col("product_tree.branches")).alias("pos", "b"))
+    cpe = F.try_variant_get("b", "$.product.product_identification_helper.cpe", "string")
+    named = rows.select(key, _product("product_id").alias("product_id"), vendor_only(cpe).alias("wide"))
+    return named.where("wide AND product_id <> ''").select(key, "product_id").distinct()
+
+
+def vendor_only(cpe: Column) -> Column:
+    """Whether a CPE has a vendor token alone, and it is this vendor's."""
+    parts = F.filter(F.split(_text(cpe), ":"), lambda x: ~x.isin("", "cpe", "/a", "/o", "/h"))
+    return (F.size(parts) == 1) & F.lower(F.get(parts, 0)).isin("redhat", "red_hat")
 
 
 # Catalogs, manifests, reports -------------------------------------------------------------------------------
@@ -179,6 +212,33 @@ def catalog_version(path: Column) -> Column:
     return F.regexp_extract(path, r"catalog-(\d+\.\d+)", 1)
 
 
+def catalog_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The versions that catalog files ``catalog-N.M.json`` below ``path`` are of, sorted as text; no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    version = F.regexp_extract("path", r"/catalog-(\d+\.\d+)\.json(?:/|$)", 1)
+    return files.select(version.alias("version")).where("version <> ''").distinct().orderBy("version")
+
+
+def _get(path: str, kind: str = "string") -> Column:
+    return F.try_variant_get("object", path, kind)
+
+
+def related_images(objects: DataFrame) -> DataFrame:
+    """bundle, bundle_image, pos, role, image: the related images of bundles in ``read_catalog``'s objects; no images give no rows."""
+    bundles = objects.where("schema = 'olm.bundle'")
+    listed = F.posexplode(_get("$.relatedImages", "array<struct<name:string,image:string>>")).alias("pos", "r")
+    rows = bundles.select(_get("$.name").alias("bundle"), _get("$.image").alias("bundle_image"), listed)
+    return rows.select("bundle", "bundle_image", F.col("pos").cast("long").alias("pos"), _text(F.col("r.name")).alias("role"), _text(F.col("r.image")).alias("image"))
+
+
+def named_bundles(objects: DataFrame) -> DataFrame:
+    """ns_key, package, display_name of bundles: the namespace of their image, the name in the first metadata property that has one or not."""
+    meta = F.get(F.filter(F.coalesce(_get("$.properties", "array<variant>"), F.array().cast("array<variant>")), lambda p: F.try_variant_get(p, "$.type", "string") == OPERATOR_METADATA), 0)
+    rows = objects.where("schema = 'olm.bundle'").select(_get("$.image").alias("image"), _get("$.package").alias("package"), F.try_variant_get(meta, "$.value.displayName", "string").alias("display_name"))
+    path = images.image_path(F.col("image"))
+    return rows.select(F.split_part(path, F.lit("/"), F.lit(1)).alias("ns_key"), "package", "display_name").where("ns_key <> ''")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """release, component, image, digest and pos of release manifests; the first line of a digest counts."""
     lines = spark.read.text(path, wholetext=True).withColumn("source_file", F.col("_metadata.file_path"))
@@ -192,10 +252,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """All report CSVs below ``path`` as strings, with ``source_file``; corrupt files are skipped."""
+    """All report CSVs below ``path`` as strings, with ``source_file``; unreadable files are skipped, see ``skipped_reports``."""
     return spark.read.option("header", True).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).csv(path).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def skipped_reports(spark: SparkSession, path: str, reports: DataFrame) -> DataFrame:
+    """``source_file`` of files that gave no row of ``reports``, as they are corrupt or hold a header alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").load(path).where("length > 0")
+    return files.select(F.col("path").alias("source_file")).join(reports.select("source_file").distinct(), "source_file", "left_anti")
+
+
 def clean_reports(reports: DataFrame, flags: tuple[str, ...] = ("SEVERITY_MISMATCH",)) -> DataFrame:
     """Column names and values without outer blanks; ``True``/``False`` of ``flags`` as booleans."""
     df = reports.toDF(*[c.strip() for c in reports.columns])
