@@ -77,7 +77,7 @@ SELECT * FROM (VALUES ('rhacm2', 'advanced_cluster_management'), ('compliance',
     "fx_sbom": """
 SELECT DISTINCT f.IMAGE AS image, f.COMPONENT AS name,
  CASE WHEN f.COMPONENT IN ('pkg3','pkg8') THEN f.VERSION || '.stale'
-      WHEN f.VERSION LIKE '1:%' THEN substr(f.VERSION, 3) ELSE f.VERSION END AS version
+      WHEN f.VERSION LIKE '1:%' THEN substr(f.VERSION, 3) WHEN f.COMPONENT IN ('pkg2', 'pkg6') THEN '0:' || f.VERSION ELSE f.VERSION END AS version
 FROM fx_finding f WHERE f.COMPONENT <> 'pkg9'""",
     "fx_report": """
 SELECT finding_id, img_k, IMAGE, COMPONENT, VERSION, CVE, '4.' || (12 + img_k % 9) AS release, 'stable-' || (img_k % 3) AS channel, 'op' || (img_k % 7) AS operator,

@@ -157,7 +157,8 @@ SBOM_CHECK = """
 pr AS (SELECT DISTINCT IMAGE AS image, COMPONENT AS name, VERSION AS version FROM fi),
 hv AS (SELECT image, name, list_sort(list(DISTINCT version)) AS vs FROM fx_sbom GROUP BY ALL),
 ck AS (SELECT pr.image, pr.name, pr.version, coalesce(vs, []) AS sbom_versions, CASE WHEN vs IS NULL THEN 'missing'
-  WHEN list_contains(vs, pr.version) OR list_contains(vs, regexp_replace(pr.version, '^[^:]*:', '')) THEN 'matched' ELSE 'mismatch' END AS status FROM pr LEFT JOIN hv USING (image, name))"""
+  WHEN list_contains(vs, pr.version) OR list_contains(list_transform(vs, lambda v: regexp_replace(v, '^[^:]*:', '')), regexp_replace(pr.version, '^[^:]*:', '')) THEN 'matched' ELSE 'mismatch' END AS status
+  FROM pr LEFT JOIN hv USING (image, name))"""
 
 
 def checked(spark, sf):
@@ -165,12 +166,12 @@ def checked(spark, sf):
     return inventory.verify_sbom(pairs, fixture(spark, sf, "fx_sbom"))
 
 
-@query("sbom_verify", "SELECT image, name, version, status, sbom_versions FROM ck", SBOM_CHECK)
+@query("sbom_verify", "SELECT image, name, version, status, sbom_versions, CASE status WHEN 'matched' THEN '' WHEN 'missing' THEN 'not present in SBOM' ELSE 'SBOM has: ' || array_to_string(sbom_versions[1:2], ', ') END AS note FROM ck", SBOM_CHECK)
 def sbom_verify(spark, sf):
     return checked(spark, sf)
 
 
-@query("sbom_summary", "SELECT image, count(*) FILTER (status = 'matched') AS matched, count(*) AS total, count(*) FILTER (status = 'mismatch') AS mismatched FROM ck GROUP BY image", SBOM_CHECK)
+@query("sbom_summary", "SELECT image, count(*) FILTER (status = 'matched') AS matched, count(*) AS total, count(*) FILTER (status <> 'matched') AS mismatched FROM ck GROUP BY image", SBOM_CHECK)
 def sbom_summary(spark, sf):
     return inventory.sbom_summary(checked(spark, sf))
 

@@ -20,10 +20,13 @@ def ingest_scans(spark: SparkSession, source: str, target: str, checkpoint: str)
 
 
 def ingest_reports(spark: SparkSession, schema: str, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append report CSVs that arrived below ``source`` to the corpus, cleaned, with ``source_file``."""
+    """Add report CSVs that arrived below ``source`` to the corpus, cleaned, with ``source_file``.
 
-    def clean(batch: DataFrame, _: int) -> None:
-        landing.clean_reports(batch).write.mode("append").parquet(target)
+    Every batch has a folder of its own below ``target``, which a batch that is run again writes anew.
+    """
+
+    def clean(batch: DataFrame, number: int) -> None:
+        landing.clean_reports(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     rows = spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(source).withColumn("source_file", F.col("_metadata.file_path"))
     return rows.writeStream.foreachBatch(clean).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from findsieve.plans import jobs
 from findsieve.plans.adjudicate import contexts
 from findsieve.sources import landing
-from findsieve.streaming.ingest import ingest_scans
+from findsieve.streaming.ingest import ingest_reports, ingest_scans
 
 
 def advisory(path, cve, status=None, flags=(), nofix=(), tree=(), impact=None, vulns=True):
@@ -91,7 +91,7 @@ def test_image_names_as_text_or_object(spark, tmp_path):
 def test_contexts_collapse(spark):
     refs = spark.createDataFrame([(f"registry.redhat.io/ubi9/ubi@sha256:{c * 64}",) for c in "ab"], "IMAGE string")
     prefixes = spark.createDataFrame([], "ns_key string, prefixes array<string>")
-    ids = contexts(refs, prefixes).select("ctx_id").distinct().count()
+    ids = contexts(refs, prefixes).where("IMAGE <> ''").select("ctx_id").distinct().count()
     assert ids == 1
 
 
@@ -104,3 +104,68 @@ def test_streaming_reads_each_file_once(spark, tmp_path):
         ingest_scans(spark, src, out, mark).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert [(r["CVE"], r["FIXED_VERSION"]) for r in rows] == [("CVE-1", "2")] * 2
+
+
+def test_findings_with_nulls_keep_their_rows(spark, tmp_path):
+    """One row for each finding, whichever of its columns is null."""
+    advisory(tmp_path, "CVE-2024-0001", tree=TREE, status={"known_not_affected": ["red_hat_enterprise_linux_9:a"]})
+    image = f"registry.redhat.io/ubi9/ubi@sha256:{'a' * 64}"
+    full = (image, "a", "1-1.el9", "CVE-2024-0001", "LOW")
+    rows = [(i, *(None if k == i else x for k, x in enumerate(full))) for i in range(6)] + [(9, None, None, None, None, None), (10, "other/image", *full[1:])]
+    findings = spark.createDataFrame(rows, "finding_id long, IMAGE string, COMPONENT string, VERSION string, CVE string, SEVERITY string")
+    prefixes = spark.createDataFrame([], "ns_key string, prefixes array<string>")
+    out = {r["finding_id"]: r for r in jobs.adjudicate_findings(findings, landing.read_advisories(spark, str(tmp_path)), prefixes).collect()}
+    assert {k: (out[k]["IMAGE"], out[k]["COMPONENT"], out[k]["VERSION"], out[k]["CVE"]) for k in out} == {r[0]: r[1:5] for r in rows}
+    assert {k: out[k]["RULE"] for k in out} == {0: "R13", 1: "R15", 2: "R6", 3: "R0", 4: "R9", 5: "R9", 9: "R0", 10: "R13"}
+
+
+def test_names_are_of_the_advisory(spark, tmp_path):
+    """A product that one advisory names is unknown to the others; only names that begin so are of the operating system."""
+    mine = [{"name": "v", "branches": [leaf("X-9.4", "Red Hat Enterprise Linux 9")]}]
+    theirs = [{"name": "v", "branches": [leaf("X-9.4", "Suite for Red Hat Enterprise Linux 9")]}]
+    for n, tree in enumerate((mine, theirs, [])):
+        advisory(tmp_path, f"CVE-2024-000{n}", tree=tree, status={"known_not_affected": ["X-9.4:a"]})
+    t = jobs.advisory_tables(landing.read_advisories(spark, str(tmp_path)))
+    from findsieve.plans.adjudicate import parse_pids
+
+    rows = parse_pids(t["pids"], t["products"], t["relationships"], t["vendor_wide"]).collect()
+    assert {r["cve"][-1]: (r["rhel_base"], r["label"]) for r in rows} == {"0": (True, "Red Hat Enterprise Linux 9"), "1": (False, "Suite for Red Hat Enterprise Linux 9"), "2": (False, "X-9.4")}
+
+
+def test_severities_of_later_entries_and_vendor_wide_ids(spark, tmp_path):
+    entry = lambda impact: {"product_status": {"known_not_affected": ["everything"]}, "threats": [{"category": "impact", "details": impact}] if impact else []}
+    top = {"name": "x", "product": {"product_id": "everything", "name": "All", "product_identification_helper": {"cpe": "cpe:/a:redhat"}}}
+    for n, (impacts, cpe) in enumerate(((["", "low"], True), (["", ""], False))):
+        doc = {"document": {}, "product_tree": {"branches": [top if cpe else leaf("everything", "All")]}, "vulnerabilities": [entry(i) for i in impacts]}
+        (tmp_path / f"cve-2024-000{n}.json").write_text(json.dumps(doc))
+    findings = spark.createDataFrame([(n, "registry.redhat.io/ubi9/ubi", "a", "v1", f"CVE-2024-000{n}", "CRITICAL") for n in range(2)], "finding_id long, IMAGE string, COMPONENT string, VERSION string, CVE string, SEVERITY string")
+    out = jobs.adjudicate_findings(findings, landing.read_advisories(spark, str(tmp_path)), spark.createDataFrame([], "ns_key string, prefixes array<string>")).collect()
+    assert {(r["CVE"], r["RULE"], r["SEVERITY"]) for r in out} == {("CVE-2024-0000", "R1", "Low"), ("CVE-2024-0001", "R6", "Critical")}
+
+
+def test_tree_without_limit(spark, tmp_path):
+    deep = leaf("p", "deepest")
+    for _ in range(30):
+        deep = {"name": "n", "branches": [deep]}
+    advisory(tmp_path, "CVE-2024-1000", tree=[deep, leaf("q", "first"), {"name": "n", "branches": [leaf("q", "last")]}])
+    advisory(tmp_path, "CVE-2024-1001")
+    rows = landing.product_rows(landing.read_advisories(spark, str(tmp_path))).collect()
+    assert {(r["cve"], r["product_id"], r["name"]) for r in rows} == {("CVE-2024-1000", "p", "deepest"), ("CVE-2024-1000", "q", "last")}
+
+
+def test_prefixes_keep_their_order(spark):
+    from findsieve.functions.images import with_image_parts, with_prefixes
+
+    refs = with_image_parts(spark.createDataFrame([("registry.redhat.io/team-x/thing-rhel9:v1",), ("registry.redhat.io/ubi9/ubi",)], "IMAGE string"))
+    table = spark.createDataFrame([("thing", ["b", "a"]), ("am", ["z", "b"]), ("none", ["n"]), ("", ["y"])], "ns_key string, prefixes array<string>")
+    got = {r["image_ns"]: r["prefixes"] for r in with_prefixes(refs, table).collect()}
+    assert got == {"team-x": ["registry.redhat.io/team-x/", "team-x/", "y", "z", "b", "a"], "ubi9": []}
+
+
+def test_streamed_reports(spark, tmp_path):
+    (tmp_path / "in" / "ocp-4.20").mkdir(parents=True)
+    for n in range(2):
+        (tmp_path / "in" / "ocp-4.20" / f"{n}.csv").write_text(f"CVE,COMPONENT,SEVERITY_MISMATCH\nCVE-{n}, x ,True\n")
+        ingest_reports(spark, "CVE STRING, COMPONENT STRING, SEVERITY_MISMATCH STRING", str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["CVE"], r["COMPONENT"], r["SEVERITY_MISMATCH"]) for r in rows) == [("CVE-0", "x", True), ("CVE-1", "x", True)]
