@@ -155,12 +155,17 @@ def package_evidence(questions: DataFrame, scoped: DataFrame, nofix: DataFrame,
     )
 
 
+def version_facts(seen: DataFrame) -> DataFrame:
+    """What there is to know of each distinct VERSION: row_rhel (empty for other packages), minor, module_version, version_order."""
+    v = F.col("VERSION")
+    facts = seen.distinct().select("VERSION", F.coalesce(versions.rhel_major(v), F.lit("")).alias("row_rhel"), versions.rhel_minor(v).alias("minor"), versions.is_module_version(v).alias("module_version"), versions.rpm_order(v).alias("version_order"))
+    return materialise(facts, "versions")
+
+
 def with_fixes(rows: DataFrame, match_major: bool = False) -> DataFrame:
     """fix_first, fix_same, fix_met and fix_same_met of a finding: the first fix, also of its stream, also not newer than what is installed."""
     same = lambda f: F.coalesce(f["minor"] == F.col("minor"), F.lit(False)) & ((f["major"] == F.col("row_rhel")) if match_major else F.lit(True))
-    # The order of the installed version is a lambda variable, so that it is computed once and not for each fix.
-    met = lambda order: F.filter("fixes", lambda f: F.coalesce(order >= f["order"], F.lit(False)))
-    met_fixes = F.when(F.size("fixes") > 0, F.element_at(F.transform(F.array(versions.rpm_order(F.col("VERSION"))), met), 1)).otherwise(F.col("fixes"))
+    met_fixes = F.filter("fixes", lambda f: F.coalesce(F.col("version_order") >= f["order"], F.lit(False)))
     first = lambda c: F.get(c, 0)["fix_ver"]
     rows = rows.withColumns({"same_fixes": F.filter("fixes", same), "met_fixes": met_fixes})
     return rows.withColumns({
@@ -243,6 +248,7 @@ def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: Dat
     names no package, one whose image is null or not in ``ctx`` counts as in a base image (an image not in ``ctx`` meets no product).
     ``keep_fix_epoch`` compares fixes with their epoch; ``match_major`` asks that a fix's stream be of the same RHEL major version too.
     """
+    ctx = materialise(ctx, "contexts")  # a row for each image, read by every branch
     given = F.struct("IMAGE", "COMPONENT", "VERSION", F.upper(F.trim("CVE")).alias("CVE"))
     text = lambda c: F.coalesce(c, F.lit(""))
     rows = findings.select("finding_id", "SEVERITY", given.alias("given")).select("*", text(F.col("given.CVE")).alias("cve"), *[text(F.col(f"given.{c}")).alias(c) for c in ("IMAGE", "COMPONENT", "VERSION")])
@@ -253,10 +259,7 @@ def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: Dat
         rows = rows.join(sources, ["IMAGE", "COMPONENT"], "left")
     else:
         rows = rows.withColumn("source", F.lit(None).cast("string"))
-    version = F.col("VERSION")
-    rows = rows.withColumns({"row_rhel": versions.rhel_major(version), "minor": versions.rhel_minor(version), "module_version": versions.is_module_version(version)})
-
-    rows = rows.withColumns({"source": F.coalesce("source", "COMPONENT"), "row_rhel": F.coalesce("row_rhel", F.lit(""))})
+    rows = rows.withColumn("source", F.coalesce("source", "COMPONENT")).join(version_facts(rows.select("VERSION")), "VERSION")
     questions = materialise(rows.select(*QUESTION).distinct(), "questions")
     # Several branches read the scope; it has a row for each product of a distinct (advisory, context).
     parsed = materialise(parsed, "products")
