@@ -26,7 +26,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Words of at most so many characters whose token ids a worker keeps; a full cache takes some 40 MB.
 CACHED_WORDS, CACHED_LENGTH = 150_000, 24
 #: Ranks are counted in groups of about so many pieces of one length.
-RANK_GROUP = 4096
+RANK_GROUP = 512
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
