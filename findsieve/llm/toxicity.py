@@ -78,54 +78,76 @@ class CharModel:
                 self.ctx[t[:2]] += n
             self.one[t[-1]] += n
         self.total = sum(self.one.values()) or 1
-        self.memo: dict[tuple[str, str], float] = {}
+        self.memo: dict[str, float] = {}
 
     def step(self, context: str, char: str) -> float:
-        key = (context, char)
+        key = context + char
         found = self.memo.get(key)
         if found is None:
             base = (self.one.get(char, 0) + 0.01) / (self.total + 1)
             n = self.ctx.get(context, 0)
-            found = self.memo[key] = max(UNSEEN, math.log10((self.tri.get(context + char, 0) + 2 * base) / (n + 2)))
+            found = self.memo[key] = max(UNSEEN, math.log10((self.tri.get(key, 0) + 2 * base) / (n + 2)))
         return found
 
 
+def _choice(ch: str, repeated: bool) -> list[tuple[str, float]]:
+    if ch.isalpha():
+        return [(ch, 0.0), ("", COST_REPEAT)] if repeated else [(ch, 0.0)]
+    return [*((x, COST_LEET) for x in LEET.get(ch, "")), *([("", COST_FILLER)] if ch in FILLERS else []), (ch, 0.0)]
+
+
+_chosen: dict[tuple[str, bool], list[tuple[str, float]]] = {}
+
+
 def choices(word: str) -> list[list[tuple[str, float]]]:
     """The lattice of a word: for each character what it may stand for (nothing, too) and the channel's cost."""
-    out = []
-    for i, ch in enumerate(word):
-        here: list[tuple[str, float]] = []
-        if ch.isalpha():
-            here.append((ch, 0.0))
-            if i and word[i - 1] == ch:
-                here.append(("", COST_REPEAT))
-        else:
-            here += [(x, COST_LEET) for x in LEET.get(ch, "")]
-            if ch in FILLERS:
-                here.append(("", COST_FILLER))
-            here.append((ch, 0.0))
+    out, before = [], ""
+    for ch in word:
+        key = (ch, ch == before)
+        here = _chosen.get(key)
+        if here is None:
+            if len(_chosen) > 10_000:
+                _chosen.clear()
+            here = _chosen[key] = _choice(*key)
         out.append(here)
+        before = ch
     return out
 
 
 def viterbi(word: str, model: CharModel) -> str:
-    """The likeliest plain word; states are the last two characters, what was read is kept as chains."""
-    states: dict[str, tuple[float, tuple | None]] = {EDGE * 2: (0.0, None)}
-    for here in choices(word):
+    """The likeliest plain word; states are the last two characters, what was read is kept as chains.
+
+    What all paths share, up to the first character with a choice and after the last one, once they have met again, is left as it is.
+    """
+    lattice = choices(word)
+    open_ = [i for i, here in enumerate(lattice) if len(here) > 1]
+    if not open_:
+        return word
+    first, last, memo = open_[0], open_[-1], model.memo
+    states: dict[str, tuple[float, tuple | None]] = {(EDGE * 2 + word[:first])[-2:]: (0.0, None)}
+    at = first
+    while at < len(word) and (at <= last or len(states) > 1):
         new: dict[str, tuple[float, tuple | None]] = {}
         for context, (score, chain) in states.items():
-            for char, cost in here:
-                s = score + cost + (model.step(context, char) if char else 0.0)
-                to = (context + char)[-2:]
-                if to not in new or s > new[to][0]:
-                    new[to] = (s, (chain, char) if char else chain)
+            for char, cost in lattice[at]:
+                if char:
+                    step = memo.get(context + char)
+                    s = score + cost + (model.step(context, char) if step is None else step)
+                    to = context[1] + char
+                    if to not in new or s > new[to][0]:
+                        new[to] = (s, (chain, char))
+                else:
+                    s = score + cost
+                    if context not in new or s > new[context][0]:
+                        new[context] = (s, chain)
         states = new
-    chain = max(states.items(), key=lambda kv: kv[1][0] + model.step(kv[0], EDGE))[1][1]
+        at += 1
+    chain = max(states.items(), key=lambda kv: kv[1][0] + model.step(kv[0], EDGE))[1][1] if len(states) > 1 else next(iter(states.values()))[1]
     read = []
     while chain:
         chain, char = chain
         read.append(char)
-    return "".join(reversed(read))
+    return word[:first] + "".join(reversed(read)) + word[at:]
 
 
 def word_score(word: str, model: CharModel) -> float:
@@ -198,7 +220,7 @@ def restore_text(text: str | None, model: CharModel) -> str:
 
 def features_of(word: str) -> list[str]:
     """A word and its beginnings, which are marked so."""
-    return [word, *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)] if word else []
+    return [word, *[f"^{word[:n]}" for n in PREFIXES if len(word) >= n]] if word else []
 
 
 def _count_trigrams(batches):
@@ -276,7 +298,12 @@ class _Weights(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        found = max((self.weights.get(f, 0.0) for x in forms_of(word, self.model) for f in features_of(x)), default=0.0)
+        found, weights = 0.0, self.weights
+        for form in forms_of(word, self.model):
+            for f in features_of(form):
+                w = weights.get(f)
+                if w is not None and w > found:
+                    found = w
         if len(word) <= 64:
             self[word] = found
         return found
