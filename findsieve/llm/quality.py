@@ -105,7 +105,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
     """One row per input row with its counts, failures and ``kept``.
 
     Null and empty texts have no words and fail the base rule.  Rows without a host share one host (null).
-    Repeated rows are judged and counted each for itself.  Other columns of ``docs`` are ignored.
+    Repeated rows are judged and counted each for itself.  Other columns of ``docs`` are ignored; an empty table gives no rows.
     """
     f = F.col("f")
     counted = docs.select(

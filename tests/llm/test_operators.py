@@ -846,6 +846,19 @@ def test_native_plans(spark, name):
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
 
 
+def test_one_unbroken_word(spark):
+    """Texts without any white space, as in scripts that have none."""
+    df = spark.createDataFrame([(1, "x" * 100_000, "s"), (2, "漢字" * 50_000, None), (3, "ab1" * 40_000, "s")], "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert {r["n_words"] for r in quality.quality_rules(df).collect()} == {1}
+    assert packing.pack(df).select("doc_id").distinct().count() == 3
+    assert mixing.mix(mixing.leaf_rows(df)).select("doc_id").distinct().count() <= 3
+    assert toxicity.toxicity(df, labels).count() == 3
+    assert {r["n_links"] for r in ngram_join.ngram_join(df).collect()} == {0}
+    assert pii.detect(df).count() == 3
+    assert {r["n_tokens"] for r in lm.lm_scores(df).collect()} == {2}
+
+
 def test_quality_of_nothing(empty):
     assert quality.quality_rules(empty).count() == 0
     assert packing.pack(empty).count() == 0
