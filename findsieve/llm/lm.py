@@ -34,9 +34,11 @@ HELD_OUT = 1
 #: Weight of the unigram prior in a bigram probability, as a number of observations.
 PRIOR = 4.0
 #: Text of a part, and text whose word pairs one range adds up, in bytes.
-PART_BYTES, RANGE_BYTES = 16 << 20, 24 << 20
+PART_BYTES, RANGE_BYTES = 16 << 20, 6 << 20
 #: Word ranges are fewer, as a part has fewer distinct words than pairs.
-WORD_RANGE_BYTES = 96 << 20
+WORD_RANGE_BYTES = 24 << 20
+#: Ranges are dealt to tasks by hash; of several small ones a task's share varies less than of one.
+RANGES_PER_TASK = 4
 #: Occurrences of a context for each range that its successors are spread over.
 PIECE = 1 << 20
 CODES = 256
@@ -523,12 +525,12 @@ def lm_scores(docs: DataFrame, held_out_remainder_is: int | None = HELD_OUT, pri
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), text.alias("text")).mapInArrow(_read(part_bytes), READ_DDL)
     # Tasks grow in number with the text, so that each has a few parts or ranges.
     parts = parts.repartition(n_parts, "part")
-    told = parts.groupBy("part").applyInArrow(_ask_words(n_words), ASK_WORDS_DDL).repartition(n_words, "range").groupBy("range").applyInArrow(_tell_words(n_words), TOLD_WORDS_DDL)
+    told = parts.groupBy("part").applyInArrow(_ask_words(n_words), ASK_WORDS_DDL).repartition(-(-n_words // RANGES_PER_TASK), "range").groupBy("range").applyInArrow(_tell_words(n_words), TOLD_WORDS_DDL)
     told = told.repartition(n_parts, "part")
     totals = told.groupBy("part").applyInArrow(_totals, "n_words long, n_distinct long").agg(F.sum("n_words").alias("n_words"), F.sum("n_distinct").alias("n_distinct"))
     asked = parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_ask_pairs(n_words, n_pairs), ASK_PAIRS_DDL)
     asked = asked.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one").drop("one")  # one row
-    answers = asked.repartition(n_pairs, "range").groupBy("range").applyInArrow(_tell_pairs(prior), TOLD_PAIRS_DDL)
+    answers = asked.repartition(-(-n_pairs // RANGES_PER_TASK), "range").groupBy("range").applyInArrow(_tell_pairs(prior), TOLD_PAIRS_DDL)
     return parts.groupBy("part").cogroup(answers.repartition(n_parts, "part").groupBy("part")).applyInArrow(_score(n_pairs, prior), SCORE_DDL)
 
 

@@ -693,7 +693,7 @@ def test_frequent_contexts_are_spread():
     assert len(set(few.tolist())) == 1 and len(set(many.tolist())) > 20 and many.max() < 64
 
 
-@pytest.mark.parametrize(("size", "range_size"), [(1 << 30, 1 << 30), (200, 1 << 30), (3000, 400)])
+@pytest.mark.parametrize(("size", "range_size"), [(1 << 30, 1 << 30), (2000, 1 << 30), (5000, 4000)])
 def test_lm_scores(spark, size, range_size):
     rows = [(r[0], r[1]) for r in odd_rows()] + [(100 + i, f"The {w} And {w} again") for i, w in enumerate(WORDS[:40])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"part": F.lit(1), "words": F.lit("x"), "n_words": F.lit(2)})
@@ -724,7 +724,7 @@ def test_lm_scores_do_not_depend_on_parts(spark):
     copies = "the same words of a copy and the same again"
     rows = [(i, copies if i % 3 == 0 else " ".join(rng.choice(WORDS[:60], 30))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sizes = ((1 << 30, 1 << 30), (1500, 1 << 30), (1, 700))
+    sizes = ((1 << 30, 1 << 30), (2000, 1 << 30), (1000, 2000))
     one, *others = ({r["doc_id"]: (r["n_tokens"], r["base_score"], r["score"]) for r in lm.lm_scores(df, part_bytes=a, range_bytes=b).collect()} for a, b in sizes)
     assert all(x == one for x in others) and len(one) == 120
     assert len({one[i] for i in range(0, 120, 3)}) == 1
