@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ def write_operator_reports(verdicts: DataFrame, path: str) -> None:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    name = lambda p, prefix: jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(p.getName().removeprefix(prefix))
+    name = lambda p, prefix: unquote(p.getName().removeprefix(prefix))
     for release in [x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("_dir=")]:
         for report in [x.getPath() for x in fs.listStatus(release)]:
             fs.rename(report, jvm.org.apache.hadoop.fs.Path(release, f"{name(report, '_file=')}.csv"))
