@@ -1,11 +1,9 @@
 """N-gram Jaccard self join by a MinHash LSH forest with exact verification.
 
-1. Equal texts are one node.  A node has a signature of ``TREES`` tries: in each, a prefix of minima that is sorted and matched,
-   long (``LONGEST``) or shortened to ``prefix_length``.
-2. Nodes that agree on a shortened prefix form a bucket, a branch of the trie.  Each node shortens its prefixes from the least
-   crowded branch on until a pair at the threshold is found with the target recall; in its most crowded branches the
-   prefix stays long.  Two nodes of a branch meet if one of them has shortened its prefix there or the long ones agree.
-   Of the pairs that meet and whose sketches can reach the threshold a spanning forest is kept; its components hold every such pair.
+1. Equal texts are one node.  A node's signature is ``TREES`` keys, each a sorted-trie prefix of ``depth`` minima.
+   The prefix starts long and is shortened, for all nodes alike, until a pair right at the threshold is found with the target recall.
+2. Nodes under one prefix form a bucket.  Inside a bucket short sketches of the signatures are compared, and of the
+   pairs that can reach the threshold a spanning forest is kept; its components hold every pair that any tree found.
 3. Within a component all pairs are verified on their full shingle sets.  Only counts and forest edges leave the task.
 
 Large buckets and components are dealt by hash into blocks, and a task takes two blocks; so no task holds a whole group
@@ -27,7 +25,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 50
 TARGET_RECALL = 0.9995
-#: Minima of a prefix before it is shortened; those beyond the shortened one are minima of other trees.
+#: Minima of a prefix before it is shortened.
 LONGEST = 16
 SKETCH = 128
 #: Sketches of 128 minima stray by 0.035 from a similarity of 0.8; this is over five times that below it.
@@ -45,11 +43,6 @@ def prefix_length(trees: int = TREES, threshold: float = THRESHOLD, target: floa
     return 1
 
 
-def trees_to_shorten(depth: int, trees: int = TREES, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """In how many tries a node must shorten its prefix to ``depth`` for the target recall, whatever the others find."""
-    return next((k for k in range(1, trees) if 1 - (1 - threshold**depth) ** k >= target), trees)
-
-
 def node_of(text: Column) -> list[Column]:
     """What names the node of a text, 128 bits of its hash, as ``h1`` and ``h2``; null for a text without words."""
     plain = F.when(text.rlike(WORD), text)
@@ -124,11 +117,6 @@ class Signer:
         return [xxhash.xxh3_64_intdigest(data[t * step : t * step + step], seed=t) - 2**63 for t in range(self.trees)]
 
 
-def tail_at(tree: int, depth: int) -> int:
-    """Where in the sketch the minima begin that lengthen a tree's prefix: not among its own."""
-    return (tree + 1) * depth % (SKETCH - SKETCH % depth)
-
-
 def _sign(trees: int, depth: int, size: int):
     """Columns h1, h2, text: signatures; rows whose node the task has signed are left out."""
 
@@ -205,30 +193,8 @@ def _paired(mine: np.ndarray, i: int, j: int) -> np.ndarray | None:
     return None if i == j else mine[:, None] != mine[None, :]
 
 
-def meeting(sketch: np.ndarray, tail: np.ndarray, long: np.ndarray, least: float) -> np.ndarray:
-    """Boolean matrix of the pairs that meet in a branch of a trie and whose sketches agree enough.
-
-    ``long``: who keeps the long prefix, of which ``tail`` is the rest.
-    """
-    n = len(sketch)
-    hit = np.zeros((n, n), bool)
-    agree = lambda rows, cols: (sketch[rows][:, None] == sketch[cols][None]).sum(axis=2) >= least * SKETCH
-    short, every = np.flatnonzero(~long), np.arange(n)
-    for r in range(0, len(short), 64):
-        hit[short[r : r + 64]] = agree(short[r : r + 64], every)
-    kept = np.flatnonzero(long)
-    if len(kept):
-        order = kept[np.argsort(tail[kept], kind="stable")]
-        ends = np.flatnonzero(tail[order][1:] != tail[order][:-1]) + 1
-        for group in np.split(order, ends):
-            for r in range(0, len(group) if len(group) > 1 else 0, 64):
-                hit[np.ix_(group[r : r + 64], group)] = agree(group[r : r + 64], group)
-    hit |= hit.T
-    return hit
-
-
-def _candidates(least: float, depth: int):
-    """Columns bucket, i, j, mine, node, tree, long, sketch: the forest of pairs in a bucket that meet."""
+def _candidates(least: float):
+    """Columns bucket, i, j, mine, node, sketch: the forest of pairs in a bucket whose sketches agree enough."""
 
     def run(batches):
         a, b = [], []
@@ -238,9 +204,9 @@ def _candidates(least: float, depth: int):
                 continue
             node = group.column("node").to_numpy()
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
-            at = tail_at(group.column("tree")[0].as_py(), depth)
-            tail = np.ascontiguousarray(sketch[:, at : at + LONGEST - depth]).view(f"S{LONGEST - depth}").ravel() if depth < LONGEST else np.zeros(n, "S1")
-            hit = meeting(sketch, tail, group.column("long").to_numpy(zero_copy_only=False).astype(bool), least)
+            hit = np.empty((n, n), bool)
+            for r in range(0, n, 64):
+                hit[r : r + 64] = (sketch[r : r + 64, None] == sketch[None]).sum(axis=2) >= least * SKETCH
             pairs = _paired(group.column("mine").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py())
             if pairs is not None:
                 hit &= pairs
@@ -326,7 +292,6 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     ``links`` the other rows it is similar to, ``class_id`` the least doc_id of the class (null if all are null).
     """
     depth = prefix_length(trees, threshold, target_recall)
-    most_long = trees - trees_to_shorten(depth, trees, threshold, target_recall)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *node_of(text), text.cast("binary").alias("text")).where("h1 is not null")
     counts = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
@@ -335,18 +300,14 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     # The numbers of nodes are settled by writing them.
     nodes = cut(counts.join(signed, ["h1", "h2"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    entries = nodes.select("node", F.posexplode("keys").alias("tree", "bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.first("tree").alias("tree")).where("n > 1")
-    # Most trees find the same few members; one bucket of each set is enough, standing for ``same`` trees.
-    once = buckets.groupBy("n", "members").agg(F.min_by(F.struct("bucket", "tree"), "bucket").alias("b"), F.count(F.lit(1)).alias("same"))
-    members = entries.select("node", "bucket").join(once.select("b.bucket", "b.tree", "n", "same"), "bucket")
-    # A node has at most as many rows as there are trees.
-    crowded = Window.partitionBy("node").orderBy(F.desc("n"), "bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = cut(members.withColumn("long", F.sum("same").over(crowded) <= most_long).drop("same"), "members")
-    # Where nobody shortened the prefix only the long ones can meet; all rows are needed for that.
+    entries = nodes.select("node", F.explode("keys").alias("bucket"))
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
+    # Most trees find the same few members; one bucket of each set is enough.
+    once = buckets.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    members = cut(entries.join(once, "bucket"), "members")
     sketches = nodes.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi")
-    tasks = dealt(members.join(sketches, "node"), "bucket", "n", "node", SKETCH_BLOCK).select("bucket", "i", "j", "mine", "node", "tree", "long", "sketch")
-    found = connected_components(tasks.mapInArrow(_candidates(threshold - SKETCH_SLACK, depth), "a long, b long"))
+    tasks = dealt(members.join(sketches, "node"), "bucket", "n", "node", SKETCH_BLOCK).select("bucket", "i", "j", "mine", "node", "sketch")
+    found = connected_components(tasks.mapInArrow(_candidates(threshold - SKETCH_SLACK), "a long, b long"))
 
     sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     wanted = cut(found.join(sizes, "comp").join(nodes.select("node", "h1", "h2", "copies"), "node"), "wanted")
