@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, lm, mixing, ngram_join, packing, pii, quality, toxicity, urlfilter, warc
+from . import ann, fim, lm, mixing, nbsvm, ngram_join, packing, pii, quality, runs, toxicity, urlfilter, warc
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_pii": pii.op8_pii,
         "op9_lm_scoring": lm.op9_lm_scoring,
         "op10_url_filters": urlfilter.op10_url_filters,
+        "op11_quality_classifier": nbsvm.op11_quality_classifier,
+        "op12_periodic_runs": runs.op12_periodic_runs,
+        "op13_fim": fim.op13_fim,
     }
 
 
 def oracle_sql():
-    return {"op1_quality_rules": quality.ORACLE, "op3_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE, "op10_url_filters": urlfilter.ORACLE}
+    return {"op1_quality_rules": quality.ORACLE, "op3_warc": warc.ORACLE, "op4_mixing": mixing.ORACLE, "op10_url_filters": urlfilter.ORACLE, "op13_fim": fim.ORACLE}
