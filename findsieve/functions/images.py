@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findsieve.operators.matching import contained
+
 
 def _found(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
@@ -76,22 +78,16 @@ def with_distro(df: DataFrame, cpe: Column, distro: str = "distro") -> DataFrame
     return df.withColumn("rhel_ver", F.coalesce(F.when(ours, _found(F.col(distro)["version"], r"^(\d+)")), "rhel_ver"))
 
 
-def _pieces(text: Column) -> Column:
-    """All distinct substrings, the empty one too; names of images are short."""
-    n = F.length(text)
-    all_of = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k))))
-    return F.array_distinct(F.when(n > 0, F.concat(F.array(F.lit("")), all_of)).otherwise(F.array(F.lit(""))))
-
-
 def with_prefixes(images: DataFrame, prefix_map: DataFrame, ref: str = "IMAGE") -> DataFrame:
     """Adds ``prefixes``, by which products of an operator image are known: its own first, then those of the map in its order of keys.
 
     ``prefix_map``: (ns_key, prefixes); a key counts if the namespace or the image name contains it.  Distinct namespaces and
-    names are cut into their substrings, which meet the keys by equality, so the map may be of any size.
+    names meet all keys at once, so the map may be of any size.
     """
     ids = images.where("workload_type = 'operator'").select("image_ns", "image_name").distinct()
-    keys = F.explode(F.array_union(_pieces(F.col("image_ns")), _pieces(F.col("image_name"))))
-    hits = ids.withColumn("ns_key", keys).join(prefix_map, "ns_key")
+    named = ids.select("image_ns", "image_name", F.explode(F.array_distinct(F.array("image_ns", "image_name"))).alias("text"))
+    found = contained(named.select("text"), prefix_map.select(F.col("ns_key").alias("pattern"))).withColumnRenamed("pattern", "ns_key")
+    hits = named.join(found, "text").select("image_ns", "image_name", "ns_key").distinct().join(prefix_map, "ns_key")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("ns_key", "prefixes"))), lambda x: x["prefixes"])
     listed = hits.groupBy("image_ns", "image_name").agg(F.array_distinct(F.flatten(in_order)).alias("mapped"))
     host = F.split_part(F.col(ref), F.lit("/"), F.lit(1))

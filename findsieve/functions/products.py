@@ -17,6 +17,8 @@ NOT_AFFECTED_FLAGS = (
     "inline_mitigations_already_exist",
 )
 CATCH_ALL = "red_hat_products"
+RHEL = "Red Hat Enterprise Linux"
+PLATFORM = "openshift container platform"
 
 
 def pid_columns(pid: Column) -> dict[str, Column]:
@@ -46,21 +48,41 @@ def middleware_majors(pid: Column) -> Column:
     return F.array_distinct(F.concat(rhel_majors(pid), F.regexp_extract_all(pid, F.lit(r"^(\d+)[A-Za-z]"), F.lit(1))))
 
 
+def platform_version(product_name: Column) -> Column:
+    """The last word of a platform product's name, which is its version; null for other products."""
+    return F.when(F.contains(F.lower(product_name), F.lit(PLATFORM)), F.substring_index(F.trim(product_name), " ", -1))
+
+
+# Scope keys: a product concerns a workload if they share a key.  ``r9`` is an operating system, ``o4.20`` a platform of that version, ``o*``
+# one of unknown version, ``p`` and a prefix the products that have it in their id.
+
+
+def workload_keys(rhel_ver: Column, workload_type: Column, ocp_ver: Column, prefixes: Column) -> Column:
+    """A workload's scope keys; a platform has one for its version and each that its parts begin with."""
+    parts = F.split(ocp_ver, r"\.")
+    versions = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("o"), F.array_join(F.slice(parts, F.lit(1), i), ".")))
+    none = F.array().cast("array<string>")
+    other = F.when(workload_type == "ocp", F.when(ocp_ver.isNull(), F.array(F.lit("o*"))).otherwise(versions)).when(workload_type == "operator", F.transform(prefixes, prefix_key))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("r"), rhel_ver)), F.coalesce(other, none)))
+
+
 def ocp_version_covers(product_name: Column, ocp_ver: Column) -> Column:
-    """The version at the end of a product's name is a prefix, part by part, of ``ocp_ver``; unknown versions match."""
-    named = F.split(F.substring_index(product_name, " ", -1), r"\.")
-    return F.when(ocp_ver.isNull(), F.lit(True)).otherwise(F.slice(F.split(ocp_ver, r"\."), F.lit(1), F.size(named)) == named)
+    """The version at the end of a platform product's name is a prefix, part by part, of ``ocp_ver``; unknown versions match."""
+    keys = workload_keys(F.lit(""), F.lit("ocp"), ocp_ver, F.array().cast("array<string>"))
+    return F.arrays_overlap(keys, F.array(F.concat(F.lit("o"), F.substring_index(F.trim(product_name), " ", -1)), F.lit("o*")))
+
 
+def prefix_key(prefix: Column) -> Column:
+    return F.concat(F.lit("p"), F.lower(prefix))
 
-def in_scope(pid: Column, base_majors: Column, product_name: Column, ctx: dict[str, Column]) -> Column:
-    """Whether a product id concerns the workload; ``ctx`` has rhel_ver, workload_type, ocp_ver and prefixes.
 
-    ``base_majors``: the versions of a repository of the operating system itself; empty for other products.
-    """
-    platform = F.contains(F.lower(F.coalesce(product_name, F.lit(""))), F.lit("openshift container platform"))
-    known = F.exists(ctx["prefixes"], lambda p: F.contains(F.lower(pid), F.lower(p)))
-    other = F.when(ctx["workload_type"] == "ocp", platform & ocp_version_covers(product_name, ctx["ocp_ver"])).when(ctx["workload_type"] == "operator", known)
-    return F.coalesce(F.array_contains(base_majors, ctx["rhel_ver"]) | F.coalesce(other, F.lit(False)), F.lit(False))
+def product_keys(base_majors: Column, platform: Column, found: Column) -> Column:
+    """A product's scope keys: ``base_majors`` of a repository of the operating system itself, ``platform_version``, prefixes found in its id."""
+    none = F.array().cast("array<string>")
+    return F.concat(
+        F.transform(base_majors, lambda m: F.concat(F.lit("r"), m)), F.coalesce(F.when(platform.isNotNull(), F.array(F.concat(F.lit("o"), platform), F.lit("o*"))), none),
+        F.transform(F.coalesce(found, none), prefix_key),
+    )
 
 
 def module_guard(is_module: Column, module_version: Column) -> Column:

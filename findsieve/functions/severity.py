@@ -41,8 +41,8 @@ def severity_rank(severity: Column) -> Column:
     return _lookup(F.initcap(F.split_part(F.coalesce(severity, F.lit("Unknown")), F.lit(" "), F.lit(1))), RANK, 4)
 
 
-def vex_severity(first_impact: Column, aggregate: Column, later_impact: Column, cvss: Column, scanner: Column) -> Column:
-    """First entry's impact, else the aggregate, else a later impact, else CVSS, else the scanner's.
+def stated_severity(first_impact: Column, aggregate: Column, later_impact: Column, cvss: Column) -> Column:
+    """First entry's impact, else the aggregate, else a later impact, else CVSS, else null.
 
     An impact of ``None`` skips CVSS; an aggregate of ``None`` counts as missing.
     """
@@ -50,5 +50,9 @@ def vex_severity(first_impact: Column, aggregate: Column, later_impact: Column,
     stated = F.when(F.lower(F.trim(aggregate)) != "none", blank(aggregate))
     threat = F.coalesce(blank(first_impact), stated, blank(later_impact))
     by_cvss = F.when(F.upper(cvss) == "HIGH", F.lit("Important")).when(F.upper(cvss) == "MEDIUM", F.lit("Moderate")).otherwise(F.initcap(blank(cvss)))
-    own = F.when(F.lower(threat) == "none", F.lit(None)).otherwise(F.coalesce(F.initcap(threat), by_cvss))
-    return F.coalesce(own, scanner, F.lit("Unknown"))
+    return F.when(F.coalesce(F.lower(threat) != "none", F.lit(True)), F.coalesce(F.initcap(threat), by_cvss))
+
+
+def vex_severity(first_impact: Column, aggregate: Column, later_impact: Column, cvss: Column, scanner: Column) -> Column:
+    """``stated_severity``, else the scanner's."""
+    return F.coalesce(stated_severity(first_impact, aggregate, later_impact, cvss), scanner, F.lit("Unknown"))

@@ -9,36 +9,35 @@ TOKEN = r"([0-9]+|[A-Za-z]+|~|\^)"
 
 
 def rpm_epoch(version: Column) -> Column:
-    """The number before the first colon; 0 without one, null if it is no number."""
-    head = F.regexp_extract(version, r"^([^:]*):", 1)
-    return F.when(~F.contains(version, F.lit(":")), F.lit(0).cast("long")).otherwise(head.try_cast("long"))
+    """The number before the first colon; 0 without one or if it is no number."""
+    return F.coalesce(F.regexp_extract(version, r"^([^:]*):", 1).try_cast("long"), F.when(version.isNotNull(), F.lit(0)).cast("long"))
 
 
 def without_epoch(version: Column) -> Column:
     return F.regexp_replace(version, r"^[^:]*:", "")
 
 
-def rpm_key(version: Column) -> Column:
-    """An array of strings that sorts as rpm sorts the version and release.
+def rpm_order(version: Column) -> Column:
+    """Bytes that sort as rpm sorts versions, to compute once for a version and compare, range-partition or prune by often; null for null.
 
-    Numbers sort by length, then digits, and after letters; a tilde sorts before the end of the string, a caret after it.
+    First the epoch, then marked tokens up to an end mark: a tilde sorts before the end, a caret after it, letters after that, numbers
+    last, by length, then digits.  A text before the colon that is no number belongs to the version.
     """
 
     def token(t: Column) -> Column:
         digits = F.ltrim(t, F.lit("0"))
-        number = F.concat(F.lit("4"), F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
-        return F.when(t == "~", F.lit("0")).when(t == "^", F.lit("2")).when(t.rlike("^[A-Za-z]"), F.concat(F.lit("3"), t)).otherwise(number)
-
-    return F.concat(F.transform(F.regexp_extract_all(version, F.lit(TOKEN), 1), token), F.array(F.lit("1")))
+        number = F.concat(F.lit("\x05"), F.lpad(F.length(digits).cast("string"), 9, "0"), digits)
+        return F.when(t == "~", F.lit("\x01")).when(t == "^", F.lit("\x03")).when(t.rlike("^[A-Za-z]"), F.concat(F.lit("\x04"), t)).otherwise(number)
 
-
-def rpm_order(version: Column) -> Column:
-    """Epoch and key as a struct, to compute once for a version and compare often; null if the epoch is no number."""
-    return F.when(rpm_epoch(version).isNotNull(), F.struct(rpm_epoch(version).alias("epoch"), rpm_key(without_epoch(version)).alias("key")))
+    numbered = F.regexp_extract(version, r"^([^:]*):", 1).try_cast("long").isNotNull()
+    rest = F.when(numbered, without_epoch(version)).otherwise(version)
+    # Negative epochs sort before others, too.
+    epoch = F.lpad((rpm_epoch(version).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(epoch, F.array_join(F.transform(F.regexp_extract_all(rest, F.lit(TOKEN), 1), token), ""), F.lit("\x02")).cast("binary")
 
 
 def rpm_at_least(installed: Column, fix: Column) -> Column:
-    """Whether ``installed`` is not older than ``fix``; null if an epoch is no number."""
+    """Whether ``installed`` is not older than ``fix``."""
     return rpm_order(installed) >= rpm_order(fix)
 
 

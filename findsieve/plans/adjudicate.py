@@ -1,8 +1,9 @@
 """The verdict on every finding: joins, conditional aggregates and one CASE ladder.
 
-Product ids are parsed once.  Their scope is judged for every distinct pair of advisory and workload context, not for
-every finding; rules for RPMs meet products by (advisory, context, package name), rules for other packages by advisory
-and context alone.  All joins are equi-joins; evidence is aggregated per distinct question and joined back to the findings.
+A product and a workload have scope keys, and the product concerns the workload if they share one.  So scope is a join by
+(advisory, key), or a look into two short arrays; there is no row for an advisory, a workload and a product.  Findings
+are reduced to the distinct (image, component, version, advisory) that they ask about, which are judged and joined back once.
+Products are read once by (advisory, package name) for the names that are asked about, and once by (advisory, key).
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findsieve.functions import images, products, severity, versions
+from findsieve.operators.matching import contained
+from findsieve.operators.relational import keep_first
 from findsieve.sources.scratch import materialise
 
 STATUS_ORDER = {"known_not_affected": 0, "known_affected": 1, "fixed": 2, "under_investigation": 3}
@@ -19,19 +22,43 @@ FP, POSITIVE = "FALSE POSITIVE", "POSITIVE"
 SCOPE = ["rhel_ver", "workload_type", "ocp_ver"]
 #: What decides a finding's evidence, but for its exact version and image digest.
 QUESTION = ["cve", "ctx_id", "COMPONENT", "source", "row_rhel", "module_version"]
+#: What a finding asks about.
+ASKED = ["IMAGE", "COMPONENT", "VERSION", "cve"]
 FP_RULES = ("R1", "R2", "R3", "R6", "R9", "R10b", "R13", "R15")
 
 
-def contexts(image_refs: DataFrame, prefix_map: DataFrame) -> DataFrame:
-    """One row per image: its parts, digest, prefixes and ``ctx_id``, equal for images that the same products concern.
+def image_facts(images_seen: DataFrame) -> DataFrame:
+    """One row per IMAGE: its parts, from its labels, distro block, operating system and release where there are columns for them.
+
+    Optional columns: ``labels`` (map) of the image, ``distro`` (name, version) of a matcher, ``os_info`` of a scanner, ``release`` and ``component`` of a
+    platform manifest, ``pos``, of whose rows of an image the first counts.  Labels say what the image is, the distro which RHEL if they don't, and a
+    release overrules all: its images are of the platform, whatever they are called.
+    """
+    have = set(images_seen.columns)
+    rows = images_seen.withColumn("IMAGE", F.coalesce("IMAGE", F.lit("")))
+    rows = keep_first(rows, ["IMAGE"], "pos") if "pos" in have else rows.dropDuplicates(["IMAGE"])
+    rows = images.with_label_context(rows) if "labels" in have else images.with_image_parts(rows)
+    if "distro" in have:
+        rows = images.with_distro(rows, F.col("labels")["cpe"] if "labels" in have else F.lit(None).cast("string"))
+    if "release" in have:
+        for c in ("component", "os_info"):
+            rows = rows if c in have else rows.withColumn(c, F.lit(None).cast("string"))
+        rows = images.with_release_context(rows, "release", "component", "os_info")
+    return rows.select("IMAGE", "image_ns", "image_name", *SCOPE, "display_name")
+
+
+def contexts(images_seen: DataFrame, prefix_map: DataFrame) -> DataFrame:
+    """``image_facts`` with digest, prefixes, scope keys and ``ctx_id``, equal for images that the same products concern.
 
     There is a row for the empty reference, which stands for findings without an image and counts as a base image.
     """
-    nothing = image_refs.sparkSession.range(1).select(F.lit("").alias("IMAGE"))
-    refs = image_refs.select(F.coalesce("IMAGE", F.lit("")).alias("IMAGE")).unionByName(nothing).distinct()
-    seen = images.with_prefixes(images.with_image_parts(refs), prefix_map)
+    nothing = images_seen.sparkSession.range(1).select(F.lit("").alias("IMAGE"))
+    facts = image_facts(images_seen)
+    facts = facts.where("IMAGE <> ''").unionByName(image_facts(nothing))
+    seen = images.with_prefixes(facts, prefix_map)
     key = F.sha2(F.to_json(F.struct(*SCOPE, "prefixes")), 256)
-    return seen.withColumn("img_sha", images.digest(F.col("IMAGE"))).withColumn("ctx_id", key)
+    keys = products.workload_keys(*[F.col(c) for c in (*SCOPE, "prefixes")])
+    return seen.withColumns({"img_sha": images.digest(F.col("IMAGE")), "ctx_id": key, "keys": keys})
 
 
 def parse_pids(pids: DataFrame, product_names: DataFrame, relationships: DataFrame | None = None, vendor_wide: DataFrame | None = None) -> DataFrame:
@@ -39,13 +66,15 @@ def parse_pids(pids: DataFrame, product_names: DataFrame, relationships: DataFra
 
     ``product_names``: cve, product_id, name, one row each; ``relationships``: cve, pid, parent_pid, pos, of which the last of a
     pid counts; ``vendor_wide``: cve, product_id of entries for all of the vendor's products.  Everything is of the
-    advisory itself.  A label is the related parent product's name or id, else the product's name, else the raw parent.
+    advisory itself.  A label is the related parent product's name or id, else the parent's name, else the raw parent.  A product is of the
+    operating system if its parent's name or its own says so; it is a platform by the parent's name, or its own if that is missing.
     """
     df = pids
     for name, col in products.pid_columns(F.col("pid")).items():
         df = df.withColumn(name, col)
+    # Ids that are parents or products themselves meet the names in one join.
     names = product_names.select("cve", "product_id", "name")
-    df = df.join(names.toDF("cve", "parent", "product_name"), ["cve", "parent"], "left")
+    df = df.join(names.toDF("cve", "parent", "product_name"), ["cve", "parent"], "left").join(names.toDF("cve", "pid", "own_name"), ["cve", "pid"], "left")
     if relationships is not None:
         related = relationships.groupBy("cve", "pid").agg(F.max_by("parent_pid", "pos").alias("rel_parent"))
         related = related.join(names.toDF("cve", "rel_parent", "rel_name"), ["cve", "rel_parent"], "left")
@@ -56,22 +85,30 @@ def parse_pids(pids: DataFrame, product_names: DataFrame, relationships: DataFra
     if vendor_wide is not None:
         df = df.join(vendor_wide.select("cve", F.col("product_id").alias("pid"), F.lit(True).alias("wide")).distinct(), ["cve", "pid"], "left")
         wide = wide | F.coalesce("wide", F.lit(False))
-    base = F.coalesce(F.startswith(F.col("product_name"), F.lit("Red Hat Enterprise Linux")), F.lit(False))
+    of_rhel = lambda c: F.coalesce(F.startswith(F.col(c), F.lit(products.RHEL)), F.lit(False))
+    base = of_rhel("product_name") | of_rhel("own_name")
     label = F.coalesce("rel_name", "product_name", "parent")
     clears = (F.col("status") == "known_not_affected") | ((F.col("status") == "flag") & F.col("flag_label").isin(*products.NOT_AFFECTED_FLAGS))
     none = F.array().cast("array<string>")
+    platform = products.platform_version(F.coalesce(F.nullif("product_name", F.lit("")), "own_name"))
     return df.withColumns({
         "vendor_wide": wide, "rhel_base": base, "label": label, "clears": F.coalesce(clears, F.lit(False)), "base_majors": F.when(base, products.rhel_majors(F.col("pid"))).otherwise(none),
-        "any_majors": products.middleware_majors(F.col("pid")), "fix_order": versions.rpm_order(F.col("fix_ver")), "fix_minor": versions.rhel_minor(F.col("fix_ver")),
-    }).drop("wide")
+        "platform": platform, "any_majors": products.middleware_majors(F.col("pid")), "fix_minor": versions.rhel_minor(F.col("fix_ver")),
+    }).drop("wide", "own_name")
+
+
+def with_scope_keys(parsed: DataFrame, ctx: DataFrame) -> DataFrame:
+    """``parsed`` with ``scope_keys``; ids are searched for the prefixes of all workloads at once."""
+    prefixes = ctx.where("workload_type = 'operator'").select(F.explode(F.transform("prefixes", F.lower)).alias("pattern"))
+    found = contained(parsed.select(F.lower("pid").alias("text")), prefixes).groupBy("text").agg(F.array_sort(F.collect_set("pattern")).alias("found"))
+    joined = parsed.withColumn("text", F.lower("pid")).join(found, "text", "left")
+    return joined.withColumn("scope_keys", products.product_keys(F.col("base_majors"), F.col("platform"), F.col("found"))).drop("text", "found", "base_majors", "platform")
 
 
 def scoped_pids(asked: DataFrame, ctx: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Product ids of every distinct (cve, ctx_id) of ``asked``, with ``in_scope``."""
-    kinds = ctx.select("ctx_id", *SCOPE, "prefixes").dropDuplicates(["ctx_id"])
-    pairs = asked.select("cve", "ctx_id").distinct().join(kinds, "ctx_id")
-    of = {c: F.col(c) for c in (*SCOPE, "prefixes")}
-    return pairs.join(parsed, "cve").withColumn("in_scope", products.in_scope(F.col("pid"), F.col("base_majors"), F.col("product_name"), of)).drop("prefixes", "ocp_ver")
+    """Product ids of every distinct (cve, ctx_id) of ``asked``, with ``in_scope``; for reports, the verdict needs no such rows."""
+    pairs = asked.select("cve", "ctx_id").distinct().join(ctx.select("ctx_id", "keys").dropDuplicates(["ctx_id"]), "ctx_id")
+    return pairs.join(with_scope_keys(parsed, ctx), "cve").withColumn("in_scope", F.arrays_overlap("scope_keys", "keys")).drop("keys", "scope_keys")
 
 
 def _any(cond: Column) -> Column:
@@ -98,68 +135,89 @@ def document_evidence(parsed: DataFrame) -> DataFrame:
     )
 
 
-def workload_evidence(scoped: DataFrame) -> DataFrame:
-    """Per (cve, ctx_id, digest of the product id or null): the first clearing flag and the first status in scope."""
+STATED = ("known_affected", "fixed", "known_not_affected")
+WORKLOAD_FACTS = ("flag_first", "stated_first", "any_scope", "inv_plain", "inv_module")
+
+
+def key_evidence(parsed: DataFrame) -> DataFrame:
+    """Per (cve, scope key, digest of the product id or null), over the products that have the key: WORKLOAD_FACTS.
+
+    These are the first clearing flag and the first status, whether any entry states something, and whether the first entry is under
+    investigation, apart for module streams.  All are minima or disjunctions, so a workload's are those of its keys put together.
+    """
     status = F.col("status")
     rank = F.coalesce(*[F.when(status == k, F.lit(v)) for k, v in STATUS_ORDER.items()])
-    flag = F.col("in_scope") & (status == "flag") & F.col("clears")
-    stated = F.col("in_scope") & (status != "flag")
-    return scoped.groupBy("cve", "ctx_id", "pid_sha").agg(
-        F.min(F.when(flag, F.struct("vuln_idx", "flag_idx", "pid_idx", "label", "flag_label"))).alias("flag_first"),
-        F.min(F.when(stated, F.struct("vuln_idx", rank.alias("rank"), "pid_idx", "status", "label"))).alias("stated_first"),
-    )
+    open_ = (status == "under_investigation") & (F.col("vuln_idx") == 0)
+    rows = parsed.withColumn("key", F.explode("scope_keys"))
+    return rows.groupBy("cve", "key", "pid_sha").agg(
+        F.min(F.when((status == "flag") & F.col("clears"), F.struct("vuln_idx", "flag_idx", "pid_idx", "label", "flag_label"))).alias("flag_first"),
+        F.min(F.when(status != "flag", F.struct("vuln_idx", rank.alias("rank"), "pid_idx", "status", "label"))).alias("stated_first"),
+        _any(status.isin(*STATED) | F.col("clears")).alias("any_scope"), _any(open_ & ~F.col("is_module")).alias("inv_plain"), _any(open_ & F.col("is_module")).alias("inv_module"),
+    )
+
 
+def workload_evidence(pairs: DataFrame, by_key: DataFrame) -> DataFrame:
+    """Per (cve, ctx_id) of ``pairs`` (with ``keys``): WORKLOAD_FACTS; the first two of product ids that name no image."""
+    rows = pairs.select("cve", "ctx_id", F.explode("keys").alias("key")).join(by_key, ["cve", "key"])
+    plain = F.col("pid_sha").isNull()
+    return rows.groupBy("cve", "ctx_id").agg(
+        *[F.min(F.when(plain, F.col(c))).alias(c) for c in WORKLOAD_FACTS[:2]], *[_any(F.col(c)).alias(c) for c in WORKLOAD_FACTS[2:]]
+    )
 
-def context_evidence(scoped: DataFrame) -> DataFrame:
-    """Per (cve, ctx_id): whether any entry states something in scope; of the first entry, investigations in scope, with and without module streams."""
-    stated = F.col("status").isin("known_affected", "fixed", "known_not_affected") | F.col("clears")
-    here = F.col("in_scope") & (F.col("status") == "under_investigation") & (F.col("vuln_idx") == 0)
-    return scoped.groupBy("cve", "ctx_id").agg(_any(F.col("in_scope") & stated).alias("any_scope"), _any(here & ~F.col("is_module")).alias("inv_plain"), _any(here & F.col("is_module")).alias("inv_module"))
 
+def image_evidence(asked: DataFrame, by_key: DataFrame) -> DataFrame:
+    """Per (cve, ctx_id, img_sha) of ``asked`` (with ``keys``): the first flag and status of product ids that name this very image."""
+    named = by_key.where("pid_sha IS NOT NULL").select("cve", F.col("pid_sha").alias("img_sha"), "key", *WORKLOAD_FACTS[:2])
+    rows = asked.select("cve", "ctx_id", "img_sha", "keys").distinct().join(named, ["cve", "img_sha"]).where(F.array_contains("keys", F.col("key")))
+    return rows.groupBy("cve", "ctx_id", "img_sha").agg(F.min("flag_first").alias("flag_own"), F.min("stated_first").alias("stated_own"))
 
-def product_evidence(questions: DataFrame, scoped: DataFrame) -> DataFrame:
-    """Per (cve, ctx_id, COMPONENT, source): names of related products of all entries that state something of the package in scope."""
-    key = ["cve", "ctx_id", "COMPONENT", "source"]
-    names = questions.select(*key).distinct().withColumn("pkg_name", F.explode(F.array_distinct(F.array("COMPONENT", "source"))))
-    stated = F.col("status").isin("known_affected", "fixed", "known_not_affected") | F.col("clears")
-    rows = scoped.where(F.col("in_scope") & stated & F.col("rel_name").isNotNull()).select("cve", "ctx_id", "pkg_name", "rel_name")
-    return names.join(rows, ["cve", "ctx_id", "pkg_name"]).groupBy(*key).agg(F.array_sort(F.collect_set("rel_name")).alias("product_labels"))
 
+def outside_fixes(parsed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per (cve, ctx_id, row_rhel) of ``pairs`` (with ``keys``): labels of fixes on the same RHEL outside the scope.
 
-def outside_fixes(scoped: DataFrame, majors: DataFrame) -> DataFrame:
-    """Per (cve, ctx_id, row_rhel): labels of fixes on the same RHEL outside the scope."""
-    rows = scoped.where("status = 'fixed' AND vuln_idx = 0 AND NOT in_scope").join(majors, ["cve", "ctx_id"])
-    return rows.where(F.array_contains("any_majors", F.col("row_rhel"))).groupBy("cve", "ctx_id", "row_rhel").agg(F.array_sort(F.collect_set("label")).alias("outside_fixes"))
+    An advisory's fixes are reduced to the distinct (RHEL, label, scope keys) first, which are few whatever the number of packages.
+    """
+    fixes = parsed.where("status = 'fixed' AND vuln_idx = 0").select("cve", F.explode("any_majors").alias("row_rhel"), "label", F.array_sort("scope_keys").alias("scope_keys")).distinct()
+    rows = pairs.join(fixes, ["cve", "row_rhel"]).where(~F.arrays_overlap("scope_keys", "keys"))
+    return rows.groupBy("cve", "ctx_id", "row_rhel").agg(F.array_sort(F.collect_set("label")).alias("outside_fixes"))
 
 
-def package_evidence(questions: DataFrame, scoped: DataFrame, nofix: DataFrame, keep_fix_epoch: bool = False) -> DataFrame:
-    """Per question (QUESTION columns): evidence from product ids of its package names.
+def package_evidence(questions: DataFrame, parsed: DataFrame, nofix: DataFrame, keep_fix_epoch: bool = False) -> DataFrame:
+    """Per question (QUESTION columns, with ``keys``): evidence from product ids of its package names.
 
     ``fixes`` are the fixed versions in scope, in document order; everything else about a version is settled by its
-    RHEL version and whether it belongs to a module, so findings of many versions share a question.
+    RHEL version and whether it belongs to a module, so findings of many versions share a question.  Only products of names that
+    are asked about are read on, and those that differ by architecture or place alone are one.  ``product_labels`` are
+    names of related products, of all entries, that state something in scope.
     """
-    names = questions.where("row_rhel <> ''").withColumn("pkg_name", F.explode(F.array_distinct(F.array("COMPONENT", "source"))))
-    barred = nofix.select("cve", "vuln_idx", "pid").distinct().withColumn("no_fix", F.lit(True))
-    first = scoped.where("vuln_idx = 0 AND pkg_name IS NOT NULL").join(barred, ["cve", "vuln_idx", "pid"], "left")
-    rows = names.join(first, ["cve", "ctx_id", "pkg_name"]).where(products.module_guard(F.col("is_module"), F.col("module_version")))
-    status, inside, at = F.col("status"), F.col("in_scope"), F.col("pid_idx")
-    order = versions.rpm_order(F.concat(F.regexp_extract("pid", r"-(\d+):", 1), F.lit(":"), F.col("fix_ver"))) if keep_fix_epoch else F.col("fix_order")
-    fix = F.struct("pid_idx", "fix_ver", F.col("fix_minor").alias("minor"), versions.rhel_major(F.col("fix_ver")).alias("major"), order.alias("order"))
-    near = ~inside & F.array_contains("any_majors", F.col("row_rhel"))
-    return rows.groupBy(*QUESTION).agg(
+    names = questions.withColumn("pkg_name", F.explode(F.array_distinct(F.array("COMPONENT", "source"))))
+    barred = nofix.where("vuln_idx = 0").select("cve", "pid").distinct().withColumn("no_fix", F.lit(True))
+    wanted = names.select("cve", "pkg_name").distinct()
+    fix_text = F.concat(F.regexp_extract("pid", r"-(\d+):", 1), F.lit(":"), F.col("fix_ver")) if keep_fix_epoch else F.col("fix_ver")
+    first = (F.col("vuln_idx") == 0).alias("first_entry")
+    rows = parsed.where("pkg_name IS NOT NULL").join(wanted, ["cve", "pkg_name"]).select("cve", "pkg_name", first, "status", "clears", "is_module", "label", "rel_name", "fix_ver", fix_text.alias("fix_text"), "fix_minor", "any_majors", "scope_keys", "pid", "pid_idx")
+    rows = rows.join(barred, ["cve", "pid"], "left").withColumn("no_fix", F.coalesce("no_fix", F.lit(False)))
+    kinds = rows.groupBy("cve", "pkg_name", "first_entry", "status", "clears", "is_module", "label", "rel_name", "fix_ver", "fix_text", "fix_minor", "any_majors", "scope_keys", "no_fix").agg(F.min("pid_idx").alias("pid_idx"))
+    kinds = kinds.withColumn("order", versions.rpm_order(F.col("fix_text")))
+    status, at = F.col("status"), F.col("pid_idx")
+    own = F.arrays_overlap("scope_keys", "keys")
+    guard = F.col("first_entry") & products.module_guard(F.col("is_module"), F.col("module_version"))
+    inside, near = guard & own, guard & ~own & F.array_contains("any_majors", F.col("row_rhel"))
+    fix = F.struct("pid_idx", "fix_ver", F.col("fix_minor").alias("minor"), versions.rhel_major(F.col("fix_ver")).alias("major"), "order")
+    return names.join(kinds, ["cve", "pkg_name"]).groupBy(*QUESTION).agg(
         _any(inside & F.col("clears")).alias("cleared"),
         F.array_sort(F.collect_set(F.when(inside & (status == "fixed") & F.col("fix_ver").isNotNull(), fix))).alias("fixes"),
-        _first(F.coalesce("no_fix", F.lit(False)), at, inside & (status == "known_affected")).alias("affected_no_fix"),
+        _first(F.col("no_fix"), at, inside & (status == "known_affected")).alias("affected_no_fix"),
         _labels(near & status.isin("known_affected", "fixed")).alias("near_affected"),
         _labels(near & (status == "known_not_affected")).alias("near_safe"),
-    )
+        F.array_sort(F.collect_set(F.when(own & (status.isin(*STATED) | F.col("clears")), F.col("rel_name")))).alias("product_labels"),
+    )
 
 
-def version_facts(seen: DataFrame) -> DataFrame:
-    """What there is to know of each distinct VERSION: row_rhel (empty for other packages), minor, module_version, version_order."""
+def with_version_facts(asked: DataFrame) -> DataFrame:
+    """row_rhel (empty for other packages), minor, module_version and version_order of VERSION."""
     v = F.col("VERSION")
-    facts = seen.distinct().select("VERSION", F.coalesce(versions.rhel_major(v), F.lit("")).alias("row_rhel"), versions.rhel_minor(v).alias("minor"), versions.is_module_version(v).alias("module_version"), versions.rpm_order(v).alias("version_order"))
-    return materialise(facts, "versions")
+    return asked.withColumns({"row_rhel": F.coalesce(versions.rhel_major(v), F.lit("")), "minor": versions.rhel_minor(v), "module_version": versions.is_module_version(v), "version_order": versions.rpm_order(v)})
 
 
 def with_fixes(rows: DataFrame, match_major: bool = False) -> DataFrame:
@@ -238,46 +296,46 @@ def sentence() -> Column:
     return out.otherwise(F.concat(comp, F.lit(" is not tracked in this advisory")))
 
 
-def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame, nofix: DataFrame, src_map: DataFrame | None = None, keep_fix_epoch: bool = False, match_major: bool = False) -> DataFrame:
-    """``findings`` (finding_id, IMAGE, COMPONENT, VERSION, CVE, SEVERITY, ...) with verdict, rule, fix, reason and severities.
+def normal(findings: DataFrame) -> DataFrame:
+    """``findings`` with the columns of ASKED as the verdict takes them: null texts are empty, identifiers upper-case without outer blanks."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    given = F.struct("IMAGE", "COMPONENT", "VERSION", F.upper(F.trim("CVE")).alias("CVE")).alias("given")
+    rows = findings.select("finding_id", "SEVERITY", given)
+    return rows.select("*", text(F.col("given.CVE")).alias("cve"), *[text(F.col(f"given.{c}")).alias(c) for c in ("IMAGE", "COMPONENT", "VERSION")])
 
-    ``docs``: cve, n_vulns and the severity parts (impact of the first entry, later_impact, aggregate_severity, cvss_severity);
-    ``parsed``: ``parse_pids``; ``nofix``: cve, vuln_idx, pid; ``src_map``: image, binary, source, one row for a binary.
 
-    Every finding gets one row.  One without CVE or advisory is R0, one without version is no RPM, one without component
-    names no package, one whose image is null or not in ``ctx`` counts as in a base image (an image not in ``ctx`` meets no product).
-    ``keep_fix_epoch`` compares fixes with their epoch; ``match_major`` asks that a fix's stream be of the same RHEL major version too.
-    """
+def judge(asked: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame, nofix: DataFrame, src_map: DataFrame | None = None, keep_fix_epoch: bool = False, match_major: bool = False) -> DataFrame:
+    """One row for each of the distinct ASKED, with rule, verdict, fix, reason and stated severity; arguments as of ``adjudicate``."""
     ctx = materialise(ctx, "contexts")  # a row for each image, read by every branch
-    given = F.struct("IMAGE", "COMPONENT", "VERSION", F.upper(F.trim("CVE")).alias("CVE"))
-    text = lambda c: F.coalesce(c, F.lit(""))
-    rows = findings.select("finding_id", "SEVERITY", given.alias("given")).select("*", text(F.col("given.CVE")).alias("cve"), *[text(F.col(f"given.{c}")).alias(c) for c in ("IMAGE", "COMPONENT", "VERSION")])
-    rows = rows.join(ctx.select("IMAGE", "ctx_id", "img_sha", "workload_type", "rhel_ver", "display_name"), "IMAGE", "left")
-    rows = rows.withColumns({"ctx_id": text(F.col("ctx_id")), "workload_type": F.coalesce("workload_type", F.lit("ubi")), "rhel_ver": F.coalesce("rhel_ver", F.lit("8")), "display_name": text(F.col("display_name"))})
+    rows = asked.join(ctx.select("IMAGE", "ctx_id", "img_sha", "keys", "workload_type", "rhel_ver", "display_name"), "IMAGE", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({
+        "ctx_id": F.coalesce("ctx_id", F.lit("")), "workload_type": F.coalesce("workload_type", F.lit("ubi")), "rhel_ver": F.coalesce("rhel_ver", F.lit("8")),
+        "display_name": F.coalesce("display_name", F.lit("")), "keys": F.coalesce("keys", none),
+    })
     if src_map is not None:
         sources = src_map.select(F.col("image").alias("IMAGE"), F.col("binary").alias("COMPONENT"), "source").dropDuplicates(["IMAGE", "COMPONENT"])
-        rows = rows.join(sources, ["IMAGE", "COMPONENT"], "left")
+        rows = rows.join(sources, ["IMAGE", "COMPONENT"], "left").withColumn("source", F.coalesce("source", "COMPONENT"))
     else:
-        rows = rows.withColumn("source", F.lit(None).cast("string"))
-    rows = rows.withColumn("source", F.coalesce("source", "COMPONENT")).join(version_facts(rows.select("VERSION")), "VERSION")
-    questions = materialise(rows.select(*QUESTION).distinct(), "questions")
-    # Several branches read the scope; it has a row for each product of a distinct (advisory, context).
-    parsed = materialise(parsed, "products")
-    scoped = materialise(scoped_pids(questions, ctx, parsed), "scoped")
-    by_workload = workload_evidence(scoped.where("workload_type <> 'ubi'"))
-    plain = by_workload.where("pid_sha IS NULL").drop("pid_sha")
-    outside = outside_fixes(scoped, questions.where("row_rhel <> ''").select("cve", "ctx_id", "row_rhel").distinct())
-    known = docs.select("cve", "n_vulns", "impact", "later_impact", "aggregate_severity", "cvss_severity").withColumn("has_doc", F.lit(True))
-
-    # All evidence meets at the questions, which are few, in a job of its own; the findings are joined once.
-    evidence = questions.join(known, "cve", "left").join(document_evidence(parsed), "cve", "left")
-    evidence = evidence.join(context_evidence(scoped), ["cve", "ctx_id"], "left").join(plain, ["cve", "ctx_id"], "left")
-    evidence = evidence.join(product_evidence(questions, scoped), ["cve", "ctx_id", "COMPONENT", "source"], "left")
-    evidence = evidence.join(outside, ["cve", "ctx_id", "row_rhel"], "left").join(package_evidence(questions, scoped, nofix, keep_fix_epoch), QUESTION, "left")
+        rows = rows.withColumn("source", F.col("COMPONENT"))
+    rows = materialise(with_version_facts(rows), "asked")
+    questions = materialise(rows.groupBy(*QUESTION).agg(F.first("keys").alias("keys")), "questions")
+    cves = questions.select("cve").distinct()
+    # Products of advisories that are asked about, read by several branches.
+    parsed = materialise(with_scope_keys(parsed.join(cves, "cve", "left_semi"), ctx), "products")
+    by_key = materialise(key_evidence(parsed), "key-evidence")
+    pairs = questions.groupBy("cve", "ctx_id").agg(F.first("keys").alias("keys"))
+    majors = questions.where("row_rhel <> ''").groupBy("cve", "ctx_id", "row_rhel").agg(F.first("keys").alias("keys"))
+    own = ("impact", "aggregate_severity", "later_impact", "cvss_severity")
+    known = docs.select("cve", "n_vulns", severity.stated_severity(*[F.col(c) for c in own]).alias("stated_severity"), F.lit(True).alias("has_doc"))
+
+    # All evidence meets at the questions, which are few, in a job of its own.
+    evidence = questions.drop("keys").join(known, "cve", "left").join(document_evidence(parsed), "cve", "left")
+    evidence = evidence.join(workload_evidence(pairs, by_key), ["cve", "ctx_id"], "left").join(outside_fixes(parsed, majors), ["cve", "ctx_id", "row_rhel"], "left")
+    evidence = evidence.join(package_evidence(questions, parsed, nofix, keep_fix_epoch), QUESTION, "left")
     out = rows.join(materialise(evidence, "evidence"), QUESTION)
     # Product ids that name an image count for that image alone.
-    exact = by_workload.where("pid_sha IS NOT NULL").select("cve", "ctx_id", F.col("pid_sha").alias("img_sha"), F.col("flag_first").alias("flag_own"), F.col("stated_first").alias("stated_own"))
-    out = out.join(exact, ["cve", "ctx_id", "img_sha"], "left")
+    out = out.join(image_evidence(rows.where("img_sha IS NOT NULL"), by_key), ["cve", "ctx_id", "img_sha"], "left")
     out = out.withColumns({"flag_first": F.least("flag_first", "flag_own"), "stated_first": F.least("stated_first", "stated_own"), "has_doc": F.coalesce("has_doc", F.lit(False))})
     out = with_fixes(out.withColumn("fixes", F.coalesce("fixes", F.array().cast(out.schema["fixes"].dataType))), match_major)
 
@@ -289,24 +347,39 @@ def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: Dat
         .when(F.col("RULE") == "R10c", F.when(F.col("minor").isNotNull(), F.col("fix_same")).otherwise(F.col("fix_first")))
         .otherwise(F.lit("N/A"))
     )
+    product = F.when(F.size(F.coalesce("product_labels", none)) > 0, F.array_join("product_labels", ", ")).when(F.col("any_scope"), F.col("display_name")).otherwise(F.lit(""))
+    return out.select(
+        *ASKED, "RULE", F.when(cleared, F.lit(FP)).otherwise(F.lit(POSITIVE)).alias("AUDIT_RESULT"), fix.alias("VEX_FIX_VER"), sentence().alias("JUSTIFICATION"), product.alias("VEX_PRODUCT"), "has_doc", "stated_severity",
+        (F.col("RULE").isin("R5", "R12") | F.coalesce((F.col("RULE") == "R4") & (F.col("stated_first.status") == "under_investigation"), F.lit(False))).alias("under_investigation"),
+    )
+
+
+def with_verdicts(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """Findings (``normal``) with the verdicts on what they ask about, and their own severity against the stated one."""
     scanner = severity.scanner_severity(F.col("SEVERITY"))
-    stated = severity.vex_severity(F.col("impact"), F.col("aggregate_severity"), F.col("later_impact"), F.col("cvss_severity"), scanner)
-    out = out.withColumns({
-        "AUDIT_RESULT": F.when(cleared, F.lit(FP)).otherwise(F.lit(POSITIVE)),
-        "VEX_FIX_VER": fix,
-        "JUSTIFICATION": sentence(),
-        "RHACS_SEVERITY": scanner,
-        "VEX_SEVERITY": F.when(F.col("has_doc"), stated).otherwise(F.lit("UNKNOWN")),
-        "under_investigation": F.col("RULE").isin("R5", "R12") | F.coalesce((F.col("RULE") == "R4") & (F.col("stated_first.status") == "under_investigation"), F.lit(False)),
-    })
+    out = rows.join(judged, ASKED).withColumn("RHACS_SEVERITY", scanner)
+    out = out.withColumn("VEX_SEVERITY", F.when(F.col("has_doc"), F.coalesce("stated_severity", "RHACS_SEVERITY")).otherwise(F.lit("UNKNOWN")))
     mismatch = (F.col("VEX_SEVERITY") != F.col("RHACS_SEVERITY")) & (F.col("RHACS_SEVERITY") != "Unknown")
-    product = F.when(F.size(F.coalesce("product_labels", F.array().cast("array<string>"))) > 0, F.array_join("product_labels", ", ")).when(F.col("any_scope"), F.col("display_name")).otherwise(F.lit(""))
-    return out.withColumns({"SEVERITY_MISMATCH": mismatch, "VEX_PRODUCT": product}).select(
+    return out.select(
         "finding_id", "given.IMAGE", "given.COMPONENT", "VEX_PRODUCT", "given.VERSION", "given.CVE", F.col("VEX_SEVERITY").alias("SEVERITY"),
-        "RULE", "AUDIT_RESULT", "VEX_FIX_VER", "JUSTIFICATION", "RHACS_SEVERITY", "SEVERITY_MISMATCH", "under_investigation",
+        "RULE", "AUDIT_RESULT", "VEX_FIX_VER", "JUSTIFICATION", "RHACS_SEVERITY", mismatch.alias("SEVERITY_MISMATCH"), "under_investigation",
     )
 
 
+def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame, nofix: DataFrame, src_map: DataFrame | None = None, keep_fix_epoch: bool = False, match_major: bool = False) -> DataFrame:
+    """``findings`` (finding_id, IMAGE, COMPONENT, VERSION, CVE, SEVERITY, ...) with verdict, rule, fix, reason and severities.
+
+    ``docs``: cve, n_vulns and the severity parts (impact of the first entry, later_impact, aggregate_severity, cvss_severity);
+    ``parsed``: ``parse_pids``; ``nofix``: cve, vuln_idx, pid; ``src_map``: image, binary, source, one row for a binary.
+
+    Every finding gets one row.  One without CVE or advisory is R0, one without version is no RPM, one without component
+    names no package, one whose image is null or not in ``ctx`` counts as in a base image (an image not in ``ctx`` meets no product).
+    ``keep_fix_epoch`` compares fixes with their epoch; ``match_major`` asks that a fix's stream be of the same RHEL major version too.
+    """
+    rows = normal(findings)
+    return with_verdicts(rows, judge(rows.select(*ASKED).distinct(), ctx, docs, parsed, nofix, src_map, keep_fix_epoch, match_major))
+
+
 def sort_score() -> Column:
     """False positives first, then positives, missing advisories, investigations; by severity within."""
     priority = F.when(F.col("AUDIT_RESULT") == FP, F.lit(0)).when(F.col("under_investigation"), F.lit(4)).when(F.col("RULE") == "R0", F.lit(3)).otherwise(F.lit(2))

@@ -272,7 +272,7 @@ def catchall_intersect(spark, sf):
 @query("fix_compare", """SELECT finding_id, pid_idx, coalesce(rkey(regexp_replace(VERSION, '^[^:]*:', '')) >= rkey(fix_ver) OR coalesce(TRY_CAST(split_part(VERSION, ':', 1) AS INT) > 0, false), false) AS met
 FROM fi JOIN pd ON pd.cve = fi.CVE AND pkg_name = COMPONENT WHERE status = 'fixed' AND coalesce(nullif(regexp_extract(fix_ver, '\\.el\\d+_(\\d+)', 1), ''), nullif(regexp_extract(fix_ver, '[.+]el\\d+\\.(\\d+)\\.', 1), '')) = minor""")
 def fix_compare(spark, sf):
-    fixes = parsed_pids(spark, sf).where("status = 'fixed'").select(F.col("cve").alias("CVE"), F.col("pkg_name").alias("COMPONENT"), F.col("fix_minor").alias("minor"), "fix_order", "pid_idx")
+    fixes = parsed_pids(spark, sf).where("status = 'fixed'").select(F.col("cve").alias("CVE"), F.col("pkg_name").alias("COMPONENT"), F.col("fix_minor").alias("minor"), versions.rpm_order(F.col("fix_ver")).alias("fix_order"), "pid_idx")
     rows = fixture(spark, sf, "fx_finding").withColumns({"minor": versions.rhel_minor(F.col("VERSION")), "version_order": versions.rpm_order(F.col("VERSION"))})
     return rows.join(fixes, ["CVE", "COMPONENT", "minor"]).select("finding_id", "pid_idx", (F.col("version_order") >= F.col("fix_order")).alias("met"))
 
