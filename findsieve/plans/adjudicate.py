@@ -1,9 +1,9 @@
 """The verdict on every finding: joins, conditional aggregates and one CASE ladder.
 
 A product and a workload have scope keys, and the product concerns the workload if they share one.  So scope is a join by
-(advisory, key), or a look into two short arrays; there is no row for an advisory, a workload and a product.  Findings
-are reduced to the distinct (image, component, version, advisory) that they ask about, which are judged and joined back once.
-Products are read once by (advisory, package name) for the names that are asked about, and once by (advisory, key).
+(advisory, key), or a look into two short arrays; there is no row for an advisory, a workload and a product.  Findings are
+reduced to the distinct questions that they ask, at which all evidence meets, and are joined with it once.  Products are read once
+by (advisory, package name), for the names that are asked about, and once by (advisory, key).
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ FP, POSITIVE = "FALSE POSITIVE", "POSITIVE"
 SCOPE = ["rhel_ver", "workload_type", "ocp_ver"]
 #: What decides a finding's evidence, but for its exact version and image digest.
 QUESTION = ["cve", "ctx_id", "COMPONENT", "source", "row_rhel", "module_version"]
-#: What a finding asks about.
-ASKED = ["IMAGE", "COMPONENT", "VERSION", "cve"]
 FP_RULES = ("R1", "R2", "R3", "R6", "R9", "R10b", "R13", "R15")
 
 
@@ -56,7 +54,7 @@ def contexts(images_seen: DataFrame, prefix_map: DataFrame) -> DataFrame:
     facts = image_facts(images_seen)
     facts = facts.where("IMAGE <> ''").unionByName(image_facts(nothing))
     seen = images.with_prefixes(facts, prefix_map)
-    key = F.sha2(F.to_json(F.struct(*SCOPE, "prefixes")), 256)
+    key = F.unhex(F.md5(F.to_json(F.struct(*SCOPE, "prefixes")).cast("binary")))
     keys = products.workload_keys(*[F.col(c) for c in (*SCOPE, "prefixes")])
     return seen.withColumns({"img_sha": images.digest(F.col("IMAGE")), "ctx_id": key, "keys": keys})
 
@@ -165,10 +163,10 @@ def workload_evidence(pairs: DataFrame, by_key: DataFrame) -> DataFrame:
     )
 
 
-def image_evidence(asked: DataFrame, by_key: DataFrame) -> DataFrame:
-    """Per (cve, ctx_id, img_sha) of ``asked`` (with ``keys``): the first flag and status of product ids that name this very image."""
+def image_evidence(seen: DataFrame, by_key: DataFrame) -> DataFrame:
+    """Per (cve, ctx_id, img_sha) of ``seen`` (with ``keys``): the first flag and status of product ids that name this very image."""
     named = by_key.where("pid_sha IS NOT NULL").select("cve", F.col("pid_sha").alias("img_sha"), "key", *WORKLOAD_FACTS[:2])
-    rows = asked.select("cve", "ctx_id", "img_sha", "keys").distinct().join(named, ["cve", "img_sha"]).where(F.array_contains("keys", F.col("key")))
+    rows = seen.join(named, ["cve", "img_sha"]).where(F.array_contains("keys", F.col("key")))
     return rows.groupBy("cve", "ctx_id", "img_sha").agg(F.min("flag_first").alias("flag_own"), F.min("stated_first").alias("stated_own"))
 
 
@@ -214,10 +212,10 @@ def package_evidence(questions: DataFrame, parsed: DataFrame, nofix: DataFrame,
     )
 
 
-def with_version_facts(asked: DataFrame) -> DataFrame:
-    """row_rhel (empty for other packages), minor, module_version and version_order of VERSION."""
+def with_version_facts(rows: DataFrame) -> DataFrame:
+    """row_rhel (empty for other packages), minor and module_version of VERSION."""
     v = F.col("VERSION")
-    return asked.withColumns({"row_rhel": F.coalesce(versions.rhel_major(v), F.lit("")), "minor": versions.rhel_minor(v), "module_version": versions.is_module_version(v), "version_order": versions.rpm_order(v)})
+    return rows.withColumns({"row_rhel": F.coalesce(versions.rhel_major(v), F.lit("")), "minor": versions.rhel_minor(v), "module_version": versions.is_module_version(v)})
 
 
 def with_fixes(rows: DataFrame, match_major: bool = False) -> DataFrame:
@@ -296,48 +294,63 @@ def sentence() -> Column:
     return out.otherwise(F.concat(comp, F.lit(" is not tracked in this advisory")))
 
 
-def normal(findings: DataFrame) -> DataFrame:
-    """``findings`` with the columns of ASKED as the verdict takes them: null texts are empty, identifiers upper-case without outer blanks."""
-    text = lambda c: F.coalesce(c, F.lit(""))
+def given_rows(findings: DataFrame, ctx: DataFrame, src_map: DataFrame | None) -> DataFrame:
+    """``findings`` as the verdict takes them, with what their image, package and version say.
+
+    Null texts are empty, identifiers upper-case without outer blanks; ``given`` keeps the columns for the result.
+    """
     given = F.struct("IMAGE", "COMPONENT", "VERSION", F.upper(F.trim("CVE")).alias("CVE")).alias("given")
+    text = lambda c: F.coalesce(c, F.lit(""))
     rows = findings.select("finding_id", "SEVERITY", given)
-    return rows.select("*", text(F.col("given.CVE")).alias("cve"), *[text(F.col(f"given.{c}")).alias(c) for c in ("IMAGE", "COMPONENT", "VERSION")])
-
-
-def judge(asked: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame, nofix: DataFrame, src_map: DataFrame | None = None, keep_fix_epoch: bool = False, match_major: bool = False) -> DataFrame:
-    """One row for each of the distinct ASKED, with rule, verdict, fix, reason and stated severity; arguments as of ``adjudicate``."""
-    ctx = materialise(ctx, "contexts")  # a row for each image, read by every branch
-    rows = asked.join(ctx.select("IMAGE", "ctx_id", "img_sha", "keys", "workload_type", "rhel_ver", "display_name"), "IMAGE", "left")
-    none = F.array().cast("array<string>")
+    rows = rows.select("*", text(F.col("given.CVE")).alias("cve"), *[text(F.col(f"given.{c}")).alias(c) for c in ("IMAGE", "COMPONENT", "VERSION")])
+    rows = rows.join(ctx.select("IMAGE", "ctx_id", "img_sha", "keys", "workload_type", "rhel_ver", "display_name"), "IMAGE", "left")
     rows = rows.withColumns({
-        "ctx_id": F.coalesce("ctx_id", F.lit("")), "workload_type": F.coalesce("workload_type", F.lit("ubi")), "rhel_ver": F.coalesce("rhel_ver", F.lit("8")),
-        "display_name": F.coalesce("display_name", F.lit("")), "keys": F.coalesce("keys", none),
+        "ctx_id": F.coalesce("ctx_id", F.lit("").cast("binary")), "workload_type": F.coalesce("workload_type", F.lit("ubi")), "rhel_ver": F.coalesce("rhel_ver", F.lit("8")),
+        "display_name": text(F.col("display_name")), "keys": F.coalesce("keys", F.array().cast("array<string>")),
     })
     if src_map is not None:
         sources = src_map.select(F.col("image").alias("IMAGE"), F.col("binary").alias("COMPONENT"), "source").dropDuplicates(["IMAGE", "COMPONENT"])
         rows = rows.join(sources, ["IMAGE", "COMPONENT"], "left").withColumn("source", F.coalesce("source", "COMPONENT"))
     else:
         rows = rows.withColumn("source", F.col("COMPONENT"))
-    rows = materialise(with_version_facts(rows), "asked")
-    questions = materialise(rows.groupBy(*QUESTION).agg(F.first("keys").alias("keys")), "questions")
-    cves = questions.select("cve").distinct()
+    return with_version_facts(rows)
+
+
+def question_evidence(questions: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame, nofix: DataFrame, keep_fix_epoch: bool) -> tuple[DataFrame, DataFrame]:
+    """All evidence on the questions, in a job of its own, and that on product ids which name an image (``key_evidence``)."""
     # Products of advisories that are asked about, read by several branches.
-    parsed = materialise(with_scope_keys(parsed.join(cves, "cve", "left_semi"), ctx), "products")
+    parsed = materialise(with_scope_keys(parsed.join(questions.select("cve").distinct(), "cve", "left_semi"), ctx), "products")
     by_key = materialise(key_evidence(parsed), "key-evidence")
     pairs = questions.groupBy("cve", "ctx_id").agg(F.first("keys").alias("keys"))
     majors = questions.where("row_rhel <> ''").groupBy("cve", "ctx_id", "row_rhel").agg(F.first("keys").alias("keys"))
     own = ("impact", "aggregate_severity", "later_impact", "cvss_severity")
     known = docs.select("cve", "n_vulns", severity.stated_severity(*[F.col(c) for c in own]).alias("stated_severity"), F.lit(True).alias("has_doc"))
-
-    # All evidence meets at the questions, which are few, in a job of its own.
     evidence = questions.drop("keys").join(known, "cve", "left").join(document_evidence(parsed), "cve", "left")
     evidence = evidence.join(workload_evidence(pairs, by_key), ["cve", "ctx_id"], "left").join(outside_fixes(parsed, majors), ["cve", "ctx_id", "row_rhel"], "left")
-    evidence = evidence.join(package_evidence(questions, parsed, nofix, keep_fix_epoch), QUESTION, "left")
-    out = rows.join(materialise(evidence, "evidence"), QUESTION)
+    return materialise(evidence.join(package_evidence(questions, parsed, nofix, keep_fix_epoch), QUESTION, "left"), "evidence"), by_key
+
+
+def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame, nofix: DataFrame, src_map: DataFrame | None = None, keep_fix_epoch: bool = False, match_major: bool = False) -> DataFrame:
+    """``findings`` (finding_id, IMAGE, COMPONENT, VERSION, CVE, SEVERITY, ...) with verdict, rule, fix, reason and severities.
+
+    ``docs``: cve, n_vulns and the severity parts (impact of the first entry, later_impact, aggregate_severity, cvss_severity);
+    ``parsed``: ``parse_pids``; ``nofix``: cve, vuln_idx, pid; ``src_map``: image, binary, source, one row for a binary.
+
+    Every finding gets one row.  One without CVE or advisory is R0, one without version is no RPM, one without component
+    names no package, one whose image is null or not in ``ctx`` counts as in a base image (an image not in ``ctx`` meets no product).
+    ``keep_fix_epoch`` compares fixes with their epoch; ``match_major`` asks that a fix's stream be of the same RHEL major version too.
+    """
+    ctx = materialise(ctx, "contexts")  # a row for each image, read by every branch
+    rows = given_rows(findings, ctx, src_map)
+    questions = materialise(rows.groupBy(*QUESTION).agg(F.first("keys").alias("keys")), "questions")
+    evidence, by_key = question_evidence(questions, ctx, docs, parsed, nofix, keep_fix_epoch)
+    out = rows.drop("keys").join(evidence, QUESTION)
     # Product ids that name an image count for that image alone.
-    out = out.join(image_evidence(rows.where("img_sha IS NOT NULL"), by_key), ["cve", "ctx_id", "img_sha"], "left")
+    seen = questions.select("cve", "ctx_id", "keys").distinct().join(ctx.where("img_sha IS NOT NULL").select("ctx_id", "img_sha").distinct(), "ctx_id")
+    out = out.join(image_evidence(seen, by_key), ["cve", "ctx_id", "img_sha"], "left")
     out = out.withColumns({"flag_first": F.least("flag_first", "flag_own"), "stated_first": F.least("stated_first", "stated_own"), "has_doc": F.coalesce("has_doc", F.lit(False))})
-    out = with_fixes(out.withColumn("fixes", F.coalesce("fixes", F.array().cast(out.schema["fixes"].dataType))), match_major)
+    out = out.withColumn("fixes", F.coalesce("fixes", F.array().cast(out.schema["fixes"].dataType)))
+    out = with_fixes(out.withColumn("version_order", F.when(F.size("fixes") > 0, versions.rpm_order(F.col("VERSION")))), match_major)
 
     out = out.withColumn("RULE", ladder())
     cleared = F.col("RULE").isin(*FP_RULES) | ((F.col("RULE") == "R4") & F.col("stated_first.status").isin("known_not_affected", "fixed"))
@@ -347,39 +360,23 @@ def judge(asked: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame,
         .when(F.col("RULE") == "R10c", F.when(F.col("minor").isNotNull(), F.col("fix_same")).otherwise(F.col("fix_first")))
         .otherwise(F.lit("N/A"))
     )
-    product = F.when(F.size(F.coalesce("product_labels", none)) > 0, F.array_join("product_labels", ", ")).when(F.col("any_scope"), F.col("display_name")).otherwise(F.lit(""))
-    return out.select(
-        *ASKED, "RULE", F.when(cleared, F.lit(FP)).otherwise(F.lit(POSITIVE)).alias("AUDIT_RESULT"), fix.alias("VEX_FIX_VER"), sentence().alias("JUSTIFICATION"), product.alias("VEX_PRODUCT"), "has_doc", "stated_severity",
-        (F.col("RULE").isin("R5", "R12") | F.coalesce((F.col("RULE") == "R4") & (F.col("stated_first.status") == "under_investigation"), F.lit(False))).alias("under_investigation"),
-    )
-
-
-def with_verdicts(rows: DataFrame, judged: DataFrame) -> DataFrame:
-    """Findings (``normal``) with the verdicts on what they ask about, and their own severity against the stated one."""
-    scanner = severity.scanner_severity(F.col("SEVERITY"))
-    out = rows.join(judged, ASKED).withColumn("RHACS_SEVERITY", scanner)
+    none = F.array().cast("array<string>")
+    out = out.withColumns({
+        "AUDIT_RESULT": F.when(cleared, F.lit(FP)).otherwise(F.lit(POSITIVE)),
+        "VEX_FIX_VER": fix,
+        "JUSTIFICATION": sentence(),
+        "RHACS_SEVERITY": severity.scanner_severity(F.col("SEVERITY")),
+        "under_investigation": F.col("RULE").isin("R5", "R12") | F.coalesce((F.col("RULE") == "R4") & (F.col("stated_first.status") == "under_investigation"), F.lit(False)),
+    })
     out = out.withColumn("VEX_SEVERITY", F.when(F.col("has_doc"), F.coalesce("stated_severity", "RHACS_SEVERITY")).otherwise(F.lit("UNKNOWN")))
     mismatch = (F.col("VEX_SEVERITY") != F.col("RHACS_SEVERITY")) & (F.col("RHACS_SEVERITY") != "Unknown")
-    return out.select(
+    product = F.when(F.size(F.coalesce("product_labels", none)) > 0, F.array_join("product_labels", ", ")).when(F.col("any_scope"), F.col("display_name")).otherwise(F.lit(""))
+    return out.withColumns({"SEVERITY_MISMATCH": mismatch, "VEX_PRODUCT": product}).select(
         "finding_id", "given.IMAGE", "given.COMPONENT", "VEX_PRODUCT", "given.VERSION", "given.CVE", F.col("VEX_SEVERITY").alias("SEVERITY"),
-        "RULE", "AUDIT_RESULT", "VEX_FIX_VER", "JUSTIFICATION", "RHACS_SEVERITY", mismatch.alias("SEVERITY_MISMATCH"), "under_investigation",
+        "RULE", "AUDIT_RESULT", "VEX_FIX_VER", "JUSTIFICATION", "RHACS_SEVERITY", "SEVERITY_MISMATCH", "under_investigation",
     )
 
 
-def adjudicate(findings: DataFrame, ctx: DataFrame, docs: DataFrame, parsed: DataFrame, nofix: DataFrame, src_map: DataFrame | None = None, keep_fix_epoch: bool = False, match_major: bool = False) -> DataFrame:
-    """``findings`` (finding_id, IMAGE, COMPONENT, VERSION, CVE, SEVERITY, ...) with verdict, rule, fix, reason and severities.
-
-    ``docs``: cve, n_vulns and the severity parts (impact of the first entry, later_impact, aggregate_severity, cvss_severity);
-    ``parsed``: ``parse_pids``; ``nofix``: cve, vuln_idx, pid; ``src_map``: image, binary, source, one row for a binary.
-
-    Every finding gets one row.  One without CVE or advisory is R0, one without version is no RPM, one without component
-    names no package, one whose image is null or not in ``ctx`` counts as in a base image (an image not in ``ctx`` meets no product).
-    ``keep_fix_epoch`` compares fixes with their epoch; ``match_major`` asks that a fix's stream be of the same RHEL major version too.
-    """
-    rows = normal(findings)
-    return with_verdicts(rows, judge(rows.select(*ASKED).distinct(), ctx, docs, parsed, nofix, src_map, keep_fix_epoch, match_major))
-
-
 def sort_score() -> Column:
     """False positives first, then positives, missing advisories, investigations; by severity within."""
     priority = F.when(F.col("AUDIT_RESULT") == FP, F.lit(0)).when(F.col("under_investigation"), F.lit(4)).when(F.col("RULE") == "R0", F.lit(3)).otherwise(F.lit(2))
