@@ -53,15 +53,15 @@ def report_key(release: Column, package: Column, channel: Column, version: Colum
     return F.concat(F.lit("ocp-"), release, F.lit("/"), package, F.lit("-"), safe(channel), F.lit("-"), safe(version))
 
 
-def workload_images(related: DataFrame) -> DataFrame:
-    """bundle, role, image of related images: no bundle image, the first of each digest, all without digest.
+def workload_images(related: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, bundle, pos, role, image of related images: no bundle image, the first of each digest, all without digest.
 
-    ``related``: bundle, bundle_image, pos, role, image.
+    ``related``: bundle, bundle_image, pos, role, image, and ``keys``, which tell bundles of one name apart (a catalog's release).
     """
     sha, own = digest(F.col("image")), digest(F.col("bundle_image"))
     rows = related.withColumn("sha", sha).where(own.isNull() | sha.isNull() | (sha != own))
-    first = keep_first(rows.where("sha IS NOT NULL"), ["bundle", "sha"], "pos")
-    return first.unionByName(rows.where("sha IS NULL")).select("bundle", "pos", "role", "image")
+    first = keep_first(rows.where("sha IS NOT NULL"), [*keys, "bundle", "sha"], "pos")
+    return first.unionByName(rows.where("sha IS NULL")).select(*keys, "bundle", "pos", "role", "image")
 
 
 def snake(text: Column) -> Column:

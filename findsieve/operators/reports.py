@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Columns that are searched, numbers that are sought as a CVE's, words that channels begin with.
 SEARCHED = ("CVE", "COMPONENT", "OCP_COMPONENT", "IMAGE")
+CVE_NUMBER = r"(?:\d{4}-)?\d+"
+CHANNEL_WORDS = ("stable", "fast", "candidate", "latest", "preview", "alpha", "beta", "release", "gitops", "pipelines", "tech-preview", "v")
 
 
 #: Columns of a result, in order.
 RESULT = ("COMPONENT", "VEX_PRODUCT", "VERSION", "CVE", "SEVERITY", "AUDIT_RESULT", "VEX_FIX_VER", "JUSTIFICATION", "RHACS_SEVERITY", "SEVERITY_MISMATCH")
 FALSE_POSITIVE = "FALSE POSITIVE"
+#: Columns that searches are narrowed by.
+FACETS = ("release", "operator", "channel", "VERSION", "SEVERITY", "RHACS_SEVERITY", "AUDIT_RESULT", "image_base")
 
 
 def result_columns(rows: DataFrame, false_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -19,21 +26,53 @@ def result_columns(rows: DataFrame, false_only: bool = False, keep: tuple[str, .
     return out.where(F.contains("AUDIT_RESULT", F.lit(FALSE_POSITIVE))) if false_only else out
 
 
+def verdict_counts(verdicts: DataFrame, of: str) -> DataFrame:
+    """AUDIT_RESULT, n and the number of distinct values of ``of`` (images, components) that have it."""
+    return verdicts.groupBy("AUDIT_RESULT").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(of).alias(f"{of.lower()}s"))
+
+
+def bundle_summary(bundles: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per bundle (``keys``): workload images, those with findings, positives, false positives, whether it has no images at all.
+
+    ``bundles``: keys and IMAGE, null for a bundle without workload images; ``verdicts``: keys, IMAGE, AUDIT_RESULT.
+    """
+    whole = bundles.groupBy(*keys).agg(F.countDistinct("IMAGE").alias("images"))
+    kind = F.col("AUDIT_RESULT")
+    found = verdicts.groupBy(*keys).agg(F.countDistinct("IMAGE").alias("found"), F.count_if(kind == "POSITIVE").alias("vulnerable"), F.count_if(kind == FALSE_POSITIVE).alias("false_positive"))
+    out = whole.join(found, keys, "left").na.fill(0, ["found", "vulnerable", "false_positive"])
+    return out.withColumn("skipped", F.col("images") == 0)
+
+
 def facets(path: Column, image: Column) -> dict[str, Column]:
-    """release and channel from a report's path, image_base without its digest."""
+    """release, operator, channel and bundle_version from a report's path, image_base without its digest.
+
+    A report is ``ocp-{release}/{operator}-{channel}-{bundle_version}.csv``; channels and operators may hold dashes.  The version begins at the
+    last dash before ``v`` and a digit, else at the last dash; the channel is known by its usual first word, else it is what follows the next dash.
+    A ``channel=`` folder, as partitioned tables have, names the channel itself.
+    """
+    file = F.regexp_replace(F.try_url_decode(F.substring_index(path, "/", -1)), r"\.csv.*$", "")
+    versioned = r"^(.+)-(v\d[^-]*(?:-.*)?)$"
+    rest = F.when(file.rlike(versioned), F.regexp_extract(file, versioned, 1)).otherwise(F.regexp_replace(file, r"-[^-]*$", ""))
+    usual = rf"^(.+?)-((?:{'|'.join(CHANNEL_WORDS)})(?:[-_.].*)?)$"
+    simple = r"^(.*)-([^-]+)$"
+    pattern = lambda i: F.when(rest.rlike(usual), F.regexp_extract(rest, usual, i)).otherwise(F.regexp_extract(rest, simple, i))
+    of_reports = F.regexp_like(path, F.lit(r"ocp-\d+\.\d+/[^/]+\.csv$"))
+    none = F.lit("")
     return {
         "release": F.regexp_extract(path, r"ocp-(\d+\.\d+)", 1),
-        "channel": F.regexp_extract(path, r"channel=([^/]+)", 1),
+        "operator": F.when(of_reports, pattern(1)).otherwise(none),
+        "channel": F.when(F.contains(path, F.lit("channel=")), F.regexp_extract(path, r"channel=([^/]+)", 1)).when(of_reports, pattern(2)).otherwise(none),
+        "bundle_version": F.when(of_reports, F.substring(file, F.length(rest) + 2, F.length(file))).otherwise(none),
         "image_base": F.regexp_replace(image, r"@sha256:.*$", ""),
     }
 
 
 def search(reports: DataFrame, text: str) -> DataFrame:
-    """Rows that contain ``text``; text that looks like a CVE is sought among identifiers alone."""
+    """Rows that contain ``text``; text that looks like a CVE, or the number of one, is sought among identifiers alone."""
     want = text.strip().lower()
     if not want:
         return reports
-    cols = ["CVE"] if want.startswith("cve-") else [c for c in SEARCHED if c in reports.columns]
+    cols = ["CVE"] if want.startswith("cve-") or re.fullmatch(CVE_NUMBER, want) else [c for c in SEARCHED if c in reports.columns]
     hit = F.lit(False)
     for c in cols:
         hit = hit | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(want))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findsieve.functions.images import digest
+from findsieve.operators.relational import keep_first
 
 # What reports mark, where images may come from, how exclusions are named.
 MARK = "FALSE POSITIVE"
@@ -13,19 +16,26 @@ REGISTRIES = ("registry.redhat.io/", "registry.access.redhat.com/", "quay.io/")
 EXCLUSION = "findsieve"
 
 
+def _allowed(name: Column) -> Column:
+    return functools.reduce(lambda x, y: x | y, [F.startswith(name, F.lit(r)) for r in REGISTRIES])
+
+
 def fp_index(reports: DataFrame) -> DataFrame:
-    """sha256, cve, justification of images' false positives; of several reasons the first in the corpus counts."""
-    rows = reports.where(F.contains("AUDIT_RESULT", F.lit(MARK))).withColumn("sha256", digest(F.col("IMAGE"))).where(F.col("sha256").rlike("^[0-9a-f]{64}$"))
-    return rows.groupBy("sha256", F.col("CVE").alias("cve")).agg(F.min_by("JUSTIFICATION", F.struct("source_file", "pos")).alias("justification"))
+    """sha256, cve, justification of false positives of images from allowed registries; of several reasons the first in the corpus counts.
+
+    Identifiers are upper-case without outer blanks; rows without one, or without a whole digest, are left out.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    rows = reports.where(F.contains("AUDIT_RESULT", F.lit(MARK))).select("source_file", "pos", F.upper(text("CVE")).alias("cve"), text("IMAGE").alias("image"), text("JUSTIFICATION").alias("justification"))
+    rows = rows.withColumn("sha256", F.regexp_extract("image", r"@sha256:([0-9a-f]{64})", 1)).where(_allowed(F.col("image")) & (F.col("cve") != "") & (F.col("sha256") != ""))
+    return rows.groupBy("sha256", "cve").agg(F.min_by("justification", F.struct("source_file", "pos")).alias("justification"))
 
 
 def deployed(images: DataFrame) -> DataFrame:
-    """sha256, name, id of running images from allowed registries; the least name of a digest counts."""
-    ok = F.lit(False)
-    for r in REGISTRIES:
-        ok = ok | F.startswith("name", F.lit(r))
-    rows = images.where(ok).withColumn("sha256", digest(F.col("name"))).where("sha256 IS NOT NULL")
-    return rows.groupBy("sha256").agg(F.min(F.struct("name", "id")).alias("x")).select("sha256", "x.name", "x.id")
+    """sha256, name, id of running images from allowed registries; the first listed (``pos``) of a digest counts, without ``pos`` the least name."""
+    rows = images.where(_allowed(F.col("name"))).withColumn("sha256", digest(F.col("name"))).where("sha256 IS NOT NULL")
+    order = ["pos", "name", "id"] if "pos" in images.columns else ["name", "id"]
+    return keep_first(rows, ["sha256"], *order).select("sha256", "name", "id")
 
 
 def active_alerts(alerts: DataFrame) -> DataFrame:
@@ -33,22 +43,31 @@ def active_alerts(alerts: DataFrame) -> DataFrame:
 
 
 def suppression_plan(index: DataFrame, running: DataFrame, alerts: DataFrame, policies: DataFrame) -> DataFrame:
-    """sha256, image, policy_id, exclusion_name, alerts, action for every policy that alerts on a cleared image.
+    """One row for each active alert on a cleared image: sha256, image, alert_id, policy_id, exclusion_name, action.
 
-    ``policies``: id, criteria_locked, exclusions (names).  Locked policies are ``locked``, exclusions that are there ``skipped``.
+    Every such alert is to be resolved.  ``action`` is what its policy needs: ``add`` the exclusion, which stands at the policy's least alert of the
+    image alone (the others are ``added``), or nothing as it is ``locked`` or ``skipped`` (the exclusion is there), or as the alert has no policy
+    (``none``) or one that is not listed (``unknown``).  ``policies``: id, criteria_locked, exclusions (names).
     """
     cleared = running.join(index.select("sha256").distinct(), "sha256").select("sha256", F.col("name").alias("image"))
-    hit = active_alerts(alerts).join(cleared, "image").groupBy("sha256", "image", "policy_id").agg(F.count(F.lit(1)).alias("alerts"))
-    named = hit.withColumn("exclusion_name", F.concat(F.lit(f"{EXCLUSION}: "), F.substring("sha256", 1, 16)))
-    known = policies.select(F.col("id").alias("policy_id"), "criteria_locked", "exclusions")
-    action = F.when(F.col("criteria_locked"), F.lit("locked")).when(F.array_contains("exclusions", F.col("exclusion_name")), F.lit("skipped")).otherwise(F.lit("add"))
-    return named.join(known, "policy_id").select("sha256", "image", "policy_id", "exclusion_name", "alerts", action.alias("action"))
-
-
-def suppression_totals(plan: DataFrame, running: DataFrame) -> DataFrame:
-    """One row: images matched, exclusions to add, alerts to resolve, running images without any action."""
-    done = plan.agg(
-        F.countDistinct("sha256").alias("matched"), F.count_if(F.col("action") == "add").alias("added"), F.coalesce(F.sum(F.when(F.col("action") == "add", F.col("alerts"))), F.lit(0)).alias("resolved")
-    )
-    clean = running.join(plan.select("sha256").distinct(), "sha256", "left_anti").agg(F.count(F.lit(1)).alias("clean"))
-    return done.join(F.broadcast(clean))  # both sides are one row
+    policy = F.nullif(F.trim("policy_id"), F.lit(""))
+    hit = active_alerts(alerts).join(cleared, "image").select("sha256", "image", F.col("id").alias("alert_id"), policy.alias("policy_id")).distinct()
+    known = policies.select(F.col("id").alias("policy_id"), F.coalesce("criteria_locked", F.lit(False)).alias("criteria_locked"), "exclusions")
+    rows = hit.withColumn("exclusion_name", F.concat(F.lit(f"{EXCLUSION}: "), F.substring("sha256", 1, 16))).join(known, "policy_id", "left")
+    # The least alert of an image and policy, by map-side minima, is the one that adds the exclusion.
+    first = hit.where("policy_id IS NOT NULL").groupBy("sha256", "policy_id").agg(F.min("alert_id").alias("first_alert"))
+    rows = rows.join(first, ["sha256", "policy_id"], "left")
+    action = (
+        F.when(F.col("policy_id").isNull(), F.lit("none")).when(F.col("criteria_locked").isNull(), F.lit("unknown")).when(F.col("criteria_locked"), F.lit("locked"))
+        .when(F.array_contains("exclusions", F.col("exclusion_name")), F.lit("skipped")).when(F.col("alert_id") == F.col("first_alert"), F.lit("add")).otherwise(F.lit("added"))
+    )
+    return rows.select("sha256", "image", "alert_id", "policy_id", F.when(F.col("policy_id").isNotNull(), F.col("exclusion_name")).alias("exclusion_name"), action.alias("action"))
+
+
+def suppression_totals(plan: DataFrame, running: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: running images with false positives, exclusions to add, alerts to resolve, matched images without any alert (clean already)."""
+    matched = running.join(index.select("sha256").distinct(), "sha256", "left_semi").select("sha256").distinct()
+    hit = plan.select("sha256").distinct().withColumn("alerted", F.lit(1))
+    images = matched.join(hit, "sha256", "left").agg(F.count(F.lit(1)).alias("matched"), F.count_if(F.col("alerted").isNull()).alias("clean"))
+    done = plan.agg(F.count_if(F.col("action") == "add").alias("added"), F.countDistinct("alert_id").alias("resolved"))
+    return images.join(F.broadcast(done)).select("matched", "added", "resolved", "clean")  # both sides are one row

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findsieve.functions import severity
 from findsieve.operators import catalogs, inventory, relational, reports, suppression
 from findsieve.plans import adjudicate as A
 from findsieve.sources import landing
+from findsieve.sources.report_sink import write_named
+from findsieve.sources.scratch import materialise
 
 
 def advisory_tables(docs: DataFrame) -> dict[str, DataFrame]:
@@ -34,30 +35,51 @@ def advisory_tables(docs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def adjudicate_findings(findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, src_map: DataFrame | None = None, **options) -> DataFrame:
-    """Verdicts on ``findings`` (finding_id, IMAGE, ...) from advisory documents."""
+def known_images(findings: DataFrame, images: DataFrame | None) -> DataFrame:
+    """Every image of ``findings`` with what ``images`` (as ``A.image_facts`` takes it) says of it; the first row of an image counts."""
+    refs = findings.select(F.coalesce("IMAGE", F.lit("")).alias("IMAGE")).distinct()
+    if images is None:
+        return refs
+    first = relational.keep_first(images, ["IMAGE"], "pos") if "pos" in images.columns else images.dropDuplicates(["IMAGE"])
+    return refs.join(first.drop("pos"), "IMAGE", "left")
+
+
+def adjudicate_findings(findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, src_map: DataFrame | None = None, images: DataFrame | None = None, **options) -> DataFrame:
+    """Verdicts on ``findings`` (finding_id, IMAGE, ...) from advisory documents.
+
+    ``images``: what scanners say of images, as ``landing.scanned_images`` or ``landing.matched_images`` give it; others are known by their references.
+    """
     t = advisory_tables(advisories)
     parsed = A.parse_pids(t["pids"], t["products"], t["relationships"], t["vendor_wide"])
-    return A.adjudicate(findings, A.contexts(findings, prefix_map), t["docs"], parsed, t["nofix"], src_map, **options)
+    return A.adjudicate(findings, A.contexts(known_images(findings, images), prefix_map), t["docs"], parsed, t["nofix"], src_map, **options)
+
 
+def adjudicate_release(manifest: DataFrame, findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, images: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Verdicts on the findings of a release's images in the order of its manifest, and how many there are of each kind in how many components.
 
-def adjudicate_release(manifest: DataFrame, findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, **options) -> DataFrame:
-    """Verdicts on the findings of a release's images, in the order of its manifest (component, image, digest, pos)."""
-    mine = findings.join(manifest.select(F.col("image").alias("IMAGE"), F.col("component").alias("OCP_COMPONENT"), "pos"), "IMAGE")
-    verdicts = adjudicate_findings(mine, advisories, prefix_map, **options)
-    return verdicts.join(manifest.select(F.col("image").alias("IMAGE"), F.col("component").alias("OCP_COMPONENT"), "pos"), "IMAGE").orderBy("pos", A.sort_score(), "CVE", "COMPONENT", "VERSION")
+    ``manifest``: release, component, image, digest and pos of ``landing.read_manifest``; ``images``: their labels and operating systems.  All images of
+    a release are of the platform in its version, whatever their references or labels say.
+    """
+    listed = manifest.select(F.col("image").alias("IMAGE"), "release", F.col("component").alias("component"), "pos")
+    listed = relational.keep_first(listed, ["IMAGE"], "pos")
+    facts = listed if images is None else listed.join(images.drop("pos", "release", "component").dropDuplicates(["IMAGE"]), "IMAGE", "left")
+    verdicts = adjudicate_findings(findings.join(listed.select("IMAGE"), "IMAGE", "left_semi"), advisories, prefix_map, images=facts, **options)
+    rows = verdicts.join(listed.select("IMAGE", F.col("component").alias("OCP_COMPONENT"), "pos"), "IMAGE")
+    return rows.orderBy("pos", A.sort_score(), "CVE", "COMPONENT", "VERSION"), reports.verdict_counts(rows, "OCP_COMPONENT")
 
 
-def adjudicate_namespace(listed: DataFrame, findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, false_only: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+def adjudicate_namespace(
+    listed: DataFrame, findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, false_only: bool = False, images: DataFrame | None = None, **options
+) -> tuple[DataFrame, DataFrame]:
     """Verdicts on a namespace's images in the order of their listing, and how many there are of each kind in how many images.
 
-    ``listed``: id, name and pos of ``landing.listed_images``; the first of a name counts.
+    ``listed``: id, name and pos of ``landing.listed_images``; the first of a name counts.  ``images``: their labels.
     """
-    images = relational.keep_first(listed.where("name <> ''"), ["name"], "pos").select(F.col("name").alias("IMAGE"), "pos")
-    verdicts = adjudicate_findings(findings.join(images.select("IMAGE"), "IMAGE", "left_semi"), advisories, prefix_map, **options)
-    rows = verdicts.join(images, "IMAGE").orderBy("pos", A.sort_score(), "CVE", "COMPONENT", "VERSION")
+    own = relational.keep_first(listed.where("name <> ''"), ["name"], "pos").select(F.col("name").alias("IMAGE"), "pos")
+    verdicts = adjudicate_findings(findings.join(own.select("IMAGE"), "IMAGE", "left_semi"), advisories, prefix_map, images=images, **options)
+    rows = verdicts.join(own, "IMAGE")
     rows = rows.where(F.col("AUDIT_RESULT") == A.FP) if false_only else rows
-    return rows, rows.groupBy("AUDIT_RESULT").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("IMAGE").alias("images"))
+    return rows.orderBy("pos", A.sort_score(), "CVE", "COMPONENT", "VERSION"), reports.verdict_counts(rows, "IMAGE")
 
 
 def catalog_index(objects: DataFrame, operators: str = "") -> DataFrame:
@@ -80,35 +102,42 @@ def catalog_index(objects: DataFrame, operators: str = "") -> DataFrame:
     return catalogs.choose_operators(out, operators).select("ocp_version", "package", "channel", "is_default", "bundle", "image")
 
 
-def adjudicate_operators(objects: DataFrame, findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, operators: str = "", **options) -> DataFrame:
-    """Verdicts on the workload images of every channel's head bundle, with release, package, channel, bundle version and role.
+BUNDLE = ["ocp_version", "package", "channel", "is_default", "bundle_version"]
 
-    ``objects``: ``landing.read_catalog``; ``operators``: names by commas, all if empty.
+
+def bundle_images(objects: DataFrame, operators: str = "") -> DataFrame:
+    """BUNDLE, role and IMAGE of the workload images of every channel's head bundle; null images where a bundle has none.
+
+    A bundle's images are those of its own release, as catalogs of several releases hold bundles of one name.
     """
-    related = catalogs.workload_images(landing.related_images(objects).distinct())
+    versioned = objects.withColumn("ocp_version", landing.catalog_version(F.col("source_file")))
+    related = catalogs.workload_images(landing.related_images(versioned, "ocp_version").distinct(), "ocp_version")
     index = catalog_index(objects, operators).withColumn("bundle_version", catalogs.bundle_version(F.col("bundle"), F.col("package")))
-    lineage = ["ocp_version", "package", "channel", "is_default", "bundle_version", "role"]
-    images = related.join(index.drop("image"), "bundle").select(F.col("image").alias("IMAGE"), *lineage).distinct()
-    wanted = findings.join(images.select("IMAGE").distinct(), "IMAGE", "left_semi")
-    return adjudicate_findings(wanted, advisories, prefix_map, **options).join(images, "IMAGE")
+    return index.drop("image").join(related, ["ocp_version", "bundle"], "left").select(*BUNDLE, "role", F.col("image").alias("IMAGE")).distinct()
+
+
+def adjudicate_operators(
+    objects: DataFrame, findings: DataFrame, advisories: DataFrame, prefix_map: DataFrame, operators: str = "", images: DataFrame | None = None, **options
+) -> tuple[DataFrame, DataFrame]:
+    """Verdicts on the workload images of every channel's head bundle, with BUNDLE and role, and a summary of each bundle.
+
+    ``objects``: ``landing.read_catalog``; ``operators``: names by commas, all if empty; ``images``: labels of images.
+    """
+    lineage = materialise(bundle_images(objects, operators), "bundle-images")
+    wanted = findings.join(lineage.select("IMAGE").distinct(), "IMAGE", "left_semi")
+    rows = materialise(adjudicate_findings(wanted, advisories, prefix_map, images=images, **options).join(lineage.where("IMAGE IS NOT NULL"), "IMAGE"), "operator-verdicts")
+    return rows, reports.bundle_summary(lineage, rows, BUNDLE)
 
 
 def write_operator_reports(verdicts: DataFrame, path: str) -> None:
-    """Reports of release, operator, channel and bundle version as ``ocp-{release}/{operator}-{channel}-{version}.csv``, each a folder of parts.
+    """Reports of release, operator, channel and bundle version as files ``ocp-{release}/{operator}-{channel}-{version}.csv``.
 
-    Spark writes its own folder names; they are renamed afterwards, as many names as there are reports.
+    A report that is there is replaced, others stay; see ``write_named``.
     """
-    spark = verdicts.sparkSession
-    key = catalogs.report_key(F.col("ocp_version"), F.col("package"), F.col("channel"), F.col("bundle_version"))
-    verdicts.withColumns({"_dir": F.split_part(key, F.lit("/"), F.lit(1)), "_file": F.split_part(key, F.lit("/"), F.lit(2))}).write.partitionBy("_dir", "_file").option("header", True).csv(path)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    name = lambda p, prefix: unquote(p.getName().removeprefix(prefix))
-    for release in [x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("_dir=")]:
-        for report in [x.getPath() for x in fs.listStatus(release)]:
-            fs.rename(report, jvm.org.apache.hadoop.fs.Path(release, f"{name(report, '_file=')}.csv"))
-        fs.rename(release, jvm.org.apache.hadoop.fs.Path(folder, name(release, "_dir=")))
+    key = catalogs.report_key(*[F.col(c) for c in ("ocp_version", "package", "channel", "bundle_version")])
+    columns = [c for c in verdicts.columns if c not in BUNDLE]
+    named = verdicts.select(F.concat(key, F.lit(".csv")).alias("file"), *columns)
+    write_named(named, path, "file", A.sort_score(), "CVE", "COMPONENT", "VERSION", "IMAGE")
 
 
 def write_results(results: DataFrame, path: str, form: str = "csv") -> None:
@@ -121,8 +150,11 @@ def consolidate_reports(spark: SparkSession, source: str, target: str, partition
     return spark.read.parquet(target)
 
 
-def search_reports(corpus: DataFrame, text: str, chosen: dict[str, list[str]] | None = None, mismatches_only: bool = False) -> DataFrame:
-    return reports.facet_filter(reports.search(corpus, text), chosen or {}, mismatches_only)
+def search_reports(corpus: DataFrame, text: str, chosen: dict[str, list[str]] | None = None, mismatches_only: bool = False, facets: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows that are found and chosen, the cards of these, and the counts of ``facets`` among all that are found."""
+    found = reports.search(corpus, text)
+    rows = reports.facet_filter(found, chosen or {}, mismatches_only)
+    return rows, reports.cards(rows), reports.facet_counts(found, list(facets) or [c for c in reports.FACETS if c in corpus.columns])
 
 
 def build_prefix_map(objects: DataFrame, path: str) -> DataFrame:
@@ -137,13 +169,19 @@ def build_prefix_map(objects: DataFrame, path: str) -> DataFrame:
     return objects.sparkSession.read.text(path).select(F.explode(parsed).alias("ns_key", "prefixes"))
 
 
-def plan_suppressions(report_rows: DataFrame, images: DataFrame, alerts: DataFrame, policies: DataFrame, path: str) -> DataFrame:
-    """The plan, written as Parquet; nothing is applied."""
-    suppression.suppression_plan(suppression.fp_index(report_rows), suppression.deployed(images), alerts, policies).write.parquet(path)
-    return report_rows.sparkSession.read.parquet(path)
+def plan_suppressions(report_rows: DataFrame, images: DataFrame, alerts: DataFrame, policies: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The plan, written as Parquet, and its totals; nothing is applied."""
+    index, running = materialise(suppression.fp_index(report_rows), "fp-index"), materialise(suppression.deployed(images), "running")
+    suppression.suppression_plan(index, running, alerts, policies).write.parquet(path)
+    plan = report_rows.sparkSession.read.parquet(path)
+    return plan, suppression.suppression_totals(plan, running, index)
 
 
-def missed_findings(packages: DataFrame, affected: DataFrame, reported: DataFrame) -> DataFrame:
+def missed_findings(packages: DataFrame, affected: DataFrame, reported: DataFrame, docs: DataFrame | None = None, least: str = "Low") -> DataFrame:
+    """The summary of gaps; with ``docs`` (cve and its severity parts) only of advisories of at least the severity ``least``."""
+    if docs is not None:
+        stated = severity.vex_severity(*[F.col(c) for c in ("impact", "aggregate_severity", "later_impact", "cvss_severity")], F.lit("Unknown"))
+        affected = affected.join(docs.where(severity.severity_rank(stated) <= severity.RANK[least]).select("cve"), "cve", "left_semi")
     return inventory.gap_summary(inventory.detect_gaps(packages, affected, reported))
 
 

@@ -521,11 +521,13 @@ def typed_reports(spark, sf) -> DataFrame:
     return fixture(spark, sf, "fx_report").withColumn("SEVERITY_MISMATCH", F.col("SEVERITY_MISMATCH") == "True")
 
 
-@query("report_search", "SELECT finding_id, 'cve' AS kind FROM fx_report WHERE CVE LIKE 'CVE-2024-101%' UNION ALL SELECT finding_id, 'text' FROM fx_report WHERE contains(lower(COMPONENT), 'pkg2') OR contains(lower(CVE), 'pkg2') OR contains(lower(IMAGE), 'pkg2')")
+@query("report_search", "SELECT finding_id, 'cve' AS kind FROM fx_report WHERE CVE LIKE 'CVE-2024-101%' UNION ALL SELECT finding_id, 'number' FROM fx_report WHERE contains(CVE, '2024-10') UNION ALL SELECT finding_id, 'bare' FROM fx_report WHERE contains(CVE, '12') UNION ALL SELECT finding_id, 'text' FROM fx_report WHERE contains(lower(COMPONENT), 'pkg2') OR contains(lower(CVE), 'pkg2') OR contains(lower(IMAGE), 'pkg2')")
 def report_search(spark, sf):
     r = typed_reports(spark, sf)
     a = reports.search(r, "cve-2024-101").select("finding_id", F.lit("cve").alias("kind"))
-    return a.unionByName(reports.search(r, "PKG2 ").select("finding_id", F.lit("text").alias("kind")))
+    for text, kind in ((" 2024-10", "number"), ("12", "bare"), ("PKG2 ", "text")):
+        a = a.unionByName(reports.search(r, text).select("finding_id", F.lit(kind).alias("kind")))
+    return a
 
 
 CHOSEN = {"release": ["4.12", "4.15"], "SEVERITY": ["Critical", "Important"], "channel": []}
@@ -567,12 +569,14 @@ def pending_reports(spark, sf):
 
 
 def image_list(spark, sf) -> DataFrame:
-    """A landed image list whose names are strings or objects."""
-    d = fixture(spark, sf, "fx_deployed")
-    text = F.when(F.col("img_k") % 2 == 0, F.to_json(F.struct("id", "name"))).otherwise(F.to_json(F.struct("id", F.struct(F.col("name").alias("fullName")).alias("name"))))
+    """A landed image list whose names are strings or objects; some digests are listed again later, under a lesser name."""
+    d = fixture(spark, sf, "fx_deployed").withColumn("pos", F.col("img_k"))
+    again = d.where("img_k % 3 = 0").select(F.concat(F.lit("again"), "img_k").alias("id"), F.regexp_replace("name", "^registry.redhat.io/", "registry.redhat.io/a").alias("name"), "img_k", (F.col("pos") + 10**9).alias("pos"))
+    d = d.unionByName(again)
+    text = F.when(F.col("img_k") % 2 == 0, F.to_json(F.struct("id", "name", "pos"))).otherwise(F.to_json(F.struct("id", F.struct(F.col("name").alias("fullName")).alias("name"), "pos")))
     path = shared_path(spark, "images")
     d.select(text.alias("value")).write.text(path)
-    return landing.listed_images(spark.read.schema("id STRING, name VARIANT").json(path))
+    return landing.listed_images(spark.read.schema("id STRING, name VARIANT, pos LONG").json(path), "pos")
 
 
 @query("deployed_images", "SELECT regexp_extract(IMAGE, '@sha256:([a-f0-9]+)', 1) AS sha256, IMAGE AS name, 'id' || img_k AS id FROM fx_img WHERE img_k % 4 <> 0")
@@ -580,7 +584,7 @@ def deployed_images(spark, sf):
     return suppression.deployed(image_list(spark, sf))
 
 
-@query("namespace_images", "SELECT DISTINCT IMAGE AS name FROM fx_img WHERE img_k % 4 <> 0")
+@query("namespace_images", "SELECT IMAGE AS name FROM fx_img WHERE img_k % 4 <> 0 UNION SELECT replace(IMAGE, 'redhat.io/', 'redhat.io/a') FROM fx_img WHERE img_k % 4 <> 0 AND img_k % 3 = 0")
 def namespace_images(spark, sf):
     return relational.keep_first(image_list(spark, sf), ["name"], "id").select("name")
 
@@ -593,25 +597,39 @@ def active_alerts(spark, sf):
 
 
 def fp_rows(spark, sf) -> DataFrame:
-    return suppression.fp_index(fixture(spark, sf, "fx_report").withColumns({"source_file": F.col("release"), "pos": F.col("JUSTIFICATION")}))
+    """Reports with foreign registries, blank and lower-case identifiers among them."""
+    k = F.col("finding_id")
+    r = fixture(spark, sf, "fx_report").withColumns({"source_file": F.col("release"), "pos": F.col("JUSTIFICATION")})
+    return suppression.fp_index(r.withColumns({
+        "IMAGE": F.when(k % 16 == 0, F.regexp_replace("IMAGE", "^[^/]*", "evil.io")).otherwise(F.concat(F.lit(" "), "IMAGE")),
+        "CVE": F.when(k % 12 == 0, F.lit("  ")).when(k % 20 == 0, F.concat(F.lit(" "), F.lower("CVE"), F.lit(" "))).otherwise(F.col("CVE")),
+    }))
 
 
 PLAN = """
-fpx AS (SELECT regexp_extract(IMAGE, '@sha256:([a-f0-9]+)', 1) AS sha256, CVE AS cve, arg_min(JUSTIFICATION, release || JUSTIFICATION) AS justification FROM fx_report WHERE contains(AUDIT_RESULT, 'FALSE POSITIVE') GROUP BY ALL),
+fpx AS (SELECT regexp_extract(IMAGE, '@sha256:([a-f0-9]+)', 1) AS sha256, CVE AS cve, arg_min(JUSTIFICATION, release || JUSTIFICATION) AS justification FROM fx_report
+  WHERE contains(AUDIT_RESULT, 'FALSE POSITIVE') AND finding_id % 16 <> 0 AND finding_id % 12 <> 0 GROUP BY ALL),
 run AS (SELECT regexp_extract(IMAGE, '@sha256:([a-f0-9]+)', 1) AS sha256, IMAGE AS name FROM fx_img WHERE img_k % 4 <> 0),
-pln AS (SELECT sha256, run.name AS image, policy_id, 'findsieve: ' || substr(sha256, 1, 16) AS exclusion_name, count(*) AS alerts,
-  CASE WHEN policy_id = 'policy0' THEN 'locked' WHEN policy_id = 'policy1' AND left(sha256, 1) < '8' THEN 'skipped' ELSE 'add' END AS action
-  FROM run JOIN fx_alert ON image = run.name WHERE (state IS NULL OR state = 'ACTIVE') AND sha256 IN (SELECT sha256 FROM fpx) GROUP BY ALL)"""
+al AS (SELECT id, state, image, CASE WHEN alert_k % 7 <> 0 THEN policy_id END AS policy_id FROM fx_alert),
+mt AS (SELECT sha256, run.name AS image, al.id AS alert_id, policy_id FROM run JOIN al ON image = run.name WHERE (state IS NULL OR state = 'ACTIVE') AND sha256 IN (SELECT sha256 FROM fpx)),
+pln AS (SELECT sha256, image, alert_id, policy_id, CASE WHEN policy_id IS NOT NULL THEN 'findsieve: ' || substr(sha256, 1, 16) END AS exclusion_name,
+  CASE WHEN policy_id IS NULL THEN 'none' WHEN policy_id = 'policy5' THEN 'unknown' WHEN policy_id = 'policy0' THEN 'locked' WHEN policy_id = 'policy1' AND left(sha256, 1) < '8' THEN 'skipped'
+    WHEN alert_id = min(alert_id) OVER (PARTITION BY sha256, policy_id) THEN 'add' ELSE 'added' END AS action FROM mt)"""
 
 
-def plan(spark, sf) -> DataFrame:
-    """policy0 is locked; policy1 already has the exclusions of digests below 8."""
-    running = suppression.deployed(image_list(spark, sf))
-    alerts = fixture(spark, sf, "fx_alert")
+def alert_rows(spark, sf) -> DataFrame:
+    """Every seventh alert is of no policy."""
+    return fixture(spark, sf, "fx_alert").withColumn("policy_id", F.when(F.col("alert_k") % 7 != 0, F.col("policy_id")))
+
+
+def plan_parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The plan, running images and index; policy0 is locked, policy1 already has the exclusions of digests below 8, policy5 is not listed."""
+    running, index = suppression.deployed(image_list(spark, sf)), fp_rows(spark, sf)
     there = F.concat(F.lit(f"{suppression.EXCLUSION}: "), F.substring("sha256", 1, 16))
     known = running.where(F.substring("sha256", 1, 1) < "8").select(F.lit("policy1").alias("id"), there.alias("x")).groupBy("id").agg(F.collect_set("x").alias("exclusions"))
-    policies = alerts.select(F.col("policy_id").alias("id")).distinct().join(known, "id", "left").select("id", (F.col("id") == "policy0").alias("criteria_locked"), F.coalesce("exclusions", F.array().cast("array<string>")).alias("exclusions"))
-    return suppression.suppression_plan(fp_rows(spark, sf), running, alerts, policies)
+    listed = fixture(spark, sf, "fx_alert").select(F.col("policy_id").alias("id")).distinct().where("id <> 'policy5'")
+    policies = listed.join(known, "id", "left").select("id", (F.col("id") == "policy0").alias("criteria_locked"), F.coalesce("exclusions", F.array().cast("array<string>")).alias("exclusions"))
+    return suppression.suppression_plan(index, running, alert_rows(spark, sf), policies), running, index
 
 
 @query("fp_index", "SELECT * FROM fpx", PLAN)
@@ -626,12 +644,13 @@ def fp_deployed(spark, sf):
 
 @query("suppression_plan", "SELECT * FROM pln", PLAN)
 def suppression_plan(spark, sf):
-    return plan(spark, sf)
+    return plan_parts(spark, sf)[0]
 
 
-@query("suppression_totals", "SELECT count(DISTINCT sha256) AS matched, count(*) FILTER (action = 'add') AS added, CAST(coalesce(sum(alerts) FILTER (action = 'add'), 0) AS BIGINT) AS resolved, (SELECT count(*) FROM run WHERE sha256 NOT IN (SELECT sha256 FROM pln)) AS clean FROM pln", PLAN)
+@query("suppression_totals", """SELECT count(*) AS matched, (SELECT count(*) FROM pln WHERE action = 'add') AS added, (SELECT count(DISTINCT alert_id) FROM pln) AS resolved,
+  count(*) FILTER (sha256 NOT IN (SELECT sha256 FROM pln)) AS clean FROM (SELECT DISTINCT sha256 FROM run WHERE sha256 IN (SELECT sha256 FROM fpx))""", PLAN)
 def suppression_totals(spark, sf):
-    return suppression.suppression_totals(plan(spark, sf), suppression.deployed(image_list(spark, sf)))
+    return suppression.suppression_totals(*plan_parts(spark, sf))
 
 
 @query("policy_exclusions", "SELECT DISTINCT 'policy' || (o_orderkey % 6) AS policy_id, o_orderkey % 6 = 0 AS criteria_locked, CASE WHEN o_orderkey % 6 > 1 THEN 'ex' || (o_orderkey % 24) END AS exclusion FROM orders")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from findsieve.functions import images, severity, versions
 from findsieve.operators.relational import keep_first
-from findsieve.sources.scratch import materialise
 
 FINDING = "COMPONENT STRING, VERSION STRING, CVE STRING, SEVERITY STRING, CVSS DOUBLE, LINK STRING, FIXED_VERSION STRING, ADVISORY STRING, ADVISORY_LINK STRING"
 SCAN = (
@@ -39,6 +38,8 @@ POLICY = "id STRING, name STRING, criteriaLocked BOOLEAN, exclusions ARRAY<STRUC
 # Package types that the matcher is asked for by package URL, the property that names an operator.
 OTHER_TYPES = ("python", "go-module", "npm", "gem", "java-archive")
 OPERATOR_METADATA = "olm.csv.metadata"
+#: Levels of a product tree beyond which a document is taken to be broken, and reading it fails.
+DEEPEST = 1000
 SECURITY_PAGE = "https://access.redhat.com/security/cve/"
 
 
@@ -68,6 +69,16 @@ def flatten_scans(scans: DataFrame, *keep: str) -> DataFrame:
     return out.where("CVE <> ''")
 
 
+def scanned_images(scans: DataFrame) -> DataFrame:
+    """IMAGE, labels and os_info of scan documents, whose id is the image."""
+    return scans.select(F.col("id").alias("IMAGE"), F.col("metadata.v1.labels").alias("labels"), F.col("scan.operatingSystem").alias("os_info"))
+
+
+def matched_images(docs: DataFrame, image: str = "IMAGE") -> DataFrame:
+    """IMAGE, labels, distro and os_info (its name) of matcher documents."""
+    return docs.select(F.col(image).alias("IMAGE"), F.col("source.target.labels").alias("labels"), "distro", F.lower("distro.name").alias("os_info"))
+
+
 def flatten_matches(docs: DataFrame, *keep: str) -> DataFrame:
     """Findings of matcher documents: CVE identifiers only, the first of each (document, CVE, component, version)."""
     rows = docs.select(*keep, F.posexplode("matches").alias("pos", "m"))
@@ -166,18 +177,21 @@ def _branches(of: Column) -> Column:
 def product_rows(docs: DataFrame, key: str = "cve") -> DataFrame:
     """cve, product_id, name of the product tree, however deep; of repeated ids the last in the document counts.
 
-    One pass for each level of the deepest tree, whose branches are written for the next; it ends where no branch is left.
+    One recursive query: a branch gives the branches below it, with the path of their places, which sorts as the document does.
     """
-    level = docs.select(key, F.lit("").alias("path"), F.col("product_tree.branches").alias("of")).where("of IS NOT NULL")
-    found = None
-    while found is None or not level.isEmpty():
-        rows = level.select(key, "path", _branches(F.col("of")).alias("pos", "b")).withColumn("path", F.concat("path", F.lpad(F.col("pos").cast("string"), 9, "0"), F.lit("/")))
-        rows = rows.select(key, "path", _product("product_id").alias("product_id"), F.coalesce(_product("name"), F.lit("")).alias("name"), F.try_variant_get("b", "$.branches", "variant").alias("of"))
-        rows = materialise(rows, "branches")
-        here = rows.where("product_id <> ''").select(key, "path", "product_id", "name")
-        found = here if found is None else found.unionByName(here)
-        level = rows.where("of IS NOT NULL").select(key, "path", "of")
-    return found.groupBy(key, "product_id").agg(F.max_by("name", "path").alias("name"))
+    roots = docs.select(F.col(key).alias("cve"), F.col("product_tree.branches").alias("branches"))
+    branch = "SELECT cve, concat(path, lpad(CAST(pos AS STRING), 9, '0'), '/') AS path, b"
+    found = docs.sparkSession.sql(
+        f"""WITH RECURSIVE tree(cve, path, b) MAX RECURSION LEVEL {DEEPEST} AS (
+            {branch} FROM (SELECT cve, '' AS path, posexplode(try_variant_get(branches, '$', 'array<variant>')) AS (pos, b) FROM {{roots}})
+            UNION ALL
+            {branch} FROM (SELECT cve, path, posexplode(try_variant_get(b, '$.branches', 'array<variant>')) AS (pos, b) FROM tree))
+        SELECT cve, product_id, max_by(name, path) AS name
+        FROM (SELECT cve, path, try_variant_get(b, '$.product.product_id', 'string') AS product_id, coalesce(try_variant_get(b, '$.product.name', 'string'), '') AS name FROM tree)
+        WHERE product_id <> '' GROUP BY cve, product_id""",
+        roots=roots,
+    )
+    return found.withColumnRenamed("cve", key)
 
 
 def vendor_wide_rows(docs: DataFrame, key: str = "cve") -> DataFrame:
@@ -223,12 +237,12 @@ def _get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("object", path, kind)
 
 
-def related_images(objects: DataFrame) -> DataFrame:
-    """bundle, bundle_image, pos, role, image: the related images of bundles in ``read_catalog``'s objects; no images give no rows."""
+def related_images(objects: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, bundle, bundle_image, pos, role, image: the related images of bundles in ``read_catalog``'s objects; no images give no rows."""
     bundles = objects.where("schema = 'olm.bundle'")
     listed = F.posexplode(_get("$.relatedImages", "array<struct<name:string,image:string>>")).alias("pos", "r")
-    rows = bundles.select(_get("$.name").alias("bundle"), _get("$.image").alias("bundle_image"), listed)
-    return rows.select("bundle", "bundle_image", F.col("pos").cast("long").alias("pos"), _text(F.col("r.name")).alias("role"), _text(F.col("r.image")).alias("image"))
+    rows = bundles.select(*keep, _get("$.name").alias("bundle"), _get("$.image").alias("bundle_image"), listed)
+    return rows.select(*keep, "bundle", "bundle_image", F.col("pos").cast("long").alias("pos"), _text(F.col("r.name")).alias("role"), _text(F.col("r.image")).alias("image"))
 
 
 def named_bundles(objects: DataFrame) -> DataFrame:
@@ -274,7 +288,7 @@ def clean_reports(reports: DataFrame, flags: tuple[str, ...] = ("SEVERITY_MISMAT
     return df.select(*cols)
 
 
-def listed_images(images: DataFrame) -> DataFrame:
-    """id and name of landed image lists, whose ``name`` (VARIANT) is a string or an object with fullName."""
+def listed_images(images: DataFrame, *keep: str) -> DataFrame:
+    """id, name and ``keep`` (a place in the list) of landed image lists, whose ``name`` (VARIANT) is a string or an object with fullName."""
     name = F.coalesce(F.try_variant_get("name", "$.fullName", "string"), F.when(F.schema_of_variant("name") == "STRING", F.try_variant_get("name", "$", "string")), F.lit(""))
-    return images.select("id", name.alias("name"))
+    return images.select("id", name.alias("name"), *keep)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from findsieve.operators import reports
 from findsieve.plans import jobs
 from findsieve.sources import landing
 from tests.test_landing import advisory, leaf
@@ -38,10 +39,55 @@ def findings_of(spark, *images):
 def test_release_in_manifest_order(spark, advisories, prefixes, tmp_path):
     a, b, c = (image(x, x) for x in "abc")
     (tmp_path / "m.txt").write_text(f"Name:      4.20.1\nPull From: quay.io/x@sha256:00\n  zeta {b}\n  alpha {a}\n  again {b}\n")
-    rows = jobs.adjudicate_release(landing.read_manifest(spark, str(tmp_path / "m.txt")), findings_of(spark, a, b, c), advisories, prefixes).collect()
+    rows, counts = jobs.adjudicate_release(landing.read_manifest(spark, str(tmp_path / "m.txt")), findings_of(spark, a, b, c), advisories, prefixes)
+    rows = rows.collect()
+    assert {tuple(r) for r in counts.collect()} == {("FALSE POSITIVE", 2, 2), ("POSITIVE", 2, 2)}
     assert [(r["OCP_COMPONENT"], r["AUDIT_RESULT"]) for r in rows] == [("zeta", "FALSE POSITIVE"), ("zeta", "POSITIVE"), ("alpha", "FALSE POSITIVE"), ("alpha", "POSITIVE")]
 
 
+def test_images_of_a_release_are_of_the_platform(spark, prefixes, tmp_path):
+    """Their references say nothing; the release says the version, the operating system or the component's name the RHEL."""
+    folder = tmp_path / "vex"
+    folder.mkdir()
+    tree = [{"name": "v", "branches": [leaf("9Base-RHOSE-4.20", "Red Hat OpenShift Container Platform 4.20"), leaf("red_hat_enterprise_linux_10", "Red Hat Enterprise Linux 10"), leaf("x_enterprise_linux_9:own", "Red Hat Enterprise Linux 9 own")]}]
+    advisory(folder, "CVE-2024-0001", tree=tree, status={"known_affected": ["9Base-RHOSE-4.20:a"]})
+    advisory(folder, "CVE-2024-0002", tree=tree, status={"known_not_affected": ["red_hat_enterprise_linux_10:a"], "known_affected": ["x_enterprise_linux_9:own"]})
+    ref = lambda d: f"quay.io/openshift-release-dev/ocp-v4.0-art-dev@sha256:{d * 64}"
+    (tmp_path / "m.txt").write_text(f"Name:      4.20.1\n  plain {ref('1')}\n  rhel-coreos-10 {ref('2')}\n  told {ref('3')}\n")
+    told = spark.createDataFrame([(ref("3"), "rhel:10.0", {"cpe": "cpe:/a:redhat:openshift:4.19::el9", "name": "openshift/thing-rhel8"})], "IMAGE string, os_info string, labels map<string,string>")
+    rows, _ = jobs.adjudicate_release(landing.read_manifest(spark, str(tmp_path / "m.txt")), findings_of(spark, ref("1"), ref("2"), ref("3")), landing.read_advisories(spark, str(folder)), prefixes, images=told)
+    got = {(r["OCP_COMPONENT"], r["CVE"][-1]): (r["RULE"], r["JUSTIFICATION"]) for r in rows.collect()}
+    assert {got[c, "1"] for c in ("plain", "rhel-coreos-10", "told")} == {("R11c", "OpenShift 4.20.1: affected, no fix yet")}
+    assert got["rhel-coreos-10", "2"][0] == got["told", "2"][0] == "R9" and got["plain", "2"][0] == "R15"
+
+
+def test_a_product_is_known_by_its_own_name(spark, prefixes, tmp_path):
+    folder = tmp_path / "vex"
+    folder.mkdir()
+    tree = [{"name": "v", "branches": [leaf("x_enterprise_linux_9:a", "Red Hat Enterprise Linux 9 a")]}]
+    advisory(folder, "CVE-2024-0001", tree=tree, status={"known_affected": ["x_enterprise_linux_9:a"]})
+    row = spark.createDataFrame([(1, "registry.redhat.io/ubi9/ubi", "a", "1-1.el9", "CVE-2024-0001", "LOW")], FINDING)
+    assert [r["RULE"] for r in jobs.adjudicate_findings(row, landing.read_advisories(spark, str(folder)), prefixes).collect()] == ["R11c"]
+
+
+def test_labels_of_a_namespace_tell_what_its_images_are(spark, prefixes, tmp_path):
+    folder = tmp_path / "vex"
+    folder.mkdir()
+    tree = [{"name": "v", "branches": [leaf("red_hat_enterprise_linux_9", "Red Hat Enterprise Linux 9")]}]
+    advisory(folder, "CVE-2024-0001", tree=tree, status={"known_not_affected": ["red_hat_enterprise_linux_9:a"]})
+    refs = [f"mirror.local/x/y@sha256:{d * 64}" for d in "123"]
+    matched = spark.createDataFrame(
+        [(refs[0], {"name": "ubi9/ubi"}, None), (refs[1], None, ("Red Hat Enterprise Linux", "9.4")), (refs[2], {"name": "team/thing", "cpe": "cpe:/a:redhat:thing:1::el8"}, ("rhel", "9"))],
+        "IMAGE string, labels map<string,string>, distro struct<name: string, version: string>",
+    )
+    listed = spark.createDataFrame([(str(i), r, i) for i, r in enumerate(refs)], "id string, name string, pos long")
+    only = findings_of(spark, *refs).where("CVE = 'CVE-2024-0001'")
+    rows, _ = jobs.adjudicate_namespace(listed, only, landing.read_advisories(spark, str(folder)), prefixes, images=matched)
+    assert [r["RULE"] for r in rows.collect()] == ["R9", "R9", "R13"]
+    bare, _ = jobs.adjudicate_namespace(listed, only, landing.read_advisories(spark, str(folder)), prefixes)
+    assert [r["RULE"] for r in bare.collect()] == ["R13"] * 3
+
+
 def test_namespace_in_listing_order(spark, advisories, prefixes):
     a, b, c = (image(x, x) for x in "abc")
     listed = spark.createDataFrame([("1", b, 0), ("2", a, 1), ("3", b, 2), ("4", "", 3)], "id string, name string, pos long")
@@ -75,14 +121,27 @@ def test_operators_from_catalogs_to_reports(spark, advisories, prefixes, tmp_pat
     work = catalogs(folder)
     assert [r["version"] for r in landing.catalog_versions(spark, str(folder)).collect()] == ["4.20", "4.9"]
     objects = landing.read_catalog(spark, f"{folder}/*.json")
-    rows = jobs.adjudicate_operators(objects, findings_of(spark, work, image("bundle", "2"), image("old", "3")), advisories, prefixes)
+    rows, summary = jobs.adjudicate_operators(objects, findings_of(spark, work, image("bundle", "2"), image("old", "3")), advisories, prefixes)
+    kinds = {(r["ocp_version"], r["channel"], r["images"], r["found"], r["vulnerable"], r["false_positive"], r["skipped"]) for r in summary.collect()}
+    assert kinds == {(v, c, 1, 1, 1, 1, False) for v in ("4.20", "4.9") for c in ("stable", "a/b")}
     got = {(r["ocp_version"], r["channel"], r["is_default"], r["bundle_version"], r["role"], r["IMAGE"], r["RULE"]) for r in rows.collect()}
     assert got == {(v, c, c == "stable", "v1.1", "w", work, rule) for v in ("4.20", "4.9") for c in ("stable", "a/b") for rule in ("R9", "R11c")}
-    assert jobs.adjudicate_operators(objects, findings_of(spark, work), advisories, prefixes, operators="op-two").count() == 0
+    assert jobs.adjudicate_operators(objects, findings_of(spark, work), advisories, prefixes, operators="op-two")[0].count() == 0
     out = tmp_path / "reports"
     jobs.write_operator_reports(rows, f"file://{out}")
     assert sorted(str(p.relative_to(out)) for p in out.glob("*/*.csv")) == [f"ocp-{v}/op-one-{c}-v1.1.csv" for v in ("4.20", "4.9") for c in ("a_b", "stable")]
+    assert not [p for p in out.rglob("*") if p.name.startswith("_")]
+    # Another run replaces its reports and leaves the others.
+    jobs.write_operator_reports(rows.where("ocp_version = '4.9' AND RULE = 'R9'").withColumn("ocp_version", F.lit("4.21")), f"file://{out}")
+    assert len(list(out.glob("ocp-4.20/*.csv"))) == len(list(out.glob("ocp-4.21/*.csv"))) == 2
+    jobs.write_operator_reports(rows, f"file://{out}")
+    lines = (out / "ocp-4.20" / "op-one-stable-v1.1.csv").read_text().splitlines()
+    assert len(lines) == 3 and "R9" in lines[1] and lines[0].startswith('"IMAGE"')
+    for x in (out / "ocp-4.21").iterdir():
+        x.unlink()
     read = landing.read_reports(spark, f"file://{out}")
+    seen = read.withColumns(reports.facets(F.col("source_file"), F.col("IMAGE"))).select("release", "operator", "channel", "bundle_version").distinct().collect()
+    assert {tuple(r) for r in seen} == {(v, "op-one", c, "v1.1") for v in ("4.20", "4.9") for c in ("a_b", "stable")}
     assert read.count() == 8 and landing.skipped_reports(spark, f"file://{out}", read).count() == 0
 
 
@@ -105,7 +164,10 @@ def test_reports_are_consolidated_and_searched(spark, tmp_path):
     assert [r["source_file"].rsplit("/", 1)[1] for r in landing.skipped_reports(spark, f"{tmp_path}/r", read).collect()] == ["empty.csv"]
     corpus = jobs.consolidate_reports(spark, f"{tmp_path}/r", f"file://{tmp_path}/corpus", partitions=2)
     assert corpus.count() == 2
-    assert [r["COMPONENT"] for r in jobs.search_reports(corpus, "cve-1", {"COMPONENT": ["x"]}, mismatches_only=True).collect()] == ["x"]
+    rows, cards, counts = jobs.search_reports(corpus, "cve-1", {"COMPONENT": ["x"]}, mismatches_only=True, facets=("COMPONENT", "IMAGE"))
+    assert [r["COMPONENT"] for r in rows.collect()] == ["x"] and [tuple(r) for r in cards.collect()] == [(1, 1, 1, 1)]
+    assert {tuple(r) for r in counts.collect()} == {("COMPONENT", "x", 1), ("IMAGE", "i1", 1)}
+    assert jobs.search_reports(corpus, "2")[0].count() == 1  # a number is a CVE's
     jobs.write_results(corpus.select("CVE"), f"file://{tmp_path}/out", form="json")
     jobs.write_results(corpus.select("CVE"), f"file://{tmp_path}/out-csv")
     assert spark.read.json(f"file://{tmp_path}/out").count() == spark.read.option("header", True).csv(f"file://{tmp_path}/out-csv").count() == 2
@@ -117,8 +179,9 @@ def test_suppressions_gaps_and_pending_reports(spark, tmp_path):
     images = spark.createDataFrame([("1", a), ("2", b)], "id string, name string")
     alerts = spark.createDataFrame([("x", "ACTIVE", "p", a), ("y", "RESOLVED", "p", a), ("z", "ACTIVE", "p", b)], "id string, state string, policy_id string, image string")
     policies = spark.createDataFrame([("p", False, [])], "id string, criteria_locked boolean, exclusions array<string>")
-    plan = jobs.plan_suppressions(report, images, alerts, policies, f"file://{tmp_path}/plan").collect()
-    assert [(r["image"], r["alerts"], r["action"]) for r in plan] == [(a, 1, "add")]
+    plan, totals = jobs.plan_suppressions(report, images, alerts, policies, f"file://{tmp_path}/plan")
+    assert [(r["image"], r["alert_id"], r["action"]) for r in plan.collect()] == [(a, "x", "add")]
+    assert [tuple(r) for r in totals.collect()] == [(1, 1, 1, 0)]
 
     packages = spark.createDataFrame([(x, "n", v) for x, v in (("i", "1-1.el9_4"), ("j", "1-1.el9_4"), ("k", "3-1.el9_4"), ("l", None))], "image string, name string, version string")
     affected = spark.createDataFrame([("C1", "n", "known_affected", None), ("C2", "n", "fixed", "2-1.el9_4"), ("C3", "n", "fixed", "2-1.el9_2")], "cve string, name string, status string, fix_ver string")
@@ -131,6 +194,26 @@ def test_suppressions_gaps_and_pending_reports(spark, tmp_path):
     assert [tuple(r) for r in jobs.pending(expected, existing).collect()] == [("r2", "c")]
 
 
+def test_every_alert_on_a_cleared_image_is_resolved(spark):
+    """A locked policy, an open one, none and an unknown one; a second alert of a policy adds nothing again."""
+    from findsieve.operators import suppression
+
+    a = image("a", "a")
+    report = spark.createDataFrame(
+        [("FALSE POSITIVE", f" {a} ", " cve-1 ", "why", "f", 1), ("FALSE POSITIVE", a, " ", "blank", "f", 2), ("FALSE POSITIVE", a.replace("registry.redhat.io", "evil.io"), "CVE-2", "no", "f", 3), ("FALSE POSITIVE", a, "CVE-1", "later", "g", 1)],
+        "AUDIT_RESULT string, IMAGE string, CVE string, JUSTIFICATION string, source_file string, pos long",
+    )
+    index = suppression.fp_index(report)
+    assert [(r["sha256"], r["cve"], r["justification"]) for r in index.collect()] == [("a" * 64, "CVE-1", "why")]
+    running = suppression.deployed(spark.createDataFrame([("2", "registry.redhat.io/a@sha256:" + "a" * 64, 1), ("1", a, 0)], "id string, name string, pos long"))
+    assert [r["id"] for r in running.collect()] == ["1"]
+    alerts = spark.createDataFrame([("w", None, "open", a), ("x", "ACTIVE", "locked", a), ("y", "ACTIVE", None, a), ("z", "ACTIVE", "open", a), ("u", "ACTIVE", "gone", a)], "id string, state string, policy_id string, image string")
+    policies = spark.createDataFrame([("open", False, []), ("locked", True, [])], "id string, criteria_locked boolean, exclusions array<string>")
+    plan = suppression.suppression_plan(index, running, alerts, policies)
+    assert {(r["alert_id"], r["action"]) for r in plan.collect()} == {("w", "add"), ("x", "locked"), ("y", "none"), ("z", "added"), ("u", "unknown")}
+    assert [tuple(r) for r in suppression.suppression_totals(plan, running, index).collect()] == [(1, 1, 5, 0)]
+
+
 def test_results_have_all_columns(spark):
     from findsieve.operators import reports
 
