@@ -42,7 +42,8 @@ def image_facts(images_seen: DataFrame) -> DataFrame:
         for c in ("component", "os_info"):
             rows = rows if c in have else rows.withColumn(c, F.lit(None).cast("string"))
         rows = images.with_release_context(rows, "release", "component", "os_info")
-    return rows.select("IMAGE", "image_ns", "image_name", *SCOPE, "display_name")
+    named = F.col("context_ref") if "labels" in have else F.col("IMAGE")
+    return rows.select("IMAGE", named.alias("context_ref"), "image_ns", "image_name", *SCOPE, "display_name")
 
 
 def contexts(images_seen: DataFrame, prefix_map: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def contexts(images_seen: DataFrame, prefix_map: DataFrame) -> DataFrame:
     nothing = images_seen.sparkSession.range(1).select(F.lit("").alias("IMAGE"))
     facts = image_facts(images_seen)
     facts = facts.where("IMAGE <> ''").unionByName(image_facts(nothing))
-    seen = images.with_prefixes(facts, prefix_map)
+    seen = images.with_prefixes(facts, prefix_map, "context_ref")
     key = F.unhex(F.md5(F.to_json(F.struct(*SCOPE, "prefixes")).cast("binary")))
     keys = products.workload_keys(*[F.col(c) for c in (*SCOPE, "prefixes")])
     return seen.withColumns({"img_sha": images.digest(F.col("IMAGE")), "ctx_id": key, "keys": keys})

@@ -62,7 +62,8 @@ FROM (SELECT DISTINCT cve FROM fx_pid) c CROSS JOIN (SELECT * FROM (VALUES ('App
  ('red_hat_enterprise_linux_9','Red Hat Enterprise Linux 9'),('red_hat_enterprise_linux_8','Red Hat Enterprise Linux 8'),
  ('9Base-RHOSE-4.20','Red Hat OpenShift Container Platform 4.20'),
  ('advanced_cluster_management_2','Red Hat Advanced Cluster Management 2'),
- ('compliance_operator_1','Compliance Operator 1'),('JBCS-9.4','JBoss Core Services 9'),('deep_suite','Suite of Platforms 3')) AS t(product_id, name)) n""",
+ ('compliance_operator_1','Compliance Operator 1'),('JBCS-9.4','JBoss Core Services 9'),('deep_suite','Suite of Platforms 3')) AS t(product_id, name)) n
+UNION ALL SELECT DISTINCT cve, pid, 'Red Hat Enterprise Linux 9 for core services' FROM fx_pid WHERE pid LIKE 'JBCS-9.4:pkg1%'""",
     "fx_vendor": """
 SELECT DISTINCT cve, pid AS product_id FROM fx_pid WHERE pid = 'vendor_all'""",
     "fx_rel": """
@@ -106,12 +107,31 @@ FROM orders JOIN fx_img i ON i.img_k = o_orderkey % 97 + 1""",
 }
 
 
-def _needs(name: str) -> list[str]:
+#: Views of images that change with where they come from: of a platform release, of a namespace whose images have labels.
+RELEASE = {
+    "fx_img": """
+SELECT s_suppkey AS img_k, s_nationkey AS nat_k, 'quay.io/openshift-release-dev/ocp-v4.0-art-dev@sha256:' || H('img' || s_suppkey) AS IMAGE,
+ '4.' || (18 + s_suppkey % 4) || '.' || (s_suppkey % 3) AS release, CASE s_suppkey % 3 WHEN 1 THEN 'rhel-coreos-10' ELSE 'part' || s_suppkey END AS component,
+ CASE s_suppkey % 3 WHEN 0 THEN 'rhel:9.4' END AS os_info
+FROM supplier""",
+}
+LABELLED = {
+    "fx_img": """
+SELECT s_suppkey AS img_k, s_nationkey AS nat_k, 'mirror.local/' || CASE s_suppkey % 6 WHEN 3 THEN 'compliance/tool' WHEN 4 THEN 'compliance/other' WHEN 5 THEN 'odf4/mcg-rhel9-operator' ELSE 'x/y' END
+  || '@sha256:' || H('img' || s_suppkey) AS IMAGE,
+ CASE s_suppkey % 6 WHEN 0 THEN 'ubi9/ubi' WHEN 1 THEN 'openshift4/ose-cli-rhel8' WHEN 2 THEN 'rhacm2/multicluster-operators-rhel9' END AS label_name,
+ CASE s_suppkey % 6 WHEN 1 THEN 'cpe:/a:redhat:openshift:4.20::el9' WHEN 2 THEN 'cpe:/a:redhat:acm:2.9::el8' WHEN 5 THEN 'cpe:/a:redhat:odf:4.15::el9' END AS label_cpe,
+ CASE s_suppkey % 6 WHEN 3 THEN 'Red Hat Enterprise Linux' WHEN 5 THEN 'rhel' END AS distro_name, CASE s_suppkey % 6 WHEN 3 THEN '9.4' WHEN 5 THEN '8.8' END AS distro_version
+FROM supplier""",
+}
+
+
+def _needs(name: str, views: dict[str, str]) -> list[str]:
     """The views and tables that a view reads, in order, itself last."""
     out: list[str] = []
-    for other in [*SQL, *STAR]:
-        if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", SQL.get(name, "")):
-            out += [x for x in _needs(other) if x not in out]
+    for other in [*views, *STAR]:
+        if other != name and re.search(rf"\b(FROM|JOIN) {other}\b", views.get(name, "")):
+            out += [x for x in _needs(other, views) if x not in out]
     return [*out, name]
 
 
@@ -126,12 +146,13 @@ def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _read[key]
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table as a DataFrame over the tables in ``sf_dir``."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, changed: dict[str, str] | None = None) -> DataFrame:
+    """A domain table as a DataFrame over the tables in ``sf_dir``; ``changed`` views take the place of those of SQL."""
+    views = SQL | (changed or {})
     made: dict[str, DataFrame] = {}
-    for view in _needs(name):
-        if view in SQL:
-            text = re.sub(r"\bH\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", SQL[view]).replace("//", "div")
+    for view in _needs(name, views):
+        if view in views:
+            text = re.sub(r"\bH\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", views[view]).replace("//", "div")
             used = {x: made[x] for x in made if re.search(rf"\b(FROM|JOIN) {x}\b", text)}
             for x in used:
                 text = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 {{{x}}}", text)
@@ -141,6 +162,6 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return made[name]
 
 
-def duck_views(names=None) -> str:
+def duck_views(changed: dict[str, str] | None = None) -> str:
     """The same views as the beginning of a DuckDB WITH clause."""
-    return ",\n".join(f"{k} AS ({re.sub(r'\bH\(', 'sha256(', v)})" for k, v in SQL.items())
+    return ",\n".join(f"{k} AS ({re.sub(r'\bH\(', 'sha256(', v)})" for k, v in (SQL | (changed or {})).items())

@@ -12,25 +12,24 @@ im2 AS (SELECT *, coalesce(nullif(regexp_extract(image_name, 'rhel(\d+)', 1), ''
   regexp_extract(IMAGE, '@sha256:([a-f0-9]+)', 1) AS img_sha,
   CASE WHEN regexp_matches(image_ns, '^ubi\d+') OR image_name = '' OR image_ns IN ('ubi', 'rhel') THEN 'ubi'
        WHEN image_ns IN ('openshift4', 'ocp4') OR contains(image_name, 'ose-') THEN 'ocp' ELSE 'operator' END AS workload_type FROM im1),
-ctx AS (SELECT *, CASE workload_type WHEN 'ubi' THEN 'UBI' || rhel_ver WHEN 'ocp' THEN 'OpenShift ' || coalesce(ocp_ver, '4.x')
-    ELSE image_ns || '/' || image_name || ' (RHEL ' || rhel_ver || ')' END AS display_name FROM im2),
+ctx AS (CONTEXTS),
 px AS (SELECT img_k, prefix FROM ctx JOIN fx_prefix ON contains(image_ns, ns_key) OR contains(image_name, ns_key) WHERE workload_type = 'operator'
-  UNION SELECT img_k, split_part(IMAGE, '/', 1) || '/' || image_ns || '/' FROM ctx WHERE workload_type = 'operator'
+  UNION SELECT img_k, host || '/' || image_ns || '/' FROM ctx WHERE workload_type = 'operator'
   UNION SELECT img_k, image_ns || '/' FROM ctx WHERE workload_type = 'operator'),
 pd0 AS (SELECT *, split_part(pid, '::', 1) AS bare, split_part(pid, ':', 1) AS parent, contains(pid, '::') AS is_module FROM fx_pid),
 pd1 AS (SELECT *, CASE WHEN contains(bare, ':') THEN regexp_replace(bare, '^[^:]*:', '') END AS comp FROM pd0),
 rl AS (SELECT r.cve, pid, coalesce(name, parent_pid) AS rel_name FROM (SELECT cve, pid, arg_max(parent_pid, pos) AS parent_pid FROM fx_rel GROUP BY cve, pid) r
   LEFT JOIN fx_product n ON n.cve = r.cve AND n.product_id = parent_pid),
-pd AS (SELECT pd1.*, coalesce(rel_name, name, parent) AS label, name AS product_name, coalesce(starts_with(name, 'Red Hat Enterprise Linux'), false) AS rhel_base,
+pd AS (SELECT pd1.*, coalesce(rel_name, n.name, parent) AS label, coalesce(nullif(n.name, ''), o.name) AS product_name, coalesce(starts_with(n.name, 'Red Hat Enterprise Linux'), false) OR coalesce(starts_with(o.name, 'Red Hat Enterprise Linux'), false) AS rhel_base,
   CASE WHEN regexp_matches(comp, '-\d+:') THEN regexp_extract(comp, '^(.*?)-\d+:', 1) ELSE regexp_replace(comp, '\.(aarch64|x86_64|ppc64le|s390x|i686|noarch|src)$', '') END AS pkg_name,
   CASE WHEN regexp_matches(comp, '-\d+:') THEN regexp_replace(regexp_replace(comp, '^.*?-\d+:', ''), '\.(aarch64|x86_64|ppc64le|s390x|i686|noarch|src)$', '') END AS fix_ver,
-  status IN ('known_not_affected', 'flag') AS clears, rel_name FROM pd1 LEFT JOIN fx_product n ON n.product_id = parent AND n.cve = pd1.cve LEFT JOIN rl ON rl.cve = pd1.cve AND rl.pid = pd1.pid),
+  status IN ('known_not_affected', 'flag') AS clears, rel_name FROM pd1 LEFT JOIN fx_product n ON n.product_id = parent AND n.cve = pd1.cve LEFT JOIN fx_product o ON o.product_id = pd1.pid AND o.cve = pd1.cve LEFT JOIN rl ON rl.cve = pd1.cve AND rl.pid = pd1.pid),
 kinds AS (SELECT DISTINCT rhel_ver AS rv, workload_type AS wt, ocp_ver AS ov, display_name AS dn, image_ns AS ns FROM ctx),
-kp AS (SELECT DISTINCT image_ns AS ns, prefix FROM ctx JOIN px USING (img_k)),
+kp AS (SELECT DISTINCT display_name AS dn, prefix FROM ctx JOIN px USING (img_k)),
 sc AS (SELECT k.*, pd.*, (rhel_base AND (contains(lower(pid), 'enterprise_linux_' || rv) OR regexp_matches(pid, '\.el' || rv || '([_.\-a-z]|$)') OR regexp_matches(pid, '^[a-zA-Z]+-' || rv || '[.\-]')))
    OR (wt = 'ocp' AND coalesce(contains(lower(product_name), 'openshift container platform'), false)
        AND (ov IS NULL OR list_slice(string_split(ov, '.'), 1, len(string_split(list_last(string_split(product_name, ' ')), '.'))) = string_split(list_last(string_split(product_name, ' ')), '.')))
-   OR (wt = 'operator' AND EXISTS (SELECT 1 FROM kp WHERE kp.ns = k.ns AND contains(lower(pid), lower(prefix)))) AS in_scope
+   OR (wt = 'operator' AND EXISTS (SELECT 1 FROM kp WHERE kp.dn = k.dn AND contains(lower(pid), lower(prefix)))) AS in_scope
   FROM kinds k CROSS JOIN pd),
 fi AS (SELECT f.*, c.rhel_ver, c.workload_type, c.display_name, c.image_ns, nullif(regexp_extract(VERSION, '[.+]el(\d+)', 1), '') AS row_rhel,
   coalesce(nullif(regexp_extract(VERSION, '\.el\d+_(\d+)', 1), ''), nullif(regexp_extract(VERSION, '[.+]el\d+\.(\d+)\.', 1), '')) AS minor,
@@ -110,6 +109,17 @@ vd AS (SELECT finding_id, CASE WHEN len(related) > 0 THEN array_to_string(relate
 res AS (SELECT *, VEX_SEVERITY <> RHACS_SEVERITY AND RHACS_SEVERITY <> 'Unknown' AS SEVERITY_MISMATCH FROM vd)
 """
 
+#: Contexts of images: by their references alone, of a platform release, by labels and distro blocks.
+BY_REFERENCE = """SELECT *, split_part(IMAGE, '/', 1) AS host, CASE workload_type WHEN 'ubi' THEN 'UBI' || rhel_ver WHEN 'ocp' THEN 'OpenShift ' || coalesce(ocp_ver, '4.x')
+    ELSE image_ns || '/' || image_name || ' (RHEL ' || rhel_ver || ')' END AS display_name FROM im2"""
+OF_RELEASE = """SELECT * EXCLUDE (rhel_ver, ocp_ver, workload_type), split_part(IMAGE, '/', 1) AS host, CASE img_k % 3 WHEN 0 THEN '9' WHEN 1 THEN '10' ELSE rhel_ver END AS rhel_ver,
+  '4.' || (18 + img_k % 4) AS ocp_ver, 'ocp' AS workload_type, 'OpenShift ' || release AS display_name FROM im2"""
+BY_LABELS = """SELECT i.* EXCLUDE (rhel_ver, ocp_ver, workload_type, image_ns, image_name), c.* EXCLUDE (k) FROM im2 i JOIN (VALUES
+  (0, 'registry.redhat.io', 'ubi9', 'ubi', '9', NULL, 'ubi', 'UBI9'), (1, 'registry.redhat.io', 'openshift4', 'ose-cli-rhel8', '9', '4.20', 'ocp', 'OpenShift 4.x 4.20'),
+  (2, 'registry.redhat.io', 'rhacm2', 'multicluster-operators-rhel9', '8', NULL, 'operator', 'rhacm2/multicluster-operators-rhel9 2.9'),
+  (3, 'mirror.local', 'compliance', 'tool', '9', NULL, 'operator', 'compliance/tool (RHEL 8)'), (4, 'mirror.local', 'compliance', 'other', '8', NULL, 'operator', 'compliance/other (RHEL 8)'),
+  (5, 'mirror.local', 'odf4', 'mcg-rhel9-operator', '9', NULL, 'operator', 'odf4/mcg-rhel9-operator 4.15')) AS c(k, host, image_ns, image_name, rhel_ver, ocp_ver, workload_type, display_name) ON img_k % 6 = c.k"""
+
 #: The order of a version without its epoch, as a list expression.
 KEY = (
     "list_append(list_transform(regexp_extract_all({0}, '([0-9]+|[A-Za-z]+|~|\\^)', 1), lambda t: CASE WHEN t = '~' THEN '0' WHEN t = '^' THEN '2' "
@@ -128,6 +138,6 @@ def _keys(sql: str) -> str:
     return sql
 
 
-def duck(sql: str, more: str = "") -> str:
-    """An oracle: the shared views, ``more`` views (each ending with a comma-less body), then the query."""
-    return _keys("WITH " + duck_views() + "," + VIEWS + ("," + more if more else "") + "\n" + sql)
+def duck(sql: str, more: str = "", changed: dict[str, str] | None = None, contexts: str = BY_REFERENCE) -> str:
+    """An oracle: the shared views, ``more`` views (each ending with a comma-less body), then the query; ``changed`` fixtures and ``contexts`` take the place of the usual ones."""
+    return _keys("WITH " + duck_views(changed) + "," + VIEWS.replace("CONTEXTS", contexts) + ("," + more if more else "") + "\n" + sql)

@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 from findsieve.functions import images, products, severity, versions
 from findsieve.operators import relational, reports
 from findsieve.plans import adjudicate as A
-from findsieve.plans.fixtures import fixture
-from findsieve.plans.oracle import duck
+from findsieve.plans import jobs
+from findsieve.plans.fixtures import LABELLED, RELEASE, fixture
+from findsieve.plans.oracle import BY_LABELS, OF_RELEASE, duck
 from findsieve.sources import landing
+from findsieve.sources.scratch import shared_path
 
 QUERIES: dict = {}
 
 
-def query(name: str, oracle: str | None = None, more: str = ""):
+def query(name: str, oracle: str | None = None, more: str = "", **changes):
     def add(fn):
-        QUERIES[name] = (fn, duck(oracle, more) if oracle else None)
+        QUERIES[name] = (fn, duck(oracle, more, **changes) if oracle else None)
         return fn
 
     return add
 
 
 def contexts(spark: SparkSession, sf: str) -> DataFrame:
-    prefixes = fixture(spark, sf, "fx_prefix").groupBy("ns_key").agg(F.collect_list("prefix").alias("prefixes"))
-    return A.contexts(fixture(spark, sf, "fx_img"), prefixes)
+    return A.contexts(fixture(spark, sf, "fx_img"), prefixes(spark, sf))
 
 
 def parsed_pids(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,6 +52,117 @@ def verdict_counts(spark, sf):
     return verdicts(spark, sf).groupBy("RULE", "AUDIT_RESULT").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Verdicts of jobs, whose images are known by more than their references ----------------------------------------
+
+
+def prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    return fixture(spark, sf, "fx_prefix").groupBy("ns_key").agg(F.collect_list("prefix").alias("prefixes"))
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    from findsieve.plans.landing_queries import advisories
+
+    return advisories(spark, sf)
+
+
+JOB_COLUMNS = ["finding_id", "RULE", "AUDIT_RESULT", "VEX_PRODUCT", "VEX_FIX_VER", "JUSTIFICATION"]
+ORACLE_COLUMNS = ", ".join(JOB_COLUMNS)
+
+
+@query("release_verdict", f"SELECT {ORACLE_COLUMNS}, part AS OCP_COMPONENT FROM res JOIN (SELECT img_k AS k, component AS part FROM fx_img) ON k = img_k", changed=RELEASE, contexts=OF_RELEASE)
+def release_verdict(spark, sf):
+    """The release job over a manifest of images whose references say nothing."""
+    return release_rows(spark, sf)[0].select(*JOB_COLUMNS, "OCP_COMPONENT")
+
+
+def release_rows(spark, sf):
+    listed = fixture(spark, sf, "fx_img", RELEASE)
+    manifest = listed.select("release", "component", F.col("IMAGE").alias("image"), images.digest(F.col("IMAGE")).alias("digest"), F.col("img_k").alias("pos"))
+    return jobs.adjudicate_release(manifest, fixture(spark, sf, "fx_given", RELEASE), documents(spark, sf), prefixes(spark, sf), images=listed.select("IMAGE", "os_info"))
+
+
+@query(
+    "release_summary", "SELECT AUDIT_RESULT, count(*) AS n, count(DISTINCT part) AS ocp_components FROM res JOIN (SELECT img_k AS k, component AS part FROM fx_img) ON k = img_k GROUP BY AUDIT_RESULT",
+    changed=RELEASE, contexts=OF_RELEASE,
+)
+def release_summary(spark, sf):
+    return release_rows(spark, sf)[1]
+
+
+@query("namespace_verdict", f"SELECT {ORACLE_COLUMNS}, IMAGE FROM res WHERE IMAGE IS NOT NULL", changed=LABELLED, contexts=BY_LABELS)
+def namespace_verdict(spark, sf):
+    """The namespace job over images that labels and a matcher's distro block tell about."""
+    listed = fixture(spark, sf, "fx_img", LABELLED)
+    labels = F.map_filter(F.create_map(F.lit("name"), "label_name", F.lit("cpe"), "label_cpe"), lambda _, v: v.isNotNull())
+    seen = listed.select("IMAGE", labels.alias("labels"), F.struct(F.col("distro_name").alias("name"), F.col("distro_version").alias("version")).alias("distro"))
+    rows, _ = jobs.adjudicate_namespace(listed.select(F.col("img_k").alias("id"), F.col("IMAGE").alias("name"), F.col("img_k").alias("pos")), fixture(spark, sf, "fx_given", LABELLED), documents(spark, sf), prefixes(spark, sf), images=seen)
+    return rows.select(*JOB_COLUMNS, "IMAGE")
+
+
+# Heads of channels, their related images of two releases, and what was found in them; reports are written, read back and counted.
+OPERATORS = """
+pt AS (SELECT package, channel, replaces AS name FROM fx_entry UNION SELECT package, channel, skip FROM fx_entry),
+hd AS (SELECT e.package, e.channel, coalesce(max(e.name) FILTER (pt.name IS NULL), arg_max(e.name, e.pos)) AS head FROM fx_entry e
+  LEFT JOIN pt ON pt.package = e.package AND pt.channel = e.channel AND pt.name = e.name GROUP BY ALL),
+bi AS (SELECT v.ocp_version, hd.package, hd.channel, hd.channel = 'stable-1' AS is_default, regexp_replace(head, '^.*?\\.(v\\d.*)$', '\\1') AS bundle_version, i.IMAGE
+  FROM hd JOIN fx_entry e ON e.name = head AND e.package = hd.package AND e.channel = hd.channel CROSS JOIN (VALUES ('4.20', 0), ('4.21', 1)) AS v(ocp_version, more)
+  LEFT JOIN fx_img i ON i.img_k = (e.img_k + v.more) % (SELECT count(*) FROM fx_img) + 1)"""
+
+
+def operator_catalog(spark, sf) -> DataFrame:
+    """Catalogs of two releases with bundles of one name; a bundle's related images are itself and the next image, or the one after, if there is one."""
+    e, listed = fixture(spark, sf, "fx_entry"), fixture(spark, sf, "fx_img")
+    count = listed.agg(F.count(F.lit(1)).alias("images"))
+    path = shared_path(spark, "operators")
+    obj = lambda kind, *c: F.to_json(F.struct(F.lit(f"olm.{kind}").alias("schema"), *c), {"pretty": "true"}).alias("value")
+    package = e.select("package").distinct().select(obj("package", F.col("package").alias("name"), F.lit("stable-1").alias("defaultChannel")))
+    entries = e.groupBy("package", "channel").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "replaces", F.array("skip").alias("skips")))).alias("entries"))
+    channel = entries.select(obj("channel", "package", F.col("channel").alias("name"), "entries"))
+    for version, more in (("4.20", 0), ("4.21", 1)):
+        work = listed.select(F.col("img_k").alias("work_k"), F.col("IMAGE").alias("work"))
+        bundles = e.join(F.broadcast(count)).withColumn("work_k", (F.col("img_k") + more) % F.col("images") + 1).join(work, "work_k", "left")  # the count is one row
+        own = F.struct(F.lit("bundle").alias("name"), F.concat(F.lit("registry.redhat.io/b@sha256:"), F.sha2(F.col("name"), 256)).alias("image"))
+        related = F.when(F.col("work").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.lit("work").alias("name"), F.col("work").alias("image"))))
+        bundle = bundles.select(obj("bundle", "name", "package", own["image"].alias("image"), related.alias("relatedImages")))
+        package.unionByName(channel).unionByName(bundle).write.text(f"{path}/catalog-{version}.json")
+    return landing.read_catalog(spark, f"{path}/*")
+
+
+def operator_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return jobs.adjudicate_operators(operator_catalog(spark, sf), fixture(spark, sf, "fx_given"), documents(spark, sf), prefixes(spark, sf))
+
+
+@query("operator_verdict", "SELECT ocp_version, package, channel, is_default, bundle_version, finding_id, RULE, AUDIT_RESULT FROM bi JOIN res USING (IMAGE)", OPERATORS)
+def operator_verdict(spark, sf):
+    return operator_rows(spark, sf)[0].select(*jobs.BUNDLE, "finding_id", "RULE", "AUDIT_RESULT")
+
+
+@query(
+    "operator_summary",
+    """SELECT ocp_version, package, channel, is_default, bundle_version, count(DISTINCT bi.IMAGE) AS images, count(DISTINCT res.IMAGE) AS found, count(*) FILTER (AUDIT_RESULT = 'POSITIVE') AS vulnerable,
+  count(*) FILTER (AUDIT_RESULT = 'FALSE POSITIVE') AS false_positive, count(DISTINCT bi.IMAGE) = 0 AS skipped FROM bi LEFT JOIN res ON res.IMAGE = bi.IMAGE GROUP BY ALL""",
+    OPERATORS,
+)
+def operator_summary(spark, sf):
+    return operator_rows(spark, sf)[1]
+
+
+@query(
+    "operator_reports",
+    """SELECT ocp_version AS release, package AS operator, channel, bundle_version, AUDIT_RESULT, count(*) AS n, count(*) FILTER (RULE = 'R0') AS unknown FROM bi JOIN res USING (IMAGE) GROUP BY ALL""",
+    OPERATORS,
+)
+def operator_reports(spark, sf):
+    """Reports written as named files in two runs, the second of which replaces those of one release; read back with the facets of their paths."""
+    rows, _ = operator_rows(spark, sf)
+    path = shared_path(spark, "operator-reports")
+    jobs.write_operator_reports(rows.where("ocp_version = '4.20' OR RULE = 'R0'"), path)
+    jobs.write_operator_reports(rows.where("ocp_version = '4.21'"), path)
+    read = landing.clean_reports(landing.read_reports(spark, path))
+    read = read.withColumns(reports.facets(F.col("source_file"), F.col("IMAGE")))
+    return read.groupBy("release", "operator", "channel", "bundle_version", "AUDIT_RESULT").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("RULE") == "R0").alias("unknown"))
+
+
 # Contexts and column expressions ----------------------------------------------------------------------------
 
 
@@ -113,12 +225,16 @@ def pid_parse(spark, sf):
 
 
 @query("rpm_compare", """SELECT a.v AS installed, b.v AS fix, CASE WHEN ea <> eb THEN ea > eb ELSE ka >= kb END AS at_least
-FROM (SELECT v, CASE WHEN contains(v, ':') THEN CAST(split_part(v, ':', 1) AS BIGINT) ELSE 0 END AS ea, rkey(regexp_replace(v, '^[^:]*:', '')) AS ka FROM (SELECT DISTINCT VERSION AS v, COMPONENT AS c FROM fi) GROUP BY v) a
+FROM (SELECT v, coalesce(TRY_CAST(split_part(v, ':', 1) AS BIGINT), 0) AS ea, rkey(CASE WHEN contains(v, ':') AND TRY_CAST(split_part(v, ':', 1) AS BIGINT) IS NOT NULL THEN regexp_replace(v, '^[^:]*:', '') ELSE v END) AS ka
+  FROM (SELECT VERSION AS v FROM fi UNION SELECT 'x' || VERSION FROM fi WHERE contains(VERSION, ':')) GROUP BY v) a
 JOIN (SELECT fix_ver AS v, 0 AS eb, rkey(fix_ver) AS kb FROM pd WHERE fix_ver IS NOT NULL GROUP BY ALL) b ON regexp_extract(a.v, 'el(\\d+)', 1) = regexp_extract(b.v, 'el(\\d+)', 1) AND regexp_extract(a.v, 'el(\\d+)', 1) <> ''""")
 def rpm_compare(spark, sf):
     el = lambda c: F.nullif(F.regexp_extract(c, r"el(\d+)", 1), F.lit(""))
     order = lambda c: versions.rpm_order(F.col(c)).alias(f"{c}_order")
-    a = fixture(spark, sf, "fx_finding").select(F.col("VERSION").alias("installed")).distinct().select("installed", el("installed").alias("el"), order("installed"))
+    seen = fixture(spark, sf, "fx_finding").select(F.col("VERSION").alias("installed")).distinct()
+    # Texts before the colon that are no numbers, too.
+    seen = seen.unionByName(seen.where(F.contains("installed", F.lit(":"))).select(F.concat(F.lit("x"), "installed").alias("installed")))
+    a = seen.select("installed", el("installed").alias("el"), order("installed"))
     b = parsed_pids(spark, sf).where("fix_ver IS NOT NULL").select(F.col("fix_ver").alias("fix")).distinct().select("fix", el("fix").alias("el"), order("fix"))
     return a.join(b, "el").select("installed", "fix", (F.col("installed_order") >= F.col("fix_order")).alias("at_least"))
 
@@ -323,13 +439,6 @@ def mismatch_count(spark, sf):
     return verdicts(spark, sf).agg(F.count_if("SEVERITY_MISMATCH").alias("mismatches"), F.count(F.lit(1)).alias("n"))
 
 
-@query("operator_summary", "SELECT image_ns, count(DISTINCT IMAGE) AS images, count(*) FILTER (AUDIT_RESULT = 'POSITIVE') AS positives, count(*) FILTER (AUDIT_RESULT <> 'POSITIVE') AS false_positives FROM res WHERE workload_type = 'operator' GROUP BY image_ns")
-def operator_summary(spark, sf):
-    ops = contexts(spark, sf).where("workload_type = 'operator'").select("IMAGE", "image_ns")
-    rows = verdicts(spark, sf).join(ops, "IMAGE")
-    return rows.groupBy("image_ns").agg(F.countDistinct("IMAGE").alias("images"), F.count_if(F.col("AUDIT_RESULT") == A.POSITIVE).alias("positives"), F.count_if(F.col("AUDIT_RESULT") == A.FP).alias("false_positives"))
-
-
 @query("result_sort", """SELECT finding_id, (CASE WHEN AUDIT_RESULT = 'FALSE POSITIVE' THEN 0 WHEN under_investigation THEN 4 WHEN RULE = 'R0' THEN 3 ELSE 2 END) * 10000
   + CASE VEX_SEVERITY WHEN 'Critical' THEN 0 WHEN 'Important' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Low' THEN 3 ELSE 4 END * 100 AS score FROM res""")
 def result_sort(spark, sf):
