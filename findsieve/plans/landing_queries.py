@@ -12,7 +12,9 @@ from findsieve.plans import jobs
 from findsieve.plans.fixtures import fixture
 from findsieve.plans.oracle import duck
 from findsieve.sources import landing
+from findsieve.sources.advisory_store import AdvisoryStore
 from findsieve.sources.scratch import shared_path
+from findsieve.streaming import verdicts as updates
 
 QUERIES: dict = {}
 
@@ -188,6 +190,16 @@ def deep(leaf: Column, levels: int) -> Column:
 
 def advisories(spark, sf) -> DataFrame:
     """CSAF documents of the fixtures, of two entries each or none, written one directory a CVE and read back."""
+    return landing.read_advisories(spark, written(documents(spark, sf)))
+
+
+def written(docs: DataFrame) -> str:
+    path = shared_path(docs.sparkSession, "vex")
+    docs.select(F.lower("cve").alias("file"), F.to_json(F.struct("document", "product_tree", "vulnerabilities")).alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
+def documents(spark, sf) -> DataFrame:
     p = fixture(spark, sf, "fx_pid")
     # An advisory is one document, so its products are gathered as the vendor does; the fixtures bound their number.
     ids = lambda v, cond: F.transform(F.sort_array(F.collect_list(F.when((F.col("vuln_idx") == v) & cond, F.struct("pid_idx", "pid")))), lambda x: x["pid"])
@@ -213,19 +225,20 @@ def advisories(spark, sf) -> DataFrame:
     first = [F.to_json(x) for x in (shelf, F.struct(F.lit("x").alias("name"), everything), deep(F.col("deep"), 14))]
     branches = F.parse_json(F.concat(F.lit("["), F.concat_ws(",", *first), F.lit("]")))
     related = F.transform("rel", lambda r: F.struct(F.struct(r["pid"].alias("product_id")).alias("full_product_name"), r["parent_pid"].alias("relates_to_product_reference")))
-    docs = fixture(spark, sf, "fx_doc").join(grouped, "cve", "left").join(rel, "cve", "left").join(products, "cve", "left").select(
+    return fixture(spark, sf, "fx_doc").join(grouped, "cve", "left").join(rel, "cve", "left").join(products, "cve", "left").select(
         "cve", F.struct(F.struct(F.col("aggregate_severity").alias("text")).alias("aggregate_severity")).alias("document"),
         F.struct(F.when(F.col("leaves").isNotNull(), branches).alias("branches"), related.alias("relationships")).alias("product_tree"),
         F.when(F.col("n_vulns") > 0, F.array(vuln("e0", "impact"), vuln("e1", "later_impact"))).otherwise(F.array()).alias("vulnerabilities"),
     )
-    path = shared_path(spark, "vex")
-    docs.select(F.lower("cve").alias("file"), F.to_json(F.struct("document", "product_tree", "vulnerabilities")).alias("value")).write.partitionBy("file").text(path)
-    return landing.read_advisories(spark, path)
 
 
 KNOWN = "cve IN (SELECT cve FROM fx_doc)"
 
 
+def prefixes(spark, sf) -> DataFrame:
+    return fixture(spark, sf, "fx_prefix").groupBy("ns_key").agg(F.collect_list("prefix").alias("prefixes"))
+
+
 @query("vex_load", "SELECT cve, n_vulns, aggregate_severity AS severity FROM fx_doc")
 def vex_load(spark, sf):
     return advisories(spark, sf).select("cve", F.size("vulnerabilities").alias("n_vulns"), F.col("document.aggregate_severity.text").alias("severity"))
@@ -264,11 +277,35 @@ def vex_nofix(spark, sf):
 @query("verdict_landed", "SELECT finding_id, VEX_PRODUCT, JUSTIFICATION, VEX_SEVERITY AS SEVERITY, RULE, AUDIT_RESULT, VEX_FIX_VER FROM res")
 def verdict_landed(spark, sf):
     """The verdict from advisory documents, through every reader."""
-    prefixes = fixture(spark, sf, "fx_prefix").groupBy("ns_key").agg(F.collect_list("prefix").alias("prefixes"))
-    rows = jobs.adjudicate_findings(fixture(spark, sf, "fx_given"), advisories(spark, sf), prefixes)
+    rows = jobs.adjudicate_findings(fixture(spark, sf, "fx_given"), advisories(spark, sf), prefixes(spark, sf))
     return rows.select("finding_id", "VEX_PRODUCT", "JUSTIFICATION", "SEVERITY", "RULE", "AUDIT_RESULT", "VEX_FIX_VER")
 
 
+@query("verdict_incremental", "SELECT finding_id, VEX_PRODUCT, JUSTIFICATION, VEX_SEVERITY AS SEVERITY, RULE, AUDIT_RESULT, VEX_FIX_VER FROM res")
+def verdict_incremental(spark, sf):
+    """Findings land in two parts, advisories change in between: the latest verdicts are those of one whole run."""
+    docs, given = documents(spark, sf), fixture(spark, sf, "fx_given")
+    base = shared_path(spark, "incremental")
+    # Before: a third of the advisories is not there yet, a third says nothing.
+    k = F.pmod(F.xxhash64("cve"), F.lit(3))
+    nothing = F.array().cast(docs.schema["vulnerabilities"].dataType)
+    before = docs.where(k > 0).withColumn("vulnerabilities", F.when(k == 1, nothing).otherwise(F.col("vulnerabilities")))
+    store, names = AdvisoryStore(spark, f"{base}/store"), prefixes(spark, sf)
+
+    def run() -> None:
+        updates.land_findings(spark, f"{base}/in", f"{base}/findings", f"{base}/cp-land").awaitTermination()
+        updates.judge_new(spark, f"{base}/findings", store, names, f"{base}/verdicts", f"{base}/cp-new").awaitTermination()
+        updates.judge_changed(spark, f"{base}/findings", store, names, f"{base}/verdicts", f"{base}/cp-changed").awaitTermination()
+
+    store.sync(written(before))
+    given.where("finding_id % 4 <> 0").write.json(f"{base}/in")
+    run()
+    store.sync(written(docs))
+    given.where("finding_id % 4 = 0").write.mode("append").json(f"{base}/in")
+    run()
+    return updates.verdicts(spark, f"{base}/verdicts").select("finding_id", "VEX_PRODUCT", "JUSTIFICATION", "SEVERITY", "RULE", "AUDIT_RESULT", "VEX_FIX_VER")
+
+
 # Catalogs ---------------------------------------------------------------------------------------------------
 
 

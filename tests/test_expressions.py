@@ -109,3 +109,44 @@ def test_name_candidates(spark, text, want):
 @pytest.mark.parametrize(("bundle", "want"), [("op.v1.2.3", "v1.2.3"), ("op.1.2", "1.2"), ("other", "other")])
 def test_bundle_version(spark, bundle, want):
     assert one(spark, catalogs.bundle_version(F.col("b"), F.lit("op")), b=bundle) == want
+
+
+def test_contained_is_every_text_with_every_pattern_in_it(spark):
+    import random
+
+    from findsieve.operators.matching import contained
+
+    random.seed(2)
+    word = lambda n: "".join(random.choice("ab_") for _ in range(n))
+    texts = [word(random.randrange(0, 60)) for _ in range(40)] + ["", None, "x" * 200]
+    patterns = [word(random.randrange(0, 6)) for _ in range(25)] + [t[3:40] for t in texts[:8] if t] + ["", None, "x" * 70, "x" * 32, "x" * 33]
+    got = contained(spark.createDataFrame([(t,) for t in texts * 2], "text string"), spark.createDataFrame([(p,) for p in patterns * 2], "pattern string")).collect()
+    want = {(t, p) for t in texts if t is not None for p in patterns if p is not None and p in t}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    none = spark.createDataFrame([], "pattern string")
+    assert contained(spark.createDataFrame([("a",)], "text string"), none).count() == 0
+
+
+def test_later_is_every_version_with_every_newer_fix(spark):
+    import random
+
+    from findsieve.operators.inventory import later
+
+    random.seed(4)
+    row = lambda n: (random.choice("ab"), random.choice(["", "el9"]), n, random.randrange(30))
+    versions = [row(f"v{i}") for i in range(120)] + [("c", "", "lonely", 1)]
+    fixes = [row(f"c{i}") for i in range(90)]
+    got = later(spark.createDataFrame(versions, "name string, stream string, version string, order int"), spark.createDataFrame(fixes, "name string, stream string, cve string, order int"), ["name", "stream"]).collect()
+    want = sorted((v[0], v[1], v[2], f[2]) for v in versions for f in fixes if v[:2] == f[:2] and v[3] < f[3])
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_versions_in_ranges_are_pruned_by_their_bytes(spark, tmp_path):
+    rows = spark.range(4000).select(F.concat(F.lit("1."), "id", F.lit("-1.el9")).alias("v")).withColumn("order", versions.rpm_order(F.col("v")))
+    rows.repartitionByRange(8, "order").write.parquet(f"{tmp_path}/v")
+    asked = spark.read.parquet(f"{tmp_path}/v").where(F.col("order") >= F.lit(rows.where("v = '1.3900-1.el9'").first()["order"]))
+    assert asked.count() == 100
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(order" in plan
+    spans = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/v").groupBy(F.input_file_name()).agg(F.min("order").alias("a"), F.max("order").alias("b")).select("a", "b").orderBy("a").collect()]
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
