@@ -145,8 +145,11 @@ def write_results(results: DataFrame, path: str, form: str = "csv") -> None:
     (results.write.option("header", True).csv if form == "csv" else results.write.json)(path)
 
 
-def consolidate_reports(spark: SparkSession, source: str, target: str, partitions: int = 32) -> DataFrame:
-    reports.write_corpus(landing.clean_reports(landing.read_reports(spark, source)), target, partitions)
+def consolidate_reports(spark: SparkSession, source: str, target: str, file_bytes: int = reports.FILE_BYTES) -> DataFrame:
+    """All reports below ``source`` as one Parquet corpus, of one file for each ``file_bytes`` of reports."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").load(source)
+    size = listed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    reports.write_corpus(landing.clean_reports(landing.read_reports(spark, source)), target, max(1, -(-size // file_bytes)))
     return spark.read.parquet(target)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from findsieve.functions import images as I
 from findsieve.functions import versions
-from findsieve.operators import catalogs, inventory, relational, reports, suppression
+from findsieve.operators import catalogs, corpus_index, inventory, relational, reports, suppression
 from findsieve.plans import jobs
 from findsieve.plans.fixtures import fixture
 from findsieve.plans.oracle import duck
@@ -567,6 +567,23 @@ def report_search(spark, sf):
     return a
 
 
+def indexed_corpus(spark, sf) -> tuple[str, str, str]:
+    """A corpus of several files with its search index and summaries."""
+    base = shared_path(spark, "corpus")
+    corpus, index, sums = f"{base}/rows", f"{base}/index", f"{base}/summaries"
+    reports.write_corpus(typed_reports(spark, sf), corpus, 8)
+    return corpus, index, sums
+
+
+@query("report_search_indexed", "SELECT finding_id, 'cve' AS kind FROM fx_report WHERE CVE LIKE 'CVE-2024-101%' UNION ALL SELECT finding_id, 'text' FROM fx_report WHERE contains(lower(COMPONENT), 'pkg2') OR contains(lower(IMAGE), 'pkg2')")
+def report_search_indexed(spark, sf):
+    """Searches of a corpus by posting lists of its files."""
+    corpus, index, _ = indexed_corpus(spark, sf)
+    corpus_index.build_search_index(spark, corpus, index)
+    found = [corpus_index.search(spark, corpus, index, text).select("finding_id", F.lit(kind).alias("kind")) for text, kind in (("cve-2024-101", "cve"), ("PKG2 ", "text"))]
+    return found[0].unionByName(found[1])
+
+
 CHOSEN = {"release": ["4.12", "4.15"], "SEVERITY": ["Critical", "Important"], "channel": []}
 
 
@@ -588,6 +605,16 @@ def facet_counts(spark, sf):
     return reports.facet_counts(typed_reports(spark, sf), FACETS)
 
 
+@query("corpus_facets", " UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value, CAST(count(*) AS BIGINT) AS n FROM fx_report GROUP BY {c}" for c in FACETS) + " UNION ALL SELECT 'total', NULL, count(*) FROM fx_report UNION ALL SELECT 'mismatches', NULL, count(*) FILTER (SEVERITY_MISMATCH = 'True') FROM fx_report")
+def corpus_facets(spark, sf):
+    """Facets and the exact cards from summaries of files alone."""
+    corpus, _, sums = indexed_corpus(spark, sf)
+    corpus_index.write_summaries(spark, corpus, sums, tuple(FACETS))
+    cards = corpus_index.cards(spark, sums)
+    named = cards.select(F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.lit(None).cast("string").alias("value"), F.col(c).alias("n")) for c in ("total", "mismatches")])).alias("x")).select("x.*")
+    return corpus_index.facet_counts(spark, sums).unionByName(named)
+
+
 @query("report_reuse", """SELECT e.release, e.k AS report_key, min(x.release) AS from_release FROM (SELECT DISTINCT release, operator || channel AS k FROM fx_report) e
 JOIN (SELECT DISTINCT release, operator || channel AS k FROM fx_report WHERE img_k % 2 = 0) x ON x.k = e.k
 WHERE NOT EXISTS (SELECT 1 FROM fx_report o WHERE o.img_k % 2 = 0 AND o.release = e.release AND o.operator || o.channel = e.k) GROUP BY ALL""")

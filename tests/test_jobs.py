@@ -162,8 +162,8 @@ def test_reports_are_consolidated_and_searched(spark, tmp_path):
     (folder / "empty.csv").write_text("CVE, COMPONENT,IMAGE,SEVERITY_MISMATCH\n")
     read = landing.read_reports(spark, f"{tmp_path}/r")
     assert [r["source_file"].rsplit("/", 1)[1] for r in landing.skipped_reports(spark, f"{tmp_path}/r", read).collect()] == ["empty.csv"]
-    corpus = jobs.consolidate_reports(spark, f"{tmp_path}/r", f"file://{tmp_path}/corpus", partitions=2)
-    assert corpus.count() == 2
+    corpus = jobs.consolidate_reports(spark, f"{tmp_path}/r", f"file://{tmp_path}/corpus", file_bytes=40)
+    assert corpus.count() == 2 and len(list((tmp_path / "corpus").glob("*.parquet"))) == 2  # of the four that were asked for two are empty
     rows, cards, counts = jobs.search_reports(corpus, "cve-1", {"COMPONENT": ["x"]}, mismatches_only=True, facets=("COMPONENT", "IMAGE"))
     assert [r["COMPONENT"] for r in rows.collect()] == ["x"] and [tuple(r) for r in cards.collect()] == [(1, 1, 1, 1)]
     assert {tuple(r) for r in counts.collect()} == {("COMPONENT", "x", 1), ("IMAGE", "i1", 1)}
@@ -219,3 +219,25 @@ def test_results_have_all_columns(spark):
 
     out = reports.result_columns(spark.createDataFrame([("c", "FALSE POSITIVE")], "COMPONENT string, AUDIT_RESULT string"), false_only=True)
     assert tuple(out.columns) == reports.RESULT and out.where(F.col("VEX_PRODUCT").isNull()).count() == 1
+
+
+def test_searches_read_files_that_can_hold_the_text(spark, tmp_path):
+    from findsieve.operators import corpus_index
+
+    rows = [(f"CVE-2024-{1000 + i}", f"lib{'abcdefgh'[i // 100]}{i % 100}", f"quay.io/x/i{i % 40}@sha256:{i}", i % 3 == 0, "High" if i % 2 else None) for i in range(800)]
+    df = spark.createDataFrame(rows, "CVE string, COMPONENT string, IMAGE string, SEVERITY_MISMATCH boolean, SEVERITY string")
+    corpus, index, sums = (f"file://{tmp_path}/{x}" for x in ("corpus", "index", "sums"))
+    reports.write_corpus(df, corpus, 8)
+    corpus_index.build_search_index(spark, corpus, index)
+    for text in ("cve-2024-1123", "2024-17", "799", " LIBC5", "libc", "i39@", "zzz", "no such thing", "x", ""):
+        got, want = corpus_index.search(spark, corpus, index, text), reports.search(df, text)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str), text
+    hits = lambda text, columns: corpus_index.files_with(spark, index, columns, text).count()
+    assert hits("cve-2024-1123", ["CVE"]) <= 2 and hits("libc5", ["COMPONENT"]) <= 3 and hits("zzz", ["CVE", "COMPONENT", "IMAGE"]) == 0
+    corpus_index.write_summaries(spark, corpus, sums, ("SEVERITY", "SEVERITY_MISMATCH", "absent"))
+    total, images, packages, mismatches = corpus_index.cards(spark, sums).first()
+    assert (total, mismatches) == (800, 267) and abs(images - 800) <= 40 and abs(packages - 800) <= 40
+    assert {tuple(r) for r in corpus_index.facet_counts(spark, sums).collect()} == {("SEVERITY", "High", 400), ("SEVERITY", None, 400), ("SEVERITY_MISMATCH", "true", 267), ("SEVERITY_MISMATCH", "false", 533)}
+    some = corpus_index.files_with(spark, index, ["CVE"], "cve-2024-1000")
+    part = corpus_index.cards(spark, sums, some).first()
+    assert 0 < part["total"] < 800
