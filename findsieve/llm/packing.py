@@ -266,12 +266,13 @@ def rank_in_length(pieces: DataFrame, histogram: DataFrame) -> DataFrame:
     """``pieces`` with ``rank``, from 0 without gaps among the pieces of a length.
 
     ``histogram``: length and n, at most as many rows as there are lengths.  The pieces of one length are numbered in groups (by
-    hash of document and piece), and a group starts where the one before it ends; the more pieces, the more groups.
+    hash of ``row``, a number of their own, so that equal rows spread too), and a group starts where the one before it ends; the
+    more pieces, the more groups.
     """
     groups = F.broadcast(histogram.select("length", F.ceil(F.col("n") / RANK_GROUP).alias("groups")))
-    grouped = pieces.join(groups, "length").withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("groups")))
+    grouped = pieces.join(groups, "length").withColumn("grp", F.pmod(F.xxhash64("row"), F.col("groups")))
     starts = with_base(grouped.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("n")), ["length"])
-    inside = Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "grp").orderBy("row")
     numbered = grouped.withColumn("r", F.row_number().over(inside) - 1)
     return numbered.join(starts, ["length", "grp"]).withColumn("rank", F.col("base") + F.col("r")).drop("grp", "groups", "base", "r")
 
@@ -282,7 +283,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY
     A null or empty text is the separator alone.  Repeated rows are packed each for itself.  Other columns are ignored;
     an empty table gives no rows.  ``with_ids`` adds the token ids of each piece.
     """
-    pieces = cut(cut_pieces(docs, vocabulary, capacity, separator, with_ids), "pieces")
+    pieces = cut(cut_pieces(docs, vocabulary, capacity, separator, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     # At most ``capacity`` rows reach the driver.
     sizes = cut(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in sizes.where(F.col("length") < capacity).collect()}

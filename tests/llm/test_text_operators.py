@@ -215,3 +215,18 @@ def test_quality_of_odd_documents(spark):
     assert len({r["score"] for r in got if r["doc_id"] == 5}) == 1 and not [r for r in got if r["doc_id"] is None and r["held_out"]]
     none = nbsvm.quality(odd(spark), labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5} and nbsvm.quality(odd(spark, ODD[:0]), labels).count() == 0
+
+
+# Packing ----------------------------------------------------------------------------------------------------
+
+
+def test_equal_rows_are_ranked_in_many_groups(spark):
+    """A hundred thousand rows without an id or text: none of the groups holds more than a few times the others."""
+    from findsieve.llm import packing
+
+    pieces = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(7).alias("ids_crc32"), F.lit(1).alias("length"), F.col("id").alias("row"))
+    ranked = packing.rank_in_length(pieces, pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")))
+    assert [tuple(r) for r in ranked.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).collect()] == [(0, 99_999, 100_000)]
+    groups = -(-100_000 // packing.RANK_GROUP)
+    sizes = pieces.groupBy(F.pmod(F.xxhash64("row"), F.lit(groups))).count()
+    assert sizes.agg(F.max("count")).first()[0] < 2 * packing.RANK_GROUP
