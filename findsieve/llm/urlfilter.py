@@ -89,31 +89,33 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, dam
     into = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("deg"))
     forward = edges.join(out, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("t").alias("kind"), (1.0 / F.col("deg")).alias("w"))
     backward = edges.join(into, "dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit("d").alias("kind"), (1.0 / F.col("deg")).alias("w"))
-    # Written once in buckets by host, so that rounds shuffle the scores alone.
+    # Written once in buckets by host, so that rounds shuffle the scores alone; the session's catalog must take tables.
     spark = edges.sparkSession
     n, name, keys = int(spark.conf.get("spark.sql.shuffle.partitions")), f"link_steps_{uuid.uuid4().hex}", ("host", "kind")
     both = forward.unionByName(backward).withColumnRenamed("a", "host").repartition(n, *keys)
     both.write.bucketBy(n, *keys).sortBy(*keys).option("path", new_path(spark, "steps")).saveAsTable(name)
     steps = spark.table(name)
-    start = cut(
-        seeds.select("host", F.lit("t").alias("kind"), F.col("trust").alias("seed"))
-        .unionByName(seeds.select("host", F.lit("d").alias("kind"), F.col("distrust").alias("seed")))
-        .where("seed > 0"),
-        "seeds",
-    )
-    state = start.withColumnRenamed("seed", "score")
-    done = 0
-    while done != rounds:
-        last = state
-        moved = state.join(steps, ["host", "kind"]).select(F.col("b").alias("host"), "kind", (F.col("score") * F.col("w") * damping).alias("part"))
-        state = moved.unionByName(start.withColumnRenamed("seed", "part")).groupBy("host", "kind").agg(F.sum("part").alias("score"))
-        done += 1
-        if done % LOOK_EVERY == 0 or (rounds is None and done == 1):
-            state = cut(state, "rank")
-            if rounds is None and _settled(last, state):
-                break
-    state = cut(state, "ranks")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        start = cut(
+            seeds.select("host", F.lit("t").alias("kind"), F.col("trust").alias("seed"))
+            .unionByName(seeds.select("host", F.lit("d").alias("kind"), F.col("distrust").alias("seed")))
+            .where("seed > 0"),
+            "seeds",
+        )
+        state = start.withColumnRenamed("seed", "score")
+        done = 0
+        while done != rounds:
+            last = state
+            moved = state.join(steps, ["host", "kind"]).select(F.col("b").alias("host"), "kind", (F.col("score") * F.col("w") * damping).alias("part"))
+            state = moved.unionByName(start.withColumnRenamed("seed", "part")).groupBy("host", "kind").agg(F.sum("part").alias("score"))
+            done += 1
+            if done % LOOK_EVERY == 0 or (rounds is None and done == 1):
+                state = cut(state, "rank")
+                if rounds is None and _settled(last, state):
+                    break
+        state = cut(state, "ranks")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
     return state.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
