@@ -54,7 +54,9 @@ def test_images_of_a_release_are_of_the_platform(spark, prefixes, tmp_path):
     advisory(folder, "CVE-2024-0002", tree=tree, status={"known_not_affected": ["red_hat_enterprise_linux_10:a"], "known_affected": ["x_enterprise_linux_9:own"]})
     ref = lambda d: f"quay.io/openshift-release-dev/ocp-v4.0-art-dev@sha256:{d * 64}"
     (tmp_path / "m.txt").write_text(f"Name:      4.20.1\n  plain {ref('1')}\n  rhel-coreos-10 {ref('2')}\n  told {ref('3')}\n")
-    told = spark.createDataFrame([(ref("3"), "rhel:10.0", {"cpe": "cpe:/a:redhat:openshift:4.19::el9", "name": "openshift/thing-rhel8"})], "IMAGE string, os_info string, labels map<string,string>")
+    scan = {"id": ref("3"), "metadata": {"v1": {"labels": {"cpe": "cpe:/a:redhat:openshift:4.19::el9", "name": "openshift/thing-rhel8"}}}, "scan": {"operatingSystem": "rhel:10.0"}}
+    (tmp_path / "scan.json").write_text(json.dumps(scan, indent=1))
+    told = landing.scanned_images(landing.read_documents(spark, str(tmp_path / "scan.json"), landing.SCAN))
     rows, _ = jobs.adjudicate_release(landing.read_manifest(spark, str(tmp_path / "m.txt")), findings_of(spark, ref("1"), ref("2"), ref("3")), landing.read_advisories(spark, str(folder)), prefixes, images=told)
     got = {(r["OCP_COMPONENT"], r["CVE"][-1]): (r["RULE"], r["JUSTIFICATION"]) for r in rows.collect()}
     assert {got[c, "1"] for c in ("plain", "rhel-coreos-10", "told")} == {("R11c", "OpenShift 4.20.1: affected, no fix yet")}
@@ -76,10 +78,10 @@ def test_labels_of_a_namespace_tell_what_its_images_are(spark, prefixes, tmp_pat
     tree = [{"name": "v", "branches": [leaf("red_hat_enterprise_linux_9", "Red Hat Enterprise Linux 9")]}]
     advisory(folder, "CVE-2024-0001", tree=tree, status={"known_not_affected": ["red_hat_enterprise_linux_9:a"]})
     refs = [f"mirror.local/x/y@sha256:{d * 64}" for d in "123"]
-    matched = spark.createDataFrame(
-        [(refs[0], {"name": "ubi9/ubi"}, None), (refs[1], None, ("Red Hat Enterprise Linux", "9.4")), (refs[2], {"name": "team/thing", "cpe": "cpe:/a:redhat:thing:1::el8"}, ("rhel", "9"))],
-        "IMAGE string, labels map<string,string>, distro struct<name: string, version: string>",
-    )
+    seen = [({"name": "ubi9/ubi"}, None), (None, {"name": "Red Hat Enterprise Linux", "version": "9.4"}), ({"name": "team/thing", "cpe": "cpe:/a:redhat:thing:1::el8"}, {"name": "rhel", "version": "9"})]
+    lines = [json.dumps({"IMAGE": r, "source": {"target": {"labels": x}}, "distro": d}) for r, (x, d) in zip(refs, seen, strict=True)]
+    (tmp_path / "matches.json").write_text("\n".join(lines))
+    matched = landing.matched_images(spark.read.schema("IMAGE STRING, " + landing.MATCHES).json(str(tmp_path / "matches.json")))
     listed = spark.createDataFrame([(str(i), r, i) for i, r in enumerate(refs)], "id string, name string, pos long")
     only = findings_of(spark, *refs).where("CVE = 'CVE-2024-0001'")
     rows, _ = jobs.adjudicate_namespace(listed, only, landing.read_advisories(spark, str(folder)), prefixes, images=matched)
@@ -189,6 +191,9 @@ def test_suppressions_gaps_and_pending_reports(spark, tmp_path):
     gaps = {tuple(r) for r in jobs.missed_findings(packages, affected, reported).collect()}
     assert gaps == {("C1", "n", "known_affected", 2), ("C2", "n", "needs_fix", 2)}
 
+    docs = spark.createDataFrame([("C1", "Low", None, None, None), ("C2", None, "Important", None, None)], "cve string, impact string, aggregate_severity string, later_impact string, cvss_severity string")
+    assert {r["cve"] for r in jobs.missed_findings(packages, affected, reported, docs, "Moderate").collect()} == {"C2"}
+
     keys = "release string, report_key string"
     expected, existing = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r2", "c")], keys), spark.createDataFrame([("r1", "a"), ("r2", "b")], keys)
     assert [tuple(r) for r in jobs.pending(expected, existing).collect()] == [("r2", "c")]
