@@ -1,4 +1,4 @@
-"""N-gram Jaccard self join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self join by MinHash prefixes of one length in many tries, in place of an LSH forest, with exact verification.
 
 1. Equal texts are one node.  A node's signature is ``TREES`` keys, each a sorted-trie prefix of ``depth`` minima.
    The prefix starts long and is shortened, for all nodes alike, until a pair right at the threshold is found with the target recall.
