@@ -1,9 +1,12 @@
-"""N-gram Jaccard self join by MinHash prefixes of one length in many tries, in place of an LSH forest, with exact verification.
-
-1. Equal texts are one node.  A node's signature is ``TREES`` keys, each a sorted-trie prefix of ``depth`` minima.
-   The prefix starts long and is shortened, for all nodes alike, until a pair right at the threshold is found with the target recall.
-2. Nodes under one prefix form a bucket.  Inside a bucket short sketches of the signatures are compared, and of the
-   pairs that can reach the threshold a spanning forest is kept; its components hold every pair that any tree found.
+"""N-gram Jaccard self join by a MinHash LSH forest with exact verification.
+
+1. Equal texts are one node.  Its signature is a path in each of ``TREES`` tries: the minima in order, as two numbers that sort as
+   the path does, so a prefix is a shift.
+2. Matched prefixes are shortened in rounds, the longest first.  The nodes under one prefix are a branch.  In a branch short
+   sketches are compared, and of the pairs that can reach the threshold a spanning forest is kept, which joins components.
+   A branch whose nodes are in one component has nothing left to find and goes no further; a node stops as soon as that holds in all
+   its tries.  Any other node is shortened, however crowded its branches, to the length at which a pair right at the threshold
+   is found with the target recall.  So the components are those of the shortest prefixes, and close copies meet before these get crowded.
 3. Within a component all pairs are verified on their full shingle sets.  Only counts and forest edges leave the task.
 
 Large buckets and components are dealt by hash into blocks, and a task takes two blocks; so no task holds a whole group
@@ -25,8 +28,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 50
 TARGET_RECALL = 0.9995
-#: Minima of a prefix before it is shortened.
-LONGEST = 16
+#: Minima by which prefixes exceed the shortest, by round.  Those beyond the shortest take 16 bits each of a path's second number.
+EXCESS = (4, 2, 0)
 SKETCH = 128
 #: Sketches of 128 minima stray by 0.035 from a similarity of 0.8; this is over five times that below it.
 SKETCH_SLACK = 0.2
@@ -36,11 +39,11 @@ WORD = r"[^\x20\x09-\x0D]"
 
 
 def prefix_length(trees: int = TREES, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """Shorten the prefix until ``trees`` tries find a pair at the threshold with the target recall."""
-    for depth in range(LONGEST, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
-            return depth
-    return 1
+    """The longest prefix by which ``trees`` tries find a pair at the threshold with the target recall; none need be shorter."""
+    depth = 1
+    while 1 - (1 - threshold ** (depth + 1)) ** trees >= target:
+        depth += 1
+    return depth
 
 
 def node_of(text: Column) -> list[Column]:
@@ -111,10 +114,21 @@ class Signer:
             out[e] = np.minimum.reduce(held, axis=1)
         return out
 
-    def prefixes(self, minima: np.ndarray) -> list[int]:
-        """The trees' prefixes as signed 64-bit keys, different for different trees."""
-        data, step = minima.tobytes(), 4 * self.depth
-        return [xxhash.xxh3_64_intdigest(data[t * step : t * step + step], seed=t) - 2**63 for t in range(self.trees)]
+    def paths(self, minima: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """The trees' paths: signed 64-bit names of the shortest prefixes, different for different trees, and what follows."""
+        m = minima.reshape(self.trees, self.depth)
+        shortest = self.depth - max(EXCESS)
+        data, step = m[:, :shortest].tobytes(), 4 * shortest
+        roots = [xxhash.xxh3_64_intdigest(data[t * step : t * step + step], seed=t) - 2**63 for t in range(self.trees)]
+        tails = np.zeros(self.trees, np.uint64)
+        for k in range(shortest, self.depth):
+            tails = tails << np.uint64(16) | m[:, k].astype(np.uint16)
+        return roots, tails.view(np.int64)
+
+
+def branch(excess: int) -> Column:
+    """The name of the branch of a path (``root``, ``tail``) that a prefix of ``excess`` minima beyond the shortest leads to."""
+    return F.xxhash64("root", F.shiftright("tail", 16 * (max(EXCESS) - excess))) if excess else F.col("root")
 
 
 def _sign(trees: int, depth: int, size: int):
@@ -123,17 +137,20 @@ def _sign(trees: int, depth: int, size: int):
     def run(batches):
         signer, done = Signer(trees, depth), set()
         for batch in batches:
-            first, keys, sketches = [], [], []
+            first, roots, tails, sketches = [], [], [], []
             names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for i, name in enumerate(names):
                 if name not in done:
                     done.add(name)
                     minima = signer.minima(shingles(batch.column(2)[i].as_py(), size))
                     first.append(i)
-                    keys.append(signer.prefixes(minima))
+                    root, tail = signer.paths(minima)
+                    roots.append(root)
+                    tails.append(tail)
                     sketches.append(minima[:SKETCH].astype(np.uint8).tobytes())
             h1, h2 = (batch.column(k).take(pa.array(first, pa.int32())) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([h1, h2, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["h1", "h2", "keys", "sketch"])
+            paths = (pa.array(x, pa.list_(pa.int64())) for x in (roots, tails))
+            yield pa.RecordBatch.from_arrays([h1, h2, *paths, pa.array(sketches, pa.binary())], ["h1", "h2", "roots", "tails", "sketch"])
 
     return run
 
@@ -194,7 +211,7 @@ def _paired(mine: np.ndarray, i: int, j: int) -> np.ndarray | None:
 
 
 def _candidates(least: float):
-    """Columns bucket, i, j, mine, node, sketch: the forest of pairs in a bucket whose sketches agree enough."""
+    """Columns branch, i, j, mine, comp, sketch: the components joined by pairs in a branch whose sketches agree enough, as a forest."""
 
     def run(batches):
         a, b = [], []
@@ -202,17 +219,20 @@ def _candidates(least: float):
             n = group.num_rows
             if n < 2:
                 continue
-            node = group.column("node").to_numpy()
+            comp = group.column("comp").to_numpy()
+            if (comp == comp[0]).all():
+                continue
             sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(n, SKETCH)
             hit = np.empty((n, n), bool)
             for r in range(0, n, 64):
                 hit[r : r + 64] = (sketch[r : r + 64, None] == sketch[None]).sum(axis=2) >= least * SKETCH
+            hit &= comp[:, None] != comp[None, :]
             pairs = _paired(group.column("mine").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py())
             if pairs is not None:
                 hit &= pairs
             for x, y in _forest(hit):
-                a.append(node[x])
-                b.append(node[y])
+                a.append(comp[x])
+                b.append(comp[y])
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_pydict({"a": np.array(a), "b": np.array(b)})
                 a, b = [], []
@@ -285,6 +305,27 @@ def _verify(threshold: float):
     return run
 
 
+def _descend(paths: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """node, comp of the nodes of ``paths`` (node, root, tail) that a branch of any tried length joins to others."""
+    labels = None
+    for excess in EXCESS:
+        at = paths.select("node", branch(excess).alias("branch"))
+        at = at.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if labels is not None else at.withColumn("comp", F.col("node"))
+        mixed = at.groupBy("branch").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        # Most trees find the same few members; one branch of each set is enough.
+        once = mixed.groupBy("n", "members").agg(F.min("branch").alias("branch")).select("branch", "n")
+        members = cut(at.join(once, "branch"), "members")
+        wanted = sketches.join(members.select("node").distinct(), "node", "left_semi")
+        tasks = dealt(members.join(wanted, "node"), "branch", "n", "node", SKETCH_BLOCK).select("branch", "i", "j", "mine", "comp", "sketch")
+        joined = connected_components(tasks.mapInArrow(_candidates(least), "a long, b long"))
+        if labels is None:
+            labels = joined
+        else:  # components are named by their least nodes, so a new one's name may be an old one's or a single node's
+            old = labels.join(joined.toDF("comp", "new"), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+            labels = cut(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "labels")
+    return labels
+
+
 def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, target_recall: float = TARGET_RECALL) -> DataFrame:
     """One row per node: h1, h2, node, class_node, copies, links, first_id and class_id.
 
@@ -295,19 +336,15 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *node_of(text), text.cast("binary").alias("text")).where("h1 is not null")
     counts = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
-    signed = rows.select("h1", "h2", "text").mapInArrow(_sign(trees, depth, size), "h1 long, h2 long, keys array<long>, sketch binary")
-    signed = signed.groupBy("h1", "h2").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))  # copies have equal signatures
+    signed = rows.select("h1", "h2", "text").mapInArrow(_sign(trees, depth + max(EXCESS), size), "h1 long, h2 long, roots array<long>, tails array<long>, sketch binary")
+    signed = signed.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in ("roots", "tails", "sketch")))  # copies have equal signatures
     # The numbers of nodes are settled by writing them.
     nodes = cut(counts.join(signed, ["h1", "h2"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    entries = nodes.select("node", F.explode("keys").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    # Most trees find the same few members; one bucket of each set is enough.
-    once = buckets.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = cut(entries.join(once, "bucket"), "members")
-    sketches = nodes.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi")
-    tasks = dealt(members.join(sketches, "node"), "bucket", "n", "node", SKETCH_BLOCK).select("bucket", "i", "j", "mine", "node", "sketch")
-    found = connected_components(tasks.mapInArrow(_candidates(threshold - SKETCH_SLACK), "a long, b long"))
+    paths = nodes.select("node", F.explode(F.arrays_zip("roots", "tails")).alias("path")).select("node", F.col("path.roots").alias("root"), F.col("path.tails").alias("tail"))
+    shared = paths.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    # Paths that no other shares down to the shortest prefix lead nowhere.
+    found = _descend(cut(paths.join(shared, "root"), "paths"), nodes.select("node", "sketch"), threshold - SKETCH_SLACK)
 
     sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     wanted = cut(found.join(sizes, "comp").join(nodes.select("node", "h1", "h2", "copies"), "node"), "wanted")

@@ -461,6 +461,44 @@ def test_prefix_reaches_the_target():
     assert recall(d) >= ngram_join.TARGET_RECALL > recall(d + 1)
 
 
+def test_branches_shorten_to_the_shortest_prefix():
+    """Paths in one branch agree in just the minima of its length, and branches of shorter prefixes hold those of longer ones."""
+    rng = np.random.default_rng(19)
+    depth = ngram_join.prefix_length()
+    signer = ngram_join.Signer(ngram_join.TREES, depth + max(ngram_join.EXCESS))
+    minima = rng.integers(0, 2**32, signer.trees * signer.depth, dtype=np.uint64).astype(np.uint32)
+    roots, tails = signer.paths(minima)
+    assert len(set(roots)) == signer.trees
+    for changed in range(signer.depth):
+        other = minima.reshape(signer.trees, -1).copy()
+        other[0, changed] ^= 1
+        r, t = signer.paths(other.ravel())
+        assert r[1:] == roots[1:] and (t[1:] == tails[1:]).all()
+        for excess in ngram_join.EXCESS:
+            shift = 16 * (max(ngram_join.EXCESS) - excess)
+            same = r[0] == roots[0] and (excess == 0 or int(t[0]) >> shift == int(tails[0]) >> shift)
+            assert same == (changed >= depth + excess)
+
+
+def test_shortening_ends_with_what_the_shortest_prefixes_join(spark, monkeypatch):
+    """Rounds leave out pairs of one component only: the components are those of the shortest prefixes alone."""
+    rng = np.random.default_rng(20)
+    rows = []
+    for node in range(400):  # crowded branches of a chain of nodes, each like its neighbours alone
+        sketch = np.full(ngram_join.SKETCH, node // 40, np.uint8)
+        sketch[rng.choice(ngram_join.SKETCH, 12, replace=False)] = 255
+        for tree in range(4):
+            tail = [int(rng.integers(0, 3)) for _ in range(4)]
+            rows.append((node, tree * 100 + node // 100, tail[0] << 48 | tail[1] << 32 | tail[2] << 16 | tail[3], sketch.tobytes()))
+    df = spark.createDataFrame(rows, "node long, root long, tail long, sketch binary").cache()
+    run = lambda: {r["node"]: r["comp"] for r in ngram_join._descend(df.drop("sketch"), df.select("node", "sketch").distinct(), 0.6).collect()}
+    by_rounds = run()
+    monkeypatch.setattr(ngram_join, "SKETCH_BLOCK", 16)
+    assert run() == by_rounds == {n: max(n // 40 * 40, n // 100 * 100) for n in range(400)}  # roots are of 100 nodes, likes of 40
+    monkeypatch.setattr(ngram_join, "EXCESS", (0,))
+    assert run() == by_rounds
+
+
 def test_signatures_agree_as_sets_do():
     rng = np.random.default_rng(11)
     signer = ngram_join.Signer(50, 8)
@@ -567,6 +605,21 @@ def test_nearest_of_repeated_rows(spark):
     assert [tuple(r) for r in got] == [(20, 1, 7, 1.0), (20, 2, 7, 1.0), (20, 3, 9, 0.5)]
 
 
+def test_nearest_of_each_width(spark, monkeypatch):
+    """Vectors of one length are searched among themselves; near ties beyond any heap all reach the ranking."""
+    monkeypatch.setattr(ann, "CANDIDATE_BLOCK", 50)
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=6)
+    vecs = [(i, (base + rng.normal(size=6) * 1e-9).tolist()) for i in range(700)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(45)] + [(2000, [1.0] * 9)]
+    got = ann.nearest(spark.createDataFrame(vecs, "vec_id long, embedding array<double>"), k=4, every=100).collect()
+    want = []
+    for q, x in vecs:
+        if q % 100 == 0:
+            order = sorted((-float(np.add.reduce(np.array(x) * np.array(v))), i) for i, v in vecs if i != q and len(v) == len(x))[:4]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(order)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
 def test_nearest_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(df).collect()] == [(0, 1, 1, 0.5)]
