@@ -3,7 +3,8 @@
 Vectors are quantised once.  Queries and candidates are dealt into blocks of int8 codes; a task takes one block of each, multiplies the
 codes exactly, and bounds the error of every product by the norms of what rounding left over.  Pairs whose upper bound
 reaches the k-th best lower bound survive, first in their block, then over all blocks.  Survivors fetch the vectors, are recomputed in
-double precision, and the best of each query are merged by bounded heaps.
+double precision, and the best of each query are taken by bounded heaps in each batch before they meet in the ranking.
+Vectors of different lengths have no product: each length is searched by itself.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from .common import cut, table
 
 K = 20
 EVERY = 20
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 32768
+QUERY_BLOCK, CANDIDATE_BLOCK = 16384, 32768
 TILE_QUERIES, TILE_CANDIDATES = 256, 8192
 #: Components whose products of codes a float32 adds up without rounding: 127 * 127 * 1024 is below 2**24.
 EXACT = 1024
@@ -28,15 +30,12 @@ EXACT = 1024
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part.
 
-    Left out are rows without an id, null, zero or empty vectors, vectors with null or non-finite components, and vectors
-    of another length than most rows have (of equally common lengths the shorter counts).
+    Left out are rows without an id, null, zero or empty vectors, and vectors with null or non-finite components.
     """
     v = F.col("embedding")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    common = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.where(F.size("embedding") == (common["d"] if common else 0))
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,15 +86,27 @@ def survivors(q_id: np.ndarray, q: tuple, c_id: np.ndarray, c: tuple, k: int) ->
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-CODES_DDL = "vec_id long, row long, code binary, scale double, norm double, rest double"
+CODES_DDL = "vec_id long, row long, code binary, scale double, norm double, rest double, width int"
+
+
+def _widths(batch: pa.RecordBatch, column: str):
+    """The rows of each length of the lists in ``column``."""
+    sizes = pc.list_value_length(batch.column(column))
+    for d in pc.unique(sizes).to_pylist():
+        yield batch.filter(pc.equal(sizes, d))
+
+
+def _matrix(part: pa.RecordBatch, column: str) -> np.ndarray:
+    return part.column(column).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
 
 
 def _encode(batches):
     for batch in batches:
-        if batch.num_rows:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        for part in _widths(batch, "embedding"):
+            x = _matrix(part, "embedding")
             codes, *rest = quantise(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, rest)], [x.split()[0] for x in CODES_DDL.split(", ")])
+            columns = [part.column("vec_id"), part.column("row"), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, rest), pa.array(np.full(len(x), x.shape[1], np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in CODES_DDL.split(", ")])
 
 
 def _block(part: pa.Table) -> tuple:
@@ -117,29 +128,26 @@ def _search(k: int):
     return run
 
 
-RESULT = "query_id long, rank int, vec_id long, score double"
+SCORED = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+SCORED_DDL = "query_id long, vec_id long, score double"
 
 
-def _merge(k: int):
-    """Exact scores of a query's survivors, a batch of them at a time; a heap keeps the k best."""
+def _best(k: int):
+    """Columns query_id, asked, vec_id, embedding: exact scores; a heap keeps the k best of each query in a batch."""
 
-    def run(query: pa.Table, found: pa.Table) -> pa.Table:
-        best: list[tuple[float, int]] = []
-        if query.num_rows:
-            q = np.array(query.column("embedding")[0].as_py(), np.float64)
-            for batch in found.to_batches(max_chunksize=8192):
-                x = batch.column(batch.schema.names.index("embedding")).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                scores = np.add.reduce(q * x, axis=1).tolist()
-                ids = batch.column(batch.schema.names.index("vec_id")).to_pylist()
-                for item in zip(scores, (-i for i in ids), strict=True):
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-        best.sort(reverse=True)
-        n = len(best)
-        name = query.column("vec_id")[0].as_py() if query.num_rows else 0
-        return pa.table({"query_id": np.full(n, name, np.int64), "rank": np.arange(1, n + 1, dtype=np.int32), "vec_id": np.array([-i for _, i in best], np.int64), "score": np.array([s for s, _ in best], np.float64)})
+    def run(batches):
+        for batch in batches:
+            for part in _widths(batch, "embedding"):
+                scores = np.add.reduce(_matrix(part, "asked") * _matrix(part, "embedding"), axis=1)
+                heaps: dict[int, list[tuple[float, int]]] = {}
+                for q, score, i in zip(part.column("query_id").to_pylist(), scores.tolist(), part.column("vec_id").to_pylist(), strict=True):
+                    heap = heaps.setdefault(q, [])
+                    if len(heap) < k:
+                        heapq.heappush(heap, (score, -i))
+                    elif (score, -i) > heap[0]:
+                        heapq.heapreplace(heap, (score, -i))
+                rows = [(q, -i, score) for q, heap in heaps.items() for score, i in heap]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), SCORED, strict=True)], schema=SCORED)
 
     return run
 
@@ -148,8 +156,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows by inner product of every row whose id ``every`` divides.
 
     A query's own id is no candidate.  Ties go to the smaller id; repeated candidate rows each count, of rows that repeat
-    a query's id the one with the least vector asks.  With fewer candidates than ``k`` all are returned.  Null, zero and broken
-    vectors take no part; an empty table gives no rows.  Other columns are ignored.
+    a query's id the one with the least vector asks.  Candidates have the query's length; if they are fewer than ``k``, all
+    are returned.  Null, zero and broken vectors take no part; an empty table gives no rows.  Other columns are ignored.
     """
     # The rows are numbered by writing them.
     rows = cut(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
@@ -163,17 +171,19 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     n_q = -(-coded.where("query").count() // QUERY_BLOCK) or 1
     n_c = -(-coded.where("candidate").count() // CANDIDATE_BLOCK) or 1
     part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
-    columns = ("vec_id", "row", "code", "scale", "norm", "rest")
+    columns = ("width", "vec_id", "row", "code", "scale", "norm", "rest")
     asked = coded.where("query").select(part(n_q).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"), *columns)
     held = coded.where("candidate").select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), part(n_c).alias("c"), *columns)
-    found = cut(asked.groupBy("q", "c").cogroup(held.groupBy("q", "c")).applyInArrow(_search(k), FOUND_DDL), "survivors")
+    found = cut(asked.groupBy("width", "q", "c").cogroup(held.groupBy("width", "q", "c")).applyInArrow(_search(k), FOUND_DDL), "survivors")
     # The k-th best lower bound over all blocks.
     by = Window.partitionBy("query_id").orderBy(F.desc("low"), "row")
     floor = found.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= k).groupBy("query_id").agg(F.min("low").alias("floor"), F.count(F.lit(1)).alias("n"))
     last = found.join(floor, "query_id").where(F.when(F.col("n") < k, F.lit(True)).otherwise(F.col("high") >= F.col("floor")))
-    pairs = last.select("query_id", "row").join(rows.select("row", "vec_id", "embedding"), "row").drop("row")
-    whole = queries.select(F.col("vec_id").alias("query_id"), "row").join(rows.select("row", F.col("embedding")), "row").select(F.col("query_id").alias("vec_id"), "embedding")
-    return whole.groupBy("vec_id").cogroup(pairs.groupBy("query_id")).applyInArrow(_merge(k), RESULT)
+    pairs = last.select("query_id", "row").join(rows.select("row", "vec_id", "embedding"), "row")
+    asking = queries.select(F.col("vec_id").alias("query_id"), "row").join(rows.select("row", F.col("embedding").alias("asked")), "row").select("query_id", "asked")
+    scored = pairs.join(asking, "query_id").select("query_id", "asked", "vec_id", "embedding").mapInArrow(_best(k), SCORED_DDL)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
