@@ -381,6 +381,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = cut(known.orderBy(F.xxhash64("id"), "id").limit(sample_rows), "toxicity-sample")
     # ``chosen`` has at most ``sample_rows`` rows of two numbers.
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id's repeated rows are one
     rows = cut(rows.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(CALIBRATE_EVERY))), "toxicity-rows")
     trigrams = count_trigrams(docs)
     sent = Model(trigrams, {}, []).broadcast(docs.sparkSession)
