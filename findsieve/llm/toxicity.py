@@ -58,6 +58,10 @@ def suspect(word: str) -> bool:
     return bool(hard and _HARD_OR_DIGIT.search(word, hard.end())) or bool(digit and _BAR.search(word, digit.end()))
 
 
+#: Letters whose trigrams are counted.
+LETTERS = 128
+
+
 def in_alphabet(char: str) -> bool:
     """Whether a character is of a script of few letters: below the ideographs, or Japanese kana."""
     return char < "\u2e80" or "\u3040" <= char <= "\u30ff"
@@ -359,15 +363,24 @@ class Model:
     def broadcast(self, spark: SparkSession):
         """Trigram counts and weights, sent to every executor once.
 
-        Letters of alphabets bound the counts; the weights are of words of the sample of at most ``SAMPLE_ROWS`` rows.
+        ``LETTERS`` bounds the counts; the weights are of words of the sample of at most ``SAMPLE_ROWS`` rows.
         """
         return spark.sparkContext.broadcast((self.trigrams, self.weights))
 
 
 def count_trigrams(docs: DataFrame) -> dict[str, int]:
-    """What ``CharModel`` takes, of the texts of all documents; the letters of alphabets bound it, not the documents."""
+    """What ``CharModel`` takes, of the texts of all documents.
+
+    Trigrams of the ``LETTERS`` commonest letters (of equally common ones the lower) are counted as such, one with another letter as its
+    last character; so there are at most the cube of ``LETTERS`` + 1 of them, and one number for each other character.
+    """
+    last = F.substring("t", -1, 1)
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_trigrams, "t string, n long")
-    return {r["t"]: r["n"] for r in counted.groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    counted = cut(counted.groupBy("t").agg(F.sum("n").alias("n")), "trigrams")
+    common = counted.where((F.length("t") == 3) & (last != EDGE)).groupBy(last.alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS)
+    letters = EDGE + "".join(r["c"] for r in common.collect())
+    name = F.when((F.length("t") == 3) & (F.translate("t", letters, "") != ""), last).otherwise(F.col("t"))
+    return {r["t"]: r["n"] for r in counted.groupBy(name.alias("t")).agg(F.sum("n").alias("n")).collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:

@@ -380,6 +380,22 @@ def test_trigrams_are_of_all_documents(spark):
     assert toxicity.restore_word("иидиоот", toxicity.CharModel({k: n for k, n in model.trigrams.items()})) == "идиот"
 
 
+def test_trigrams_of_rare_letters_are_single_characters(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LETTERS", 5)
+    rng = np.random.default_rng(12)
+    texts = [" ".join("".join(rng.choice(list("abcdeфξ"), 5, p=[0.2, 0.2, 0.2, 0.2, 0.12, 0.05, 0.03])) for _ in range(50)) for _ in range(30)] + ["漢字 abф", None]
+    got = toxicity.count_trigrams(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
+    want: Counter = Counter()
+    for w in (w for t in texts for w in words(t)):
+        p = toxicity.EDGE * 2 + w + toxicity.EDGE
+        for t in (p[i : i + 3] for i in range(len(p) - 2)):
+            want[t if set(t) <= set("abcde" + toxicity.EDGE) else t[-1]] += 1
+    assert got == want and {"ф", "ξ"} <= set(got)
+    repeated = spark.createDataFrame([(1, "w1 w2")] * 500 + [(2, "idiot w3")] * 500, "doc_id long, text string")
+    model = toxicity.train(repeated, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"), sample_rows=2)
+    assert model.weights == {}  # rows of one id are one row, too few for any evidence
+
+
 def test_toxicity_held_out_accuracy(spark):
     rng = np.random.default_rng(8)
     rows, labels = [], []
