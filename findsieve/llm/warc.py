@@ -1,6 +1,6 @@
 """WARC archives with revisit records.
 
-Archives are written by Spark's text sink, one record a row, into files of a bounded number of records, and
+Archives are written by Spark's text sink, one record a row, into files of a bounded number of records and bytes, and
 read by the binary-file source, so any file system that Spark knows will do.  Before writing, the headers
 alone (digest, size, id) are shuffled by payload digest; every row whose payload an original already holds
 becomes a revisit record that names it.
@@ -13,7 +13,9 @@ import hashlib
 import io
 from datetime import UTC, datetime
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from .common import new_path, table
 
 #: Payloads below this many bytes are always written whole.
 MIN_REVISIT_BYTES = 1000
-#: Archives are read whole, so they hold at most so many records and, as far as a record is not larger, bytes of payload.
+#: Archives are read whole, so they hold at most so many records and, but for a single larger record, bytes.
 RECORDS_PER_FILE, BYTES_PER_FILE = 2000, 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX, ID_SUFFIX = "<tag:archive.example,2024:page/", ">"
@@ -109,18 +111,34 @@ def record_text(page_id: Column, uri: Column, html: Column, digest: Column, refe
     )
 
 
+def _number_archives(records_per_file: int, bytes_per_file: int):
+    """Adds ``archive``: a task's records are counted off, and an archive ends where the next record would exceed its bounds."""
+
+    def run(batches):
+        archive, records, held = 0, 0, 0
+        for batch in batches:
+            numbers = np.empty(batch.num_rows, np.int32)
+            for i, size in enumerate(pc.binary_length(batch.column(0)).to_pylist()):
+                if records and (records == records_per_file or held + size > bytes_per_file):
+                    archive, records, held = archive + 1, 0, 0
+                numbers[i] = archive
+                records, held = records + 1, held + size
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers)], ["value", "archive"])
+
+    return run
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str | None = None) -> str:
     """Write one record for each row of ``pages`` (page_id, url, html) as gzip archives below ``path``.
 
     Null html is an empty payload.  Rows with the largest page_id of a repeated payload are responses, also if
     several rows have that id; a null page_id is smaller than any.  Rows of one id have one record id.  ``date`` is that of all
-    headers, by default the time of writing.  The larger the largest payload, the fewer records a file gets.  Other columns
-    are ignored; an empty table gives archives without records.
+    headers, by default the time of writing.  An archive holds at most RECORDS_PER_FILE records and BYTES_PER_FILE bytes of
+    them before compression; a record that is larger by itself has an archive of its own, and others are not affected.  Other
+    columns are ignored; an empty table gives archives without records.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     headers = payload_headers(pages)
-    largest = headers.agg(F.max("payload_bytes").alias("n")).first()["n"] or 1
-    per_file = max(1, min(RECORDS_PER_FILE, BYTES_PER_FILE // max(1, largest)))
     revisits = resolve_revisits(headers, min_bytes).distinct().toDF("rid", "rdigest", "refers_to", "refers_uri")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("uri"), F.col("html").cast("string").alias("html"),
@@ -128,10 +146,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     )
     # page_id is all but unique, so this join has no hot key.
     joined = rows.join(revisits, rows["page_id"].eqNullSafe(revisits["rid"]) & (rows["digest"] == revisits["rdigest"]), "left")
-    (
-        joined.select(record_text(F.col("page_id"), F.col("uri"), F.col("html"), F.col("digest"), F.col("refers_to"), F.col("refers_uri"), date).alias("value"))
-        .write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
-    )
+    records = joined.select(record_text(F.col("page_id"), F.col("uri"), F.col("html"), F.col("digest"), F.col("refers_to"), F.col("refers_uri"), date).alias("value"))
+    numbered = records.mapInArrow(_number_archives(RECORDS_PER_FILE, BYTES_PER_FILE), "value string, archive int")
+    numbered.write.partitionBy("archive").option("compression", "gzip").option("lineSep", END).text(path)
     return path
 
 

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small documents with nulls, empties, ties and repeated rows."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -227,13 +228,27 @@ def test_warc_of_large_pages(spark, tmp_path, monkeypatch):
     path = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/big", date="2024-05-06T07:08:09Z")
     got = warc.read_archives(spark, path).collect()
     assert len(got) == 12 and {r["page_id"] for r in got if r["record_type"] == "revisit"} == {0, 3, 6}
-    files = list((tmp_path / "big").glob("*.gz"))
+    files = list((tmp_path / "big").rglob("*.gz"))
     records = [[f for f, _ in warc.parse_archive(x.read_bytes())] for x in files]
-    assert max(map(len, records)) == 2
+    responses = [sum(f["warc-type"] == "response" for f in x) for x in records]
+    assert sum(responses) == 9 and max(responses) == 2
     revisit = next(f for x in records for f in x if f["warc-type"] == "revisit")
     assert revisit["warc-refers-to-target-uri"] == "http://h/9" and revisit["warc-refers-to-date"] == revisit["warc-date"] == "2024-05-06T07:08:09Z"
 
 
+def test_a_large_page_leaves_other_archives_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 50)
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 60_000)
+    rows = [(i, None, "p" * (i % 2000), "a", 1) for i in range(400)] + [(1000, None, "q" * 500_000, "b", 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, value string, archive int").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/mixed")
+    files = [x.read_bytes() for x in (tmp_path / "mixed").rglob("*.gz")]
+    held = [[len(block) for _, block in warc.parse_archive(x)] for x in files]
+    assert sorted(n for x in held for n in x)[-1] > 500_000 and sum(map(len, held)) == 401
+    assert all(len(x) <= 50 and (len(x) == 1 or len(gzip.decompress(f)) <= 60_000 + 4 * len(x)) for x, f in zip(held, files, strict=True))
+    assert 401 / 50 < len(files) < 40
+
+
 def test_warc_empty(spark, tmp_path):
     path = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_archives(spark, path).count() == 0
@@ -271,6 +286,21 @@ def test_shares_fill_siblings_first(spark):
     spread((), total, 0)
 
 
+def test_shares_of_many_children_with_ties(spark):
+    rng = np.random.default_rng(4)
+    rows = [("p" if i % 3 else "q", f"c{i}", float(rng.integers(1, 40)), float(rng.choice([1, 2, 5]))) for i in range(900)]
+    rows += [("full", "c", 7.0, 1.0), ("none", "c", 7.0, 1.0), ("edge", "a", 4.0, 1.0), ("edge", "b", 4.0, 1.0)]
+    budgets = {"p": 4000.0, "q": 900.0, "full": 50.0, "none": 0.0, "edge": 8.0}
+    children = spark.createDataFrame([(*r, budgets[r[0]]) for r in rows], "parent string, child string, capacity double, weight double, budget double")
+    got = {(r["parent"], r["child"]): r["share"] for r in mixing.share_out(children, ["parent"], "child").collect()}
+    assert len(got) == len(rows)
+    for parent, budget in budgets.items():
+        own = [r for r in rows if r[0] == parent]
+        for r, want in zip(own, water(budget, [(r[2], r[3]) for r in own]), strict=True):
+            assert abs(got[r[:2]] - want) < 1e-6
+    assert mixing.share_out(children.where("false"), ["parent"], "child").count() == 0
+
+
 def test_mix_takes_prefixes_of_seeded_epochs(spark):
     rows = [(i, "article", "en", f"s{i % 3}", 5 + i % 7) for i in range(400)] + [(None, "article", "en", "s1", 5), (3, "article", "en", "s0", 8), (9, "article", "en", "s0", 0)]
     df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, tokens long")
