@@ -48,17 +48,21 @@ def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
 def share_out(children: DataFrame, parents: list[str], level: str) -> DataFrame:
     """Divide ``budget`` among the children of each parent: adds ``share``, at most ``capacity``, in proportion to ``weight``.
 
-    In order of capacity per weight the children that must be full come first.  At each child the level that the rest
-    of the budget would reach, were all before it full, says whether it is full too; the first that is not sets the level.
+    Children fill up in order of capacity per weight, and those of equal ratio together, so only the distinct ratios of a
+    parent are added up in order.  Capacities are whole epochs of whole tokens, so T tokens have at most the root of 2 T
+    distinct ratios for each weight, however many children there are.  At each ratio the level that the rest of the budget
+    would reach, were all lower ones full, says whether its children are full too; the first that is not sets the level.
     """
-    by = Window.partitionBy(*parents).orderBy(F.col("capacity") / F.col("weight"), level)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    all_of = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = children.withColumn("reach", (F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    out = out.withColumn("full", F.col("capacity") / F.col("weight") <= F.col("reach"))
-    out = out.withColumn("level", F.first(F.when(~F.col("full"), F.col("reach")), ignorenulls=True).over(all_of))
-    return out.withColumn("share", F.when(F.col("full"), F.col("capacity")).otherwise(F.col("level") * F.col("weight"))).drop("reach", "full", "level")
+    children = cut(children.withColumn("ratio", F.col("capacity") / F.col("weight")), "children")
+    ratios = children.groupBy(*parents, "ratio").agg(F.sum("capacity").alias("capacity"), F.sum("weight").alias("weight"), F.first("budget").alias("budget"))
+    by = Window.partitionBy(*parents).orderBy("ratio")
+    below, onward = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    reach = (F.col("budget") - F.coalesce(F.sum("capacity").over(below), F.lit(0.0))) / F.sum("weight").over(onward)
+    stop = F.when(F.col("ratio") > F.col("reach"), F.col("ratio"))
+    levels = ratios.withColumn("reach", reach).groupBy(*parents).agg(F.min(stop).alias("stop"), F.min_by("reach", stop).alias("level"))
+    full = F.col("stop").isNull() | (F.col("ratio") < F.col("stop"))
+    shared = children.join(levels, parents).withColumn("share", F.when(full, F.col("capacity")).otherwise(F.col("level") * F.col("weight")))
+    return shared.drop("ratio", "stop", "level")
 
 
 def budgets(leaves: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -82,7 +86,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, budget_share: float = BUDGET_SHARE, ma
     An empty table gives no rows.  A row's other columns may have any names but those used here.
     """
     rows = rows.where("tokens > 0")
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaves")
     plan = cut(
         budgets(leaves, weights, budget_share, max_epochs).select(
             *LEVELS, F.expr("quota div tokens").alias("whole"), F.expr("quota % tokens").alias("rest"),
