@@ -246,3 +246,36 @@ def test_searches_read_files_that_can_hold_the_text(spark, tmp_path):
     some = corpus_index.files_with(spark, index, ["CVE"], "cve-2024-1000")
     part = corpus_index.cards(spark, sums, some).first()
     assert 0 < part["total"] < 800
+
+
+def test_gaps_meet_once_for_images_and_advisories_alike(spark):
+    import random
+
+    from findsieve.operators import inventory
+
+    random.seed(7)
+    streams = ["", ".el9_4", ".el8_6"]
+    pick = lambda: f"{random.randrange(1, 6)}-1{random.choice(streams)}"
+    packages = [(random.choice(["i", "j", "k", "l", None]), random.choice("ab"), pick()) for _ in range(40)] + [("i", "a", None), ("m", "c", "1-1")]
+    affected = [(f"C{random.randrange(9)}", random.choice("ab"), "fixed", pick()) for _ in range(25)] + [(f"C{k}", random.choice("ab"), s, None) for k in range(9) for s in ("known_affected", "needs_fix")[: 1 + k % 2]]
+    reported = [(random.choice("ijkl"), f"C{random.randrange(9)}", random.choice("ab")) for _ in range(15)]
+    stream = lambda v: v.partition(".")[2]
+    newest = {}
+    for c, n, _, f in affected:
+        if f:
+            newest[c, n, stream(f)] = max(newest.get((c, n, stream(f)), 0), int(f[0]))
+    want = {(i, c, n, v, s) for i, n, v in packages if v for c, m, s, f in affected if m == n and f is None}
+    want |= {(i, c, n, v, "needs_fix") for i, n, v in packages if v for (c, m, st), top in newest.items() if m == n and st == stream(v) and int(v[0]) < top}
+    want = {x for x in want if (x[0], x[1], x[2]) not in reported}
+    frames = [spark.createDataFrame(packages, "image string, name string, version string"), spark.createDataFrame(affected, "cve string, name string, status string, fix_ver string"), spark.createDataFrame(reported, "image string, cve string, name string")]
+    got = [tuple(r) for r in inventory.detect_gaps(*frames).select("image", "cve", "name", "version", "status").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    keys = {(i, c, n, s) for i, c, n, _, s in want}
+    assert {tuple(r) for r in inventory.gap_counts(*frames).collect()} == {(*k, sum((i, c, n, s) == k for i, c, n, _, s in want)) for k in keys}
+    found = {k[1:] for k in keys}
+    assert {tuple(r) for r in inventory.gap_summary(*frames).collect()} == {(*k, len({i for i, *rest in keys if tuple(rest) == k and i})) for k in found}
+
+    alike = spark.range(200).selectExpr("concat('i', id) AS image", "'n' AS name", "'1-1.el9_4' AS version")
+    fixes = spark.range(50).selectExpr("concat('C', id) AS cve", "'n' AS name", "'fixed' AS status", "'2-1.el9_4' AS fix_ver")
+    assert inventory.needing_fix(inventory.held_versions(alike), inventory.advised(fixes)[1]).count() == 1
+    assert inventory.gap_counts(alike, fixes, frames[2]).count() == 10_000
