@@ -114,9 +114,13 @@ def facet_counts(reports: DataFrame, columns: list[str]) -> DataFrame:
 FILE_BYTES = 1 << 30
 
 
+#: Rows that make a file of the corpus where their bytes aren't known.
+FILE_ROWS = 1_000_000
+
+
 def write_corpus(reports: DataFrame, path: str, files: int) -> None:
     """One Parquet table of ``files`` files in ranges of CVE, so that row-group statistics prune searches; Bloom filters tell which hold a CVE or an image."""
-    out = reports.repartitionByRange(files, "CVE").sortWithinPartitions("CVE").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "19")
+    out = reports.repartitionByRange(files, "CVE").sortWithinPartitions("CVE").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9")
     for column in ("CVE", "IMAGE"):
         out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{column}", "true")
     out.parquet(path)
