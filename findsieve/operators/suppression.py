@@ -52,14 +52,17 @@ def suppression_plan(index: DataFrame, running: DataFrame, alerts: DataFrame, po
     cleared = running.join(index.select("sha256").distinct(), "sha256").select("sha256", F.col("name").alias("image"))
     policy = F.nullif(F.trim("policy_id"), F.lit(""))
     hit = active_alerts(alerts).join(cleared, "image").select("sha256", "image", F.col("id").alias("alert_id"), policy.alias("policy_id")).distinct()
-    known = policies.select(F.col("id").alias("policy_id"), F.coalesce("criteria_locked", F.lit(False)).alias("criteria_locked"), "exclusions")
-    rows = hit.withColumn("exclusion_name", F.concat(F.lit(f"{EXCLUSION}: "), F.substring("sha256", 1, 16))).join(known, "policy_id", "left")
-    # The least alert of an image and policy, by map-side minima, is the one that adds the exclusion.
-    first = hit.where("policy_id IS NOT NULL").groupBy("sha256", "policy_id").agg(F.min("alert_id").alias("first_alert"))
-    rows = rows.join(first, ["sha256", "policy_id"], "left")
+    name = F.concat(F.lit(f"{EXCLUSION}: "), F.substring("sha256", 1, 16)).alias("exclusion_name")
+    known = policies.select(F.col("id").alias("policy_id"), F.coalesce("criteria_locked", F.lit(False)).alias("criteria_locked"))
+    there = policies.select(F.col("id").alias("policy_id"), F.explode("exclusions").alias("exclusion_name")).distinct().withColumn("is_there", F.lit(True))
+    # The least alert of an image and policy, by map-side minima, is the one that adds the exclusion.  What a policy says is asked once for an image,
+    # not for each alert, and its exclusions, as many as there are images, are rows that meet theirs.
+    pairs = hit.where("policy_id IS NOT NULL").groupBy("sha256", "policy_id").agg(F.min("alert_id").alias("first_alert")).select("*", name)
+    pairs = pairs.join(known, "policy_id", "left").join(there, ["policy_id", "exclusion_name"], "left").drop("exclusion_name")
+    rows = hit.select("*", name).join(pairs, ["sha256", "policy_id"], "left")
     action = (
         F.when(F.col("policy_id").isNull(), F.lit("none")).when(F.col("criteria_locked").isNull(), F.lit("unknown")).when(F.col("criteria_locked"), F.lit("locked"))
-        .when(F.array_contains("exclusions", F.col("exclusion_name")), F.lit("skipped")).when(F.col("alert_id") == F.col("first_alert"), F.lit("add")).otherwise(F.lit("added"))
+        .when(F.col("is_there"), F.lit("skipped")).when(F.col("alert_id") == F.col("first_alert"), F.lit("add")).otherwise(F.lit("added"))
     )
     return rows.select("sha256", "image", "alert_id", "policy_id", F.when(F.col("policy_id").isNotNull(), F.col("exclusion_name")).alias("exclusion_name"), action.alias("action"))
 

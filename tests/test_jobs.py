@@ -279,3 +279,56 @@ def test_gaps_meet_once_for_images_and_advisories_alike(spark):
     fixes = spark.range(50).selectExpr("concat('C', id) AS cve", "'n' AS name", "'fixed' AS status", "'2-1.el9_4' AS fix_ver")
     assert inventory.needing_fix(inventory.held_versions(alike), inventory.advised(fixes)[1]).count() == 1
     assert inventory.gap_counts(alike, fixes, frames[2]).count() == 10_000
+
+
+def test_a_policys_exclusions_are_not_carried_with_its_alerts(spark):
+    from findsieve.operators import suppression
+
+    a, b = image("a", "a"), image("b", "b")
+    index = spark.createDataFrame([("a" * 64, "C"), ("b" * 64, "C")], "sha256 string, cve string")
+    running = spark.createDataFrame([("a" * 64, a, "1"), ("b" * 64, b, "2")], "sha256 string, name string, id string")
+    alerts = spark.createDataFrame([("x", None, "p", a), ("y", None, "p", a), ("z", None, "p", b), ("u", None, "q", b), ("w", None, " ", b)], "id string, state string, policy_id string, image string")
+    policies = spark.createDataFrame([("p", None, [f"findsieve: {'b' * 16}"]), ("r", False, None)], "id string, criteria_locked boolean, exclusions array<string>")
+    plan = suppression.suppression_plan(index, running, alerts, policies)
+    assert {(r["alert_id"], r["action"]) for r in plan.collect()} == {("x", "add"), ("y", "added"), ("z", "skipped"), ("u", "unknown"), ("w", "none")}
+    assert "array_contains" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_references_find_images_without_meeting_all_of_a_name(spark):
+    import itertools
+
+    from findsieve.operators import inventory
+
+    names = ["r/x/n" + t + d for t, d in itertools.product(["", ":v1", ":v12", ":latest"], ["", "@sha256:ab12", "@sha256:ab"])] + ["r/x/m:v3", None]
+    images = [(f"id{i}", n, i % 5) for i, n in enumerate(names * 2)]
+    refs = ["r/x/n", "q/x/n", "q/x/n:v1", "r/x/n:v9", "q/x/n:v9@sha256:cc", "q/x/n@sha256:ab", "q/x/n:latest", "q/x/m", "q/x/m:v3", "q/x/none", None]
+
+    def parts(c):
+        import re
+
+        sha, tag = re.search(r"@(sha256:[a-f0-9]+)", c), re.search(r"(:[^/@:]+)(?:@.*)?$", c)
+        return re.sub(r"[@:][^/]*$", "", re.sub(r"^[^/]+/", "", c)), sha.group(1) if sha else "", tag.group(1) if tag else ""
+
+    want = {}
+    for ref in filter(None, refs):
+        bare, sha, tag = parts(ref)
+        for id_, name, pos in images:
+            if name and parts(name)[0] == bare:
+                rank = 0 if sha and sha in name else 1 if name == ref else 2 if tag and tag in name else 3 if not sha and not tag and name.endswith(":latest") else 4 if not tag or sha else None
+                if rank is not None:
+                    want[ref] = min(want.get(ref, (9, 0, "")), (rank, pos, id_))
+    frames = spark.createDataFrame([(r,) for r in refs], "ref string"), spark.createDataFrame(images, "id string, name string, pos int")
+    assert {(r["ref"], r["id"], r["rank"]) for r in inventory.resolve_images(*frames).collect()} == {(k, v[2], v[0]) for k, v in want.items()}
+    same = spark.range(400).selectExpr("concat('id', id) AS id", "concat('r/x/n@sha256:', sha2(string(id), 256)) AS name", "int(id) AS pos")
+    out = inventory.resolve_images(same.select(F.col("name").alias("ref")), same)
+    assert out.where("rank = 0 AND ref LIKE 'r/x/n@%'").count() == 400
+
+
+def test_corpus_has_more_files_for_more_rows(spark, monkeypatch):
+    from findsieve.operators import reports
+    from findsieve.plans.landing_queries import indexed_corpus
+    from tests.conftest import SF
+
+    monkeypatch.setattr(reports, "FILE_ROWS", 500)
+    corpus, _, _ = indexed_corpus(spark, SF)
+    assert len(spark.read.parquet(corpus).inputFiles()) > 8
