@@ -169,3 +169,11 @@ def test_streamed_reports(spark, tmp_path):
         ingest_reports(spark, "CVE STRING, COMPONENT STRING, SEVERITY_MISMATCH STRING", str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r["CVE"], r["COMPONENT"], r["SEVERITY_MISMATCH"]) for r in rows) == [("CVE-0", "x", True), ("CVE-1", "x", True)]
+
+
+def test_landed_documents_are_compressed_and_read_back(spark):
+    from findsieve.plans.landing_queries import landed, read_lines
+
+    path = landed(spark.range(1000).selectExpr("concat('registry.redhat.io/team/image', id % 3) AS id"), "documents")
+    assert all(x.endswith(".json.gz") for x in spark.read.text(path).inputFiles())
+    assert read_lines(spark, path, "id STRING").count() == 1000
