@@ -332,3 +332,12 @@ def test_corpus_has_more_files_for_more_rows(spark, monkeypatch):
     monkeypatch.setattr(reports, "FILE_ROWS", 500)
     corpus, _, _ = indexed_corpus(spark, SF)
     assert len(spark.read.parquet(corpus).inputFiles()) > 8
+
+
+def test_advisories_are_parsed_once(spark, advisories, prefixes, monkeypatch):
+    """All branches of the plan read what was parsed, not the documents again."""
+    read, parse = [], jobs.A.parse_pids
+    monkeypatch.setattr(jobs.A, "parse_pids", lambda *tables: read.extend(tables) or parse(*tables))
+    rows = jobs.adjudicate_findings(findings_of(spark, image("x", "a")), advisories, prefixes)
+    assert {r["CVE"]: r["RULE"] for r in rows.collect()} == {"CVE-2024-0001": "R9", "CVE-2024-0002": "R11c"}
+    assert read and all(f.endswith(".parquet") for table in read for f in table.inputFiles())
