@@ -153,6 +153,44 @@ def test_tree_without_limit(spark, tmp_path):
     assert {(r["cve"], r["product_id"], r["name"]) for r in rows} == {("CVE-2024-1000", "p", "deepest"), ("CVE-2024-1000", "q", "last")}
 
 
+def test_trees_of_many_documents_have_no_limit_of_rows(spark, tmp_path):
+    for n in range(8):
+        advisory(tmp_path, f"CVE-2024-200{n}", tree=[{"name": "v", "branches": [leaf("p", f"p{n}"), leaf("q", f"q{n}")]}])
+    known = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        rows = landing.product_rows(landing.read_advisories(spark, str(tmp_path))).collect()
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", known)
+    assert {(r["cve"], r["product_id"], r["name"]) for r in rows} == {(f"CVE-2024-200{n}", x, f"{x}{n}") for n in range(8) for x in "pq"}
+
+
+def test_advisories_of_archives_are_those_of_files(spark, tmp_path):
+    files, archives = tmp_path / "files", tmp_path / "archives"
+    files.mkdir()
+    archives.mkdir()
+    for n in range(3):
+        advisory(files, f"CVE-2024-300{n}", {"fixed": [f"p{n}"]}, tree=TREE, impact="Low")
+    lines = [json.dumps({"file": f"2024/{f.name}", "content": f.read_text()}) for f in sorted(files.iterdir())]
+    old = json.dumps({"file": "2023/cve-2024-3000.json", "content": "{}"})
+    (archives / "a.json").write_text("\n".join([*lines[:2], json.dumps({"file": "changes.csv", "content": "x"})]))
+    (archives / "b.json").write_text("\n".join([old, lines[2]]))
+    got, want = (read(spark, str(path)) for read, path in ((landing.read_archived_advisories, archives), (landing.read_advisories, files)))
+    assert got.count() == 3 and got.dtypes == want.dtypes
+    for table in (landing.status_rows, landing.product_rows):
+        assert sorted(table(got).collect()) == sorted(table(want).collect())
+    texts = lambda docs: {r["cve"]: r["v"] for r in docs.selectExpr("cve", "to_json(vulnerabilities) AS v").collect()}
+    assert texts(got) == texts(want)
+
+
+def test_jobs_queries_read_archives(spark):
+    from findsieve.plans.verdict_queries import documents
+    from tests.conftest import SF
+
+    docs = documents(spark, SF)
+    assert len(docs.inputFiles()) < docs.count()
+
+
 def test_prefixes_keep_their_order(spark):
     from findsieve.functions.images import with_image_parts, with_prefixes
 
