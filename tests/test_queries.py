@@ -78,3 +78,12 @@ def test_an_image_that_an_advisory_names_asks_for_itself(spark):
     assert {r["finding_id"]: (r["RULE"], r["IMAGE"], r["CVE"]) for r in out} == {
         0: ("R3", ref("a"), "C1"), 1: ("R4", ref("b"), "C1"), 2: ("R4", ref("a"), "C2"), 3: ("R4", ref("b"), "C2"), 4: ("R7", None, "C1"),
     }
+
+
+def test_image_resolve_asks_for_every_image(spark):
+    """Also for those with a tag, which are found by it."""
+    from findsieve.plans.fixtures import fixture
+
+    tagged = {r["IMAGE"].split("@")[0] for r in fixture(spark, SF, "fx_img").where("contains(IMAGE, ':v')").collect()}
+    found = {r["ref"]: r["rank"] for r in registry.queries()["image_resolve"](spark, SF).collect()}
+    assert tagged and {found.get(r) for r in tagged} == {2}
