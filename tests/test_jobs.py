@@ -281,6 +281,33 @@ def test_gaps_meet_once_for_images_and_advisories_alike(spark):
     assert inventory.gap_counts(alike, fixes, frames[2]).count() == 10_000
 
 
+def test_a_gap_looks_up_what_is_told_once_for_an_image(spark, monkeypatch):
+    import random
+
+    from findsieve.operators import inventory
+
+    random.seed(8)
+    pick = lambda: f"{random.randrange(1, 9)}-1{random.choice(['', '.el9_4', '.el8_6'])}"
+    packages = spark.createDataFrame([(f"i{random.randrange(12)}", random.choice("ab"), pick()) for _ in range(90)], "image string, name string, version string")
+    affected = spark.createDataFrame([(f"C{k % 20}", random.choice("ab"), "fixed", pick() if k % 7 else None) for k in range(60)], "cve string, name string, status string, fix_ver string")
+    reported = spark.createDataFrame([(f"i{random.randrange(12)}", f"C{random.randrange(20)}", random.choice("ab")) for _ in range(60)], "image string, cve string, name string")
+
+    def counted():
+        rows = inventory.detect_gaps(packages, affected, reported).groupBy("image", "cve", "name", "status").count().collect()
+        return sorted(map(tuple, rows)), sorted(map(tuple, inventory.gap_counts(packages, affected, reported).collect()))
+
+    whole, counts = counted()
+    assert counts == whole and len({n for *_, n in counts}) > 2
+    # Several blocks of fixes due, shares of a kind and lists of reported advisories change nothing.
+    for name, value in (("BLOCK", 2), ("SHARE", 1), ("TOLD", 3)):
+        monkeypatch.setattr(inventory, name, value)
+    assert counted() == (whole, whole)
+    gaps = inventory.gap_counts(packages, affected, reported)
+    plan = gaps._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" in plan and "lambda" not in plan.split("Join")[0]
+    assert gaps.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_a_policys_exclusions_are_not_carried_with_its_alerts(spark):
     from findsieve.operators import suppression
 
